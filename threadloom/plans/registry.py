@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import core_problems
+from threadloom.plans import core_problems, set_algebra
 
-MODULES = (core_problems,)
+MODULES = (core_problems, set_algebra)
 FLAGSHIP = "p2_found"
 
 
