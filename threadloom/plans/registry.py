@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from threadloom.plans import core_problems, set_algebra
+from threadloom.plans import core_problems, retrieval, set_algebra
 
-MODULES = (core_problems, set_algebra)
-FLAGSHIP = "p2_found"
+MODULES = (core_problems, retrieval, set_algebra)
+FLAGSHIP = "content_rank_lead"
 
 
 def queries() -> dict:
