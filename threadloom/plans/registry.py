@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import core_problems, retrieval, set_algebra
+from threadloom.plans import core_problems, graphs, retrieval, set_algebra, store_analytics
 
-MODULES = (core_problems, retrieval, set_algebra)
+MODULES = (core_problems, graphs, retrieval, set_algebra, store_analytics)
 FLAGSHIP = "content_rank_lead"
 
 
