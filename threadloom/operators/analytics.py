@@ -165,7 +165,12 @@ def anchored_windows(rows: DataFrame, key: str, time_s: str, window_s: float = 5
             out.append(start)
         return frame[names].assign(window_start=out)
 
-    return cut.groupBy(key, "_run").applyInPandas(scan, schema)
+    whole = W.partitionBy(key, "_run")
+    cut = cut.withColumns({"_first": F.min(time_s).over(whole), "_last": F.max(time_s).over(whole)})
+    # A run no longer than the window is one window; only longer ones need the scan.
+    short = F.col("_last") - F.col("_first") <= window_s
+    plain = cut.filter(short).select(*names, F.col("_first").cast("double").alias("window_start"))
+    return plain.unionByName(cut.filter(~short).groupBy(key, "_run").applyInPandas(scan, schema))
 
 
 # --- channels ---------------------------------------------------------------------------------------

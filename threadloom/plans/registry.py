@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import core_problems, graphs, retrieval, set_algebra, store_analytics
+from threadloom.plans import core_problems, graphs, retrieval, set_algebra, store_analytics, store_changes
 
-MODULES = (core_problems, graphs, retrieval, set_algebra, store_analytics)
+MODULES = (core_problems, graphs, retrieval, set_algebra, store_analytics, store_changes)
 FLAGSHIP = "content_rank_lead"
 
 
