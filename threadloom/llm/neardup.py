@@ -139,10 +139,11 @@ def similar_sets(sets: DataFrame, num: int, den: int, bounds: tuple[int, int] =
 def text_classes(df: DataFrame, record: str, text: str, tags: str, words: int, least_words: int) -> tuple[DataFrame, DataFrame]:
     """Classes (cid, n, tokens, tags) of records with the same tokens and tags, and members (cid, record)."""
     rows = df.select(F.col(f"`{record}`").alias("record"), F.col(f"`{text}`").alias("text"), F.col(f"`{tags}`").alias("tags")).filter("record IS NOT NULL AND text IS NOT NULL")
-    rows = rows.repartition("record").distinct().select("record", "tags", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w")).filter(F.size("w") >= least_words)
-    rows = rows.select("record", tag_set(F.col("tags")).alias("tags"), sequences_of(F.col("w"), words).alias("tokens"))
-    rows = rows.filter(F.size("tokens") > 0).withColumn("cid", F.xxhash64("tokens", "tags"))
-    rows = stage(rows, "near-rows")
+    words_of = rows.repartition("record").distinct().select("record", "tags", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
+    # No filter before the table is staged: it would be pushed down, and the words found again for every sequence.
+    rows = words_of.select("record", tag_set(F.col("tags")).alias("tags"), F.when(F.size("w") >= least_words, sequences_of(F.col("w"), words)).alias("tokens"))
+    rows = rows.withColumn("cid", F.xxhash64("tokens", "tags"))
+    rows = stage(rows, "near-rows").filter(F.size("tokens") > 0)
     members = rows.select("cid", "record")
     keep = rows.groupBy("cid").agg(F.min("record").alias("record"))
     classes = rows.join(keep, ["cid", "record"]).dropDuplicates(["cid"]).select("cid", F.size("tokens").alias("n"), "tokens", "tags")
