@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import core_problems, graphs, retrieval, set_algebra, store_analytics, store_changes, texts
+from threadloom.plans import core_problems, graphs, retrieval, set_algebra, store_analytics, store_changes, streams, texts
 
-MODULES = (core_problems, graphs, retrieval, set_algebra, store_analytics, store_changes, texts)
+MODULES = (core_problems, graphs, retrieval, set_algebra, store_analytics, store_changes, streams, texts)
 FLAGSHIP = "content_rank_lead"
 
 
