@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: One row per finding: an entity (name, kind, path, tldr, meta), a link (linkage, concept, name, weight) or evidence (linkage, concept, name, line, detail).
@@ -30,22 +30,21 @@ class Findings:
 def parsed(files: DataFrame, parse: Callable[[Findings, str], object]) -> DataFrame:
     """Findings of files (path, text), parsed file by file in batches. A file that can't be parsed gives an ``error`` row with the reason."""
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    kinds = {"weight": pa.float64(), "line": pa.int32()}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows: list[dict] = []
-            for path, text in zip(frame["path"], frame["text"]):
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = Findings(path)
                 try:
                     parse(found, text or "")
                 except (SyntaxError, ValueError, RecursionError, KeyError, TypeError) as e:
                     found.rows = [{"what": "error", "path": path, "detail": f"{type(e).__name__}: {e}"[:300]}]
                 rows += found.rows
-            out = pd.DataFrame(rows, columns=COLUMNS)
-            out["line"] = out["line"].astype("Int32")
-            out["weight"] = out["weight"].astype("float64")
-            yield out
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds.get(c, pa.string())) for c in COLUMNS], names=COLUMNS)
 
-    return files.select("path", "text").mapInPandas(run, RECORD)
+    return files.select("path", "text").mapInArrow(run, RECORD)
 
 
 def entities_of(findings: DataFrame) -> DataFrame:
