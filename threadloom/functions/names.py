@@ -51,7 +51,11 @@ def content_terms(text: Column) -> Column:
 
 
 def content_terms_text(text: str) -> list[str]:
-    first = list({t.lower(): t for t in reversed((text or "").split()) if len(t) >= 2}.values())[::-1]
+    once: dict[str, str] = {}
+    for t in (text or "").split():
+        if len(t) >= 2:
+            once.setdefault(t.lower(), t)
+    first = list(once.values())
     kept = [t for t in first if t.lower() not in SEARCH_STOPWORDS]
     return kept if len(first) > 1 and kept else first
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.functions.frames import plain_strings
 from threadloom.functions.names import channel_matches, glob_pattern, namespace
 
 # --- percentiles by nearest rank, as small reports need them -------------------------------------
@@ -163,7 +164,7 @@ def anchored_windows(rows: DataFrame, key: str, time_s: str, window_s: float = 5
             if start is None or t > start + window_s:
                 start = t
             out.append(start)
-        return frame[names].assign(window_start=out)
+        return plain_strings(frame[names]).assign(window_start=out)
 
     whole = W.partitionBy(key, "_run")
     cut = cut.withColumns({"_first": F.min(time_s).over(whole), "_last": F.max(time_s).over(whole)})

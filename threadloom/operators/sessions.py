@@ -26,10 +26,8 @@ from threadloom.staging import new_path
 
 GAP_MS = 1_800_000
 STATE = T.StructType([T.StructField(n, T.ArrayType(T.LongType(), False)) for n in ("starts", "ends", "counts")])
-#: Time of the row that ends a finite stream, in the year 2200: it moves the watermark past every timer.
-END_OF_INPUT_MS = 7_258_118_400_000
-#: Events must be earlier than this, so that their timers run out before the end of the stream.
-LATEST_MS = END_OF_INPUT_MS - 366 * 86_400_000
+#: The stream's clock starts at 1970 and its frames end at 2262, so a finite table is shifted into between: what it may hold, by how much, and the end of input.
+LATEST_MS, SHIFT_MS, END_OF_INPUT_MS = 4_400_000_000_000, 4_500_000_000_000, 9_000_000_000_000
 
 
 def merge_updates(starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, gap_ms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +85,7 @@ def sessions_stream(updates: DataFrame, keys: Sequence[str], gap_ms: int = GAP_M
 def sessions(events: DataFrame, keys: Sequence[str], time_ms: str, gap_ms: int = GAP_MS) -> DataFrame:
     """All sessions of a finite table of events: ``keys``, start_ms, end_ms, n_events.
 
-    Rows without a time, or with one outside the years 1700 to 2198, are left out. A null key is a key of its own. Ties in time belong to one session.
+    Rows without a time, or with one outside the years 1831 to 2109, are left out. A null key is a key of its own. Ties in time belong to one session.
     Rows that repeat count as often as they come: remove repeated deliveries before. Other columns are
     ignored, whatever their names. An empty table gives an empty one.
     """
@@ -95,7 +93,7 @@ def sessions(events: DataFrame, keys: Sequence[str], time_ms: str, gap_ms: int =
     gap = int(gap_ms)
     named = [f"k{i}" for i in range(len(keys))]
     rows = events.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, named)], F.col(f"`{time_ms}`").cast("long").alias("ms")).filter(F.col("ms").between(-LATEST_MS, LATEST_MS))
-    slots = rows.groupBy(*named, F.floor(F.col("ms") / F.lit(max(gap, 1))).alias("slot")).agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count(F.lit(1)).alias("n_events")).drop("slot")
+    slots = rows.groupBy(*named, F.floor(F.col("ms") / F.lit(max(gap, 1))).alias("slot")).agg((F.min("ms") + SHIFT_MS).alias("start_ms"), (F.max("ms") + SHIFT_MS).alias("end_ms"), F.count(F.lit(1)).alias("n_events")).drop("slot")
     fields = [T.StructField(n, rows.schema[n].dataType) for n in named] + [T.StructField(n, T.LongType()) for n in ("start_ms", "end_ms", "n_events")]
     end = spark.range(1).select(
         *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in named], *[F.lit(END_OF_INPUT_MS).cast("long").alias(n) for n in ("start_ms", "end_ms")], F.lit(0).cast("long").alias("n_events")
@@ -114,4 +112,4 @@ def sessions(events: DataFrame, keys: Sequence[str], time_ms: str, gap_ms: int =
     )
     query.awaitTermination()
     done = spark.read.schema(T.StructType(fields)).parquet(out)
-    return done.select(*[F.col(n).alias(k) for n, k in zip(named, keys)], "start_ms", "end_ms", "n_events")
+    return done.select(*[F.col(n).alias(k) for n, k in zip(named, keys)], (F.col("start_ms") - SHIFT_MS).alias("start_ms"), (F.col("end_ms") - SHIFT_MS).alias("end_ms"), "n_events")

@@ -16,6 +16,14 @@ def replayed(spark: SparkSession, table: DataFrame, files_per_batch: int | None
     path = new_path(spark, "stream-input")
     ranged = table.repartitionByRange(files, order).sortWithinPartitions(order) if order else table.repartition(files)
     ranged.write.parquet(path)
+    if order:  # file streams go by modification time
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(str(f.getPath()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+        newest = max((f.getModificationTime() for f in fs.listStatus(folder)), default=0)
+        for i, name in enumerate(names):
+            fs.setTimes(jvm.org.apache.hadoop.fs.Path(name), newest - 1000 * (len(names) - i), -1)
     reader = spark.readStream.schema(table.schema)
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 

@@ -57,10 +57,10 @@ def schema() -> list[dict]:
     return out
 
 
-def call(store: Store, name: str, **arguments):
-    if name not in VERBS:
-        raise ValueError(f"unknown verb {name}")
-    return VERBS[name](store, **arguments)
+def call(store: Store, verb_name: str, /, **arguments):
+    if verb_name not in VERBS:
+        raise ValueError(f"unknown verb {verb_name}")
+    return VERBS[verb_name](store, **arguments)
 
 
 def _action(table: dict[str, Callable], action: str):
