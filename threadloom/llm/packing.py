@@ -1,19 +1,20 @@
 """Filling containers of fixed capacity with items of varying size, as little space as possible left unused.
 
-The items are spread over partitions, and each partition is packed by best-fit decreasing. A lower bound from
-dual-feasible functions certifies a partition whose number of bins cannot be lower. Partitions with a gap between bins and bound
-keep their full bins, exchange the documents of the others among each other, and are packed again, over
-fewer partitions each round, until nothing is left to exchange or the rounds are over.
+The items are spread over partitions, and each partition is packed by best-fit decreasing. Lower bounds from
+dual-feasible functions certify the number of bins: of a partition, by its own items, and of all of them, by the counts of
+sizes. As long as the whole isn't certified, the partitions keep their full bins, exchange the documents of the others
+among each other, and are packed again, over fewer partitions each round, until the bound is met, nothing is left to
+exchange or the rounds are over.
 
 An item larger than the capacity is cut into pieces of the capacity and a rest; no other item is ever split.
 
-Scale: a partition holds about ``items_per_part`` items whatever the input; only what lies in unfilled bins of uncertified
-partitions moves again. Sizes are numbers of tokens, so texts are read once and never shuffled.
+Scale: a partition holds about ``items_per_part`` items whatever the input; only what lies in unfilled bins moves again. Sizes are numbers of tokens, so texts are read once and never shuffled.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.frames import plain_strings
 from threadloom.staging import stage
 
 ITEMS_PER_PART = 100_000
@@ -63,10 +65,16 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     The functions are the identity, the threshold function (sizes above capacity - k count as whole, sizes below k
     as nothing) and the rounding function floor((m + 1) * x) / m; all keep every feasible bin at 1 or less.
     """
-    sizes = np.asarray(sizes, dtype=np.int64)
-    if not len(sizes):
+    values, counts = np.unique(np.asarray(sizes, dtype=np.int64), return_counts=True)
+    return bound_of_counts(values, counts, capacity)
+
+
+def bound_of_counts(values: np.ndarray, counts: np.ndarray, capacity: int) -> int:
+    """The lower bound for ``counts`` items of each of the sizes ``values``."""
+    if not len(values):
         return 0
-    values, counts = np.unique(sizes, return_counts=True)
+    order = np.argsort(values)
+    values, counts = values[order].astype(np.int64), counts[order].astype(np.int64)
     best = -(-int((values * counts).sum()) // capacity)
     falling = np.cumsum((values * counts)[::-1])[::-1]
     above = np.cumsum(counts[::-1])[::-1]
@@ -87,16 +95,25 @@ def _pack(frame: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
     sizes = frame["tokens"].to_numpy()
     bins = best_fit_decreasing(sizes, capacity)
     used = np.bincount(bins, weights=sizes).astype(np.int64)
-    bound = lower_bound(sizes, capacity)
-    stays = np.full(len(used), True) if last or len(used) <= bound else used >= FULL * capacity
+    stays = np.full(len(used), True) if last else used >= FULL * capacity
     out = frame.assign(bin=bins, bin_tokens=used[bins], final=stays[bins])
-    out["part_bins"], out["part_bound"] = len(used), bound
+    out["part_bins"], out["part_bound"], out["part_stays"] = len(used), lower_bound(sizes, capacity), int(stays.sum())
     return out
 
 
+def least_bins(todo: DataFrame) -> dict[str, int]:
+    """The certified least number of bins of each container, from how often each size comes (as many rows as sizes)."""
+    counts = todo.groupBy("container", "capacity", "tokens").agg(F.count(F.lit(1)).alias("n"))
+
+    def bound(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"container": [frame["container"].iloc[0]], "least": [bound_of_counts(frame["tokens"].to_numpy(), frame["n"].to_numpy(), int(frame["capacity"].iloc[0]))]})
+
+    return {r["container"]: r["least"] for r in counts.groupBy("container").applyInPandas(bound, "container string, least long").collect()}
+
+
 def _packer(last: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _pack(frame.sort_values(["item", "piece"], kind="stable").reset_index(drop=True), int(frame["capacity"].iloc[0]), last)
+        return _pack(plain_strings(frame).sort_values(["item", "piece"], kind="stable").reset_index(drop=True), int(frame["capacity"].iloc[0]), last)
 
     return run
 
@@ -104,9 +121,9 @@ def _packer(last: bool):
 def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
     """(container, capacity, item, piece, tokens): every item for every container, cut where it is larger than that.
 
-    Items of size 0, and nulls in item or tokens, give no pieces. ``containers`` is a small table of up to MOST_CONTAINERS rows.
+    Items of size 0, and nulls in item or tokens, give no pieces. ``containers`` is a small table of up to MOST_CONTAINERS names, each with its largest capacity.
     """
-    kinds = containers.filter("container IS NOT NULL AND capacity > 0").select("container", "capacity").distinct().limit(MOST_CONTAINERS + 1).collect()
+    kinds = containers.filter("container IS NOT NULL AND capacity > 0").groupBy("container").agg(F.max("capacity")).limit(MOST_CONTAINERS + 1).collect()
     if len(kinds) > MOST_CONTAINERS:
         raise ValueError(f"more than {MOST_CONTAINERS} containers")
     kind = F.array(*[F.struct(F.lit(r[0]).alias("container"), F.lit(r[1]).cast("int").alias("capacity")) for r in sorted(kinds)]).cast("array<struct<container:string,capacity:int>>")
@@ -126,22 +143,24 @@ def pack(items: DataFrame, containers: DataFrame, items_per_part: int = ITEMS_PE
     todo = pieces(items, containers)
     whole = todo.filter("tokens = capacity")  # fills a bin by itself
     todo = stage(todo.filter("tokens < capacity"), "pieces")
+    least, kept = least_bins(todo), Counter()
     done: list[DataFrame] = []
-    schema = "container string, capacity int, item long, piece long, tokens long, part long, bin long, bin_tokens long, final boolean, part_bins long, part_bound long"
+    schema = "container string, capacity int, item long, piece long, tokens long, part long, bin long, bin_tokens long, final boolean, part_bins long, part_bound long, part_stays long"
     for turn in range(1, rounds + 1):
         sizes = todo.groupBy("container").count()
         parts = F.ceil(F.col("count") / F.lit(items_per_part)).cast("long")
-        spread = todo.join(F.broadcast(sizes), "container").withColumn("part", F.pmod(F.xxhash64("item", "piece", F.lit(turn)), parts)).drop("count")
-        last = turn == rounds
-        packed = stage(spread.select("container", "capacity", "item", "piece", "tokens", "part").groupBy("container", "part").applyInPandas(_packer(last), schema), "packed")
-        done.append(packed.filter("final").withColumn("round", F.lit(turn)))
-        again = packed.filter("NOT final")
-        # A single partition has nobody to exchange with.
-        multi = again.select("container", "part").distinct().groupBy("container").count().filter("count > 1").select("container")
-        alone = again.join(F.broadcast(multi), "container", "left_anti")
-        done.append(alone.withColumn("round", F.lit(turn)))
-        todo = again.join(F.broadcast(multi), "container").select("container", "capacity", "item", "piece", "tokens")
-        if last or not todo.limit(1).count():
+        spread = todo.join(F.broadcast(sizes), "container").withColumn("part", F.pmod(F.xxhash64("item", "piece", F.lit(turn)), parts)).drop("count")  # a row per container
+        packed = stage(spread.select("container", "capacity", "item", "piece", "tokens", "part").groupBy("container", "part").applyInPandas(_packer(turn == rounds), schema), "packed")
+        per_part = packed.groupBy("container", "part").agg(F.max("part_bins").alias("bins"), F.max("part_stays").alias("stays"))
+        settled = []
+        for r in per_part.groupBy("container").agg(F.count(F.lit(1)).alias("parts"), F.sum("bins").alias("bins"), F.sum("stays").alias("stays")).collect():
+            if turn == rounds or r["parts"] == 1 or kept[r["container"]] + r["bins"] <= least[r["container"]]:
+                settled.append(r["container"])
+            kept[r["container"]] += r["stays"]
+        stays = F.col("final") | F.col("container").isin(settled)
+        done.append(packed.filter(stays).withColumn("round", F.lit(turn)))
+        todo = packed.filter(~stays).select("container", "capacity", "item", "piece", "tokens")
+        if not todo.limit(1).count():
             break
     out = whole.withColumns({"part": F.col("piece"), "bin": F.col("piece"), "bin_tokens": F.col("tokens"), "part_bins": F.lit(1).cast("long"), "part_bound": F.lit(1).cast("long"), "round": F.lit(0)})
     cols = ["container", "capacity", "item", "piece", "tokens", "bin_tokens", "part_bins", "part_bound", "round"]
