@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from threadloom.functions.frames import plain_strings
 from threadloom.functions.names import channel_matches, glob_pattern, namespace
+from threadloom.operators.prefix_sum import running_totals
 
 # --- percentiles by nearest rank, as small reports need them -------------------------------------
 
@@ -185,8 +186,12 @@ def channel_stats(messages: DataFrame) -> DataFrame:
 
 def unread(messages: DataFrame, cursors: DataFrame) -> DataFrame:
     """(agent, channel, unread): active messages after an agent's cursor; an agent without a cursor on a channel isn't listed."""
-    rows = cursors.join(messages.filter("status = 'active'").select("channel", "seq"), "channel", "left")
-    return rows.groupBy("agent", "channel").agg(F.sum(F.when(F.col("seq") > F.col("last_seq"), 1).otherwise(0)).alias("unread"))
+    # A cursor takes its place among the messages, and what comes after it is the channel's total less the running one.
+    sent = messages.filter("status = 'active'").select("channel", "seq", F.lit(0).alias("is_cursor"), F.lit("").alias("agent"), F.lit(1).cast("long").alias("one"))
+    kind = cursors.schema["agent"].dataType
+    held = cursors.select("channel", F.col("last_seq").alias("seq"), F.lit(1).alias("is_cursor"), F.col("agent").cast("string").alias("agent"), F.lit(0).cast("long").alias("one"))
+    placed = running_totals(sent.unionByName(held), ["channel"], ["seq", "is_cursor", "agent"], "one")
+    return placed.filter("is_cursor = 1").select(F.col("agent").cast(kind).alias("agent"), "channel", (F.col("whole") - F.col("running")).alias("unread"))
 
 
 def read_channel(messages: DataFrame, cursors: DataFrame, agent: str, pattern: str, n: int) -> tuple[DataFrame, DataFrame]:

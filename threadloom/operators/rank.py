@@ -1,8 +1,8 @@
 """Ranked retrieval: BM25 with coverage over the mention links, fusion, boosts and salience.
 
-``content_rank`` reads the links once: a single aggregation by entity yields the document length and every
-term's frequency and flags, from which the corpus figures (number of documents, mean length, document frequencies) are a one-row
-aggregate. All rankings end with score descending, id ascending.
+``content_rank`` aggregates the links twice from one scan: all mentions to document lengths, and the few postings of the query's
+terms to frequencies and flags per entity. The corpus figures (number of documents, mean length, document frequencies) are
+tables of one row. All rankings end with score descending, id ascending.
 """
 
 from __future__ import annotations
@@ -41,26 +41,33 @@ def content_rank(
     """
     boosts = {"lead": LEAD_WEIGHT} if boosts is None else boosts
     first = term_concepts.groupBy("concept_id").agg(F.min("term").alias("term"))
-    rows = links.filter(F.col("linkage").isin(["mentions", "defines", *boosts])).join(first, "concept_id", "left")
-    mention = F.col("linkage") == "mentions"
-    raw = F.coalesce(F.col("weight"), F.lit(null_tf))
-    aggs = [F.sum(F.when(mention, F.coalesce(F.col("weight"), F.lit(0.0)))).alias("dl"), F.max(mention.cast("int")).alias("in_corpus")]
+    # The same filter on both branches, so that they share one scan and one shuffle of the links.
+    links = links.filter(F.col("concept_id").isNotNull() & F.col("entity_id").isNotNull())
+    mentions = links.filter("linkage = 'mentions'")
+    length = mentions.groupBy("entity_id").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("dl"))
+    corpus = length.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+    raw = tf_transform(F.coalesce(F.col("weight"), F.lit(null_tf)), tf)
+    aggs = []
     for i in range(n_terms):
         own = F.col("term") == i
-        aggs.append(F.max(F.when(mention & own, 1).otherwise(0)).alias(f"has{i}"))
-        aggs.append(F.collect_list(F.when(mention & own, tf_transform(raw, tf))).alias(f"tf{i}"))
+        mention = own & (F.col("linkage") == "mentions")
+        aggs.append(F.max(F.when(mention, 1).otherwise(0)).alias(f"has{i}"))
+        aggs.append(F.collect_list(F.when(mention, raw)).alias(f"tf{i}"))
         for j, linkage in enumerate(boosts):
             aggs.append(F.sum(F.when((F.col("linkage") == linkage) & own, 1).otherwise(0)).alias(f"boost{i}_{j}"))
-    aggs.append(F.max(F.when((F.col("linkage") == "defines") & F.col("term").isNotNull(), 1).otherwise(0)).alias("defines_it"))
-    per_entity = rows.groupBy("entity_id").agg(*aggs)
-    corpus = per_entity.filter("in_corpus = 1").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"), *[F.sum(f"has{i}").alias(f"n{i}") for i in range(n_terms)])
-    units = first.agg(F.countDistinct("term").alias("units"))
+    aggs.append(F.max(F.when(F.col("linkage") == "defines", 1).otherwise(0)).alias("defines_it"))
+    hits = links.filter(F.col("linkage").isin(["mentions", "defines", *boosts])).join(first, "concept_id").groupBy("entity_id").agg(*aggs)
     hit = reduce(lambda x, y: x | y, [F.col(f"has{i}") == 1 for i in range(n_terms)]) | (F.col("defines_it") == 1)
-    scored = per_entity.filter(hit).join(F.broadcast(corpus)).join(F.broadcast(units))  # two tables of one row
+    hits = hits.filter(hit)
+    counts = hits.agg(*[F.sum(f"has{i}").alias(f"n{i}") for i in range(n_terms)])
+    units = first.agg(F.countDistinct("term").alias("units"))
+    one = F.lit(1).alias("one")
+    figures = corpus.select("*", one).join(counts.select("*", one), "one").join(units.select("*", one), "one")  # three tables of one row
+    scored = hits.join(length, "entity_id", "left").withColumn("one", F.lit(1)).join(F.broadcast(figures), "one")
     if kinds is not None:
         scored = scored.join(kinds, "entity_id", "left_semi")
     idf = [F.log((F.col("n_docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5) + 1.0) for i in range(n_terms)]
-    norm = k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl"))
+    norm = k1 * (1.0 - b + b * F.coalesce("dl", "avgdl") / F.col("avgdl"))
     posting = lambda i: F.aggregate(f"tf{i}", F.lit(0.0), lambda acc, x: acc + F.coalesce(F.try_divide(x * (k1 + 1.0), x + norm), F.lit(0.0)))
     covered = _sum([F.col(f"has{i}") for i in range(n_terms)])
     score = _sum([idf[i] * posting(i) for i in range(n_terms)])
