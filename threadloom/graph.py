@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.names import canonicalize
 from threadloom.model import BODY_STOPWORDS, stored_verb
+from threadloom.staging import spread
 
 BODY_TOKEN = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 
@@ -62,7 +63,7 @@ def lead_text(text, lines: int = 3):
 
 def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(linkage, concept, entity_id, weight) of the documents: mentions by term count, lead by presence, tagged by language and source."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id"), "text", "lang", "source")
+    docs = spread(read(spark, sf_dir, "documents").select(F.col("doc_id"), "text", "lang", "source"))
     mentions = body_terms(docs, "doc_id", "text")
     lead = body_terms(docs.select("doc_id", lead_text(F.col("text")).alias("text")), "doc_id", "text", "lead").withColumn("weight", F.lit(1.0))
     tags = docs.select("doc_id", F.explode(F.array_compact(F.array(F.concat(F.lit("lang/"), "lang"), F.concat(F.lit("source/"), "source")))).alias("concept"))

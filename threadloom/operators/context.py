@@ -112,3 +112,46 @@ def walk_context(graph: Graph, seeds: Sequence[int], degree: int = 1) -> DataFra
     """(id, score): walk entries for a context; deeper degrees restart less often and push further."""
     alpha, epsilon = {1: (0.30, 2e-4), 2: (0.15, 1e-4)}.get(degree, (0.10, 5e-5))
     return walks.ppr_push(walks.adjacency(graph.links), list(seeds), alpha, epsilon, hops=min(degree, 3))
+
+
+def graph_recall(symbolic: DataFrame | None, dense: DataFrame | None, k: int = 10) -> DataFrame:
+    """(entity_id, score): both rankings fused; a symbolic one alone scores 1 - i / n by place, a dense one alone keeps its scores; without any, nothing is found."""
+    if symbolic is not None and dense is not None:
+        return rank.hybrid(symbolic, dense, k)
+    if dense is not None:
+        return dense.orderBy(F.desc("score"), "entity_id").limit(k)
+    top = symbolic.orderBy(F.desc("score"), "entity_id").limit(k)
+    everything = W.partitionBy(F.lit(1))
+    return top.select("entity_id", (1.0 - (F.row_number().over(everything.orderBy(F.desc("score"), "entity_id")) - 1) / F.count(F.lit(1)).over(everything)).alias("score"))
+
+
+def federated(stores: dict[str, Graph], expression: str, limit: int = 100) -> DataFrame:
+    """(project, entity_id, kind, name): one query over several stores; each (kind, name, project) comes once."""
+    out = None
+    for project, graph in stores.items():
+        found = dsl.run(graph, expression).join(graph.entities.select(F.col("id").alias("entity_id"), "kind", "name"), "entity_id")
+        part = found.select(F.lit(project).alias("project"), "entity_id", "kind", "name")
+        out = part if out is None else out.unionByName(part)
+    return analytics.first_seen(out, ["kind", "name", "project"], [F.col("entity_id")]).orderBy("project", "entity_id").limit(limit)
+
+
+def timeline(footprint: DataFrame, entities: DataFrame, events: DataFrame) -> DataFrame:
+    """(ts, what, path, hop): events (ts, what, path) of the files in a concept's footprint, in order; paths match whole or by their last parts."""
+    paths = footprint.join(entities.select(F.col("id").alias("entity_id"), "path").filter("path IS NOT NULL"), "entity_id").select("hop", F.col("path").alias("own"), F.element_at(F.split("path", "/"), -1).alias("file"))
+    seen = events.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(paths, "file")
+    hit = (F.col("path") == F.col("own")) | F.col("path").endswith(F.concat(F.lit("/"), "own")) | F.col("own").endswith(F.concat(F.lit("/"), "path"))
+    return seen.filter(hit).groupBy("ts", "what", "path").agg(F.min("hop").alias("hop")).orderBy("ts", "path")
+
+
+def topics(edges: DataFrame, members: DataFrame, k: int = 3) -> DataFrame:
+    """(cluster, src, dst, weight): the k largest clusters (entity_id, cluster) as graphs of the edges within them."""
+    largest = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster").limit(k).select("cluster")
+    own = members.join(largest, "cluster", "left_semi")
+    a, b = own.select("cluster", F.col("entity_id").alias("src")), own.select(F.col("cluster").alias("c2"), F.col("entity_id").alias("dst"))
+    return edges.join(a, "src").join(b, "dst").filter("cluster = c2").select("cluster", "src", "dst", "weight")
+
+
+def as_of(touches: DataFrame, key: str, now: float, current: str) -> DataFrame:
+    """(key, session, ts): the last touch of each key before now by another session."""
+    rows = touches.filter((F.col("ts") <= now) & (F.col("session") != current))
+    return rows.groupBy(key).agg(F.max_by("session", F.struct("ts", "session")).alias("session"), F.max("ts").alias("ts"))

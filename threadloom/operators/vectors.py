@@ -72,10 +72,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, threshold: float =
 
 def mutual_knn(vectors: DataFrame, k: int, threshold: float) -> DataFrame:
     """(a, b, weight), a < b: pairs that are among each other's k nearest, weighing (cosine - t) / (1 - t)."""
-    near = knn_join(vectors, vectors, k, threshold)
-    back = near.select(F.col("other").alias("id"), F.col("id").alias("other"))
-    both = near.join(back, ["id", "other"], "left_semi").filter("id < other")
-    return both.select(F.col("id").alias("a"), F.col("other").alias("b"), ((F.col("cosine") - threshold) / (1.0 - threshold)).alias("weight"))
+    return mutual_of(knn_join(vectors, vectors, k, threshold), threshold)
 
 
 def cosine_percentile(pairs: DataFrame, p: float) -> DataFrame:
@@ -149,3 +146,44 @@ def orphan_concepts(links: DataFrame, least: int = 4) -> DataFrame:
     """(concept_id, mentions): concepts mentioned at least ``least`` times that nothing defines or leads with."""
     seen = links.filter("linkage = 'mentions'").groupBy("concept_id").agg(F.countDistinct("entity_id").alias("mentions")).filter(F.col("mentions") >= least)
     return seen.join(links.filter(F.col("linkage").isin("defines", "lead")).select("concept_id"), "concept_id", "left_anti")
+
+
+# --- documents compiled into subjects ---------------------------------------------------------------------
+
+
+def compile_subjects(vectors: DataFrame, doc_concepts: DataFrame, k: int = 8, percentile: float = 0.90, least: int = 2, beta: float = 1.0, gamma: float = 0.5, bridge_from: float = 0.35, signal: str = "fused") -> tuple[DataFrame, DataFrame]:
+    """Clusters of documents, (entity_id, cluster), and their labels, (cluster, label, lift).
+
+    Dense edges join mutual neighbours above a percentile of the neighbours' cosines; concept edges come from the idf-weighted sets; ``signal`` takes ``dense``, ``concept`` or
+    both ``fused``. Communities of the edges are the clusters; documents in none are left out.
+    """
+    from threadloom.operators.walks import communities
+    from threadloom.staging import stage
+
+    sets = stage(informative_concepts(doc_concepts), "concept-sets")
+    near = stage(knn_join(vectors, vectors, k), "near") if signal != "concept" else None
+    none = sets.select(F.col("entity_id").alias("a"), F.col("entity_id").alias("b"), F.lit(0.0).alias("weight")).limit(0)
+    dense = none
+    if near is not None:
+        threshold = cosine_percentile(near, percentile).first()[0]
+        if threshold is not None and threshold < 1.0:
+            dense = mutual_of(near.filter(F.col("cosine") > threshold), threshold)
+    sparse = concept_cosine(sets) if signal != "dense" else none.withColumnRenamed("weight", "cosine")
+    edges = stage(fuse_edges(dense, sparse, beta, gamma, bridge_from if signal == "fused" else 0.0), "subject-edges")
+    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
+    members = stage(communities(both, least=least).select(F.col("id").alias("entity_id"), F.col("label").alias("cluster")), "subjects")
+    n = sets.select("entity_id").distinct().count()
+    return members, cluster_labels(members, sets, max(n, 1), least)
+
+
+def mutual_of(near: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, weight), a < b: the pairs of a neighbour table (id, other, cosine) that are in it both ways."""
+    back = near.select(F.col("other").alias("id"), F.col("id").alias("other"))
+    both = near.join(back, ["id", "other"], "left_semi").filter("id < other")
+    return both.select(F.col("id").alias("a"), F.col("other").alias("b"), ((F.col("cosine") - threshold) / (1.0 - threshold)).alias("weight"))
+
+
+def subject_links(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(linkage, concept, entity_id): members as ``part-of`` their subject, named by its label (``subject-<id>`` without one)."""
+    named = members.join(labels.select("cluster", "label"), "cluster", "left")
+    return named.select(F.lit("part-of").alias("linkage"), F.concat(F.lit("subject/"), F.coalesce("label", F.concat(F.lit("subject-"), F.col("cluster").cast("string")))).alias("concept"), "entity_id")

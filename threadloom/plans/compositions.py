@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.graph import read, store_graph
-from threadloom.operators import context
+from threadloom.functions import render
+from threadloom.operators import context, dsl, vectors, walks
 from threadloom.plans.set_algebra import A, STORE
+from threadloom.plans.store_changes import _doc_concepts
 from threadloom.sources import common, markdown
+from threadloom.staging import spread
 
 
 def context_bundle(spark, sf_dir):
@@ -36,7 +39,7 @@ def locate(spark, sf_dir):
 
 def _markdown(spark, sf_dir):
     files = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.concat_ws("-", F.coalesce("path", F.lit("doc")), "doc_id").alias("path"), "text")
-    return common.parsed(files, markdown.parse)
+    return common.parsed(spread(files), markdown.parse)
 
 
 def gmd_parse(spark, sf_dir):
@@ -48,8 +51,35 @@ def gmd_nodes(spark, sf_dir):
     return common.entities_of(_markdown(spark, sf_dir)).select("path", "name", "tldr")
 
 
-QUERIES = {f.__name__: f for f in (context_bundle, describe, scan_prompts, match_prompts, locate, gmd_parse, gmd_nodes)}
+def compile_subjects(spark, sf_dir):
+    """Embedded vectors and the entities of the same ids, clustered by vector and concept, with their labels."""
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    members, labels = vectors.compile_subjects(v, _doc_concepts(spark, sf_dir))
+    return vectors.subject_links(members, labels)
+
+
+def context_text(spark, sf_dir):
+    return render.bundle_text(context_bundle(spark, sf_dir))
+
+
+def federated_query(spark, sf_dir):
+    """One query over the partitions of two roots, as if they were separate stores."""
+    g = store_graph(spark, sf_dir)
+    return context.federated({"one": g.scoped(3), "two": g.scoped(2)}, "overview OR usage OR setup", 1000)
+
+
+def concept_timeline(spark, sf_dir):
+    """Documents collected for the files in a concept's footprint, in order of time."""
+    g = store_graph(spark, sf_dir)
+    files = walks.footprint(g.links, dsl.resolve(g, [A]), 0, 1_000_000)
+    events = read(spark, sf_dir, "documents").filter("path IS NOT NULL").select(F.col("collected_at").alias("ts"), F.coalesce("source", F.lit("?")).alias("what"), "path")
+    return context.timeline(files, g.entities, events)
+
+
+QUERIES = {f.__name__: f for f in (context_bundle, describe, scan_prompts, match_prompts, locate, gmd_parse, gmd_nodes, compile_subjects, context_text, federated_query, concept_timeline)}
 ORACLE = {
+    "federated_query": STORE
+    + f", i AS (SELECT concept_id FROM con WHERE name IN ('overview', 'usage', 'setup') OR canonical_name IN ('overview', 'usage', 'setup')), s AS (SELECT p.k AS part, p.v AS project FROM (VALUES (3, 'one'), (2, 'two')) p(k, v)), f AS (SELECT DISTINCT project, l.entity_id, e.kind, e.name FROM lnk l JOIN ent e ON e.id = l.entity_id JOIN s ON s.part = e.partition_id JOIN ent c ON c.id = l.concept_id AND c.partition_id = s.part WHERE l.concept_id IN (SELECT concept_id FROM i)) SELECT project, entity_id, kind, name FROM f QUALIFY row_number() OVER (PARTITION BY kind, name, project ORDER BY entity_id) = 1 ORDER BY project, entity_id LIMIT 1000",
     "locate": STORE
     + f", i AS (SELECT concept_id FROM con WHERE name = '{A}' OR canonical_name = '{A}'), f AS (SELECT entity_id AS id FROM lnk WHERE linkage = 'defines' AND concept_id IN (SELECT concept_id FROM i) UNION SELECT id FROM ent WHERE name = '{A}' OR canonical_name = '{A}') SELECT id AS entity_id, name, kind, partition_id FROM ent JOIN f USING (id) QUALIFY row_number() OVER (PARTITION BY kind, name, partition_id ORDER BY id) = 1",
     "describe": STORE

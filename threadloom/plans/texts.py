@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import names, text
 from threadloom.graph import read
 from threadloom.plans.store_analytics import entities, memories
+from threadloom.staging import spread
 
 SHAPE = r"regexp_matches({x}, '_')::INT + regexp_matches({x}, '[./]|::')::INT + regexp_matches({x}, '[a-z][A-Z]|[A-Z]{{2,}}[a-z]')::INT + regexp_matches({x}, '\d')::INT"
 
@@ -42,7 +43,7 @@ def stems(spark, sf_dir):
 
 
 def pair_index(spark, sf_dir):
-    pairs = text.word_pairs(read(spark, sf_dir, "documents").filter("text IS NOT NULL"), "doc_id", "text")
+    pairs = text.word_pairs(spread(read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")), "doc_id", "text")
     return text.pair_index(pairs, "doc_id")
 
 

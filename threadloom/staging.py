@@ -34,6 +34,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores (a small file), over all cores; larger ones as they are. For work that is heavy per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(spark: SparkSession) -> None:
     """Delete every staged table of this application."""
     jvm = spark.sparkContext._jvm
