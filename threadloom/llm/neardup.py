@@ -18,7 +18,7 @@ are equi-joins on tokens, combinations or class ids; hot keys are split by the a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +31,8 @@ from threadloom.staging import stage
 #: Largest document frequency of class 1 and of class 2; what is more frequent is class 3.
 CLASS_BOUNDS = (16, 256)
 WORD = r"[a-z0-9_]+"
+#: 64-bit words of a set's bitmap.
+LANES = 4
 
 
 def word_sequences(text: Column, words: int, pattern: str = WORD) -> Column:
@@ -121,16 +123,33 @@ def index_sets(sets: DataFrame, num: int, den: int, bounds: tuple[int, int] = CL
     return rows.mapInPandas(run, "sig long, band int, cid long, n int, own int")
 
 
-def similar_sets(sets: DataFrame, num: int, den: int, bounds: tuple[int, int] = CLASS_BOUNDS) -> DataFrame:
-    """(a, b, shared): every pair a < b of (cid, n, tokens) sets with Jaccard similarity of num/den or more. ``sets`` should be staged."""
+def bitmap(tokens: str, lanes: int = LANES) -> list[Column]:
+    """A set as ``lanes`` * 64 parity bits: two sets differ in at least as many tokens as their bitmaps differ in bits."""
+    lane = "aggregate({t}, 0L, (acc, x) -> IF(pmod(shiftrightunsigned(x, 6), {n}L) = {k}L, acc ^ shiftleft(1L, CAST(x & 63L AS INT)), acc))"
+    return [F.expr(lane.format(t=tokens, n=lanes, k=k)).alias(f"bits{k}") for k in range(lanes)]
+
+
+def similar_sets(sets: DataFrame, num: int, den: int, bounds: tuple[int, int] = CLASS_BOUNDS, also: tuple[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """(a, b, shared): every pair a < b of (cid, n, tokens) sets with Jaccard similarity of num/den or more. ``sets`` should be staged.
+
+    ``also`` names a column and a condition on its values in both sets. It and a bound from small bitmaps are looked at before the sets themselves move.
+    """
     index = index_sets(sets, num, den, bounds)
     a, b = (index.select("sig", "band", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "own")]) for s in "ab")
     # The band of a signature is that of the larger partner.
     fits = (F.col("cid_a") < F.col("cid_b")) & (F.greatest("own_a", "own_b") == F.col("band")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     pairs = a.join(b, ["sig", "band"]).filter(fits).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
+    small = sets.select("cid", "n", *bitmap("tokens"), *([F.col(also[0]).alias("extra")] if also else []))
+    side = lambda s: small.select(F.col("cid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in small.columns[1:]])
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = sum((F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in range(LANES)), F.lit(0))
+    total = F.col("n_a") + F.col("n_b")
+    near = near.filter((total - differ) * (num + den) >= total * (2 * num))
+    if also:
+        near = near.filter(also[1](F.col("extra_a"), F.col("extra_b")))
     left = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = near.select("a", "b").join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - shared
     return both.filter(shared * den >= union * num).select("a", "b", shared.alias("shared"))
@@ -162,13 +181,13 @@ def near_duplicates(
     """
     classes, members = text_classes(df, record, text, tags, words, least_words)
     classes = stage(classes, "near-classes")
-    pairs = similar_sets(classes, *similarity, bounds)
     num, den = tag_similarity
-    ta, tb = (classes.select(F.col("cid").alias(s), F.col("tags").alias(f"t{s}")) for s in "ab")
-    both = pairs.join(ta, "a").join(tb, "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    union = F.size("ta") + F.size("tb") - shared
-    return both.filter(shared * den >= union * num).select("a", "b"), members
+
+    def alike(x: Column, y: Column) -> Column:
+        shared = F.size(F.array_intersect(x, y))
+        return shared * den >= (F.size(x) + F.size(y) - shared) * num
+
+    return similar_sets(classes, *similarity, bounds, ("tags", alike)).select("a", "b"), members
 
 
 def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
