@@ -83,5 +83,5 @@ ORACLE = {
     "locate": STORE
     + f", i AS (SELECT concept_id FROM con WHERE name = '{A}' OR canonical_name = '{A}'), f AS (SELECT entity_id AS id FROM lnk WHERE linkage = 'defines' AND concept_id IN (SELECT concept_id FROM i) UNION SELECT id FROM ent WHERE name = '{A}' OR canonical_name = '{A}') SELECT id AS entity_id, name, kind, partition_id FROM ent JOIN f USING (id) QUALIFY row_number() OVER (PARTITION BY kind, name, partition_id ORDER BY id) = 1",
     "describe": STORE
-    + f", m AS (SELECT id AS me, path FROM ent ORDER BY CASE WHEN path = '{A}' THEN 1 WHEN name = '{A}' THEN 2 WHEN path LIKE '%/{A}' OR name LIKE '%/{A}' THEN 3 WHEN lower(name) LIKE '%{A}%' THEN 4 ELSE 9 END, id LIMIT 1), r AS (SELECT 'outbound' AS section, linkage, concept_id AS other FROM lnk JOIN m ON entity_id = me UNION ALL SELECT 'inbound', linkage, entity_id FROM lnk JOIN m ON concept_id = me UNION ALL SELECT 'same_path', NULL, e.id FROM ent e JOIN m ON e.path = m.path AND e.id <> me UNION ALL SELECT 'body', NULL, entity_id FROM (SELECT DISTINCT * FROM memory_content) JOIN m ON entity_id = me) SELECT section, linkage, other, name FROM r LEFT JOIN ent ON ent.id = other",
+    + f", m AS (SELECT id AS me, path FROM ent WHERE path LIKE '%{A}' OR lower(name) LIKE '%{A}%' ORDER BY CASE WHEN path = '{A}' THEN 1 WHEN name = '{A}' THEN 2 WHEN path LIKE '%/{A}' OR name LIKE '%/{A}' THEN 3 WHEN lower(name) LIKE '%{A}%' THEN 4 ELSE 9 END, id LIMIT 1), r AS (SELECT 'outbound' AS section, linkage, concept_id AS other FROM lnk JOIN m ON entity_id = me UNION ALL SELECT 'inbound', linkage, entity_id FROM lnk JOIN m ON concept_id = me UNION ALL SELECT 'same_path', NULL, e.id FROM ent e JOIN m ON e.path = m.path AND e.id <> me UNION ALL SELECT 'body', NULL, entity_id FROM (SELECT DISTINCT * FROM memory_content) JOIN m ON entity_id = me) SELECT section, linkage, other, name FROM r LEFT JOIN ent ON ent.id = other",
 }

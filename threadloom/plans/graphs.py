@@ -98,7 +98,7 @@ def _rank(base: str, scale: str) -> str:
         steps.append(
             f"r{i + 1} AS (SELECT b.id, b.base, 0.15 * b.base + 0.85 * coalesce(f.s, 0) AS score FROM r0 b LEFT JOIN (SELECT dst, sum(score * share) AS s FROM mv JOIN r{i} ON src = id GROUP BY 1) f ON f.dst = b.id)"
         )
-    return _ADJ + ", mv AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM adj), ids AS (SELECT DISTINCT src AS id FROM adj), " + _SEEDS + ", " + ", ".join(steps) + f" SELECT id, round(score{scale}, 6) AS score FROM r{ROUNDS}"
+    return _ADJ + ", mv AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM adj), ids AS (SELECT DISTINCT src AS id FROM adj), " + _SEEDS + ", " + ", ".join(steps) + f" SELECT id, round(score{scale}, 6) AS score FROM r{ROUNDS} WHERE (SELECT sum(base) FROM r0) > 0"
 
 
 ORACLE = {
