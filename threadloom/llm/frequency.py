@@ -30,7 +30,7 @@ def _changes(column: pa.Array) -> np.ndarray:
 
 
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run-length scan over (field, term, record, n) sorted by the first three: (field, term, occurrences, records)."""
+    """Run-length scan over (field, term, record, n) sorted by term, field and record: (field, term, occurrences, records)."""
     schema = pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
     held = None  # the run that may go on in the next batch: field, term, its last record, occurrences, records
     for batch in batches:
@@ -61,7 +61,7 @@ def value_pairs(df: DataFrame, field: str, value: str, record: str) -> DataFrame
     Null and blank values and null records are left out. Rows repeated verbatim count once.
     """
     term = F.lower(F.regexp_replace(F.col(f"`{value}`").cast("string"), r"^\s+|\s+$", ""))
-    rows = df.select(F.col(f"`{record}`").cast("string").alias("record"), term.alias("term")).filter("record IS NOT NULL AND term != ''").distinct()
+    rows = df.select(F.col(f"`{record}`").alias("record"), term.alias("term")).filter("record IS NOT NULL AND term != ''").distinct()
     return rows.select(F.lit(field).alias("field"), "term", "record", F.lit(1).cast("long").alias("n"))
 
 
@@ -72,15 +72,16 @@ def text_pairs(df: DataFrame, field: str, text: str, record: str, pattern: str =
     one record all count, as one record. Whole texts are read, however long.
     """
     # One shuffle: what follows it needs the rows by record, and finds them so.
-    rows = df.select(F.col(f"`{record}`").cast("string").alias("record"), F.col(f"`{text}`").alias("text")).filter("record IS NOT NULL AND text IS NOT NULL").repartition("record").distinct()
+    rows = df.select(F.col(f"`{record}`").alias("record"), F.col(f"`{text}`").alias("text")).filter("record IS NOT NULL AND text IS NOT NULL").repartition("record").distinct()
     terms = rows.select("record", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("term"))
     return terms.groupBy("record", F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(field).alias("field"), "term", "record", "n")
 
 
 def frequencies(pairs: DataFrame) -> DataFrame:
     """(field, term, occurrences, records) of (field, term, record, n) pairs, each pair as often as it comes."""
-    keys = ["field", "term", "record"]
-    ordered = pairs.select(*keys, "n").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # Terms first: sorts compare the first eight bytes of the first column before anything else.
+    keys = ["term", "field", "record"]
+    ordered = pairs.select("field", "term", "record", "n").repartitionByRange(*keys).sortWithinPartitions(*keys)
     schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), T.StructField("occurrences", T.LongType()), T.StructField("records", T.LongType())])
     runs = ordered.mapInArrow(scan_runs, schema)
     return runs.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
