@@ -11,12 +11,12 @@ ZONE_AT_END = r"(Z|[+-]\d{2}:?\d{2})$"
 WHOLE_SECONDS = r"^\d+$"
 #: Epochs above this are milliseconds.
 MILLISECONDS_FROM = 1e11
-WHITE = r"^\s+|\s+$"
+WHITE = " \t\n\x0b\f\r"
 
 
 def strip(col: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(col, WHITE, "")
+    return F.btrim(col, F.lit(WHITE))
 
 
 def folded(col: Column) -> Column:

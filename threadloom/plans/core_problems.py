@@ -25,7 +25,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     invocation = folded(F.col("invocation"))
     return (
         read(spark, sf_dir, "query_log")
-        .select("query_id", F.regexp_replace("root", "/+$", "").alias("root"), F.when(is_blank(F.col("invocation")), "unknown").otherwise(invocation).alias("invocation"), time_ms(F.col("ts")).alias("ms"))
+        .select("query_id", F.rtrim(F.col("root"), F.lit("/")).alias("root"), F.when(is_blank(F.col("invocation")), "unknown").otherwise(invocation).alias("invocation"), time_ms(F.col("ts")).alias("ms"))
         .filter("ms IS NOT NULL")
         .distinct()
     )
