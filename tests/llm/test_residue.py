@@ -45,3 +45,12 @@ def test_rows_repeats_nulls_and_long_texts(spark):
     df = spark.createDataFrame([(*d, "x") for d in data], "doc long, text string, kind string")
     assert rows(find_residue(df, "doc", "text")) == [(1, "page"), (1, "page"), (3, "placeholder"), (None, "page")]
     assert rows(find_residue(df.limit(0), "doc", "text")) == []
+
+
+def test_long_runs_of_one_character_take_no_time():
+    import time
+
+    began = time.perf_counter()
+    for c in "_-*{[<$%@#. \"":
+        assert residue_kind("Not found\n" + c * 200_000 + "x\n" + PROSE * 50) is None
+    assert time.perf_counter() - began < 20

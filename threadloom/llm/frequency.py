@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.functions.clean import folded
+
 #: Identifiers as the engine indexes them: at least three characters, no leading digit.
 TERM = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 
@@ -60,7 +62,7 @@ def value_pairs(df: DataFrame, field: str, value: str, record: str) -> DataFrame
 
     Null and blank values and null records are left out. Rows repeated verbatim count once.
     """
-    term = F.lower(F.regexp_replace(F.col(f"`{value}`").cast("string"), r"^\s+|\s+$", ""))
+    term = folded(F.col(f"`{value}`").cast("string"))
     rows = df.select(F.col(f"`{record}`").alias("record"), term.alias("term")).filter("record IS NOT NULL AND term != ''").distinct()
     return rows.select(F.lit(field).alias("field"), "term", "record", F.lit(1).cast("long").alias("n"))
 

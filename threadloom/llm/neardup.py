@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.clean import strip
 from threadloom.staging import stage
 
 #: Largest document frequency of class 1 and of class 2; what is more frequent is class 3.
@@ -51,7 +52,7 @@ def tag_set(tags: Column) -> Column:
     """Sorted distinct tags of a JSON array, or of the parts between commas where the text isn't one; never null."""
     parsed = F.from_json(tags, "array<string>")
     parts = F.coalesce(F.when(tags.rlike(r"^\s*\["), parsed), F.split(F.coalesce(tags, F.lit("")), ","))
-    clean = F.transform(parts, lambda x: F.lower(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    clean = F.transform(parts, lambda x: F.lower(strip(x)))
     return F.array_sort(F.array_distinct(F.filter(clean, lambda x: x.isNotNull() & (x != ""))))
 
 

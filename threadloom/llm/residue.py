@@ -237,7 +237,7 @@ SLOT_NAME = rf"{SLOT}(?:[ _-]?(?:id|name|text|date|no|nr|here|\d+))?"
 SURE = re.compile(
     rf"\{{\{{\{{?\s*{NAME}\s*\}}?\}}\}}|\{{%-?\s*{NAME}\s*-?%\}}|<%[=-]?\s*{NAME}\s*%>|\$\{{\s*{NAME}\s*\}}|#\{{\s*{NAME}\s*\}}|%%{NAME}%%|%\({NAME}\)[sdf]|@@{NAME}@@|"
     rf"\[(?:todo|tbd|tbc)\b[^\]\n]{{0,60}}\]|\[(?:your|enter|insert|add|type|ihr|ihre|votre|su)\s[^\]\n]{{1,60}}\]|\[[^\]\n]{{1,60}} (?:to be filled in|goes here|here)\]|"
-    rf"<(?:your|enter|insert|add)\s[^>\n]{{1,60}}>|<[^>\n]{{1,40}} here>|_{{3,}} ?\([A-Za-z][^)\n]{{0,40}}\)",
+    rf"<(?:your|enter|insert|add)\s[^>\n]{{1,60}}>|<[^>\n]{{1,40}} here>|(?<!_)_{{3,}} ?\([A-Za-z][^)\n]{{0,40}}\)",
     re.IGNORECASE,
 )
 LIKELY = re.compile(
@@ -375,7 +375,7 @@ def residue_kind(text: str | None) -> str | None:
         hit = {i for a, b in kinds["page"] for i in range(line_of(a), line_of(b - 1) + 1)}
         neutral = set(NAVIGATION)
         for i, line in enumerate(plain):
-            bare = EDGE.sub("", line)
+            bare = EDGE.sub("", line) if len(line) <= 200 else line
             if i not in hit and (bare in neutral or NUMBER_LINE.match(bare)):
                 whole -= _letters(line)
         if whole and covered >= PAGE_COVERAGE * whole:
