@@ -63,3 +63,16 @@ def test_empty_and_one_very_large_set(spark):
     assert run(spark, [], 1, 2, 5) == []
     data = [("g", 1, i) for i in range(70_000)] + [("g", 2, i) for i in range(0, 70_000, 2)] + [("g", 3, 5)]
     assert run(spark, data, 1, 2, 5) == [("g", 1, 2, 70_000, 35_000, 35_000)]
+
+
+def test_every_pair_that_shares_an_identifier(spark):
+    data = [("g", 1, i) for i in range(400)] + [("g", 2, 7), ("g", 3, 7), ("g", 3, 900), ("g", 4, 901), ("h", 5, 7)]
+    assert run(spark, data, 1, 0, 1) == brute(data, 1, 0) == [("g", 1, 2, 400, 1, 1), ("g", 1, 3, 400, 2, 1), ("g", 2, 3, 1, 2, 1)]
+
+
+def test_p5_shared_has_small_sets_and_dissimilar_pairs(spark):
+    from threadloom.llm.queries import QUERIES
+
+    found = QUERIES["p5_shared"](spark, "/root/testdata/sf0.01").collect()
+    assert {(r.linkage, r.concept_a, r.concept_b, r.shared) for r in QUERIES["p5_overlap"](spark, "/root/testdata/sf0.01").collect()} < {(r.linkage, r.concept_a, r.concept_b, r.shared) for r in found}
+    assert any(min(r.size_a, r.size_b) < 20 for r in found) and any(r.shared * 10 < r.size_a + r.size_b - r.shared for r in found)

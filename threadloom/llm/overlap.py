@@ -7,7 +7,8 @@ the ranges add up to the overlap. No intersection is ever written out.
 
 Which pairs are looked at follows from the least similarity asked for, without loss: sets of Jaccard similarity
 t share an identifier within the first ``n - ceil(t * n) + 1`` of either, identifiers being ordered from those in few
-sets to those in many; pairs whose sizes or remaining lengths rule the similarity out are left off.
+sets to those in many; pairs whose sizes or remaining lengths rule the similarity out are left off. At t = 0 nothing
+can be left off: sets meet at each identifier they share, and these meetings, added up before they move, are the overlap.
 
 Scale: a run holds at most ``RANGE`` identifiers whatever the size of its set, so a set with a third of all rows is
 spread over its ranges. An identifier in very many sets comes last in every set and hardly ever into a prefix.
@@ -148,14 +149,22 @@ def count_shared(pairs: DataFrame, coded: DataFrame, gallop_from: int = GALLOP_F
     return parts.groupBy("grp", "a", "b", "na", "nb").agg(F.sum("shared").alias("shared")).filter("shared > 0")
 
 
+def every_overlap(sets: DataFrame) -> DataFrame:
+    """(grp, a, b, na, nb, shared) of every pair of sets that shares an identifier. ``sets`` has n."""
+    a, b = (sets.select("grp", "id", F.col("sid").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
+    return a.join(b, ["grp", "id"]).filter("a < b").groupBy("grp", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def overlaps(sets: DataFrame, least: int, num: int, den: int) -> DataFrame:
-    """(grp, a, b, na, nb, shared): pairs a < b of sets of one group with Jaccard similarity num/den (above 0) or more.
+    """(grp, a, b, na, nb, shared): pairs a < b of sets of one group with Jaccard similarity num/den or more that share an identifier.
 
     ``sets`` has rows (grp string, sid long, id long); repeated rows count once, rows with a null are left out, other columns are
     ignored. Sets with fewer than ``least`` identifiers are left out. An empty table gives an empty one.
     """
     clean = sets.select("grp", "sid", "id").filter("grp IS NOT NULL AND sid IS NOT NULL AND id IS NOT NULL").distinct()
     big = stage(large_sets(clean, least), "large-sets")
+    if not num:
+        return every_overlap(big)
     pairs = candidate_pairs(big, num, den)
     counted = count_shared(pairs, runs(big))
     return counted.filter(F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num)

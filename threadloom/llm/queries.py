@@ -86,8 +86,8 @@ def _link_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bits.distinct().join(entities, "id", "left_semi").join(concepts, "sid", "left_semi")
 
 
-def _overlaps(spark: SparkSession, sf_dir: str, num: int, den: int) -> DataFrame:
-    found = overlap.overlaps(_link_sets(spark, sf_dir), 20, num, den)
+def _overlaps(spark: SparkSession, sf_dir: str, num: int, den: int, least: int = 20) -> DataFrame:
+    found = overlap.overlaps(_link_sets(spark, sf_dir), least, num, den)
     return found.select(F.col("grp").alias("linkage"), F.col("a").alias("concept_a"), F.col("b").alias("concept_b"), F.col("na").alias("size_a"), F.col("nb").alias("size_b"), "shared")
 
 
@@ -100,6 +100,11 @@ def p5_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlaps(spark, sf_dir, 1, 10)
 
 
+def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and overlap of every pair of sets under one verb that shares an entity, of any size and similarity."""
+    return _overlaps(spark, sf_dir, 0, 1, least=1)
+
+
 ENTITY_CELLS = ("name", "path", "tldr", "canonical_name")
 
 
@@ -172,7 +177,7 @@ def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_frequency, p3_found, p3_weekly, p3_overall, p4_found, p4_groups, p5_found, p5_overlap, p6_found, p6_consensus, p8_pack, p8_filling, p9_mixture, p9_shares, p10_found, p10_kinds
+        p1_found, p1_frequency, p3_found, p3_weekly, p3_overall, p4_found, p4_groups, p5_found, p5_overlap, p5_shared, p6_found, p6_consensus, p8_pack, p8_filling, p9_mixture, p9_shares, p10_found, p10_kinds
     )
 }
 
@@ -201,6 +206,14 @@ b AS (SELECT s.*, n FROM s JOIN z USING (linkage, concept)),
 o AS (SELECT a.linkage, a.concept AS concept_a, b.concept AS concept_b, any_value(a.n) AS size_a, any_value(b.n) AS size_b, count(*) AS shared
       FROM b a JOIN b ON a.linkage = b.linkage AND a.id = b.id AND a.concept < b.concept GROUP BY 1, 2, 3)
 """
+_P5_SHARED = """
+WITH s AS (
+  SELECT DISTINCT replace(lower(linkage), '_', '-') AS linkage, bit >> 32 AS concept, bit & 4294967295 AS id FROM bitmap_fragments
+  WHERE (bit & 4294967295) IN (SELECT id FROM entities) AND (bit >> 32) IN (SELECT id FROM concepts)),
+b AS (SELECT *, count(*) OVER (PARTITION BY linkage, concept) AS n FROM s)
+SELECT a.linkage, a.concept AS concept_a, b.concept AS concept_b, any_value(a.n) AS size_a, any_value(b.n) AS size_b, count(*) AS shared
+FROM b a JOIN b ON a.linkage = b.linkage AND a.id = b.id AND a.concept < b.concept GROUP BY 1, 2, 3
+"""
 _P6 = r"""
 WITH e AS (SELECT DISTINCT * FROM entities),
 k AS (SELECT *, min(id) OVER (PARTITION BY kind, same) AS group_id, max(id) OVER (PARTITION BY kind, same) AS last_id FROM (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS same FROM e WHERE name IS NOT NULL AND kind IS NOT NULL)),
@@ -229,5 +242,6 @@ ORACLE = {
     "p4_found": _P4,
     "p5_found": _P5 + "SELECT linkage, concept_a, concept_b FROM o WHERE shared * 5 >= (size_a + size_b - shared) * 2",
     "p5_overlap": _P5 + "SELECT * FROM o WHERE shared * 10 >= size_a + size_b - shared",
+    "p5_shared": _P5_SHARED,
     "p6_found": _P6,
 }
