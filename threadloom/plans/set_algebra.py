@@ -86,11 +86,17 @@ def canon_siblings(graph: Graph) -> DataFrame:
     same = graph.links.filter("linkage = 'same-as'").select("concept_id", "entity_id").join(graph.entities.select(F.col("id").alias("entity_id"), "partition_id"), "entity_id")
     a, b = (same.select("concept_id", F.col("entity_id").alias(s), F.col("partition_id").alias(f"p{s}")) for s in "ab")
     spread = same.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"), F.min("partition_id").alias("lo"), F.max("partition_id").alias("hi"))
-    # Hubs stay one row each; the pairs of a small hub are listed.
+    # The pairs of a small hub are listed; canon_members has the hubs of every size.
     small = spread.filter("n <= 20 AND lo != hi").select("concept_id")
     return a.join(small, "concept_id", "left_semi").join(b, "concept_id").filter("a < b AND pa != pb").select("a", "b").distinct()
 
 
+def canon_members(graph: Graph) -> DataFrame:
+    """Every entity of every canonical concept, with its partition: entities of one concept are siblings, whatever the size of the hub."""
+    same = graph.links.filter("linkage = 'same-as'").select("concept_id", "entity_id")
+    return same.join(graph.entities.select(F.col("id").alias("entity_id"), "partition_id"), "entity_id").select("concept_id", "entity_id", "partition_id")
+
+
 def canon_hubs(graph: Graph) -> DataFrame:
     same = graph.links.filter("linkage = 'same-as'").join(graph.entities.select(F.col("id").alias("entity_id"), "partition_id"), "entity_id")
     return same.groupBy("concept_id").agg(F.count(F.lit(1)).alias("variants"), F.countDistinct("partition_id").alias("partitions"))
@@ -135,6 +141,7 @@ QUERIES = {
     "siblings": _on_graph(siblings),
     "called_by": _on_graph(called_by),
     "canon_siblings": _on_graph(canon_siblings),
+    "canon_members": _on_graph(canon_members),
     "canon_hubs": _on_graph(canon_hubs),
     "partition_merge_classify": classify,
     "path_suffix": path_suffix,
@@ -169,6 +176,7 @@ ORACLE = {
     + "SELECT DISTINCT a.entity_id AS caller, b.entity_id AS callee FROM lnk a JOIN lnk b USING (concept_id) WHERE a.linkage = 'calls' AND b.linkage = 'defines' AND a.entity_id <> b.entity_id",
     "canon_siblings": STORE
     + ", s AS (SELECT concept_id, entity_id, partition_id, count(*) OVER (PARTITION BY concept_id) AS n FROM lnk JOIN ent ON id = entity_id WHERE linkage = 'same-as') SELECT DISTINCT x.entity_id AS a, y.entity_id AS b FROM s x JOIN s y USING (concept_id) WHERE x.n <= 20 AND x.entity_id < y.entity_id AND x.partition_id <> y.partition_id",
+    "canon_members": STORE + "SELECT concept_id, entity_id, partition_id FROM lnk JOIN ent ON id = entity_id WHERE linkage = 'same-as'",
     "canon_hubs": STORE + "SELECT concept_id, count(*) AS variants, count(DISTINCT partition_id) AS partitions FROM lnk JOIN ent ON id = entity_id WHERE linkage = 'same-as' GROUP BY 1",
     "partition_merge_classify": "WITH ent AS (SELECT DISTINCT * FROM entities WHERE name IS NOT NULL), s AS (SELECT kind, name, min(id) AS src_id FROM ent WHERE partition_id = 2 GROUP BY 1, 2), d AS (SELECT kind, name, min(id) AS dst_id FROM ent WHERE partition_id = 1 GROUP BY 1, 2) SELECT src_id, dst_id, CASE WHEN dst_id IS NULL THEN 'reparent' ELSE 'collide' END AS action FROM s LEFT JOIN d USING (kind, name)",
     "path_suffix": "WITH f AS (SELECT DISTINCT string_split(path, '/')[-1] AS file FROM documents WHERE path <> ''), e AS (SELECT DISTINCT id, string_split(path, '/')[-1] AS file FROM entities WHERE path <> '') SELECT file, count(*) AS n FROM e JOIN f USING (file) GROUP BY 1",
