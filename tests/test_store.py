@@ -189,3 +189,16 @@ def test_the_rest_works_without_the_training_data_package():
 
     code = "import sys; sys.modules['threadloom.llm'] = None\nimport threadloom.verbs, threadloom.plans.registry as r; assert r.queries()"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
+
+
+def test_concept_sets_come_from_the_mentions(spark, small):
+    from threadloom.graph import store_graph
+    from threadloom.plans import registry
+    from threadloom.plans.store_changes import _doc_concepts
+
+    g = store_graph(spark, small)
+    named = g.concepts().filter("name IS NOT NULL").select("concept_id")
+    want = g.links.filter("linkage = 'mentions'").join(named, "concept_id", "left_semi").select("entity_id").distinct().count()
+    assert _doc_concepts(spark, small).filter("concept IS NOT NULL").select("entity_id").distinct().count() == want > 0
+    few, all_ = (registry.queries()[q](spark, small).count() for q in ("informative_concepts", "informative_concepts_mentions"))
+    assert few < all_

@@ -52,7 +52,7 @@ def gmd_nodes(spark, sf_dir):
 
 
 def compile_subjects(spark, sf_dir):
-    """Embedded vectors and the entities of the same ids, clustered by vector and concept, with their labels."""
+    """Embedded vectors and the entities of the same ids, clustered by vector and the concepts that they mention, with their labels."""
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     members, labels = vectors.compile_subjects(v, _doc_concepts(spark, sf_dir))
     return vectors.subject_links(members, labels)

@@ -132,33 +132,44 @@ def mutual_knn(spark, sf_dir):
     return vectors.mutual_knn(_vectors(spark, sf_dir), 5, 0.1).select("a", "b", F.round("weight", 4).alias("weight"))
 
 
-def _doc_concepts(spark, sf_dir):
-    """Links of the store as concept names of entities."""
+def _doc_concepts(spark, sf_dir, verbs=("mentions",)):
+    """Links of the store under the verbs as concept names of entities."""
     g = store_graph(spark, sf_dir)
-    return g.links.filter(F.col("linkage").isin("reinforces", "specifies", "lead")).join(g.concepts().select("concept_id", "name"), "concept_id").select("entity_id", F.col("name").alias("concept")).distinct()
+    return g.links.filter(F.col("linkage").isin(*verbs)).join(g.concepts().select("concept_id", "name"), "concept_id").select("entity_id", F.col("name").alias("concept")).distinct()
 
 
-def informative_concepts(spark, sf_dir):
-    return vectors.informative_concepts(_doc_concepts(spark, sf_dir)).select("entity_id", "concept", F.round("idf", 6).alias("idf"))
+#: The verbs of the queries that don't end in _mentions.
+RARE = ("reinforces", "specifies", "lead")
 
 
-def concept_cosine(spark, sf_dir):
-    return vectors.concept_cosine(vectors.informative_concepts(_doc_concepts(spark, sf_dir))).select("a", "b", F.round("cosine", 6).alias("cosine"))
+def informative_concepts(spark, sf_dir, verbs=RARE):
+    return vectors.informative_concepts(_doc_concepts(spark, sf_dir, verbs)).select("entity_id", "concept", F.round("idf", 6).alias("idf"))
+
+
+def concept_cosine(spark, sf_dir, verbs=RARE):
+    return vectors.concept_cosine(vectors.informative_concepts(_doc_concepts(spark, sf_dir, verbs))).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def _members(spark, sf_dir):
     return entities(spark, sf_dir).select(F.col("id").alias("entity_id"), F.col("partition_id").alias("cluster"))
 
 
-def cluster_label_lift(spark, sf_dir):
+def cluster_label_lift(spark, sf_dir, verbs=RARE):
     """Partitions as clusters, labelled by the concepts of their entities."""
-    sets = vectors.informative_concepts(_doc_concepts(spark, sf_dir))
+    sets = vectors.informative_concepts(_doc_concepts(spark, sf_dir, verbs))
     n = sets.select("entity_id").distinct().count()
     return vectors.cluster_labels(_members(spark, sf_dir), sets, n).select("cluster", "label", F.round("lift", 6).alias("lift"))
 
 
-def crosscutting(spark, sf_dir):
-    return vectors.crosscutting(_members(spark, sf_dir), vectors.informative_concepts(_doc_concepts(spark, sf_dir))).select("concept", F.round("score", 6).alias("score"))
+def crosscutting(spark, sf_dir, verbs=RARE):
+    return vectors.crosscutting(_members(spark, sf_dir), vectors.informative_concepts(_doc_concepts(spark, sf_dir, verbs))).select("concept", F.round("score", 6).alias("score"))
+
+
+def _over_mentions(f):
+    def run(spark, sf_dir):
+        return f(spark, sf_dir, ("mentions",))
+
+    return run
 
 
 def corroborated(spark, sf_dir):
@@ -185,7 +196,7 @@ QUERIES = {
         link_audit, merge_links, merge_verb_alias, derive_called_by, vacuum, purge_partition, set_flags, partition_merge, partition_merge_links, replica_merge, replica_audit, retag, reclassify, pending_vectors,
         log_replay_lww, log_replay_links, log_replay_latest, log_dump, knn_exact, knn_join, mutual_knn, informative_concepts, concept_cosine, cluster_label_lift, crosscutting, corroborated, singletons, contradicted, orphan_concept,
     )
-}
+} | {f"{f.__name__}_mentions": _over_mentions(f) for f in (informative_concepts, concept_cosine, cluster_label_lift, crosscutting)}
 
 _LOG = """WITH lg AS (SELECT CAST(epoch_us(ts) // 60000000 AS DOUBLE) AS ts, event_id AS line_no, CASE event_type WHEN 'error' THEN 'tombstone' WHEN 'click' THEN 'unlink' WHEN 'purchase' THEN 'link' ELSE 'entity' END AS op,
  'memory' AS kind, 'user-' || user_id AS name, 'mentions' AS linkage, json_extract_string(props, '$.k') AS c, 'user-' || user_id AS e, value AS weight, CASE WHEN value > 20 THEN json_extract_string(props, '$.k') END AS path, event_type AS value FROM events)"""
@@ -233,3 +244,5 @@ ORACLE = {
     "contradicted": STORE + "SELECT DISTINCT concept_id, entity_id FROM lnk WHERE linkage = 'contradicts'",
     "orphan_concept": STORE + "SELECT concept_id, count(DISTINCT entity_id) AS mentions FROM lnk WHERE linkage = 'mentions' AND concept_id NOT IN (SELECT concept_id FROM lnk WHERE linkage IN ('defines', 'lead')) GROUP BY 1 HAVING count(DISTINCT entity_id) >= 4",
 }
+_RARE = "linkage IN ('reinforces', 'specifies', 'lead')"
+ORACLE |= {f"{q}_mentions": ORACLE[q].replace(_RARE, "linkage = 'mentions'") for q in ("informative_concepts", "concept_cosine", "cluster_label_lift", "crosscutting")}
