@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -202,3 +203,28 @@ def test_concept_sets_come_from_the_mentions(spark, small):
     assert _doc_concepts(spark, small).filter("concept IS NOT NULL").select("entity_id").distinct().count() == want > 0
     few, all_ = (registry.queries()[q](spark, small).count() for q in ("informative_concepts", "informative_concepts_mentions"))
     assert few < all_
+
+
+def chain(n):
+    """Two triangles and a chain behind them, both ways."""
+    pairs = [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6), *[(i, i + 1) for i in range(6, n)]]
+    return sorted([(a, b, 1.0 + a % 3) for a, b in pairs] + [(b, a, 1.0 + a % 3) for a, b in pairs])
+
+
+def test_push_goes_on_beyond_three_hops_with_true_degrees(spark):
+    edges = chain(14)
+    src, dst, weight = (np.array(x) for x in zip(*edges))
+    want = walks.push(src, dst, weight, [1, 2], epsilon=1e-6)
+    found = {r.id: r.score for r in walks.ppr_push(spark.createDataFrame(edges, "src long, dst long, weight double"), [1, 2], epsilon=1e-6).collect()}
+    assert found == pytest.approx(want) and 14 in found
+
+
+def test_push_starts_from_every_resolved_seed_over_all_links(spark):
+    from conftest import MEDIUM
+    from threadloom.plans import graphs
+
+    links, seeds = graphs._typed(spark, MEDIUM)
+    ids = sorted(r[0] for r in seeds.collect())
+    edges = walks.adjacency(links).toPandas().sort_values(["src", "dst"])
+    want = walks.push(edges["src"].to_numpy(), edges["dst"].to_numpy(), edges["weight"].to_numpy(), ids)
+    assert len(ids) > 3 and {r.id: r.score for r in graphs.ppr_push(spark, MEDIUM).collect()} == pytest.approx(want)

@@ -77,19 +77,27 @@ def pagerank(edges: DataFrame, rounds: int = MOST_ROUNDS, damping: float = DAMPI
 def push(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, seeds: list[int], alpha: float = 0.15, epsilon: float = 1e-4, most: int = 200_000) -> dict[int, float]:
     """Approximate personalised PageRank by lazy local pushes, first in first out; deterministic for edges in a given order."""
     near: dict[int, list[tuple[int, float]]] = {}
-    total: dict[int, float] = {}
     for s, d, w in zip(src.tolist(), dst.tolist(), weight.tolist()):
         near.setdefault(s, []).append((d, w))
-        total[s] = total.get(s, 0.0) + w
-    seeds = [s for s in seeds if s in near]
+    return push_known(near, {u: len(x) for u, x in near.items()}, seeds, alpha, epsilon, most)[0]
+
+
+def push_known(near: dict[int, list[tuple[int, float]]], degrees: dict[int, int], seeds: list[int], alpha: float, epsilon: float, most: int) -> tuple[dict[int, float], set[int]]:
+    """What is settled by pushes over the nodes whose edges are known, and the nodes that are due but aren't known. A node without edges is never pushed."""
+    total = {u: sum(w for _, w in x) for u, x in near.items()}
+    seeds = [s for s in seeds if degrees.get(s)]
     rest = {s: 1.0 / len(seeds) for s in seeds}
     settled: dict[int, float] = {}
+    due: set[int] = set()
     queue, queued, done = deque(seeds), set(seeds), 0
     while queue and done < most:
         u = queue.popleft()
         queued.discard(u)
         r = rest.get(u, 0.0)
-        if u not in near or r < epsilon * len(near[u]):
+        if not degrees.get(u) or r < epsilon * degrees[u]:
+            continue
+        if u not in near:
+            due.add(u)
             continue
         done += 1
         settled[u] = settled.get(u, 0.0) + alpha * r
@@ -97,13 +105,13 @@ def push(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, seeds: list[int],
         rest[u] = moving
         for v, w in near[u]:
             rest[v] = rest.get(v, 0.0) + moving * w / total[u]
-            if v not in queued and rest[v] >= epsilon * len(near.get(v, ())):
+            if v not in queued and v not in due and rest[v] >= epsilon * degrees.get(v, 0):
                 queue.append(v)
                 queued.add(v)
         if rest[u] >= epsilon * len(near[u]) and u not in queued:
             queue.append(u)
             queued.add(u)
-    return settled
+    return settled, due
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
@@ -114,23 +122,34 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFram
     return edges.join(reached.withColumnRenamed("id", "src"), "src", "left_semi").join(reached.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def ppr_push(edges: DataFrame, seeds: list[int], alpha: float = 0.15, epsilon: float = 1e-4, most: int = 200_000, hops: int = 3) -> DataFrame:
-    """(id, score) by pushes over the seeds' neighbourhood, in one task.
+def ppr_push(edges: DataFrame, seeds: list[int], alpha: float = 0.15, epsilon: float = 1e-4, most: int = 200_000, hops: int | None = None) -> DataFrame:
+    """(id, score) by pushes from the seeds, with the result of ``push`` over all edges; with ``hops``, over the edges among nodes that near.
 
-    Pushes depend on their order and touch a bounded number of nodes, so they run where the edges around the seeds are. A neighbourhood of more than
-    ``MOST_LOCAL_EDGES`` edges is refused: ``pagerank`` with ``restart`` is the distributed walk.
+    A push settles alpha * epsilon for each edge of its node at least, so that the nodes pushed have 1 / (alpha * epsilon) edges together, whatever the size of the graph. Only
+    these nodes' edges are fetched, in rounds: pushes run over what is known, nodes that are due but not known are fetched, and the pushes start again. More than
+    ``MOST_LOCAL_EDGES`` edges are refused: ``pagerank`` with ``restart`` is the distributed walk.
     """
     spark = edges.sparkSession
-    near = stage(neighbourhood(edges, spark.createDataFrame([(s,) for s in seeds], "id long"), hops), "around-seeds")
-    if near.count() > MOST_LOCAL_EDGES:
-        raise ValueError(f"more than {MOST_LOCAL_EDGES} edges around the seeds")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["src", "dst"])
-        found = push(frame["src"].to_numpy(), frame["dst"].to_numpy(), frame["weight"].to_numpy(), seeds, alpha, epsilon, most)
-        return pd.DataFrame({"id": list(found), "score": list(found.values())}).astype({"id": "int64", "score": "float64"})
-
-    return near.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "id long, score double")
+    if hops is not None:
+        edges = neighbourhood(edges, spark.createDataFrame([(s,) for s in seeds], "id long"), hops)
+    edges = stage(edges.select("src", "dst", "weight"), "push-edges")
+    degree = stage(edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree")), "push-degrees")
+    near: dict[int, list[tuple[int, float]]] = {}
+    degrees: dict[int, int] = {}
+    settled, due, held = {}, set(seeds), 0
+    while due:
+        wanted = F.broadcast(spark.createDataFrame([(s,) for s in sorted(due)], "src long"))
+        found = edges.join(wanted, "src").join(degree, F.col("dst") == F.col("id"), "left").select("src", "dst", "weight", F.coalesce("degree", F.lit(0)).alias("degree")).limit(MOST_LOCAL_EDGES - held + 1).collect()
+        held += len(found)
+        if held > MOST_LOCAL_EDGES:
+            raise ValueError(f"more than {MOST_LOCAL_EDGES} edges around the seeds")
+        near |= {u: [] for u in due}
+        for r in sorted(found, key=lambda r: (r["src"], r["dst"])):
+            near[r["src"]].append((r["dst"], r["weight"]))
+            degrees[r["dst"]] = r["degree"]
+        degrees |= {u: len(near[u]) for u in due}
+        settled, due = push_known(near, degrees, seeds, alpha, epsilon, most)
+    return spark.createDataFrame(sorted(settled.items()), "id long, score double")
 
 
 def clique(edges: DataFrame, seeds: DataFrame, weight: float = 2.0) -> DataFrame:

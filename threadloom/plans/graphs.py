@@ -38,10 +38,9 @@ def ppr_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ppr_push(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local pushes from the first concepts with the seed's name."""
+    """Local pushes from the concepts with the seeds' names, over all links."""
     links, seeds = _typed(spark, sf_dir)
-    first = [r[0] for r in seeds.orderBy("concept_id").limit(3).collect()]
-    return walks.ppr_push(walks.adjacency(links.filter("linkage != 'mentions'")), first, hops=2)
+    return walks.ppr_push(walks.adjacency(links), [r[0] for r in seeds.orderBy("concept_id").collect()])
 
 
 def seed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
