@@ -228,3 +228,18 @@ def test_push_starts_from_every_resolved_seed_over_all_links(spark):
     edges = walks.adjacency(links).toPandas().sort_values(["src", "dst"])
     want = walks.push(edges["src"].to_numpy(), edges["dst"].to_numpy(), edges["weight"].to_numpy(), ids)
     assert len(ids) > 3 and {r.id: r.score for r in graphs.ppr_push(spark, MEDIUM).collect()} == pytest.approx(want)
+
+
+def test_components_too_large_for_one_task_get_labels_too(spark, monkeypatch):
+    edges = spark.createDataFrame(chain(6), "src long, dst long, weight double")
+    monkeypatch.setattr(walks, "MOST_LOCAL_EDGES", 10)
+    label = {r.id: r.label for r in walks.communities(edges).collect()}
+    assert set(label) == set(range(1, 7)) and len({label[i] for i in (1, 2, 3)}) == 1
+
+
+def test_labels_spread_over_all_links(spark, small):
+    from threadloom.plans import graphs
+
+    links = graphs._typed(spark, small)[0]
+    mentioned = links.filter("linkage = 'mentions' AND concept_id != entity_id").select("concept_id").distinct().withColumnRenamed("concept_id", "id")
+    assert graphs.label_propagation(spark, small).join(mentioned, "id", "left_semi").count() >= 0.9 * mentioned.count() > 0

@@ -239,23 +239,44 @@ def spread_labels(frame: pd.DataFrame, rounds: int = 30) -> dict[int, int]:
     return label
 
 
+def spread_labels_staged(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """(id, label): label propagation in staged rounds, distributed. Half of the nodes, by a hash of id and round, take their heaviest label (of equally heavy ones the
+    smaller) at once, which keeps two sides from swapping labels for ever. It ends when no node at all would change, or after ``rounds`` rounds.
+    """
+    edges = stage(edges, "label-edges")
+    labels = stage(edges.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")), "labels")
+    for turn in range(rounds):
+        votes = edges.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
+        best = votes.groupBy(F.col("src").alias("id")).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("best"))
+        wanted = stage(labels.join(best, "id", "left").select("id", "label", F.coalesce("best", "label").alias("best")), "labels")
+        if not wanted.filter("best != label").limit(1).count():
+            break
+        labels = wanted.select("id", F.when(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0, F.col("best")).otherwise(F.col("label")).alias("label"))
+    return labels
+
+
 def communities(edges: DataFrame, scores: DataFrame | None = None, least: int = 2) -> DataFrame:
     """(id, label): communities of ``least`` members or more, each connected component in one task (the sweep is sequential by definition).
 
-    Components above MOST_LOCAL_EDGES edges are refused.
+    Components above MOST_LOCAL_EDGES edges go through ``spread_labels_staged``, whose communities may differ from the sweep's.
     """
     nodes = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
     score = nodes.join(scores, "id", "left").select("id", F.coalesce("score", "degree").alias("score")) if scores is not None else nodes.select("id", F.col("degree").alias("score"))
     roots = connected(edges)
     rows = edges.join(score.withColumnRenamed("id", "src"), "src").join(roots.select(F.col("id").alias("src"), "root"), "src")
-    if (rows.groupBy("root").count().agg(F.max("count")).first()[0] or 0) > MOST_LOCAL_EDGES:
-        raise ValueError(f"a component has more than {MOST_LOCAL_EDGES} edges")
+    rows = stage(rows.select("src", "dst", "weight", "score", "root"), "component-edges")
+    # Few components are that large: each has more edges than a task takes.
+    large = rows.groupBy("root").count().filter(F.col("count") > MOST_LOCAL_EDGES).select("root")
+    big = rows.join(F.broadcast(large), "root", "left_semi")
+    rows = rows.join(F.broadcast(large), "root", "left_anti")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         label = spread_labels(frame.sort_values(["src", "dst"]))
         return pd.DataFrame({"id": list(label), "label": list(label.values())}).astype("int64")
 
     found = rows.groupBy("root").applyInPandas(run, "id long, label long")
+    if large.limit(1).count():
+        found = found.unionByName(spread_labels_staged(big.select("src", "dst", "weight")))
     return found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("label"))).filter(F.col("n") >= least).drop("n")
 
 

@@ -65,9 +65,8 @@ def assoc_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of the links of same-as and reinforces."""
-    links = store_graph(spark, sf_dir).links.filter(F.col("linkage").isin("reinforces", "contradicts"))
-    return walks.communities(walks.adjacency(links))
+    """Communities of all links."""
+    return walks.communities(_edges(spark, sf_dir))
 
 
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
