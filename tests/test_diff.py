@@ -62,3 +62,20 @@ def test_a_key_with_very_many_rows_keeps_them_all(spark):
     copy = [(1, f"c{i}", None, float(i), "") for i in range(n - 5)]
     got = dict((f, k) for _, f, k in diff(spark, main, copy, once=False))
     assert got["missing_in_copy"] == 5 and got["name"] == n - 5 and "missing_in_main" not in got
+
+
+def test_one_row_more_does_not_shift_the_pairs_of_a_large_key(spark):
+    n = 2 * BLOCK + 50
+    main = [(1, f"n{i}", f"m{i}", float(i), "") for i in range(n)]
+    copy = [(1, f"n{i}", f"x{i}", float(i), "") for i in range(n)] + [(1, "extra", "e", -5.0, "")]
+    assert diff(spark, main, copy, once=False) == [(1, "meta", n), (1, "missing_in_main", 1)]
+    two = [(1, f"n{i}", f"x{i}", i + 0.5, "") for i in range(n)]
+    assert [r for r in diff(spark, main, two, once=False) if r[1] != "not_certified_minimal"] == [(1, "at", n), (1, "meta", n)]
+
+
+def test_a_pairing_that_may_be_too_dear_is_reported(spark):
+    n = BLOCK + 20
+    main = [(1, f"a{i}", f"m{i}", float(i), "") for i in range(n)]
+    copy = [(1, f"b{i}", f"x{i}", i + 0.5, "") for i in range(n)]
+    # every field differs everywhere: 3 n differences, of which two rounds can vouch for the two fields besides the epoch only
+    assert diff(spark, main, copy, once=False) == [(1, "at", n), (1, "meta", n), (1, "name", n), (1, "not_certified_minimal", n)]

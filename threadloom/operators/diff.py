@@ -7,13 +7,17 @@ minimum-cost assignment), and what cannot be paired is missing.
 Scale: rows travel as fixed-width fingerprints (64 bits a field, the epochs as they are), never with their
 texts. Repeats collapse in a partial aggregation before the first shuffle. A key with one row left on each side,
 the rule, is compared by aggregate functions; only keys with several rows left reach Python, and of those
-a key with more than ``BLOCK`` rows on a side is paired in blocks of rows with neighbouring fingerprints, so that
-no task ever holds an unbounded group. Blocks keep every row; only the pairing may then cost more than the least.
+a key with more than ``BLOCK`` rows on a side is first paired by joins of the rows that differ in one field, then in
+two (``paired_in_rounds``), and only what is left in blocks of rows with neighbouring fingerprints, so that
+no task ever holds an unbounded group. Every row is kept; where the pairing of such a key can't be shown to cost the least
+(``least_cost``), the report says by how many differences it may be too dear.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,6 +34,7 @@ EPOCH_TOLERANCE_S = 0.01
 #: Most rows on one side of a key that are assigned at once.
 BLOCK = 256
 OLDEST = -1.0e300
+NOT_CERTIFIED = "not_certified_minimal"
 
 
 def fingerprint(col: Column, kind: str) -> Column:
@@ -59,12 +64,55 @@ def pair_rows(main: np.ndarray, copy: np.ndarray, epochs: np.ndarray) -> tuple[l
     return min_cost_assignment(differ.sum(axis=2)), differ
 
 
+def paired_in_rounds(rows: DataFrame, kinds: Mapping[str, str], names: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Report (k, field, n) of rows paired because they agree in all fields but one, then in all but two, and the rows that are left.
+
+    ``rows`` has one row (k, fields, side, copy_no) for each row left; what agrees is paired by its place on either side. Epochs come first, which may differ by nothing but tolerance.
+    """
+    cols = sorted(kinds, key=lambda c: kinds[c] != "epoch")
+    agree = lambda keys: reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys])
+    report = rows.select("k", F.lit("").alias("field"), F.lit(0).cast("long").alias("n")).limit(0)
+    for free in [*combinations(cols, 1), *combinations(cols, 2)]:
+        kept = ["k", *[c for c in cols if c not in free]]
+        both = rows.groupBy(*kept).agg(F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo != hi")
+        if not both.limit(1).count():
+            continue
+        ranked = running_totals(rows.withColumn("one", F.lit(1).cast("long")), [*kept, "side"], [*free, "copy_no"], "one", total="rank").drop("one", "whole")
+        ranked = stage(ranked, "diff-ranked")
+        one, two = ranked.filter("side = 1").alias("a"), ranked.filter("side = 0").alias("b")
+        pairs = one.join(two, agree([*kept, "rank"])).select(F.col("a.k").alias("k"), F.explode(F.array_compact(F.array(*[F.when(differs(F.col(f"a.{c}"), F.col(f"b.{c}"), kinds[c]), F.lit(names[c])) for c in free]))).alias("field"))
+        report = report.unionByName(stage(pairs.groupBy("k", "field").agg(F.count(F.lit(1)).alias("n")), "diff-paired"))
+        left = one.join(two, agree([*kept, "rank"]), "left_anti").unionByName(two.alias("b").join(one.alias("a"), agree([*kept, "rank"]), "left_anti"))
+        rows = stage(left.drop("rank"), "diff-unpaired")
+    return report, rows
+
+
+def least_cost(rows: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """(k, least): differences that any pairing of a key's rows has at least.
+
+    Every row of the side with fewer rows is paired, and differs in as many fields as from the row nearest to it: 0 to 2, or 3 where no row is that near. Epochs are
+    left out, because of their tolerance, which can only make this smaller.
+    """
+    exact = [c for c in kinds if kinds[c] != "epoch"]
+    frees = [free for n in range(3) for free in combinations(exact, n)]
+    pattern = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(len(free)).alias("d"), F.xxhash64(F.lit(i), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in exact if c not in free]).alias("h")) for i, free in enumerate(frees)]))
+    unit = rows.groupBy("k", "side", *exact).agg(F.count(F.lit(1)).alias("n"))
+    flat = unit.withColumn("p", pattern).select("k", "side", *exact, "n", "p.*")
+    both = flat.groupBy("k", "i", "h").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo != hi").select(F.col("k").alias("k2"), F.col("i").alias("i2"), F.col("h").alias("h2"))
+    near = flat.join(both, F.col("k").eqNullSafe(F.col("k2")) & (F.col("i") == F.col("i2")) & (F.col("h") == F.col("h2")), "left")
+    cost = near.groupBy("k", "side", *exact, "n").agg(F.coalesce(F.min(F.when(F.col("h2").isNotNull(), F.col("d"))), F.lit(3)).alias("d"))
+    of = lambda m, what: F.sum(F.when(F.col("side") == m, what).otherwise(0))
+    sides = cost.groupBy("k").agg(*[of(m, F.col("n")).alias(f"c{m}") for m in (1, 0)], *[of(m, F.col("n") * F.col("d")).alias(f"d{m}") for m in (1, 0)])
+    return sides.select("k", F.when(F.col("c1") < F.col("c0"), F.col("d1")).when(F.col("c1") > F.col("c0"), F.col("d0")).otherwise(F.greatest("d1", "d0")).alias("least"))
+
+
 def diff_copies(main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str, str], version: str | None = None, once: bool = True) -> DataFrame:
     """Report (row_id, field, n): what is missing on either side and which fields of paired rows differ.
 
     ``fields`` maps each compared column to ``exact``, ``json`` (key order and spacing don't matter; text that
     isn't JSON is compared as text) or ``epoch`` (seconds or milliseconds, equal within 0.01 s). field is
-    ``missing_in_copy``, ``missing_in_main`` or a column's name, n the number of rows concerned.
+    ``missing_in_copy``, ``missing_in_main`` or a column's name, n the number of rows concerned; or, for a key with more than
+    BLOCK rows left on a side, ``not_certified_minimal``, n the differences by which its pairing may exceed the least.
 
     With ``version``, only the rows of a key with the largest version (null is the smallest) count on each side, and a
     key is missing only if the other side has no row of it. With ``once``, rows repeated verbatim count once.
@@ -120,9 +168,13 @@ def diff_copies(main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str,
     rows = left.join(several, F.col("k").eqNullSafe(F.col("k2"))).withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("n1", "n0"))))
     rows = rows.withColumn("side", F.when(F.col("n1") > 0, 1).otherwise(0)).drop("k2")
     large = F.greatest("c1", "c0") > BLOCK
-    hot, rows = rows.filter(large), rows.filter(~large).withColumn("block", F.lit(0).cast("long"))
-    if hot.limit(1).count():
-        ranked = running_totals(hot.withColumn("one", F.lit(1).cast("long")), ["k", "side"], [*cols, "copy_no"], "one", total="rank")
+    hot, rows = (x.select("k", *cols, "side", "copy_no") for x in (rows.filter(large), rows.filter(~large)))
+    rows = rows.withColumn("block", F.lit(0).cast("long"))
+    has_hot = hot.limit(1).count() > 0
+    if has_hot:
+        hot = stage(hot, "diff-hot")
+        in_rounds, rest = paired_in_rounds(hot, kinds, dict(zip(cols, names)))
+        ranked = running_totals(rest.withColumn("one", F.lit(1).cast("long")), ["k", "side"], [*cols, "copy_no"], "one", total="rank")
         rows = rows.unionByName(ranked.withColumn("block", F.floor((F.col("rank") - 1) / F.lit(BLOCK))).drop("one", "rank", "whole"))
     # As text, because pandas would round 64-bit numbers in a column with nulls.
     rows = rows.withColumns({c: F.col(c).cast("string") for c in cols if kinds[c] != "epoch"})
@@ -131,7 +183,7 @@ def diff_copies(main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str,
 
     def assign(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(cols, kind="stable")
-        a, b = frame[frame["n1"] > 0], frame[frame["n0"] > 0]
+        a, b = frame[frame["side"] == 1], frame[frame["side"] == 0]
         k, out = frame["k"].iloc[0], {}
         as_is = lambda x: x[cols].astype(object).to_numpy()
         pairs: list[tuple[int, int]] = []
@@ -150,5 +202,11 @@ def diff_copies(main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str,
         return pd.DataFrame({"k": [k] * len(out), "field": list(out), "n": list(out.values())})
 
     schema = T.StructType([T.StructField("k", key_type), T.StructField("field", T.StringType()), T.StructField("n", T.LongType())])
-    paired = rows.groupBy("k", "block").applyInPandas(assign, schema).groupBy("k", "field").agg(F.sum("n").alias("n"))
+    paired = rows.groupBy("k", "block").applyInPandas(assign, schema)
+    if has_hot:
+        paired = stage(paired.unionByName(in_rounds), "diff-report")
+        taken = paired.filter(~F.col("field").startswith("missing_in_")).groupBy(F.col("k").alias("k2")).agg(F.sum("n").alias("taken"))
+        dear = least_cost(hot, kinds).join(taken, F.col("k").eqNullSafe(F.col("k2"))).select("k", F.lit(NOT_CERTIFIED).alias("field"), (F.col("taken") - F.col("least")).alias("n"))
+        paired = paired.unionByName(dear.filter("n > 0"))
+    paired = paired.groupBy("k", "field").agg(F.sum("n").alias("n"))
     return plain.unionByName(alone).unionByName(paired).select(F.col("k").alias("row_id"), "field", "n")
