@@ -10,3 +10,7 @@ def graph(spark):
 
 def test_a_large_hub_keeps_all_its_members(spark):
     assert sorted(tuple(r) for r in sa.canon_members(graph(spark)).collect()) == [(1, i, i % 2) for i in range(2, 52)]
+
+
+def test_star_lookup_has_every_verb(spark):
+    assert {r.linkage for r in sa.union_star_all(graph(spark)).collect()} == {"same-as", "calls"}

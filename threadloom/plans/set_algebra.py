@@ -44,10 +44,15 @@ def co_occurrence_all(graph: Graph) -> DataFrame:
     return dsl.co_occurrence(graph, A)
 
 
-def union_star(graph: Graph) -> DataFrame:
-    """Links with both ends' names (star lookup)."""
+def union_star_all(graph: Graph) -> DataFrame:
+    """Links with both ends' names (star lookup), under every verb."""
     e = graph.entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity"), "kind")
-    return graph.links.filter("linkage = 'specifies'").join(e, "entity_id").join(graph.concepts().select("concept_id", F.col("name").alias("concept")), "concept_id").select("entity", "concept", "kind")
+    return graph.links.join(e, "entity_id").join(graph.concepts().select("concept_id", F.col("name").alias("concept")), "concept_id").select("linkage", "entity", "concept", "kind")
+
+
+def union_star(graph: Graph) -> DataFrame:
+    """The same for the links of specifies."""
+    return union_star_all(graph).filter("linkage = 'specifies'").drop("linkage")
 
 
 def zero_link_concepts(graph: Graph) -> DataFrame:
@@ -135,6 +140,7 @@ QUERIES = {
     "neighbors_d2": _query(f"Neighbors({A}, depth=2)", functional=True),
     "co_occurrence": _on_graph(co_occurrence_all),
     "star_lookup": _on_graph(union_star),
+    "star_lookup_all": _on_graph(union_star_all),
     "zero_link_concepts": _on_graph(zero_link_concepts),
     "linked_memories": linked_memories,
     "memory_sidecar": memory_sidecar,
@@ -167,6 +173,7 @@ ORACLE = {
     "co_occurrence": STORE
     + f"SELECT concept_id, name, count(DISTINCT entity_id) AS overlap FROM lnk JOIN con USING (concept_id) WHERE linkage = 'mentions' AND noise = 0 AND entity_id IN ({_set(A, 'mentions')}) AND concept_id NOT IN ({_named(A)}) GROUP BY 1, 2",
     "star_lookup": STORE + "SELECT e.name AS entity, c.name AS concept, e.kind FROM lnk JOIN ent e ON e.id = entity_id JOIN con c USING (concept_id) WHERE linkage = 'specifies'",
+    "star_lookup_all": STORE + "SELECT linkage, e.name AS entity, c.name AS concept, e.kind FROM lnk JOIN ent e ON e.id = entity_id JOIN con c USING (concept_id)",
     "zero_link_concepts": STORE + "SELECT concept_id FROM con WHERE concept_id NOT IN (SELECT concept_id FROM lnk)",
     "linked_memories": STORE + "SELECT DISTINCT entity_id FROM memory_content WHERE content <> '' AND entity_id IN (SELECT entity_id FROM lnk)",
     "memory_sidecar": STORE + "SELECT e.id, name, mtype FROM ent e LEFT JOIN (SELECT DISTINCT * FROM memory_content) m ON e.id = m.entity_id WHERE kind = 'memory'",
