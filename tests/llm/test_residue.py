@@ -54,3 +54,9 @@ def test_long_runs_of_one_character_take_no_time():
     for c in "_-*{[<$%@#. \"":
         assert residue_kind("Not found\n" + c * 200_000 + "x\n" + PROSE * 50) is None
     assert time.perf_counter() - began < 20
+
+
+def test_words_about_placeholders_count_within_their_sentence_only():
+    assert residue_kind("Dear {{ name }}, welcome aboard. The message came in late.") == "placeholder"
+    assert residue_kind("It was late. The old exporter printed {{ name }} there. We fixed it.") is None
+    assert residue_kind("The old exporter printed {{ name }} there. Dear {{ name }}, welcome aboard.") == "placeholder"

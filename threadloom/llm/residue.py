@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -249,12 +249,13 @@ LEFTOVER = re.compile(
     r"\[object Object\]|Error! (?:Reference source not found|Bookmark not defined)|^\W*(?:dear|hello|hi|liebe[r]?|cher|chere|estimad[oa]) (?:null|undefined|none|nan)\b|^\W*[\w ]{2,30}: (?:undefined|null|NaN)\W*$|\bXX\.XX\.(?:20)?(?:XX|\d\d)|\b(?:section|chapter|figure|table|page) \?\?",
     re.IGNORECASE,
 )
-#: Words of lines that speak about placeholders instead of holding one.
+#: Words of sentences that speak about placeholders instead of holding one.
 ABOUT = re.compile(
     r"\b(?:placeholders?|templates?|templating|syntax|escap\w*|literal\w*|render\w*|replac\w*|substitut\w*|interpolat\w*|expand\w*|print(?:s|ed|ing)?|export(?:er|ed|s)|emit(?:s|ted)|pars\w*|match\w*|regex\w*|reject\w*|contain\w*|"
     r"belonged|covered by a test|instead of|such as|means?|message|shown|shows|showed|wrote|platzhalter\w*|vorlage\w*|ersetz\w*|gabarit\w*|modele\w*|remplac\w*|plantilla\w*|marcador\w*|reemplaz\w*|sustitu\w*)\b",
     re.IGNORECASE,
 )
+SENTENCE_END = re.compile(r"[.!?][)\"'”»]*\s+")
 FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.MULTILINE | re.DOTALL)
 INLINE_CODE = re.compile(r"``[^\n]+?``|`[^`\n]+`")
 QUOTED = re.compile(r'"[^"\n]{2,300}"|“[^”\n]{2,300}”|„[^“”\n]{2,300}[“”]|«\s?[^»\n]{41,300}»')
@@ -326,7 +327,16 @@ def has_placeholder(line: str) -> bool:
     """Whether a line of running text holds a placeholder or what a renderer left of one."""
     if "&" in line:
         line = unescape(line)
-    return bool((SURE.search(line) or LIKELY.search(line) or LEFTOVER.search(line)) and not ABOUT.search(SURE.sub(" ", LIKELY.sub(" ", LEFTOVER.sub(" ", line)))))
+    spans = [m.span() for shape in (LEFTOVER, LIKELY, SURE) for m in shape.finditer(line)]
+    if not spans:
+        return False
+    bare = line
+    for shape in (LEFTOVER, LIKELY, SURE):
+        bare = shape.sub(lambda m: "|" * len(m[0]), bare)
+    # Sentence by sentence; an end of sentence within a placeholder is blotted out with it.
+    ends = [0, *[m.end() for m in SENTENCE_END.finditer(bare)], len(line) + 1]
+    at = {(ends[bisect_right(ends, i) - 1], ends[bisect_left(ends, j)]) for i, j in spans}
+    return any(not ABOUT.search(bare[i:j]) for i, j in at)
 
 
 def residue_kind(text: str | None) -> str | None:
