@@ -4,7 +4,7 @@ import random
 import numpy as np
 from conftest import rows
 from threadloom.operators.assignment import min_cost_assignment
-from threadloom.operators.diff import BLOCK, diff_copies
+from threadloom.operators.diff import diff_copies
 
 SCHEMA = "id long, name string, meta string, at double, extra string"
 FIELDS = {"name": "exact", "meta": "json", "at": "epoch"}
@@ -56,26 +56,62 @@ def test_only_the_newest_version_counts(spark):
     assert diff(spark, main, copy, version="at") == [(2, "at", 1), (2, "name", 1)]
 
 
-def test_a_key_with_very_many_rows_keeps_them_all(spark):
-    n = 3 * BLOCK + 7
+def test_exact_against_brute_force_on_random_keys(spark):
+    rng = random.Random(5)
+    for turn in range(3):
+        one = lambda: (rng.randrange(3), f"n{rng.randrange(3)}", rng.choice([None, "1", "2"]), rng.choice([None, 1.0, 5.0, 9.0]), "")
+        main, copy = [one() for _ in range(14)], [one() for _ in range(13)]
+        got = diff(spark, main, copy, once=False)
+        for k in range(3):
+            a, b = [r for r in main if r[0] == k], [r for r in copy if r[0] == k]
+            for r in list(a):
+                if r in b:
+                    a.remove(r), b.remove(r)
+            cost = [[sum(x != y for x, y in zip(p[1:4], q[1:4])) for q in b] for p in a]
+            if len(a) > len(b):
+                cost, n, m = [list(c) for c in zip(*cost)], len(b), len(a)
+            else:
+                n, m = len(a), len(b)
+            best = min((sum(cost[i][p[i]] for i in range(n)) for p in itertools.permutations(range(m), n)), default=0)
+            mine = [r for r in got if r[0] == k]
+            assert sum(n for _, f, n in mine if not f.startswith("missing")) == best
+            assert sum(n for _, f, n in mine if f.startswith("missing")) == m - n
+
+
+def test_a_key_with_many_rows_is_assigned_exactly(spark):
+    """600 and 10 000 rows a side that differ from their partner in one early column only; the order of fingerprints says nothing about partners."""
+    for n in (600, 10_000):
+        main = [(1, f"n{i}", f"m{i}", float(i), "") for i in range(n)]
+        copy = [(1, f"x{i}", f"m{i}", float(i), "") for i in range(n)]
+        assert diff(spark, main, copy, once=False) == [(1, "name", n)]
+
+
+def test_keys_span_batches_and_hold_nulls(spark):
+    main = [(k, f"n{i}", None, None, "") for k in (None, 1, 2) for i in range(4000)]
+    copy = [(k, f"n{i}", "1", None, "") for k in (None, 1, 2) for i in range(4000 - (k or 0))]
+    assert diff(spark, main, copy, once=False) == [(1, "meta", 3999), (1, "missing_in_copy", 1), (2, "meta", 3998), (2, "missing_in_copy", 2), (None, "meta", 4000)]
+
+
+def test_above_the_exact_bound_every_row_is_kept(spark):
+    n = 307
     main = [(1, f"m{i}", None, float(i), "") for i in range(n)]
     copy = [(1, f"c{i}", None, float(i), "") for i in range(n - 5)]
-    got = dict((f, k) for _, f, k in diff(spark, main, copy, once=False))
+    got = dict((f, k) for _, f, k in diff(spark, main, copy, once=False, exact_cells=2500))
     assert got["missing_in_copy"] == 5 and got["name"] == n - 5 and "missing_in_main" not in got
 
 
-def test_one_row_more_does_not_shift_the_pairs_of_a_large_key(spark):
-    n = 2 * BLOCK + 50
+def test_above_the_exact_bound_one_row_more_does_not_shift_pairs(spark):
+    n = 250
     main = [(1, f"n{i}", f"m{i}", float(i), "") for i in range(n)]
     copy = [(1, f"n{i}", f"x{i}", float(i), "") for i in range(n)] + [(1, "extra", "e", -5.0, "")]
-    assert diff(spark, main, copy, once=False) == [(1, "meta", n), (1, "missing_in_main", 1)]
+    assert diff(spark, main, copy, once=False, exact_cells=2500) == [(1, "meta", n), (1, "missing_in_main", 1)]
     two = [(1, f"n{i}", f"x{i}", i + 0.5, "") for i in range(n)]
-    assert [r for r in diff(spark, main, two, once=False) if r[1] != "not_certified_minimal"] == [(1, "at", n), (1, "meta", n)]
+    assert [r for r in diff(spark, main, two, once=False, exact_cells=2500) if r[1] != "not_certified_minimal"] == [(1, "at", n), (1, "meta", n)]
 
 
 def test_a_pairing_that_may_be_too_dear_is_reported(spark):
-    n = BLOCK + 20
+    n = 120
     main = [(1, f"a{i}", f"m{i}", float(i), "") for i in range(n)]
     copy = [(1, f"b{i}", f"x{i}", i + 0.5, "") for i in range(n)]
     # every field differs everywhere: 3 n differences, of which two rounds can vouch for the two fields besides the epoch only
-    assert diff(spark, main, copy, once=False) == [(1, "at", n), (1, "meta", n), (1, "name", n), (1, "not_certified_minimal", n)]
+    assert diff(spark, main, copy, once=False, exact_cells=2500) == [(1, "at", n), (1, "meta", n), (1, "name", n), (1, "not_certified_minimal", n)]

@@ -46,8 +46,17 @@ def test_nulls_ties_and_empty(spark):
     assert run(spark, [("a", 5), ("a", 5), (None, 5)], 10) == [("a", 5, 5, 2), (None, 5, 5, 1)]
 
 
-def test_times_before_1970_and_out_of_range(spark):
-    assert run(spark, [("a", -5000), ("a", -4000), ("a", 9_000_000_000_000)], 2000) == [("a", -5000, -4000, 2)]
+def test_times_far_from_now(spark):
+    far = [("a", -5000), ("a", -4000)] + [(k, s * t * 10**12 + x) for k in "ab" for s in (-1, 1) for t in (5, 9, 300, 8000) for x in (0, 1500, 4000)]
+    assert run(spark, far, 2000) == brute(far, 2000)
+
+
+def test_sessions_across_slices_and_timers_that_expire_between_them(spark):
+    rng = random.Random(3)
+    events = [("long", t * 900) for t in range(3000)] + [(f"k{rng.randrange(40)}", rng.randrange(3_000_000)) for _ in range(2000)]
+    df = spark.createDataFrame(events, "k string, ms long")
+    for slices in (1, 2, 5):
+        assert rows(sessions(df, ["k"], "ms", 1000, slices=slices)) == brute(events, 1000)
 
 
 def test_late_events_within_the_delay_of_a_real_stream(spark):

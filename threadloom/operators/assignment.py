@@ -1,42 +1,74 @@
-"""Minimum-cost assignment of two small lists, by shortest augmenting paths."""
+"""Minimum-cost assignment of two lists under small whole-number costs."""
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 
 
 def min_cost_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) that use every row or every column, whichever are fewer, at the least total cost.
 
-    Of equally cheap assignments the one found first, going through rows and columns in order, is returned.
+    ``cost`` holds whole numbers from 0. What a pair saves against the dearest one is its weight, and a matching of the
+    largest weight is grown level by level: rows and columns carry prices that together cover every weight; pairs
+    that are covered exactly may be matched; where no row can be matched any more, prices of the rows reached fall and those
+    of the columns reached rise, by whole numbers. Unmatched rows all have the same price, so there are at most as many
+    levels as there are different costs. What is left when their price is 0 is as dear as can be in any pairing.
+
+    Memory is that of ``cost`` and a few vectors. Of equally cheap assignments one is returned, always the same.
     """
-    cost = np.asarray(cost, dtype=float)
+    cost = np.asarray(cost)
     if not cost.size:
         return []
-    if cost.shape[0] > cost.shape[1]:
-        return sorted((r, c) for c, r in min_cost_assignment(cost.T))
+    highest = int(cost.max())
     n, m = cost.shape
-    row_price, col_price = np.zeros(n), np.zeros(m)
-    row_of = np.full(m, -1)
-    for start in range(n):
-        dist, came_from, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        row, col, base = start, -1, 0.0
-        while True:
-            reach = base + cost[row] - row_price[row] - col_price
-            better = ~done & (reach < dist)
-            dist[better], came_from[better] = reach[better], col
-            col = int(np.argmin(np.where(done, np.inf, dist)))
-            base, done[col] = dist[col], True
-            if row_of[col] < 0:
-                break
-            row = row_of[col]
-        row_price[start] += base
-        for c in np.flatnonzero(done):
-            if row_of[c] >= 0:
-                row_price[row_of[c]] += base - dist[c]
-            col_price[c] -= base - dist[c]
-        while col >= 0:
-            before = int(came_from[col])
-            row_of[col] = row_of[before] if before >= 0 else start
-            col = before
-    return sorted((int(r), int(c)) for c, r in enumerate(row_of) if r >= 0)
+    row_price, col_price = np.full(n, highest, dtype=np.int64), np.zeros(m, dtype=np.int64)
+    col_of, row_of = np.full(n, -1), np.full(m, -1)
+
+    def spare(r: int) -> np.ndarray:
+        """How far the prices of a row and of each column exceed their weight."""
+        return (row_price[r] - highest) + col_price + cost[r]
+
+    def grow() -> tuple[bool, np.ndarray, np.ndarray]:
+        """Search from all unmatched rows at once; each tree is closed by the first way to an unmatched column."""
+        came_from, unseen = np.full(m, -1), np.ones(m, dtype=bool)
+        tree = np.where(col_of < 0, np.arange(n), -1)
+        closed = np.zeros(n, dtype=bool)
+        todo, matched = deque(np.flatnonzero(col_of < 0).tolist()), False
+        while todo:
+            r = todo.popleft()
+            if closed[tree[r]]:
+                continue
+            cols = np.flatnonzero(unseen & (spare(r) == 0))
+            free = cols[row_of[cols] < 0]
+            if len(free):
+                c = int(free[0])
+                unseen[c], closed[tree[r]], matched = False, True, True
+                came_from[c] = r
+                while c >= 0:  # swap along the way back to the root
+                    r = came_from[c]
+                    before = int(col_of[r])
+                    row_of[c], col_of[r] = r, c
+                    c = before
+            elif len(cols):
+                unseen[cols], came_from[cols] = False, r
+                rows = row_of[cols]
+                tree[rows] = tree[r]
+                todo.extend(rows.tolist())
+        return matched, tree >= 0, ~unseen
+
+    while True:
+        matched, rows, cols = True, None, None
+        while matched:
+            matched, rows, cols = grow()
+        waiting = np.flatnonzero(col_of < 0)
+        level = int(row_price[waiting[0]]) if len(waiting) else 0
+        if level == 0 or not (row_of < 0).any():
+            break
+        outside = ~cols
+        step = min([level, *(int(spare(r)[outside].min()) for r in np.flatnonzero(rows))])
+        row_price[rows] -= step
+        col_price[cols] += step
+    pairs = [(r, int(c)) for r, c in enumerate(col_of) if c >= 0]
+    return sorted(pairs + list(zip(np.flatnonzero(col_of < 0).tolist(), np.flatnonzero(row_of < 0).tolist())))

@@ -5,25 +5,28 @@ left over under one key are then paired so that the paired rows differ in as few
 minimum-cost assignment), and what cannot be paired is missing.
 
 Scale: rows travel as fixed-width fingerprints (64 bits a field, the epochs as they are), never with their
-texts. Repeats collapse in a partial aggregation before the first shuffle. A key with one row left on each side,
-the rule, is compared by aggregate functions; only keys with several rows left reach Python, and of those
-a key with more than ``BLOCK`` rows on a side is first paired by joins of the rows that differ in one field, then in
-two (``paired_in_rounds``), and only what is left in blocks of rows with neighbouring fingerprints, so that
-no task ever holds an unbounded group. Every row is kept; where the pairing of such a key can't be shown to cost the least
-(``least_cost``), the report says by how many differences it may be too dear.
+texts. Repeats collapse in a partial aggregation before the first shuffle, and only what doesn't cancel goes on. The
+assignment runs over Arrow batches sorted by key: keys with one row on each side, the rule, are compared all at
+once, others get their own matrix of differences, up to ``EXACT_CELLS`` cells (10 000 rows against 10 000). A key with
+more rows left is first paired by joins of the rows that differ in one field, then in two (``paired_in_rounds``), and
+what is left after that is assigned as a whole if it fits, in blocks of rows with neighbouring fingerprints if not, so that
+no task ever holds an unbounded group. Every row is kept; where the pairing of such a key can't be shown to cost the
+least (``least_cost``), the report says by how many differences it may be too dear.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from threadloom.functions.clean import epoch_seconds
 from threadloom.operators.assignment import min_cost_assignment
@@ -31,8 +34,10 @@ from threadloom.operators.prefix_sum import running_totals
 from threadloom.staging import stage
 
 EPOCH_TOLERANCE_S = 0.01
-#: Most rows on one side of a key that are assigned at once.
-BLOCK = 256
+#: Most pairs of rows of one key that are weighed against each other at once, and most rows on one side of it.
+EXACT_CELLS, EXACT_ROWS = 100_000_000, 100_000
+#: Rows on a side of what is assigned in blocks.
+BLOCK = 10_000
 OLDEST = -1.0e300
 NOT_CERTIFIED = "not_certified_minimal"
 
@@ -54,14 +59,98 @@ def differs(a: Column, b: Column, kind: str) -> Column:
     return ~a.eqNullSafe(b)
 
 
-def pair_rows(main: np.ndarray, copy: np.ndarray, epochs: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Pairs of rows at the least number of differing fields, and the table of those differences."""
-    a, b = main[:, None, :], copy[None, :, :]
-    null_a, null_b = pd.isna(a), pd.isna(b)
-    differ = (a != b) & ~(null_a & null_b)
-    near = np.abs(np.where(null_a, np.nan, a)[..., epochs].astype(float) - np.where(null_b, np.nan, b)[..., epochs].astype(float)) <= EPOCH_TOLERANCE_S
-    differ[..., epochs] &= ~near
-    return min_cost_assignment(differ.sum(axis=2)), differ
+def _values(table: pa.Table, cols: Sequence[str], at: slice) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(values, is null) of each column; nulls read as 0, so that 64-bit numbers stay whole."""
+    out = []
+    for c in cols:
+        column = table.column(c).slice(at.start, at.stop - at.start).combine_chunks()
+        out.append((column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)))
+    return out
+
+
+def _unlike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], epoch: bool) -> np.ndarray:
+    """Where the values of one column differ; null equals null only."""
+    (x, x_null), (y, y_null) = a, b
+    other = np.abs(x - y) > EPOCH_TOLERANCE_S if epoch else x != y
+    return (other & ~x_null & ~y_null) | (x_null != y_null)
+
+
+def fields_that_differ(main: list, copy: list, epochs: Sequence[bool], rows: int = 512) -> tuple[int, np.ndarray]:
+    """(pairs, differences by field) of an assignment of two lists of rows, given by column, at the fewest differences."""
+    n, m = len(main[0][0]), len(copy[0][0])
+    cost = np.zeros((n, m), dtype=np.int8)
+    for start in range(0, n, rows):  # in strips, which bounds the memory besides that of the costs
+        strip = slice(start, start + rows)
+        for (x, x_null), (y, y_null), epoch in zip(main, copy, epochs):
+            cost[strip] += _unlike((x[strip, None], x_null[strip, None]), (y[None], y_null[None]), epoch)
+    pairs = np.array(min_cost_assignment(cost), dtype=np.int64).reshape(-1, 2)
+    rs, cs = pairs[:, 0], pairs[:, 1]
+    differ = [_unlike((x[rs], x_null[rs]), (y[cs], y_null[cs]), e).sum() for (x, x_null), (y, y_null), e in zip(main, copy, epochs)]
+    return len(pairs), np.array(differ, dtype=np.int64)
+
+
+def _assigner(key_type: pa.DataType, names: Sequence[str], cols: Sequence[str], epochs: Sequence[bool], versioned: bool):
+    """Over Arrow batches of (k, block, side, cols) sorted so, main rows (side 1) first: report rows (k, field, n)."""
+    labels = [*names, "missing_in_copy", "missing_in_main"]
+
+    def report(keys: pa.Array, field: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys.cast(key_type), pa.array([labels[i] for i in field], pa.string()), pa.array(n, pa.int64())], names=["k", "field", "n"])
+
+    def settle(rows: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        side = rows.column("side").to_numpy()
+        key = rows.column("k").combine_chunks()
+        mains = np.add.reduceat(side, starts) if len(starts) else starts
+        single = (mains == 1) & (ends - starts == 2)
+        # One row on either side: the assignment is that pair, for all such keys at once.
+        one, two = starts[single], starts[single] + 1
+        at = _values(rows, cols, slice(0, rows.num_rows))
+        for i, ((x, null), epoch) in enumerate(zip(at, epochs)):
+            hit = one[_unlike((x[one], null[one]), (x[two], null[two]), epoch)]
+            if len(hit):
+                yield report(key.take(pa.array(hit)), np.full(len(hit), i), np.ones(len(hit), dtype=np.int64))
+        for start, end, mid in zip(starts[~single].tolist(), ends[~single].tolist(), (starts + mains)[~single].tolist()):
+            pairs, differ = fields_that_differ([(x[start:mid], u[start:mid]) for x, u in at], [(x[mid:end], u[mid:end]) for x, u in at], epochs)
+            left = (0, 0) if versioned else (mid - start - pairs, end - mid - pairs)
+            counts = np.r_[differ, left]
+            found = np.flatnonzero(counts)
+            if len(found):
+                yield report(key.take(pa.array(np.full(len(found), start))), found, counts[found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and _same_group(held[-1], held[-1].num_rows - 1, batch, batch.num_rows - 1):
+                held.append(batch)  # still one group from before
+                continue
+            rows = pa.Table.from_batches([*held, batch])
+            starts = _group_starts(rows)
+            ends = np.r_[starts[1:], rows.num_rows]
+            yield from settle(rows.slice(0, int(starts[-1])), starts[:-1], ends[:-1])
+            held = rows.slice(int(starts[-1])).combine_chunks().to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            starts = _group_starts(rows)
+            yield from settle(rows, starts, np.r_[starts[1:], rows.num_rows])
+
+    return run
+
+
+def _same_group(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
+    return a.column(0)[i].as_py() == b.column(0)[j].as_py() and a.column(1)[i].as_py() == b.column(1)[j].as_py()
+
+
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    """Where a group of equal (k, block) starts; the table is sorted by them."""
+    new = np.zeros(rows.num_rows, dtype=bool)
+    new[:1] = True
+    for name in ("k", "block"):
+        column = rows.column(name).combine_chunks()
+        here, before = column.slice(1), column.slice(0, len(column) - 1)
+        changed = pc.fill_null(pc.not_equal(here, before), False).to_numpy(zero_copy_only=False)
+        new[1:] |= changed | (here.is_null().to_numpy(zero_copy_only=False) != before.is_null().to_numpy(zero_copy_only=False))
+    return np.flatnonzero(new)
 
 
 def paired_in_rounds(rows: DataFrame, kinds: Mapping[str, str], names: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -106,13 +195,44 @@ def least_cost(rows: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     return sides.select("k", F.when(F.col("c1") < F.col("c0"), F.col("d1")).when(F.col("c1") > F.col("c0"), F.col("d0")).otherwise(F.greatest("d1", "d0")).alias("least"))
 
 
-def diff_copies(main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str, str], version: str | None = None, once: bool = True) -> DataFrame:
+def _fingerprints(df: DataFrame, is_main: int, key: str, fields: Mapping[str, str], version: str | None) -> DataFrame:
+    seen = epoch_seconds(F.col(f"`{version}`").cast("double")) if version else F.lit(0.0)
+    cols = [fingerprint(F.col(f"`{name}`"), kind).alias(f"f{i}") for i, (name, kind) in enumerate(fields.items())]
+    return df.select(F.col(f"`{key}`").alias("k"), F.coalesce(seen, F.lit(OLDEST)).alias("v"), F.lit(is_main).alias("m"), *cols)
+
+
+def left_over(main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str, str], version: str | None = None, once: bool = True) -> DataFrame:
+    """(k, v1, v0, f0, f1, ..., n1, n0): fingerprints of the rows that don't cancel, how often they are left in main (n1) or in the copy (n0).
+
+    Of n1 equal rows in main and n0 in the copy, the difference is left on the side that has more. See ``diff_copies`` for the options; v1 and v0 are the
+    key's newest versions.
+    """
+    cols = [f"f{i}" for i in range(len(fields))]
+    both = _fingerprints(main, 1, key, fields, version).unionByName(_fingerprints(copy, 0, key, fields, version))
+    rows = both.groupBy("k", "v", "m", *cols).agg(F.count(F.lit(1)).alias("n"))
+    if once:
+        rows = rows.withColumn("n", F.lit(1).cast("long"))
+    if version:
+        of = lambda m: F.max(F.when(F.col("m") == m, F.col("v"))).alias(f"v{m}")
+        newest = rows.groupBy(F.col("k").alias("k2")).agg(of(1), of(0))
+        rows = rows.join(newest, F.col("k").eqNullSafe(F.col("k2"))).filter(F.col("v") == F.when(F.col("m") == 1, F.col("v1")).otherwise(F.col("v0"))).drop("k2")
+    else:
+        rows = rows.withColumns({"v1": F.lit(None).cast("double"), "v0": F.lit(None).cast("double")})
+    count = lambda m: F.sum(F.when(F.col("m") == m, F.col("n")).otherwise(0))
+    more = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(0)).alias(a)
+    counted = rows.groupBy("k", "v1", "v0", *cols).agg(count(1).alias("n1"), count(0).alias("n0"))
+    return counted.filter("n1 != n0").select("k", "v1", "v0", *cols, more("n1", "n0"), more("n0", "n1"))
+
+
+def diff_copies(
+    main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str, str], version: str | None = None, once: bool = True, exact_cells: int = EXACT_CELLS
+) -> DataFrame:
     """Report (row_id, field, n): what is missing on either side and which fields of paired rows differ.
 
     ``fields`` maps each compared column to ``exact``, ``json`` (key order and spacing don't matter; text that
     isn't JSON is compared as text) or ``epoch`` (seconds or milliseconds, equal within 0.01 s). field is
     ``missing_in_copy``, ``missing_in_main`` or a column's name, n the number of rows concerned; or, for a key with more than
-    BLOCK rows left on a side, ``not_certified_minimal``, n the differences by which its pairing may exceed the least.
+    ``exact_cells`` pairs of rows left, ``not_certified_minimal``, n the differences by which its pairing may exceed the least.
 
     With ``version``, only the rows of a key with the largest version (null is the smallest) count on each side, and a
     key is missing only if the other side has no row of it. With ``once``, rows repeated verbatim count once.
@@ -122,91 +242,35 @@ def diff_copies(main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str,
     names = list(fields)
     cols = [f"f{i}" for i in range(len(names))]
     kinds = dict(zip(cols, fields.values()))
-
-    def side(df: DataFrame, is_main: int) -> DataFrame:
-        seen = epoch_seconds(F.col(f"`{version}`").cast("double")) if version else F.lit(0.0)
-        return df.select(
-            F.col(f"`{key}`").alias("k"), F.coalesce(seen, F.lit(OLDEST)).alias("v"), F.lit(is_main).alias("m"), *[fingerprint(F.col(f"`{n}`"), fields[n]).alias(c) for n, c in zip(names, cols)]
-        )
-
-    rows = side(main, 1).unionByName(side(copy, 0)).groupBy("k", "v", "m", *cols).agg(F.count(F.lit(1)).alias("n"))
-    if once:
-        rows = rows.withColumn("n", F.lit(1).cast("long"))
-    if version:
-        newest = rows.groupBy(F.col("k").alias("k2")).agg(F.max(F.when(F.col("m") == 1, F.col("v"))).alias("v1"), F.max(F.when(F.col("m") == 0, F.col("v"))).alias("v0"))
-        rows = rows.join(newest, F.col("k").eqNullSafe(F.col("k2"))).filter(F.col("v") == F.when(F.col("m") == 1, F.col("v1")).otherwise(F.col("v0"))).drop("k2")
-    else:
-        rows = rows.withColumns({"v1": F.lit(None).cast("double"), "v0": F.lit(None).cast("double")})
-    # Identical rows cancel by multiplicity.
-    count = lambda m: F.sum(F.when(F.col("m") == m, F.col("n")).otherwise(0))
-    left = (
-        rows.groupBy("k", "v1", "v0", *cols)
-        .agg(count(1).alias("n1"), count(0).alias("n0"))
-        .filter("n1 != n0")
-        .select("k", "v1", "v0", *cols, F.greatest(F.col("n1") - F.col("n0"), F.lit(0)).alias("n1"), F.greatest(F.col("n0") - F.col("n1"), F.lit(0)).alias("n0"))
-    )
-    left = stage(left, "diff-left")
-    # One row at most on either side: compared in place.
-    on = lambda m: F.col(f"n{m}") > 0
-    by_key = left.groupBy("k").agg(
-        F.sum("n1").alias("c1"),
-        F.sum("n0").alias("c0"),
-        F.max("v1").alias("v1"),
-        F.max("v0").alias("v0"),
-        *[F.max(F.when(on(m), F.col(c))).alias(f"{c}_{m}") for c in cols for m in (1, 0)],
-    )
-    gone_copy, gone_main = (F.col("v0").isNull(), F.col("v1").isNull()) if version else (F.lit(True), F.lit(True))
-    report = [F.when((F.col("c0") == 0) & gone_copy, F.lit("missing_in_copy")), F.when((F.col("c1") == 0) & gone_main, F.lit("missing_in_main"))]
-    report += [F.when((F.col("c1") == 1) & (F.col("c0") == 1) & differs(F.col(f"{c}_1"), F.col(f"{c}_0"), kinds[c]), F.lit(n)) for n, c in zip(names, cols)]
-    plain = by_key.filter("c1 + c0 = 1 OR (c1 = 1 AND c0 = 1)").select("k", F.explode(F.array_compact(F.array(*report))).alias("field"), F.lit(1).cast("long").alias("n"))
-    # A side without a row left needs no pairing either.
-    alone = by_key.filter("c1 + c0 > 1 AND (c1 = 0 OR c0 = 0)").select(
-        "k", F.explode(F.array_compact(F.array(*report[:2]))).alias("field"), (F.col("c1") + F.col("c0")).alias("n")
-    )
-    several = by_key.filter("c1 > 0 AND c0 > 0 AND c1 + c0 > 2").select(F.col("k").alias("k2"), "c1", "c0")
+    left = stage(left_over(main, copy, key, fields, version, once), "diff-left")
+    sides = left.groupBy(F.col("k").alias("k2")).agg(F.sum("n1").alias("c1"), F.sum("n0").alias("c0"), F.max("v1").alias("w1"), F.max("v0").alias("w0"))
+    # A side without a row left needs no pairing.
+    gone_copy, gone_main = (F.col("w0").isNull(), F.col("w1").isNull()) if version else (F.lit(True), F.lit(True))
+    missing = F.when((F.col("c0") == 0) & gone_copy, "missing_in_copy").when((F.col("c1") == 0) & gone_main, "missing_in_main")
+    alone = sides.filter("c1 = 0 OR c0 = 0").select(F.col("k2").alias("k"), missing.alias("field"), (F.col("c1") + F.col("c0")).alias("n")).filter("field IS NOT NULL")
+    sides = sides.filter("c1 > 0 AND c0 > 0").select("k2", ((F.col("c1") * F.col("c0") > exact_cells) | (F.greatest("c1", "c0") > EXACT_ROWS)).alias("hot"))
     # A row that is left several times is repeated here, as often as it is left.
-    rows = left.join(several, F.col("k").eqNullSafe(F.col("k2"))).withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("n1", "n0"))))
-    rows = rows.withColumn("side", F.when(F.col("n1") > 0, 1).otherwise(0)).drop("k2")
-    large = F.greatest("c1", "c0") > BLOCK
-    hot, rows = (x.select("k", *cols, "side", "copy_no") for x in (rows.filter(large), rows.filter(~large)))
-    rows = rows.withColumn("block", F.lit(0).cast("long"))
-    has_hot = hot.limit(1).count() > 0
+    rows = left.join(sides, F.col("k").eqNullSafe(F.col("k2"))).withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("n1", "n0"))))
+    rows = rows.select("k", *cols, F.when(F.col("n1") > 0, 1).otherwise(0).cast("long").alias("side"), "copy_no", "hot")
+    assigned = rows.filter("NOT hot").drop("hot", "copy_no").withColumn("block", F.lit(0).cast("long"))
+    has_hot = sides.filter("hot").limit(1).count() > 0
     if has_hot:
-        hot = stage(hot, "diff-hot")
+        hot = stage(rows.filter("hot").drop("hot"), "diff-hot")
         in_rounds, rest = paired_in_rounds(hot, kinds, dict(zip(cols, names)))
+        fits = rest.groupBy(F.col("k").alias("k2")).agg(F.sum("side").alias("c1"), F.sum(1 - F.col("side")).alias("c0"))
+        fits = fits.select("k2", ((F.col("c1") * F.col("c0") <= exact_cells) & (F.greatest("c1", "c0") <= EXACT_ROWS)).alias("fits"))
         ranked = running_totals(rest.withColumn("one", F.lit(1).cast("long")), ["k", "side"], [*cols, "copy_no"], "one", total="rank")
-        rows = rows.unionByName(ranked.withColumn("block", F.floor((F.col("rank") - 1) / F.lit(BLOCK))).drop("one", "rank", "whole"))
-    # As text, because pandas would round 64-bit numbers in a column with nulls.
-    rows = rows.withColumns({c: F.col(c).cast("string") for c in cols if kinds[c] != "epoch"})
-    epochs = np.array([kinds[c] == "epoch" for c in cols], dtype=bool)
-    key_type, versioned = left.schema["k"].dataType, bool(version)
-
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(cols, kind="stable")
-        a, b = frame[frame["side"] == 1], frame[frame["side"] == 0]
-        k, out = frame["k"].iloc[0], {}
-        as_is = lambda x: x[cols].astype(object).to_numpy()
-        pairs: list[tuple[int, int]] = []
-        for at in range(0, max(len(a), len(b)), BLOCK):
-            one, two = a.iloc[at : at + BLOCK], b.iloc[at : at + BLOCK]
-            if len(one) and len(two):
-                found, differ = pair_rows(as_is(one), as_is(two), epochs)
-                pairs += found
-                for r, c in found:
-                    for i in np.flatnonzero(differ[r, c]):
-                        out[names[i]] = out.get(names[i], 0) + 1
-        if not versioned:
-            for what, n in (("missing_in_copy", len(a) - len(pairs)), ("missing_in_main", len(b) - len(pairs))):
-                if n:
-                    out[what] = n
-        return pd.DataFrame({"k": [k] * len(out), "field": list(out), "n": list(out.values())})
-
+        size = max(1, min(BLOCK, int(exact_cells**0.5)))
+        block = F.when(F.col("fits"), F.lit(0)).otherwise(F.floor((F.col("rank") - 1) / F.lit(size))).cast("long")
+        assigned = assigned.unionByName(ranked.join(fits, F.col("k").eqNullSafe(F.col("k2"))).select("k", *cols, "side", block.alias("block")))
+    key_type = left.schema["k"].dataType
+    run = _assigner(to_arrow_type(key_type), names, cols, [kinds[c] == "epoch" for c in cols], bool(version))
+    ordered = assigned.select("k", "block", "side", *cols).repartition("k", "block").sortWithinPartitions("k", "block", F.desc("side"), *cols)
     schema = T.StructType([T.StructField("k", key_type), T.StructField("field", T.StringType()), T.StructField("n", T.LongType())])
-    paired = rows.groupBy("k", "block").applyInPandas(assign, schema)
+    paired = ordered.mapInArrow(run, schema)
     if has_hot:
         paired = stage(paired.unionByName(in_rounds), "diff-report")
         taken = paired.filter(~F.col("field").startswith("missing_in_")).groupBy(F.col("k").alias("k2")).agg(F.sum("n").alias("taken"))
         dear = least_cost(hot, kinds).join(taken, F.col("k").eqNullSafe(F.col("k2"))).select("k", F.lit(NOT_CERTIFIED).alias("field"), (F.col("taken") - F.col("least")).alias("n"))
-        paired = paired.unionByName(dear.filter("n > 0"))
-    paired = paired.groupBy("k", "field").agg(F.sum("n").alias("n"))
-    return plain.unionByName(alone).unionByName(paired).select(F.col("k").alias("row_id"), "field", "n")
+        paired = paired.groupBy("k", "field").agg(F.sum("n").alias("n")).unionByName(dear.filter("n > 0"))
+    return alone.unionByName(paired).select(F.col("k").alias("row_id"), "field", "n")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.clean import folded, is_blank, time_ms
-from threadloom.operators.diff import NOT_CERTIFIED, diff_copies
+from threadloom.operators.diff import NOT_CERTIFIED, diff_copies, left_over
 from threadloom.operators.sessions import GAP_MS, sessions
 
 ENTITY_FIELDS = {
@@ -43,17 +43,31 @@ def p2_session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+COPIES = (("entities", "entities_replica", "id", ENTITY_FIELDS), ("memory_content", "memory_replica", "entity_id", MEMORY_FIELDS))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the newest versions of the two tables and their copies."""
     parts = []
-    for table, copy, key, fields in (("entities", "entities_replica", "id", ENTITY_FIELDS), ("memory_content", "memory_replica", "entity_id", MEMORY_FIELDS)):
+    for table, copy, key, fields in COPIES:
         report = diff_copies(read(spark, sf_dir, table), read(spark, sf_dir, copy), key, fields, version="updated_at")
         parts.append(report.filter(F.col("field") != NOT_CERTIFIED).select(F.lit(table).alias("tbl"), "row_id", "field"))
     return parts[0].unionByName(parts[1]).distinct()
 
 
 def p7_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities and their copy compared row by row, every delivery and version counted."""
-    return diff_copies(read(spark, sf_dir, "entities"), read(spark, sf_dir, "entities_replica"), "id", ENTITY_FIELDS, once=False)
+    """The tables and their copies compared row by row, every delivery and version counted."""
+    parts = [diff_copies(read(spark, sf_dir, t), read(spark, sf_dir, c), key, fields, once=False).select(F.lit(t).alias("tbl"), "row_id", "field", "n") for t, c, key, fields in COPIES]
+    return parts[0].unionByName(parts[1])
+
+
+def p7_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each id don't cancel, on either side: what goes into the assignment of p7_multiset."""
+    parts = []
+    for table, copy, key, fields in COPIES:
+        left = left_over(read(spark, sf_dir, table), read(spark, sf_dir, copy), key, fields, once=False)
+        parts.append(left.groupBy(F.col("k").alias("row_id")).agg(F.sum("n1").alias("left_main"), F.sum("n0").alias("left_copy")).withColumn("tbl", F.lit(table)))
+    return parts[0].unionByName(parts[1])
 
 
 TIME_SQL = r"""CASE WHEN regexp_full_match(ts, '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?')
@@ -71,6 +85,25 @@ found AS (SELECT root, invocation, min(ms) AS start_ms, max(ms) AS end_ms, count
 """
 
 
+_SECONDS = "CASE WHEN {x} > 1e11 THEN {x} / 1000 ELSE {x} END"
+
+
+def _left_sql(table: str, copy: str, key: str, fields: dict[str, str]) -> str:
+    """Rows that don't cancel, by id. A JSON object is its sorted pairs, as json(x) alone keeps the order of keys."""
+    forms = {
+        "epoch": _SECONDS,
+        "exact": "CAST({x} AS VARCHAR)",
+        "json": "CASE WHEN json_valid({x}) AND json_type({x}) = 'OBJECT' THEN CAST(list_sort(list_transform(json_keys({x}), lambda k: k || '=' || CAST(json_extract({x}, '$.\"' || k || '\"') AS VARCHAR))) AS VARCHAR) "
+        "WHEN json_valid({x}) THEN CAST(json({x}) AS VARCHAR) ELSE {x} END",
+    }
+    cols = ", ".join(f"{forms[kind].format(x=c)} AS f{i}" for i, (c, kind) in enumerate(fields.items()))
+    names = ", ".join(f"f{i}" for i in range(len(fields)))
+    return (
+        f"SELECT '{table}' AS tbl, row_id, CAST(sum(greatest(n1 - n0, 0)) AS BIGINT) AS left_main, CAST(sum(greatest(n0 - n1, 0)) AS BIGINT) AS left_copy FROM ("
+        f"SELECT row_id, {names}, sum(m) AS n1, sum(1 - m) AS n0 FROM (SELECT {key} AS row_id, 1 AS m, {cols} FROM {table} UNION ALL SELECT {key}, 0, {cols} FROM {copy}) GROUP BY ALL) WHERE n1 <> n0 GROUP BY row_id"
+    )
+
+
 def _changes_sql(table: str, copy: str, key: str, fields: dict[str, str]) -> str:
     # json(x) alone keeps the order of keys; the pairs of an object are sorted instead.
     same_json = (
@@ -78,7 +111,7 @@ def _changes_sql(table: str, copy: str, key: str, fields: dict[str, str]) -> str
         "THEN list_sort(list_transform(json_keys(a.{c}), lambda k: k || '=' || CAST(json_extract(a.{c}, '$.\"' || k || '\"') AS VARCHAR))) = list_sort(list_transform(json_keys(b.{c}), lambda k: k || '=' || CAST(json_extract(b.{c}, '$.\"' || k || '\"') AS VARCHAR))) "
         "ELSE CAST(json(a.{c}) AS VARCHAR) = CAST(json(b.{c}) AS VARCHAR) END ELSE a.{c} = b.{c} END"
     )
-    s = "CASE WHEN {x} > 1e11 THEN {x} / 1000 ELSE {x} END"
+    s = _SECONDS
     tests = []
     for c, kind in fields.items():
         if kind == "epoch":
@@ -97,7 +130,7 @@ def _changes_sql(table: str, copy: str, key: str, fields: dict[str, str]) -> str
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_session_stats": p2_session_stats, "p7_found": p7_found, "p7_multiset": p7_multiset}
+QUERIES = {f.__name__: f for f in (p2_found, p2_session_stats, p7_found, p7_multiset, p7_left)}
 ORACLE = {
     "p2_found": SESSIONS_SQL + "SELECT root, invocation, start_ms, end_ms, n_calls FROM found",
     "p2_session_stats": SESSIONS_SQL
@@ -107,4 +140,5 @@ ORACLE = {
     + ", "
     + _changes_sql("memory_content", "memory_replica", "entity_id", MEMORY_FIELDS)
     + " SELECT * FROM entities_d UNION ALL SELECT * FROM memory_content_d",
+    "p7_left": " UNION ALL ".join(_left_sql(*c) for c in COPIES),
 }

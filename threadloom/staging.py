@@ -2,25 +2,35 @@
 
 A staged table is an ordinary Parquet directory below ``spark.checkpoint.dir``. Unlike a local
 checkpoint it outlives lost executors, and unlike ``cache`` it never has to be computed again.
-The folder is read from the session; only where the session names none (tests, a laptop) is a
-folder below the system's temporary directory used.
+The folder is read from the session, which must name one that all executors reach; ``session.build_session``
+sets one for local runs. The tables of an application are deleted when it ends, or by ``discard``.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_roots: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for this application, without a trailing slash."""
+    """The shared folder for this application, without a trailing slash. Only a local session may do without a setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "threadloom-checkpoints")
-    return f"{base.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
+    root = f"{base.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_discard_quietly, spark)
+    return root
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -40,8 +50,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, folder = _file_system(spark, path)
+    fs.mkdirs(folder)
+
+
+def move_folder(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a folder; False if there is none."""
+    fs, folder = _file_system(spark, path)
+    return fs.exists(folder) and fs.rename(folder, _file_system(spark, to)[1])
+
+
 def discard(spark: SparkSession) -> None:
     """Delete every staged table of this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, folder = _file_system(spark, shared_dir(spark))
+    fs.delete(folder, True)
+
+
+def _discard_quietly(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        discard(spark)
