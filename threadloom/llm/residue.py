@@ -1,14 +1,17 @@
 """Template residue, filler and error pages in place of content.
 
-One pass of a multi-pattern automaton over each folded text (lower case, single spaces, no accents) finds the multilingual
-phrases of error pages, script notices and filler, the navigation of such pages, and everything that may open a placeholder.
-What it finds is then weighed against the text around it:
+One pass of a multi-pattern automaton over each folded text (lower case, single spaces, no accents) finds the phrases of
+``residue_phrases`` in seven languages and everything that may open a placeholder. What it finds is then weighed
+against the text around it:
 
-* an error page or notice: its phrases, together with navigation and request numbers, cover most of the document;
-* filler: a filler phrase, or words of the usual dummy Latin, covers most of the lines it stands on;
-* a placeholder stands in running text, in a line that doesn't speak about placeholders.
+* an error page or notice: its phrases, with what comes beside them, cover most of the document;
+* filler: filler phrases, words of the usual dummy Latin or keyboard runs cover most of the lines that they stand on;
+* a placeholder: more of them stand in the text than are spoken about. One is spoken about where it is the object or the
+  subject of the sentence as a string: right after words such as "prints", "the variable", "such as", right before
+  "placeholder" or "is replaced", first on a line that explains it, or in quotes.
 
-Fenced code, inline code and quotations are taken out first, so a document that shows, quotes or explains such strings isn't a case.
+Fenced, inline and indented code and quotations are taken out first, so a document that shows, quotes or explains such strings
+isn't a case. No length of a text, line, quotation or placeholder changes what is done.
 
 Scale: one row in, at most one row out; no shuffle. Memory is that of one text and the automaton.
 """
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -27,241 +30,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Share of a document that page phrases and navigation cover, and of its lines that filler covers, to be a case.
+from threadloom.llm import residue_phrases as known
+
+#: Share of a document that page phrases and what comes beside them cover, and of its lines that filler covers, to be a case.
 PAGE_COVERAGE = 0.6
 FILLER_COVERAGE = 0.6
 
-# Phrases are written folded: lower case, no accents, single spaces, no stop at the end.
-SCRIPT_NOTICES = """
-please enable javascript to view this page
-please enable javascript
-you need to enable javascript to run this app
-javascript is disabled in your browser
-javascript is required
-this page requires javascript
-enable javascript and cookies to continue
-javascript must be enabled
-without javascript this viewer cannot load
-your browser does not support javascript
-your browser does not support scripting or it is switched off
-this site requires scripts to be allowed
-this viewer only works with client-side scripting on
-scripts must be turned on in order to continue
-enable cookies and scripts, then refresh
-noscript: turn on js and reload
-checking your browser before opening the page
-checking your browser before accessing
-please verify you are human to continue
-please verify you are human
-verify that you are not a robot
-bitte aktivieren sie javascript, um fortzufahren
-bitte aktivieren sie javascript
-javascript ist in ihrem browser deaktiviert
-diese anwendung benotigt skripte
-diese seite benotigt javascript
-veuillez activer javascript pour afficher cette page
-veuillez activer javascript
-javascript est desactive dans votre navigateur
-cette application a besoin de scripts actifs
-cette page necessite javascript
-active javascript para ver esta pagina
-active javascript
-habilite javascript
-javascript esta desactivado en su navegador
-esta aplicacion necesita scripts
-esta pagina requiere javascript
-""".strip().split("\n")
-
-ERROR_PAGES = """
-page not found
-404 not found
-not found
-the page you requested could not be found
-the requested url was not found on this server
-the page you are looking for does not exist
-oops! that page can't be found
-oops! that page can’t be found
-resource does not exist or was moved
-this content is no longer available
-forbidden
-403 forbidden
-access denied
-access denied. you do not have permission to view this document
-you do not have permission to access this resource
-unauthorized
-bad request
-internal server error
-500 internal server error
-bad gateway
-502 bad gateway
-service unavailable
-503 service unavailable
-http error 503. the service is unavailable
-http error 500
-the service is unavailable
-gateway time-out
-gateway timeout
-upstream request timed out
-sorry, something went wrong on our end
-something went wrong
-the server encountered an unexpected condition and could not complete your request
-connection to the database could not be established
-error establishing a database connection
-too many requests. try again later
-too many requests
-we're down for maintenance and will be back shortly
-we’re down for maintenance and will be back shortly
-down for maintenance
-your session has expired. please sign in again
-your session has expired
-seite nicht gefunden
-die angeforderte seite existiert nicht
-die angeforderte seite wurde nicht gefunden
-zugriff verweigert
-interner serverfehler
-dienst nicht verfugbar
-ihre sitzung ist abgelaufen
-wartungsarbeiten
-page introuvable
-la page demandee n'existe pas
-la page demandee est introuvable
-acces refuse
-acces interdit
-erreur interne du serveur
-service indisponible
-votre session a expire
-pagina no encontrada
-la pagina solicitada no existe
-acceso denegado
-acceso prohibido
-error interno del servidor
-servicio no disponible
-su sesion ha caducado
-""".strip().split("\n")
-
-FILLER_PHRASES = """
-lorem ipsum dolor sit amet
-lorem text only for preview
-this is a dummy paragraph used to show the layout
-body copy to come
-body copy goes here
-your text goes here
-insert text here
-placeholder text
-sample text only
-dummy text
-text to follow
-content goes here
-content coming soon
-blindtext, bitte ersetzen
-hier steht blindtext
-dies ist ein blindtext
-platzhaltertext
-ceci est un texte d'exemple a remplacer
-faux texte
-texte de remplissage
-texte a venir
-aqui va el texto de relleno
-texto de relleno
-texto de ejemplo
-texto de prueba
-xxxx xxxx xxxxxx xxx
-replace this paragraph with your own words
-hier steht ein beispieltext
-asdf asdf jkl jkl qwer
-asdf asdf asdf
-add a short introduction in this box
-text text text, more text to follow
-blah blah blah blah
-test test 123 test
-heading goes here
-sample text goes here
-text goes here
-your description goes here, about two or three lines
-""".strip().split("\n")
-
-NAVIGATION = """
-home
-home page
-back
-go back
-back to start
-back to home
-return to home page
-contact
-contact us
-help
-search
-reload
-refresh
-log in
-login
-sign in
-zuruck
-zur startseite
-startseite
-hilfe
-suche
-neu laden
-anmelden
-retour
-accueil
-retour a l'accueil
-aide
-rechercher
-recharger
-connexion
-volver
-inicio
-volver al inicio
-ayuda
-buscar
-recargar
-""".strip().split("\n")
-
-DUMMY_LATIN = set(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo "
-    "consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
-)
-LATIN_SIGNS = ("lorem", "ipsum", "consectetur", "adipiscing", "eiusmod", "incididunt", "nostrud", "veniam", "labore", "dolore", "aliqua")
-
-NAME = r"[A-Za-z][A-Za-z0-9_. -]{0,40}?"
 #: What a template asks for. Brackets that also serve links, markup, emphasis or formulas count only around one of these.
-SLOT = (
-    r"(?:author|title|date|day|month|year|time|name|first name|last name|full name|version|status|state|owner|team|project|product|component|module|service|region|country|city|address|ticket|issue|milestone|release|scope|purpose|goal|"
-    r"contact|email|e-mail|phone|reviewer|approver|summary|description|subject|topic|client|customer|company|organi[sz]ation|department|role|amount|price|number|link|url|text|content|placeholder|value|"
-    r"autor|titel|datum|projekt|kunde|firma|auteur|titre|projet|client|entreprise|titulo|fecha|proyecto|cliente|empresa)"
+_ASKED = (
+    "author|title|date|day|month|year|time|name|firstname|lastname|surname|fullname|username|version|status|state|owner|team|project|product|component|module|service|region|country|city|address|ticket|issue|milestone|"
+    "release|scope|purpose|goal|contact|email|e-mail|phone|reviewer|approver|manager|summary|description|subject|topic|client|customer|recipient|company|organi[sz]ation|department|role|amount|price|number|link|url|text|content|"
+    "placeholder|value|autor|titel|datum|projekt|kunde|firma|nachname|vorname|ort|auteur|titre|projet|client|entreprise|nom|prenom|ville|titulo|fecha|proyecto|cliente|empresa|nombre|apellido|ciudad|nome|sobrenome|data|cidade|"
+    "projeto|naam|voornaam|achternaam|bedrijf|klant|cognome|azienda|progetto"
 )
-SLOT_NAME = rf"{SLOT}(?:[ _-]?(?:id|name|text|date|no|nr|here|\d+))?"
-#: Shapes that serve templates only, around any name.
-SURE = re.compile(
-    rf"\{{\{{\{{?\s*{NAME}\s*\}}?\}}\}}|\{{%-?\s*{NAME}\s*-?%\}}|<%[=-]?\s*{NAME}\s*%>|\$\{{\s*{NAME}\s*\}}|#\{{\s*{NAME}\s*\}}|%%{NAME}%%|%\({NAME}\)[sdf]|@@{NAME}@@|"
-    rf"\[(?:todo|tbd|tbc)\b[^\]\n]{{0,60}}\]|\[(?:your|enter|insert|add|type|ihr|ihre|votre|su)\s[^\]\n]{{1,60}}\]|\[[^\]\n]{{1,60}} (?:to be filled in|goes here|here)\]|"
-    rf"<(?:your|enter|insert|add)\s[^>\n]{{1,60}}>|<[^>\n]{{1,40}} here>|(?<!_)_{{3,}} ?\([A-Za-z][^)\n]{{0,40}}\)",
-    re.IGNORECASE,
+SLOT = rf"(?:[a-z]+[ _-])?(?:{_ASKED})(?:[ _-]?(?:id|name|text|date|address|number|no|nr|here|\d+))?"
+_IMPERATIVE = "your|enter|insert|add|type|write|choose|select|specify|describe|fill in|ihr|ihre|ihren|bitte|votre|inserer|saisir|su|tu|inserte|escriba|seu|sua|insira|uw|vul|inserisci|inserire"
+_OPEN_ENDED = r"todo|tbd|tbc|tba|fixme|to be (?:determined|defined|announced|filled in|completed|confirmed|decided)"
+#: Shapes by what opens them, matched at that place on the folded text. Those in LIKELY serve other aims too.
+SURE = {
+    "{{": r"\{\{\{?[#/^>&]?\s*[a-z_][^{}\n]*?\}?\}\}",
+    "{%": r"\{%-?\s*[a-z_][^%\n]*%\}",
+    "<%": r"<%[=-]?\s*[a-z_@][^%\n]*%>",
+    "${": r"\$\{\s*[a-z_][\w .-]*\}",
+    "#{": r"#\{\s*[a-z_@][\w .-]*\}",
+    "%%": r"%%[a-z][\w .-]*?%%",
+    "%(": r"%\([a-z][\w .-]*\)[sdf]",
+    "@@": r"@@[a-z][\w .-]*?@@",
+    "[": rf"\[(?:(?:{_OPEN_ENDED})\b[^\]\n]*|(?:{_IMPERATIVE})\s[^\]\n]+|[^\[\]\n]+ (?:to be filled in|goes here|here))\](?!\()",
+    "<": rf"<(?:(?:{_IMPERATIVE})\s[^<>\n]+|[^<>\n]+ (?:goes here|here))>",
+    "_": r"(?<!_)_{3,} ?\([a-z][^)\n]*\)|(?<![_\w] )(?<!\w)_{4,}[ .]*(?=\n|\Z)",
+    "[object": r"\[object object\]",
+    "error! ": r"error! (?:reference source not found|bookmark not defined)",
+    "xx.xx": r"\bxx\.xx\.(?:20)?(?:xx|\d\d)",
+    " ??": r"(?<=section|chapter|.figure|..table|...page) \?\?",
+    "tbd": r"(?<=: )tbd(?=\s*(?:\n|\Z))",
+}
+LIKELY = {
+    "[[": rf"\[\[\s*{SLOT}\s*\]\]",
+    "<<": rf"<<\s*{SLOT}\s*>>",
+    "«": rf"«\s*{SLOT}\s*»",
+    "<": rf"<\s*{SLOT}\s*>",
+    "{": rf"(?<![\w$#{{/=]){{\s*{SLOT}\s*\}}(?![/=])",
+    "[": rf"(?<![\w\]/]){re.escape('[')}\s*{SLOT}\s*\](?!\(|:)",
+    "_": rf"(?<!\w)__{SLOT}__(?!\w)",
+    "$": rf"(?<!\w)\${SLOT}\$(?!\w)",
+    "%": rf"(?<![\w%])%{SLOT}%(?![\w%])",
+    "@": rf"(?<![\w@])@{SLOT}@(?![\w@])",
+}
+#: What a renderer leaves where it found no value: after a greeting, or alone after a label.
+NO_VALUE = re.compile(
+    r"^\W*(?:dear|hello|hi|hey|welcome|liebe[r]?|hallo|cher|chere|bonjour|estimad[oa]|hola|ola|beste|gentile|ciao) (?:null|undefined|none|nan)\b|^\W*[\w' -]+: (?:undefined|null|nan)\W*$", re.MULTILINE
 )
-LIKELY = re.compile(
-    rf"\[\[\s*{SLOT_NAME}\s*\]\]|<<\s*{SLOT_NAME}\s*>>|«\s*{SLOT_NAME}\s*»|<\s*{SLOT_NAME}\s*>|(?<![\w$#{{]){{\s*{SLOT_NAME}\s*\}}|\[\s*{SLOT_NAME}\s*\](?!\()|(?<!\w)__{SLOT_NAME}__(?!\w)|(?<!\w)\${SLOT_NAME}\$(?!\w)",
-    re.IGNORECASE,
+_MARKS = "undefined", " null", ": nan", " none", " nan"
+#: Words right before a string that is spoken about (verbs that take it as their object, nouns that it explains, and what compares).
+_SAYS = (
+    "print|printed|prints|printing|show|shows|showed|shown|showing|display|displays|displayed|render|renders|rendered|write|writes|wrote|written|writing|use|uses|used|using|put|puts|see|sees|saw|contain|contains|contained|"
+    "containing|read|reads|say|says|said|output|outputs|emit|emits|emitted|expand|expands|expanded|replace|replaces|replaced|replacing|substitute|substitutes|substituted|parse|parses|parsed|match|matches|matched|reject|rejects|"
+    "rejected|accept|accepts|accepted|escape|escapes|escaped|export|exports|exported|set|sets|type|typed|nest|define|defines|defined|leave|leaves|left|keep|keeps|kept|remove|removes|removed|find|finds|found|return|returns|"
+    "returned|call|calls|called|pass|passes|support|supports|supported|mean|means|instead of|in place of|such as|like|named|namely|e\\.g\\.|i\\.e\\.|"
+    "druckt|druckte|zeigt|zeigte|schreibt|schrieb|enthalt|enthielt|ersetzt|ersetzte|verwendet|statt|wie|namens|imprime|imprimait|affiche|affichait|ecrit|contient|contenait|remplace|remplacait|utilise|comme|nomme|"
+    "imprimia|muestra|mostraba|escribe|contiene|reemplaza|sustituye|usa|como|mostra|mostrava|escreve|contem|substitui|toont|toonde|schrijft|bevat|vervangt|gebruikt|zoals|stampa|stampava|scrive|sostituisce|come"
 )
-#: What a renderer leaves where it found no value.
-LEFTOVER = re.compile(
-    r"\[object Object\]|Error! (?:Reference source not found|Bookmark not defined)|^\W*(?:dear|hello|hi|liebe[r]?|cher|chere|estimad[oa]) (?:null|undefined|none|nan)\b|^\W*[\w ]{2,30}: (?:undefined|null|NaN)\W*$|\bXX\.XX\.(?:20)?(?:XX|\d\d)|\b(?:section|chapter|figure|table|page) \?\?",
-    re.IGNORECASE,
+_NOUNS = (
+    "placeholders?|templates?|tags?|tokens?|variables?|macros?|markers?|syntax|expressions?|strings?|literals?|examples?|snippets?|patterns?|parameters?|keys?|blocks?|escapes?|interpolations?|"
+    "platzhaltern?|vorlagen?|variablen?|marken?|ausdruck|balises?|champs?|gabarits?|motifs?|exemples?|marcador(?:es)?|plantillas?|etiquetas?|ejemplos?|campos?|exemplos?|variaveis|variavel|sjablonen|sjabloon|variabelen?|"
+    "voorbeeld|segnaposto|marcatori|marcatore|variabil[ei]|esempio"
 )
-#: Words of sentences that speak about placeholders instead of holding one.
-ABOUT = re.compile(
-    r"\b(?:placeholders?|templates?|templating|syntax|escap\w*|literal\w*|render\w*|replac\w*|substitut\w*|interpolat\w*|expand\w*|print(?:s|ed|ing)?|export(?:er|ed|s)|emit(?:s|ted)|pars\w*|match\w*|regex\w*|reject\w*|contain\w*|"
-    r"belonged|covered by a test|instead of|such as|means?|message|shown|shows|showed|wrote|platzhalter\w*|vorlage\w*|ersetz\w*|gabarit\w*|modele\w*|remplac\w*|plantilla\w*|marcador\w*|reemplaz\w*|sustitu\w*)\b",
-    re.IGNORECASE,
+_ARTICLE = "the|a|an|any|each|every|only|just|literal|raw|plain|unfilled|empty|der|die|das|den|dem|le|la|les|un|une|el|los|las|una|o|os|as|um|uma|de|het|een|il|lo|i|gli"
+SPOKEN_BEFORE = re.compile(rf"(?:^|[^\w])(?:(?:{_SAYS})|(?:{_NOUNS})(?: (?:is|are|was|ist|est|es|e))?)[,:]?(?: (?:{_ARTICLE}))*[\s:(\"'“„«]*$")
+SPOKEN_AFTER = re.compile(
+    rf"^[\"'”“»)]*\s*(?:(?:{_NOUNS})\b|(?:stands? for|means?|expands?|denotes?|refers? to|evaluates?|prints?|becomes?|yields?|holds?|steht fur|bedeutet|signifie|significa|betekent)\b|"
+    r"(?:is|are|was|were|gets?|will be|must be|has been|wird|werden|wurde|est|sont|sera|se|e|sera|wordt|werd|viene|es)\s+(?:not |never |then |always |beim \w+ |par |por )*"
+    r"(?:replaced|substituted|expanded|filled|rendered|resolved|escaped|interpolated|printed|parsed|shown|ersetzt|ausgefullt|remplacee?|sustituye|sustituid[oa]|reemplaza\w*|substituid[oa]|vervangen|ingevuld|sostituit[oa]|wird|"
+    r"beim|durch)\b)"
 )
-SENTENCE_END = re.compile(r"[.!?][)\"'”»]*\s+")
+#: Neighbours of a placeholder in a list of several, each blotted out as one character.
+_ONE_OF_SEVERAL = re.compile(r"(?:\x00(?: ?,)? ?(?:(?:and|or|und|oder|et|ou|y|e|o|en|of) )?)+$")
+_MORE_OF_THEM = re.compile(r"(?:(?: ?,)? ?(?:(?:and|or|und|oder|et|ou|y|e|o|en|of) )?\x00)+")
+_EXPLAINED = re.compile(r"^\s*(?::|=|->|→|-|–|—)\s+\w+\W+\w+")
+_BULLET = re.compile(r"^[\s\W\d]*$")
+
 FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.MULTILINE | re.DOTALL)
 INLINE_CODE = re.compile(r"``[^\n]+?``|`[^`\n]+`")
-QUOTED = re.compile(r'"[^"\n]{2,300}"|“[^”\n]{2,300}”|„[^“”\n]{2,300}[“”]|«\s?[^»\n]{41,300}»')
-MARKUP = re.compile(r"</?(?:h[1-6]|p|div|span|b|i|em|strong|br|hr|center|noscript|html|head|body|ul|li|a)\b[^<>\n]{0,80}>", re.IGNORECASE)
-NUMBER_LINE = re.compile(r"^(?:(?:request|reference|error|incident|trace|ray|vorgang|requete|solicitud|code)\s?(?:id|no|nr)?[:. ]*)?[0-9a-f-]{1,36}$|^[\w-]+(?: [\w-]+)? viewer$")
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+CODE_LINE = re.compile(r"^\s*(?:\$ |>>> |#!|export \w+=|for \w+ in .*\bdo\b|(?:for|while|if|switch) ?\(|printf?\(|echo |curl |docker |git |import [\w.]+$|from [\w.]+ import |(?:const|let|var) \w+ ?=|return .*;$|[\w.]+\(.*\);?$)")
+QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]')
+GUILLEMETS = re.compile(r"«[^«»\n]*»")
+MARKUP = re.compile(r"</?(?:h[1-6]|p|div|span|b|i|em|strong|br|hr|center|noscript|html|head|body|ul|li|a|title)\b[^<>\n]*>", re.IGNORECASE)
+NUMBER_LINE = re.compile(r"^(?:(?:request|reference|error|incident|trace|ray|vorgang|requete|solicitud|code)\s?(?:id|no|nr)?[:. ]*)?(?:0x)?[0-9a-f./-]+$|^[\w-]+(?: [\w-]+)? viewer$")
+WITHIN = re.compile(r"[^\W_](?:.*[^\W_])?")
 
 
 def mended(text: str) -> str:
@@ -282,11 +138,11 @@ def mended(text: str) -> str:
 
 
 def folded(text: str) -> str:
-    """Lower case without accents; keeps line ends."""
+    """Lower case without accents, with straight apostrophes; keeps line ends."""
     text = text.lower()
     if text.isascii():
         return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return "".join(c for c in unicodedata.normalize("NFKD", text.replace("’", "'").replace("…", "...")) if not unicodedata.combining(c))
 
 
 @lru_cache(maxsize=1)
@@ -294,21 +150,27 @@ def automaton():
     import ahocorasick
 
     patterns: dict[str, str] = {}
-    for kind, words in (("page", SCRIPT_NOTICES), ("page", ERROR_PAGES), ("filler", FILLER_PHRASES), ("latin", LATIN_SIGNS)):
+    page = known.phrases(known.SCRIPT_NOTICES) | known.phrases(known.ERROR_PAGES) | known.statuses()
+    latin = {w for w in known.DUMMY_LATIN if len(w) >= 5}
+    for kind, words in (("page", page), ("filler", known.phrases(known.FILLER)), ("beside", known.phrases(known.BESIDE)), ("latin", latin), ("mash", [*known.MASH, *known.REPEATED])):
         for w in words:
             patterns.setdefault(w, kind)
-    for opener in ("{{", "{%", "<%", "${", "#{", "%%", "%(", "@@", "[[", "<<", "«", "__", "[object", "error! ", "undefined", " null", ": nan", "xx.xx", " ??"):
-        patterns.setdefault(opener, "slot")
-    for opener in "[<{$":
-        for letter in "abcdefghijklmnopqrstuvwxyz ":
-            patterns.setdefault(opener + letter, "slot")
     a = ahocorasick.Automaton()
+    openers = [*SURE, *LIKELY, *_MARKS]
     for p, kind in patterns.items():
-        a.add_word(p, (kind, len(p)))
+        a.add_word(p, ((kind,), len(p)))
+    for p in openers:
+        own = (patterns[p], "slot") if p in patterns else ("slot",)
+        a.add_word(p, (own, len(p)))
     a.make_automaton()
     return a
 
 
+@lru_cache(maxsize=1)
+def shapes() -> dict[str, list[re.Pattern]]:
+    return {p: [re.compile(s[p]) for s in (SURE, LIKELY) if p in s] for p in {*SURE, *LIKELY}}
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -323,20 +185,55 @@ def _letters(text: str) -> int:
     return sum(map(str.isalnum, text))
 
 
-def has_placeholder(line: str) -> bool:
-    """Whether a line of running text holds a placeholder or what a renderer left of one."""
-    if "&" in line:
-        line = unescape(line)
-    spans = [m.span() for shape in (LEFTOVER, LIKELY, SURE) for m in shape.finditer(line)]
+def placeholders(text: str, at: list[tuple[int, str]]) -> tuple[int, int]:
+    """(standing, spoken about) of the placeholders that open at ``at`` (place, opener) in a folded text with its line ends."""
+    spans = []
+    for start, opener in at:
+        for shape in shapes().get(opener, ()):
+            if m := shape.match(text, start):
+                inner = m[0].strip("<> ")
+                if not (m[0].startswith("<") and f"</{inner}>" in text):  # markup comes in pairs
+                    spans.append(m.span())
+    spans += [m.span() for m in NO_VALUE.finditer(text)] if any(o in _MARKS for _, o in at) else []
+    spans = _merged(spans)
     if not spans:
-        return False
-    bare = line
-    for shape in (LEFTOVER, LIKELY, SURE):
-        bare = shape.sub(lambda m: "|" * len(m[0]), bare)
-    # Sentence by sentence; an end of sentence within a placeholder is blotted out with it.
-    ends = [0, *[m.end() for m in SENTENCE_END.finditer(bare)], len(line) + 1]
-    at = {(ends[bisect_right(ends, i) - 1], ends[bisect_left(ends, j)]) for i, j in spans}
-    return any(not ABOUT.search(bare[i:j]) for i, j in at)
+        return 0, 0
+    bare, place = [], 0
+    for i, j in spans:
+        bare += [text[place:i], "\x00"]
+        place = j
+    pieces = "".join([*bare, text[place:]]).split("\n")
+    spoken = 0
+    for line in pieces:
+        here = line.find("\x00")
+        while here >= 0:
+            before, after = line[:here], line[here + 1 :]
+            quoted = before[-1:] in ("'", '"', "`", "‘", "“") and after[:1] in ("'", '"', "`", "’", "”")
+            explained = _BULLET.match(before) and _EXPLAINED.match(after)
+            more = _MORE_OF_THEM.match(after)
+            spoken += bool(quoted or explained or SPOKEN_BEFORE.search(_ONE_OF_SEVERAL.sub("", before)) or SPOKEN_AFTER.match(after[more.end() :] if more else after))
+            here = line.find("\x00", here + 1)
+    return len(spans) - spoken, spoken
+
+
+def _filler(plain: list[str], joined: str, starts: list[int], kinds: dict[str, list[tuple[int, int]]]) -> bool:
+    line_of = lambda x: bisect_right(starts, x) - 1
+    by_line: dict[tuple[int, int], int] = {}
+    for start, end in _merged(kinds.get("filler", [])):
+        lines = (line_of(start), line_of(end - 1))
+        by_line[lines] = by_line.get(lines, 0) + _letters(joined[start:end])
+    if any(n >= FILLER_COVERAGE * _letters(" ".join(plain[a : b + 1])) for (a, b), n in by_line.items()):
+        return True
+    for i in {line_of(start) for start, _ in kinds.get("latin", [])}:
+        words = re.findall(r"[^\W\d_]+", plain[i])
+        if len(words) >= 4 and sum(w in known.DUMMY_LATIN for w in words) >= FILLER_COVERAGE * len(words):
+            return True
+    for i in {line_of(start) for start, _ in kinds.get("mash", [])}:
+        words = re.findall(r"\w+", plain[i])
+        idle = [w for w in words if w in known.MASH or w in known.REPEATED]
+        if len(words) >= 3 and len(idle) == len(words) and len(set(words)) < len(words):
+            return True
+    return False
 
 
 def residue_kind(text: str | None) -> str | None:
@@ -348,47 +245,48 @@ def residue_kind(text: str | None) -> str | None:
         text = FENCE.sub(" ", text)
     if "`" in text:
         text = INLINE_CODE.sub(" ", text)
+    if "&" in text:
+        text = unescape(text)
     if '"' in text or "“" in text:
         text = QUOTED.sub(" ", text)
-    lines = [" ".join(line.split()) for line in text.split("\n")]
-    lines = [line for line in lines if line]
-    # Sentences of one line are looked at one by one only where something was found; folding may change lengths, so it goes line by line.
-    plain = [" ".join(MARKUP.sub(" ", folded(line)).split()) if "<" in line else folded(line) for line in lines]
+    if "«" in text:  # a name in guillemets may be a placeholder, several words are a quotation
+        text = GUILLEMETS.sub(lambda m: m[0] if len(m[0].split()) <= 4 else " ", text)
+    lines = [" ".join(line.split()) for line in text.split("\n") if not CODE_LINE.match(line)]
+    plain = [" ".join(MARKUP.sub(" ", folded(line)).split()) if "<" in line else folded(line) for line in lines if line]
+    plain = [line for line in plain if line]
     joined = " ".join(plain)
     kinds: dict[str, list[tuple[int, int]]] = {}
-    for end, (kind, size) in automaton().iter(joined):
+    at: list[tuple[int, str]] = []
+    for end, (found, size) in automaton().iter(joined):
         start = end + 1 - size
-        if kind == "slot":
-            kinds.setdefault(kind, [])
-        elif not (start and joined[start - 1].isalnum()) and not (end + 1 < len(joined) and joined[end + 1].isalnum()):
-            kinds.setdefault(kind, []).append((start, end + 1))
-    if ("slot" in kinds or any("<" in x or "&" in x for x in lines)) and any(has_placeholder(line) for line in lines):
-        return "placeholder"
-    if not kinds.keys() - {"slot"}:
+        for kind in found:
+            if kind == "slot":
+                at.append((start, joined[start : end + 1]))
+            elif not (start and joined[start - 1].isalnum()) and not (end + 1 < len(joined) and joined[end + 1].isalnum()):
+                kinds.setdefault(kind, []).append((start, end + 1))
+    if at:
+        standing, spoken = placeholders("\n".join(plain), at)
+        if standing and standing >= spoken:
+            return "placeholder"
+    if not kinds.keys() - {"beside"}:
         return None
-    starts, at = [], 0
+    starts, place = [], 0
     for line in plain:
-        starts.append(at)
-        at += len(line) + 1
-    line_of = lambda x: bisect_right(starts, x) - 1
-    for start, end in _merged(kinds.get("filler", [])):
-        around = " ".join(plain[line_of(start) : line_of(end - 1) + 1])
-        if _letters(joined[start:end]) >= FILLER_COVERAGE * _letters(around):
-            return "filler"
-    for i in {line_of(start) for start, _ in kinds.get("latin", [])}:
-        words = re.findall(r"[^\W\d_]+", plain[i])
-        if len(words) >= 4 and sum(w in DUMMY_LATIN for w in words) >= FILLER_COVERAGE * len(words):
-            return "filler"
+        starts.append(place)
+        place += len(line) + 1
+    if _filler(plain, joined, starts, kinds):
+        return "filler"
     if "page" in kinds:
-        covered = sum(_letters(joined[a:b]) for a, b in _merged(kinds["page"]))
-        whole = _letters(joined)
-        hit = {i for a, b in kinds["page"] for i in range(line_of(a), line_of(b - 1) + 1)}
-        neutral = set(NAVIGATION)
+        covered = _merged(kinds["page"] + kinds.get("beside", []))
+        n, whole = sum(_letters(joined[a:b]) for a, b in covered), _letters(joined)
+        line_of = lambda x: bisect_right(starts, x) - 1
+        hit = {i for a, b in covered for i in range(line_of(a), line_of(b - 1) + 1)}
         for i, line in enumerate(plain):
-            bare = EDGE.sub("", line) if len(line) <= 200 else line
-            if i not in hit and (bare in neutral or NUMBER_LINE.match(bare)):
+            inside = WITHIN.search(line)
+            bare = inside[0] if inside else ""
+            if i not in hit and (bare in known.NAVIGATION or NUMBER_LINE.match(bare)):
                 whole -= _letters(line)
-        if whole and covered >= PAGE_COVERAGE * whole:
+        if whole > 0 and n >= PAGE_COVERAGE * whole:
             return "page"
     return None
 
