@@ -123,10 +123,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("grp").alias("group_id"), "field", F.col("source").alias("source_id"))
 
 
+#: How much rows of each kind of partition weigh in the consensus, canon first; unknown ones weigh as the last.
+CLASS_WEIGHTS = (4.0, 2.0, 1.0, 1.0)
+#: A row this much older than its group's newest weighs three quarters of it, a very old one half.
+HALF_LIFE_S = 90 * 86_400.0
+
+
 def p6_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same groups, by the vote of their rows: the existing value closest to the consensus."""
+    """The same groups, by the vote of their rows, weighed by kind of partition and by age: the existing value closest to the consensus."""
     cells = _cells(spark, sf_dir).distinct()
-    return survivor.survivors(cells, ["place", "age"], weigh="votes").select(F.col("grp").alias("group_id"), "field", "value", F.col("source").alias("source_id"), "n_values", "n_rows", "distance")
+    newest = cells.groupBy("grp", "field").agg(F.min("age").alias("newest"))
+    behind = F.greatest(F.col("age") - F.col("newest"), F.lit(0.0))
+    recency = 0.5 + 0.5 * F.pow(F.lit(2.0), -behind / HALF_LIFE_S)
+    trust = F.element_at(F.array(*[F.lit(w) for w in CLASS_WEIGHTS]), F.col("place") + 1)
+    weighed = cells.join(newest, ["grp", "field"]).withColumn("weight", trust * recency).drop("newest")
+    return survivor.survivors(weighed, ["place", "age"], weigh="weight").select(F.col("grp").alias("group_id"), "field", "value", F.col("source").alias("source_id"), "n_values", "n_rows", "distance")
 
 
 def _sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
