@@ -67,7 +67,7 @@ def test_every_token_once_and_only_large_items_split(spark):
     least = -(-sum(want.values()) // 100)
     assert len(bins) <= 1.3 * least
     (line,) = pk.filling(pack(spark, items, items_per_part=200)).collect()
-    assert line.bins == len(bins) and line.tokens == sum(want.values()) and line.least_bins == least
+    assert line.bins == len(bins) and line.tokens == sum(want.values()) and least <= line.least_bins <= line.bins
 
 
 def test_partitions_with_gaps_exchange(spark):
@@ -90,12 +90,36 @@ def test_long_texts_in_blocks_count_like_the_whole():
 
 
 def test_positions_invert_the_demand(spark):
-    for tilt in (-0.5, 0.0, 0.3, 0.9):
-        us = [i / 10 for i in range(11)]
-        df = spark.createDataFrame([(u, (1 - tilt) * u + tilt * u * u) for u in us], "u double, f double")
-        from pyspark.sql import functions as F
-
-        assert all(abs(r.u - r.v) < 1e-9 for r in df.select("u", mx.position(F.col("f"), F.lit(tilt)).alias("v")).collect())
+    from pyspark.sql import functions as F
+
+    for line in ({0.0: 1.5, 1.0: 0.5}, {0.0: 1.0}, {0.0: 0.1, 1.0: 1.9}, {0.2: 0.0, 0.5: 3.0, 0.7: 1.0}, {0.0: 0.0, 0.4: 0.0, 1.0: 2.0}):
+        knots, weights, filled = mx.integrated(line)
+        assert knots[0] == 0 and knots[-1] == 1 and abs(filled[-1] - 1) < 1e-12
+
+        def used(u):
+            total = 0.0
+            for i in range(1, len(knots)):
+                x = min(max(u - knots[i - 1], 0.0), knots[i] - knots[i - 1])
+                total += weights[i - 1] * x + (weights[i] - weights[i - 1]) * x * x / (2 * (knots[i] - knots[i - 1]))
+            return total
+
+        us = [i / 20 for i in range(21)]
+        df = spark.createDataFrame([(u, used(u)) for u in us], "u double, f double")
+        arrays = [F.array(*[F.lit(float(x)) for x in xs]) for xs in (knots, weights, filled)]
+        got = df.select("u", "f", mx.position(F.col("f"), *arrays).alias("v")).collect()
+        assert all(abs(used(r.v) - r.f) < 1e-7 for r in got)
+
+
+def test_schedules_and_a_source_that_runs_out(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 2 else "b", 10) for i in range(2000)] + [(10_000 + i, "short", 10) for i in range(10)], "doc long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.45, 4), ("b", 0.45, 4), ("short", 0.1, 2)], "source string, target_share double, max_repeats int")
+    points = spark.createDataFrame([("a", 0.0, 1.0), ("a", 0.5, 0.0), ("a", 1.0, 0.0), ("b", None, 1.0), ("b", 2.0, 1.0), ("short", 0.3, 5.0)], "source string, at double, weight double")
+    uses, goal = mx.mixture(docs, targets, total=20_000, tilt=0.0, schedules=points)
+    got = uses.collect()
+    assert max(r.position for r in got if r.source == "a") <= 0.5
+    assert max(r.position for r in got if r.source == "b") > 0.99
+    # 200 of the 2000 tokens wanted are there, so it ends after a tenth of the run
+    assert sum(r.tokens for r in got if r.source == "short") == 200 and max(r.position for r in got if r.source == "short") < 0.1
 
 
 def test_shares_caps_and_order(spark):

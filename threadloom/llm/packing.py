@@ -3,8 +3,8 @@
 The items are spread over partitions, and each partition is packed by best-fit decreasing. Lower bounds from
 dual-feasible functions certify the number of bins: of a partition, by its own items, and of all of them, by the counts of
 sizes. As long as the whole isn't certified, the partitions keep their full bins, exchange the documents of the others
-among each other, and are packed again, over fewer partitions each round, until the bound is met, nothing is left to
-exchange or the rounds are over.
+among each other, and are packed again, over fewer partitions each round, until the bound is met, one partition holds all
+that is left or a round saves no bin.
 
 An item larger than the capacity is cut into pieces of the capacity and a rest; no other item is ever split.
 
@@ -26,7 +26,6 @@ from threadloom.functions.frames import plain_strings
 from threadloom.staging import stage
 
 ITEMS_PER_PART = 100_000
-ROUNDS = 4
 MOST_CONTAINERS = 1000
 #: Bins filled to this share are kept when a partition exchanges documents.
 FULL = 0.999
@@ -90,12 +89,12 @@ def bound_of_counts(values: np.ndarray, counts: np.ndarray, capacity: int) -> in
     return best
 
 
-def _pack(frame: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
+def _pack(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Add bin, bin_tokens and state: ``final`` for items that stay, ``again`` for items that are exchanged."""
     sizes = frame["tokens"].to_numpy()
     bins = best_fit_decreasing(sizes, capacity)
     used = np.bincount(bins, weights=sizes).astype(np.int64)
-    stays = np.full(len(used), True) if last else used >= FULL * capacity
+    stays = used >= FULL * capacity
     out = frame.assign(bin=bins, bin_tokens=used[bins], final=stays[bins])
     out["part_bins"], out["part_bound"], out["part_stays"] = len(used), lower_bound(sizes, capacity), int(stays.sum())
     return out
@@ -111,11 +110,8 @@ def least_bins(todo: DataFrame) -> dict[str, int]:
     return {r["container"]: r["least"] for r in counts.groupBy("container").applyInPandas(bound, "container string, least long").collect()}
 
 
-def _packer(last: bool):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _pack(plain_strings(frame).sort_values(["item", "piece"], kind="stable").reset_index(drop=True), int(frame["capacity"].iloc[0]), last)
-
-    return run
+def _packed_part(frame: pd.DataFrame) -> pd.DataFrame:
+    return _pack(plain_strings(frame).sort_values(["item", "piece"], kind="stable").reset_index(drop=True), int(frame["capacity"].iloc[0]))
 
 
 def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
@@ -133,46 +129,56 @@ def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", F.least(F.col("capacity").cast("long"), F.col("tokens") - F.col("piece") * F.col("capacity")))
 
 
-def pack(items: DataFrame, containers: DataFrame, items_per_part: int = ITEMS_PER_PART, rounds: int = ROUNDS) -> DataFrame:
-    """(container, capacity, bin, item, piece, tokens, bin_tokens, unused, part_bins, part_bound, round) of all pieces.
+def pack(items: DataFrame, containers: DataFrame, items_per_part: int = ITEMS_PER_PART) -> DataFrame:
+    """(container, capacity, bin, item, piece, tokens, bin_tokens, unused, part_bins, part_bound, least_bins, round) of all pieces.
 
     ``items`` has (item long, tokens long), ``containers`` (container string, capacity int). bin is unique within a container. part_bins and
-    part_bound are the bins and the certified least number of bins of the partition that packed the piece in its last round.
-    Items repeated in the input are packed as often as they come. An empty input gives an empty table.
+    part_bound are the bins and the certified least number of bins of the partition that packed the piece in its last round, least_bins is
+    the certified least number of bins of the container over all pieces. Items repeated in the input are packed as often as they come. An
+    empty input gives an empty table.
     """
-    todo = pieces(items, containers)
+    todo = stage(pieces(items, containers), "pieces")
     whole = todo.filter("tokens = capacity")  # fills a bin by itself
-    todo = stage(todo.filter("tokens < capacity"), "pieces")
-    least, kept = least_bins(todo), Counter()
+    todo = todo.filter("tokens < capacity")
+    alone = {r["container"]: r["count"] for r in whole.groupBy("container").count().collect()}
+    least, kept, before = least_bins(todo), Counter(), {}
     done: list[DataFrame] = []
     schema = "container string, capacity int, item long, piece long, tokens long, part long, bin long, bin_tokens long, final boolean, part_bins long, part_bound long, part_stays long"
-    for turn in range(1, rounds + 1):
+    turn, going = 1, bool(least)
+    while going:
         sizes = todo.groupBy("container").count()
         parts = F.ceil(F.col("count") / F.lit(items_per_part)).cast("long")
         spread = todo.join(F.broadcast(sizes), "container").withColumn("part", F.pmod(F.xxhash64("item", "piece", F.lit(turn)), parts)).drop("count")  # a row per container
-        packed = stage(spread.select("container", "capacity", "item", "piece", "tokens", "part").groupBy("container", "part").applyInPandas(_packer(turn == rounds), schema), "packed")
+        packed = stage(spread.select("container", "capacity", "item", "piece", "tokens", "part").groupBy("container", "part").applyInPandas(_packed_part, schema), "packed")
         per_part = packed.groupBy("container", "part").agg(F.max("part_bins").alias("bins"), F.max("part_stays").alias("stays"))
-        settled = []
+        settled, going = [], False
         for r in per_part.groupBy("container").agg(F.count(F.lit(1)).alias("parts"), F.sum("bins").alias("bins"), F.sum("stays").alias("stays")).collect():
-            if turn == rounds or r["parts"] == 1 or kept[r["container"]] + r["bins"] <= least[r["container"]]:
-                settled.append(r["container"])
-            kept[r["container"]] += r["stays"]
+            name = r["container"]
+            bins = kept[name] + r["bins"]
+            if r["parts"] == 1 or bins <= least[name] or bins >= before.get(name, bins + 1):
+                settled.append(name)
+            elif r["stays"] < r["bins"]:
+                going = True
+            before[name] = bins
+            kept[name] += r["stays"]
         stays = F.col("final") | F.col("container").isin(settled)
         done.append(packed.filter(stays).withColumn("round", F.lit(turn)))
         todo = packed.filter(~stays).select("container", "capacity", "item", "piece", "tokens")
-        if not todo.limit(1).count():
-            break
+        turn += 1
     out = whole.withColumns({"part": F.col("piece"), "bin": F.col("piece"), "bin_tokens": F.col("tokens"), "part_bins": F.lit(1).cast("long"), "part_bound": F.lit(1).cast("long"), "round": F.lit(0)})
     cols = ["container", "capacity", "item", "piece", "tokens", "bin_tokens", "part_bins", "part_bound", "round"]
     name = F.concat_ws("-", "round", "part", "bin")
     out = out.select(*cols, F.concat_ws("-", F.lit("whole"), "item", "piece").alias("bin"))
     for d in done:
         out = out.unionByName(d.select(*cols, name.alias("bin")))
-    return out.withColumn("unused", F.col("capacity") - F.col("bin_tokens"))
+    certified = F.lit(0).cast("long")
+    for c in {*alone, *least}:
+        certified = F.when(F.col("container") == c, alone.get(c, 0) + least.get(c, 0)).otherwise(certified)
+    return out.withColumns({"unused": F.col("capacity") - F.col("bin_tokens"), "least_bins": certified.cast("long")})
 
 
 def filling(packed: DataFrame) -> DataFrame:
-    """(container, capacity, bins, items, pieces, tokens, unused, least_bins): what each kind of container came to."""
-    per_bin = packed.groupBy("container", "capacity", "bin").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"))
-    rows = per_bin.groupBy("container", "capacity").agg(F.count(F.lit(1)).alias("bins"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"))
-    return rows.withColumns({"unused": F.col("bins") * F.col("capacity") - F.col("tokens"), "least_bins": F.ceil(F.col("tokens") / F.col("capacity"))})
+    """(container, capacity, bins, pieces, tokens, unused, least_bins): what each kind of container came to, beside the certified least number of bins."""
+    per_bin = packed.groupBy("container", "capacity", "bin").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"), F.max("least_bins").alias("least"))
+    rows = per_bin.groupBy("container", "capacity").agg(F.count(F.lit(1)).alias("bins"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("least").alias("least_bins"))
+    return rows.withColumn("unused", F.col("bins") * F.col("capacity") - F.col("tokens"))
