@@ -59,17 +59,54 @@ def test_word_pairs_break_at_stop_words_and_clauses(spark):
 
 
 def test_snippets():
-    assert text.kwic("one two three four five", ["three"], 11) == "… two «three» fou…".replace("… two", "…wo").replace("fou…", "fo…") or "«three»" in text.kwic("one two three four five", ["three"], 11)
-    assert text.kwic_line("a\n  the Word here\nb", ["word"]) == ("  the «Word» here", 1)
+    assert text.query_words("Tap tap a of tank") == ["tank", "tap", "of"]
+    assert text.kwic("one two three four five", ["three"], 15) == "…two «three» four…"
+    assert text.kwic("one two three four five", ["three"], 200) == "one two «three» four five"
+    assert text.kwic("The TapValve is\n\n open", ["tap"], 40) == "The «Tap»Valve is open"
+    assert text.kwic("nothing relevant", ["tap"]) == text.kwic(None, ["x"]) == text.kwic("x", []) == ""
+    assert text.kwic("a lens then a mirror", ["mirror", "lens"], 14) == "a «lens» then…"
+    assert text.kwic_line("a\n  the Word here\nb", ["word"]) == ("the «Word» here", 1)
+    assert text.kwic_line("a\n\n  the Word here\nb\n\nc", ["word"], around=2) == ("a\n\n  the «Word» here\nb", 2)
     assert text.kwic_line("nothing", ["word"]) is None
-    assert text.kwic(None, ["x"]) == ""
+
+
+CODE = "import os\nTANK_SIZE = 9  # default tank\n\ndef tank_level(x):\n    return x\n\nprint(tank_level(4))\n"
+
+
+def test_definition_lines():
+    assert text.definition_line(CODE, ["tank"], "tank_level") == ("def «tank»_level(x):", 3)
+    assert text.definition_line(CODE, ["mirror"], "tank_level", around=1) == ("def «tank_level»(x):\n    return x", 3)
+    assert text.definition_line(CODE, ["tank"], "TANK_SIZE") == ("«TANK»_SIZE = 9  # default tank", 1)
+    assert text.definition_line(CODE, ["tank"], "absent") is None and text.definition_line("", ["x"], "x") is None and text.definition_line(CODE, ["x"], None) is None
+
+
+def bound(t):
+    return [(p.word, p.antecedent) for p in text.pronouns(t) if p.antecedent]
 
 
 def test_pronouns():
-    found = text.pronouns("We met Alice Smith in town. She left early. The crown matters. We saw the crown. It was lost.")
-    assert [(p, a) for _, p, a, _ in found] == [("She", "Smith"), ("It", "crown")]
-    assert text.resolved("We met Alice. She left.", text.pronouns("We met Alice. She left.")) == "We met Alice. Alice left."
-    assert text.unresolved_opening("He went back. Then we left.") == [(0, "He")]
+    assert bound("We met Alice Smith in town. She left early. The crown matters. We saw the crown. It was lost.") == [("She", "Smith"), ("It", "crown")]
+    assert bound("Nora came. " + "Nothing here. " * 5 + "She left.") == []
+    assert bound("Tomorrow all ends. He was told.") == [] and bound("I'm late. He knows.") == []
+    alone, two = text.pronouns("Nora spoke. She sat.")[0], text.pronouns("Nora saw Vera. She sat.")[0]
+    assert (alone.confidence, two.confidence, alone.offset) == (0.5, 0.25, 12)
+    t = "Nora came. She sat. She spoke."
+    assert text.resolved(t, text.pronouns(t)) == "Nora came. Nora sat. Nora spoke."
+    assert text.resolved("something else", text.pronouns(t)) == "something else"
+    opening = lambda x: text.unresolved_opening(text.pronouns(x))
+    assert opening("He went back. Then we left.") == [(0, "He")] and opening("Nora went. She sat.") == []
+    assert text.dominant_person(t, text.pronouns(t)) == "Nora" and text.dominant_person("Vera rang. Vera waited.", []) == "Vera" and text.dominant_person("Vera rang.", []) is None
+
+
+def test_functions_for_sql(spark):
+    text.udfs(spark)
+    row = spark.sql("SELECT kwic('one two three', 'two') AS k, resolve_pronouns('Nora came. She sat.') AS r, kwic(null, 'x') AS n").first()
+    assert (row.k, row.r, row.n) == ("one «two» three", "Nora came. Nora sat.", "")
+
+
+@pytest.mark.parametrize("token, want", [("MCP", 1.0), ("Query", 1.0), ("first", 0.0), ("KeyError", 1.0), ("scan_prompt", 1.0), ("a.b::c", 1.0), ("ns/some-long-name1", 2.0), ("x" * 12, 0.5), ("A", 0.0)])
+def test_shapes(spark, token, want):
+    assert one(spark, names.shape_score, token) == want
 
 
 def test_slug_hash_globs_channels(spark):

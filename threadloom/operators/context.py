@@ -111,7 +111,7 @@ def locate(graph: Graph, name: str) -> DataFrame:
 def walk_context(graph: Graph, seeds: Sequence[int], degree: int = 1) -> DataFrame:
     """(id, score): walk entries for a context; deeper degrees restart less often and push further."""
     alpha, epsilon = {1: (0.30, 2e-4), 2: (0.15, 1e-4)}.get(degree, (0.10, 5e-5))
-    return walks.ppr_push(walks.adjacency(graph.links), list(seeds), alpha, epsilon, hops=min(degree, 3))
+    return walks.ppr_push(walks.adjacency(graph.links), list(seeds), alpha, epsilon)
 
 
 def graph_recall(symbolic: DataFrame | None, dense: DataFrame | None, k: int = 10) -> DataFrame:

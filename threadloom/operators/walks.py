@@ -75,71 +75,64 @@ def pagerank(edges: DataFrame, rounds: int = MOST_ROUNDS, damping: float = DAMPI
 
 
 def push(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, seeds: list[int], alpha: float = 0.15, epsilon: float = 1e-4, most: int = 200_000) -> dict[int, float]:
-    """Approximate personalised PageRank by lazy local pushes, first in first out; deterministic for edges in a given order."""
+    """Approximate personalised PageRank by lazy local pushes, first in first out; deterministic for edges in a given order.
+
+    A node is due while its rest exceeds epsilon times its weighted degree. The mass of seeds without edges stays where it is.
+    """
     near: dict[int, list[tuple[int, float]]] = {}
     for s, d, w in zip(src.tolist(), dst.tolist(), weight.tolist()):
         near.setdefault(s, []).append((d, w))
-    return push_known(near, {u: len(x) for u, x in near.items()}, seeds, alpha, epsilon, most)[0]
+    return push_known(near, {u: sum(w for _, w in x) for u, x in near.items()}, seeds, alpha, epsilon, most)[0]
 
 
-def push_known(near: dict[int, list[tuple[int, float]]], degrees: dict[int, int], seeds: list[int], alpha: float, epsilon: float, most: int) -> tuple[dict[int, float], set[int]]:
-    """What is settled by pushes over the nodes whose edges are known, and the nodes that are due but aren't known. A node without edges is never pushed."""
-    total = {u: sum(w for _, w in x) for u, x in near.items()}
-    seeds = [s for s in seeds if degrees.get(s)]
-    rest = {s: 1.0 / len(seeds) for s in seeds}
+def push_known(near: dict[int, list[tuple[int, float]]], degrees: dict[int, float], seeds: list[int], alpha: float, epsilon: float, most: int) -> tuple[dict[int, float], set[int]]:
+    """What is settled by pushes over the nodes whose edges are known, and the nodes that are due but aren't known. ``degrees`` are weighted."""
+    rest: dict[int, float] = {}
+    for s in seeds:
+        rest[s] = rest.get(s, 0.0) + 1.0 / len(seeds)
+    exceeds = lambda u: degrees.get(u, 0.0) > 0 and rest[u] > epsilon * degrees[u]
     settled: dict[int, float] = {}
-    due: set[int] = set()
-    queue, queued, done = deque(seeds), set(seeds), 0
+    unknown: set[int] = set()
+    queue = deque(u for u in rest if exceeds(u))
+    queued, done = set(queue), 0
     while queue and done < most:
         u = queue.popleft()
         queued.discard(u)
-        r = rest.get(u, 0.0)
-        if not degrees.get(u) or r < epsilon * degrees[u]:
-            continue
         if u not in near:
-            due.add(u)
+            unknown.add(u)
             continue
         done += 1
-        settled[u] = settled.get(u, 0.0) + alpha * r
-        moving = (1 - alpha) * r / 2
-        rest[u] = moving
+        mass = rest[u]
+        settled[u] = settled.get(u, 0.0) + alpha * mass
+        rest[u] = (1 - alpha) * mass / 2
+        share = rest[u] / degrees[u]
         for v, w in near[u]:
-            rest[v] = rest.get(v, 0.0) + moving * w / total[u]
-            if v not in queued and v not in due and rest[v] >= epsilon * degrees.get(v, 0):
+            rest[v] = rest.get(v, 0.0) + share * w
+            if v not in queued and v not in unknown and exceeds(v):
                 queue.append(v)
                 queued.add(v)
-        if rest[u] >= epsilon * len(near[u]) and u not in queued:
+        if u not in queued and exceeds(u):
             queue.append(u)
             queued.add(u)
-    return settled, due
-
-
-def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
-    """The edges among nodes within ``hops`` of the seeds (id)."""
-    reached = seeds.select("id").distinct()
-    for hop in range(hops):
-        reached = stage(reached.union(edges.join(reached.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))).distinct(), f"near-{hop}")
-    return edges.join(reached.withColumnRenamed("id", "src"), "src", "left_semi").join(reached.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return settled, unknown
 
 
-def ppr_push(edges: DataFrame, seeds: list[int], alpha: float = 0.15, epsilon: float = 1e-4, most: int = 200_000, hops: int | None = None) -> DataFrame:
-    """(id, score) by pushes from the seeds, with the result of ``push`` over all edges; with ``hops``, over the edges among nodes that near.
+def ppr_push(edges: DataFrame, seeds: list[int], alpha: float = 0.15, epsilon: float = 1e-4, most: int = 200_000) -> DataFrame:
+    """(id, score) by pushes from the seeds over all edges, with the result of ``push``.
 
-    A push settles alpha * epsilon for each edge of its node at least, so that the nodes pushed have 1 / (alpha * epsilon) edges together, whatever the size of the graph. Only
-    these nodes' edges are fetched, in rounds: pushes run over what is known, nodes that are due but not known are fetched, and the pushes start again. More than
-    ``MOST_LOCAL_EDGES`` edges are refused: ``pagerank`` with ``restart`` is the distributed walk.
+    A push settles alpha * epsilon for each unit of its node's weighted degree at least, so that the nodes pushed have edges of a weight of 1 / (alpha * epsilon)
+    together, whatever the size of the graph. Only these nodes' edges are fetched, in rounds: pushes run over what is known, nodes that are due but not known are fetched, and
+    the pushes start again. More than ``MOST_LOCAL_EDGES`` (five million) edges are refused: ``pagerank`` with ``restart`` is the distributed walk.
     """
     spark = edges.sparkSession
-    if hops is not None:
-        edges = neighbourhood(edges, spark.createDataFrame([(s,) for s in seeds], "id long"), hops)
     edges = stage(edges.select("src", "dst", "weight"), "push-edges")
-    degree = stage(edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree")), "push-degrees")
+    degree = stage(edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree")), "push-degrees")
     near: dict[int, list[tuple[int, float]]] = {}
-    degrees: dict[int, int] = {}
+    degrees: dict[int, float] = {}
     settled, due, held = {}, set(seeds), 0
     while due:
-        wanted = F.broadcast(spark.createDataFrame([(s,) for s in sorted(due)], "src long"))
-        found = edges.join(wanted, "src").join(degree, F.col("dst") == F.col("id"), "left").select("src", "dst", "weight", F.coalesce("degree", F.lit(0)).alias("degree")).limit(MOST_LOCAL_EDGES - held + 1).collect()
+        wanted = spark.createDataFrame([(s,) for s in sorted(due)], "src long")
+        found = edges.join(wanted, "src").join(degree, F.col("dst") == F.col("id"), "left").select("src", "dst", "weight", F.coalesce("degree", F.lit(0.0)).alias("degree")).limit(MOST_LOCAL_EDGES - held + 1).collect()
         held += len(found)
         if held > MOST_LOCAL_EDGES:
             raise ValueError(f"more than {MOST_LOCAL_EDGES} edges around the seeds")
@@ -147,11 +140,23 @@ def ppr_push(edges: DataFrame, seeds: list[int], alpha: float = 0.15, epsilon: f
         for r in sorted(found, key=lambda r: (r["src"], r["dst"])):
             near[r["src"]].append((r["dst"], r["weight"]))
             degrees[r["dst"]] = r["degree"]
-        degrees |= {u: len(near[u]) for u in due}
+        degrees |= {u: sum(w for _, w in near[u]) for u in due}
         settled, due = push_known(near, degrees, seeds, alpha, epsilon, most)
     return spark.createDataFrame(sorted(settled.items()), "id long, score double")
 
 
+def related(links: DataFrame, entities: DataFrame, seeds: list[int], k: int = 10, kinds: tuple[str, ...] | None = ("concept",), with_seeds: bool = True, alpha: float = 0.15, epsilon: float = 1e-4) -> DataFrame:
+    """(id, name, kind, score, seed): the k nodes that a walk from the seeds visits most, of the kinds asked for; cards of sessions and digests are left out."""
+    edges = adjacency(links, entities)
+    found = ppr_push(edges, seeds, alpha, epsilon)
+    names = entities.filter(~F.coalesce(F.col("name").rlike(OPERATIONAL), F.lit(False))).select("id", "name", "kind").dropDuplicates(["id"])
+    if kinds:
+        names = names.filter(F.col("kind").isin(list(kinds)))
+    rows = found.join(names, "id").withColumn("seed", F.col("id").isin(seeds) if seeds else F.lit(False))
+    rows = rows if with_seeds else rows.filter(~F.col("seed"))
+    return rows.select("id", "name", "kind", "score", "seed").orderBy(F.desc("score"), "id").limit(k)
+
+
 def clique(edges: DataFrame, seeds: DataFrame, weight: float = 2.0) -> DataFrame:
     """Edges plus ``weight`` between any two of the seeds (a prompt's few concepts) that are in the graph."""
     known = edges.select(F.col("src").alias("id")).distinct().join(seeds.select("id").distinct(), "id")
@@ -180,7 +185,7 @@ def degree_walk(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float
     wave = starts.select("id", F.col("weight").alias("w"), F.array(F.col("id")).alias("from"))
     seen = wave
     for hop in range(hops):
-        go = wave.orderBy(F.desc("w"), "id").limit(frontier)
+        go = wave.orderBy(F.desc(F.round("w", 12)), "id").limit(frontier)
         wave = moves.join(go, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(
             (F.sum(F.col("w") * F.col("share")) * decay ** (hop + 1)).alias("w"), F.array_distinct(F.flatten(F.collect_set("from"))).alias("from")
         )

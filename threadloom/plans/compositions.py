@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.graph import read, store_graph
 from threadloom.functions import render
+from threadloom.functions.clean import epoch_seconds
+from threadloom.graph import read, store_graph
 from threadloom.operators import context, dsl, vectors, walks
 from threadloom.plans.set_algebra import A, STORE
 from threadloom.plans.store_changes import _doc_concepts
@@ -69,15 +70,20 @@ def federated_query(spark, sf_dir):
 
 
 def concept_timeline(spark, sf_dir):
-    """Documents collected for the files in a concept's footprint, in order of time."""
+    """What happened to the files in a concept's footprint, in order of time, by the copy of the entities."""
     g = store_graph(spark, sf_dir)
     files = walks.footprint(g.links, dsl.resolve(g, [A]), 0, 1_000_000)
-    events = read(spark, sf_dir, "documents").filter("path IS NOT NULL").select(F.col("collected_at").alias("ts"), F.coalesce("source", F.lit("?")).alias("what"), "path")
+    rows = read(spark, sf_dir, "entities_replica").filter("path != ''")
+    events = rows.select(epoch_seconds(F.col("updated_at")).alias("ts"), F.coalesce("kind", F.lit("?")).alias("what"), "path")
     return context.timeline(files, g.entities, events)
 
 
 QUERIES = {f.__name__: f for f in (context_bundle, describe, scan_prompts, match_prompts, locate, gmd_parse, gmd_nodes, compile_subjects, context_text, federated_query, concept_timeline)}
 ORACLE = {
+    "concept_timeline": STORE
+    + f", i AS (SELECT concept_id FROM con WHERE name = '{A}' OR canonical_name = '{A}'), p AS (SELECT DISTINCT path AS own FROM ent WHERE path <> '' AND id IN (SELECT entity_id FROM lnk WHERE concept_id IN (SELECT concept_id FROM i))), "
+    "v AS (SELECT CASE WHEN updated_at > 1e11 THEN updated_at / 1000 ELSE updated_at END AS ts, coalesce(kind, '?') AS what, path FROM entities_replica WHERE path <> '') "
+    "SELECT DISTINCT ts, what, path, 0 AS hop FROM v JOIN p ON string_split(path, '/')[-1] = string_split(own, '/')[-1] AND (path = own OR ends_with(path, '/' || own) OR ends_with(own, '/' || path))",
     "federated_query": STORE
     + f", i AS (SELECT concept_id FROM con WHERE name IN ('overview', 'usage', 'setup') OR canonical_name IN ('overview', 'usage', 'setup')), s AS (SELECT p.k AS part, p.v AS project FROM (VALUES (3, 'one'), (2, 'two')) p(k, v)), f AS (SELECT DISTINCT project, l.entity_id, e.kind, e.name FROM lnk l JOIN ent e ON e.id = l.entity_id JOIN s ON s.part = e.partition_id JOIN ent c ON c.id = l.concept_id AND c.partition_id = s.part WHERE l.concept_id IN (SELECT concept_id FROM i)) SELECT project, entity_id, kind, name FROM f QUALIFY row_number() OVER (PARTITION BY kind, name, project ORDER BY entity_id) = 1 ORDER BY project, entity_id LIMIT 1000",
     "locate": STORE

@@ -26,6 +26,14 @@ men AS (SELECT * FROM lnk WHERE linkage = 'mentions')
 """
 
 
+#: Of (name, leaf).
+SHAPE_SQL = (
+    "(CASE WHEN regexp_matches(leaf, '\\p{Lu}') AND regexp_matches(leaf, '\\p{Ll}') THEN 1 ELSE 0 END + CASE WHEN leaf = upper(leaf) AND leaf <> lower(leaf) AND length(leaf) >= 2 THEN 1 ELSE 0 END "
+    "+ CASE WHEN contains(leaf, '_') OR contains(leaf, '.') OR contains(leaf, '-') OR contains(name, '::') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(leaf, '\\d') THEN 0.5 ELSE 0 END "
+    "+ CASE WHEN length(leaf) >= 12 THEN 0.5 ELSE 0 END)::DOUBLE"
+)
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_links(spark, sf_dir).withColumnRenamed("concept", "concept_id")
 
@@ -187,7 +195,8 @@ ORACLE = {
     + f", r AS (SELECT concept_id AS qid, entity_id AS doc, row_number() OVER (PARTITION BY concept_id ORDER BY weight DESC, entity_id) AS rank FROM men WHERE concept_id IN ({_IN})), g AS (SELECT concept_id AS qid, entity_id AS doc, row_number() OVER (PARTITION BY concept_id ORDER BY entity_id) AS best FROM lnk WHERE linkage = 'lead' AND concept_id IN ({_IN})), i AS (SELECT qid, count(*) AS n, sum(CASE WHEN best <= 10 THEN 1 / log2(best + 1) ELSE 0 END) AS idcg FROM g GROUP BY 1), h AS (SELECT qid, min(rank) AS first, count(*) AS found, sum(1 / log2(rank + 1)) AS dcg FROM r JOIN g USING (qid, doc) WHERE rank <= 10 GROUP BY 1) SELECT qid, round(coalesce(1.0 / first, 0), 6) AS mrr, round(coalesce(found / n, 0), 6) AS recall, round(coalesce(dcg / idcg, 0), 6) AS ndcg FROM i LEFT JOIN h USING (qid)",
     "salience": DOCS
     + """, g AS (SELECT concept_id AS name, count(*) AS degree, count(*) FILTER (WHERE linkage = 'mentions') AS df, coalesce(max(weight) FILTER (WHERE linkage = 'mentions'), 0) AS max_tf FROM lnk GROUP BY 1),
-p AS (SELECT *, (name LIKE '%\\_%' ESCAPE '\\')::INT + regexp_matches(name, '[./]|::')::INT + regexp_matches(name, '[a-z][A-Z]|[A-Z]{2,}[a-z]')::INT + regexp_matches(name, '\\d')::INT AS shape, name LIKE '%/%' AS spaced, 2 + 0.1 * least(degree, 10) AS central FROM g)
+l AS (SELECT *, string_split(string_split(name, '/')[-1], '::')[-1] AS leaf FROM g),
+p AS (SELECT *, """ + SHAPE_SQL + """ AS shape, name LIKE '%/%' AS spaced, 2 + 0.1 * least(degree, 10) AS central FROM l)
 SELECT name, round(0.3 * central * CASE WHEN shape = 0 AND NOT spaced THEN CASE WHEN max_tf <= 0 THEN 0 ELSE least(1.0, log2(max_tf + 1) / log2(9)) END ELSE 1 END
   + CASE WHEN df > 0 THEN 0.25 * log2(greatest(1.0, (SELECT count(*) FROM documents) / df)) ELSE 0 END + shape + CASE WHEN spaced THEN 0.5 ELSE 0 END, 6) AS salience FROM p""",
     "substring_search": "SELECT e.id AS entity_id, name, e.created_at AS made FROM (SELECT DISTINCT * FROM entities WHERE kind = 'memory') e LEFT JOIN (SELECT DISTINCT * FROM memory_content) m ON e.id = m.entity_id WHERE lower(concat_ws(chr(10), name, content)) LIKE '%watermark%' ORDER BY 3 DESC NULLS LAST, 1 LIMIT 200",

@@ -87,13 +87,29 @@ def called_by(graph: Graph) -> DataFrame:
 
 
 def canon_siblings(graph: Graph) -> DataFrame:
-    """Pairs of entities in different partitions that are the same as one canonical concept."""
-    same = graph.links.filter("linkage = 'same-as'").select("concept_id", "entity_id").join(graph.entities.select(F.col("id").alias("entity_id"), "partition_id"), "entity_id")
-    a, b = (same.select("concept_id", F.col("entity_id").alias(s), F.col("partition_id").alias(f"p{s}")) for s in "ab")
-    spread = same.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"), F.min("partition_id").alias("lo"), F.max("partition_id").alias("hi"))
-    # The pairs of a small hub are listed; canon_members has the hubs of every size.
-    small = spread.filter("n <= 20 AND lo != hi").select("concept_id")
-    return a.join(small, "concept_id", "left_semi").join(b, "concept_id").filter("a < b AND pa != pb").select("a", "b").distinct()
+    """Every entity that is the same as others in another partition, through a canonical concept: how many those are, and the hub's smallest entity, which stands for it.
+
+    Pairs aren't written out, as a hub may have any number of members; ``siblings_of`` gives the siblings of chosen entities.
+    """
+    same = canon_members(graph)
+    here = same.groupBy("concept_id", "partition_id").agg(F.count(F.lit(1)).alias("own"))
+    hub = here.groupBy("concept_id").agg(F.sum("own").alias("members"))
+    least = same.groupBy("concept_id").agg(F.min("entity_id").alias("representative"))
+    rows = same.join(here, ["concept_id", "partition_id"]).join(hub, "concept_id").join(least, "concept_id")
+    return rows.withColumn("siblings", F.col("members") - F.col("own")).filter("siblings > 0").select("concept_id", "entity_id", "siblings", "representative")
+
+
+def siblings_of(graph: Graph, chosen: DataFrame) -> DataFrame:
+    """(entity_id, sibling): all siblings, in other partitions, of the chosen entities (entity_id)."""
+    same = canon_members(graph)
+    own = same.join(chosen.select("entity_id").distinct(), "entity_id", "left_semi")
+    other = same.select("concept_id", F.col("entity_id").alias("sibling"), F.col("partition_id").alias("there"))
+    return own.join(other, "concept_id").filter("partition_id != there").select("entity_id", "sibling").distinct()
+
+
+def siblings_of_noted(graph: Graph) -> DataFrame:
+    """The siblings of the entities that reinforce a concept."""
+    return siblings_of(graph, graph.links.filter("linkage = 'reinforces'").select("entity_id"))
 
 
 def canon_members(graph: Graph) -> DataFrame:
@@ -116,11 +132,13 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities whose path ends in a file name of the documents: the last parts are joined instead of comparing all pairs."""
+    """Files of documents by their whole path, and the entities whose own path is its end: the last parts are joined, then the suffix is tested."""
     tail = lambda c: F.element_at(F.split(c, "/"), -1)
-    files = read(spark, sf_dir, "documents").filter("path != ''").select(tail(F.col("path")).alias("file")).distinct()
-    e = read(spark, sf_dir, "entities").filter("path != ''").select("id", tail(F.col("path")).alias("file")).distinct()
-    return e.join(files, "file").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    e = read(spark, sf_dir, "entities").distinct().filter("path != ''").withColumn("file", tail(F.col("path")))
+    roots = read(spark, sf_dir, "partitions").select(F.col("id").alias("partition_id"), "root_path")
+    files = e.filter("kind = 'doc'").join(roots, "partition_id").select("file", F.concat_ws("/", "root_path", "path").alias("whole")).distinct()
+    found = files.join(e.select("id", "file", "path"), "file").filter(F.col("whole").endswith(F.concat(F.lit("/"), "path")))
+    return found.groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
 QUERIES = {
@@ -147,6 +165,7 @@ QUERIES = {
     "siblings": _on_graph(siblings),
     "called_by": _on_graph(called_by),
     "canon_siblings": _on_graph(canon_siblings),
+    "siblings_of": _on_graph(siblings_of_noted),
     "canon_members": _on_graph(canon_members),
     "canon_hubs": _on_graph(canon_hubs),
     "partition_merge_classify": classify,
@@ -182,9 +201,12 @@ ORACLE = {
     "called_by": STORE
     + "SELECT DISTINCT a.entity_id AS caller, b.entity_id AS callee FROM lnk a JOIN lnk b USING (concept_id) WHERE a.linkage = 'calls' AND b.linkage = 'defines' AND a.entity_id <> b.entity_id",
     "canon_siblings": STORE
-    + ", s AS (SELECT concept_id, entity_id, partition_id, count(*) OVER (PARTITION BY concept_id) AS n FROM lnk JOIN ent ON id = entity_id WHERE linkage = 'same-as') SELECT DISTINCT x.entity_id AS a, y.entity_id AS b FROM s x JOIN s y USING (concept_id) WHERE x.n <= 20 AND x.entity_id < y.entity_id AND x.partition_id <> y.partition_id",
+    + ", s AS (SELECT concept_id, entity_id, count(*) OVER (PARTITION BY concept_id) - count(*) OVER (PARTITION BY concept_id, partition_id) AS siblings, min(entity_id) OVER (PARTITION BY concept_id) AS representative FROM lnk JOIN ent ON id = entity_id WHERE linkage = 'same-as') SELECT * FROM s WHERE siblings > 0",
+    "siblings_of": STORE
+    + ", s AS (SELECT concept_id, entity_id, partition_id FROM lnk JOIN ent ON id = entity_id WHERE linkage = 'same-as') SELECT DISTINCT x.entity_id, y.entity_id AS sibling FROM s x JOIN s y USING (concept_id) WHERE x.partition_id <> y.partition_id AND x.entity_id IN (SELECT entity_id FROM lnk WHERE linkage = 'reinforces')",
     "canon_members": STORE + "SELECT concept_id, entity_id, partition_id FROM lnk JOIN ent ON id = entity_id WHERE linkage = 'same-as'",
     "canon_hubs": STORE + "SELECT concept_id, count(*) AS variants, count(DISTINCT partition_id) AS partitions FROM lnk JOIN ent ON id = entity_id WHERE linkage = 'same-as' GROUP BY 1",
     "partition_merge_classify": "WITH ent AS (SELECT DISTINCT * FROM entities WHERE name IS NOT NULL), s AS (SELECT kind, name, min(id) AS src_id FROM ent WHERE partition_id = 2 GROUP BY 1, 2), d AS (SELECT kind, name, min(id) AS dst_id FROM ent WHERE partition_id = 1 GROUP BY 1, 2) SELECT src_id, dst_id, CASE WHEN dst_id IS NULL THEN 'reparent' ELSE 'collide' END AS action FROM s LEFT JOIN d USING (kind, name)",
-    "path_suffix": "WITH f AS (SELECT DISTINCT string_split(path, '/')[-1] AS file FROM documents WHERE path <> ''), e AS (SELECT DISTINCT id, string_split(path, '/')[-1] AS file FROM entities WHERE path <> '') SELECT file, count(*) AS n FROM e JOIN f USING (file) GROUP BY 1",
+    "path_suffix": "WITH e AS (SELECT DISTINCT * FROM entities WHERE path <> ''), f AS (SELECT DISTINCT root_path || '/' || path AS whole FROM e JOIN partitions p ON p.id = e.partition_id WHERE e.kind = 'doc') "
+    "SELECT whole, count(*) AS n, min(id) AS first FROM f JOIN e ON string_split(whole, '/')[-1] = string_split(path, '/')[-1] AND ends_with(whole, '/' || path) GROUP BY 1",
 }

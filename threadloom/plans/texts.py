@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import names, text
 from threadloom.graph import read
+from threadloom.plans.retrieval import SHAPE_SQL
 from threadloom.plans.store_analytics import entities, memories
 from threadloom.staging import spread
 
-SHAPE = r"regexp_matches({x}, '_')::INT + regexp_matches({x}, '[./]|::')::INT + regexp_matches({x}, '[a-z][A-Z]|[A-Z]{{2,}}[a-z]')::INT + regexp_matches({x}, '\d')::INT"
-
 
 def canonicalize(spark, sf_dir):
     return entities(spark, sf_dir).filter("name IS NOT NULL").select("name").distinct().select("name", names.canonicalize(F.col("name")).alias("canonical"))
@@ -75,13 +74,18 @@ def coref(spark, sf_dir):
     return text.with_pronouns(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def coref_links(spark, sf_dir):
+    """How often each antecedent is meant, by document."""
+    return text.antecedent_counts(coref(spark, sf_dir), "doc_id")
+
+
 def memory_index(spark, sf_dir):
     e = entities(spark, sf_dir).filter("kind = 'memory'").select(F.col("id").alias("entity_id"), "name", "tldr")
     rows = e.join(memories(spark, sf_dir).select("entity_id", "mtype"), "entity_id", "left")
     return rows.select("entity_id", text.index_line(F.col("name"), F.col("mtype"), F.col("tldr")).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (canonicalize, name_variants, shape_scores, leaf_index, query_terms, stems, pair_index, slugs, member_hashes, references, tag_taxonomy, kwic, coref, memory_index)}
+QUERIES = {f.__name__: f for f in (canonicalize, name_variants, shape_scores, leaf_index, query_terms, stems, pair_index, slugs, member_hashes, references, tag_taxonomy, kwic, coref, coref_links, memory_index)}
 
 ENT = "WITH ent AS (SELECT DISTINCT * FROM entities), mem AS (SELECT DISTINCT * FROM memory_content)"
 _STOPS = ", ".join(f"'{w}'" for w in names.SEARCH_STOPWORDS)
@@ -89,8 +93,47 @@ _STEM = "CASE " + " ".join(
     f"WHEN length(word) > {len(s) + 3} AND ends_with(word, '{s}')" + (" AND NOT regexp_matches(word, '[sui]s$')" if s == "s" else "") + f" THEN substr(word, 1, length(word) - {len(s)})" + (" || 'y'" if s in ("ies", "ied") else "")
     for s in text.SUFFIXES
 ) + " ELSE word END"
+
+
+def _in(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words)) + ")"
+
+
+# Pronouns: texts in tiles; by document and class, the latest candidate before each pronoun and where the latest one of another name was.
+_COREF = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_''-]*|[^A-Za-z]+') AS tiles FROM documents),
+u AS (SELECT doc_id, unnest(tiles) AS tile, generate_subscripts(tiles, 1) AS i FROM t),
+v AS (SELECT doc_id, i, tile, sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY i) - length(tile) AS pos,
+  sum(CASE WHEN regexp_matches(tile, '^[A-Za-z]') THEN 0 ELSE len(regexp_extract_all(tile, '[.!?]\s+|
+{{2,}}')) END) OVER (PARTITION BY doc_id ORDER BY i) AS sent, lag(tile) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM u),
+w AS (SELECT *, lower(tile) AS low, before IS NULL OR regexp_matches(before, '([.!?]\s+|
+{{2,}})$') AS opens FROM v WHERE regexp_matches(tile, '^[A-Za-z]')),
+n AS (SELECT doc_id, low, count(DISTINCT sent) AS n_sent FROM w GROUP BY ALL),
+k AS (SELECT *, low IN {_in(text.PERSON | text.THING)} AS pro, contains(tile, chr(39)) OR low IN {_in(text.NO_NAME | text.VERBLIKE | set(names.SEARCH_STOPWORDS))} AS never, regexp_matches(tile, '^[A-Z]') AS big FROM w JOIN n USING (doc_id, low)),
+c AS (SELECT *, CASE WHEN pro THEN low IN {_in(text.PERSON)} ELSE big END AS person,
+  NOT pro AND NOT never AND CASE WHEN big THEN length(tile) >= 2 AND NOT (opens AND low IN {_in(text.OPENERS)}) ELSE length(tile) >= 3 AND tile = low AND n_sent >= 2 END AS cand FROM k),
+d AS (SELECT *, lag(low) OVER x AS low0, lag(sent) OVER x AS sent0 FROM c WHERE cand WINDOW x AS (PARTITION BY doc_id, person ORDER BY i)),
+e AS (SELECT doc_id, person, i, tile, sent, pos, pro, tile AS name, sent AS seen, CASE WHEN low0 <> low THEN sent0 END AS rival FROM d UNION ALL SELECT doc_id, person, i, tile, sent, pos, pro, NULL, NULL, NULL FROM c WHERE pro),
+f AS (SELECT *, last_value(name IGNORE NULLS) OVER x AS ante, last_value(seen IGNORE NULLS) OVER x AS last_at, last_value(rival IGNORE NULLS) OVER x AS other FROM e WINDOW x AS (PARTITION BY doc_id, person ORDER BY i ROWS UNBOUNDED PRECEDING)),
+found AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, tile AS pronoun, ante AS antecedent, round(1.0 / (1 + sent - last_at) / CASE WHEN sent - other <= 3 THEN 2 ELSE 1 END, 3)::DOUBLE AS confidence FROM f WHERE pro AND sent - last_at <= 3)
+"""
+_KWIC = r"""
+WITH d AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents WHERE regexp_matches(lower(text), 'watermark|tombstone')),
+h AS (SELECT *, least(coalesce(nullif(instr(lower(flat), 'watermark'), 0), 1000000000), coalesce(nullif(instr(lower(flat), 'tombstone'), 0), 1000000000)) - 1 AS s, length(flat) AS n FROM d),
+w AS (SELECT *, greatest(0, s - 45) AS a0, least(n, s + 9 + 45) AS b0 FROM h),
+x AS (SELECT *, instr(substr(flat, a0 + 1, s + 9 - a0), ' ') AS left_space, instr(reverse(substr(flat, s + 10, b0 - s - 9)), ' ') AS right_space FROM w),
+y AS (SELECT *, CASE WHEN a0 > 0 AND left_space > 0 THEN a0 + left_space ELSE a0 END AS a, CASE WHEN b0 < n AND right_space > 0 AND b0 - right_space > s + 9 THEN b0 - right_space ELSE b0 END AS b FROM x),
+z AS (SELECT *, CASE WHEN a > 0 THEN '…' ELSE '' END || substr(flat, a + 1, s - a) || '«' || substr(flat, s + 1, 9) || '»' || substr(flat, s + 10, b - s - 9) || CASE WHEN b < n THEN '…' ELSE '' END AS snippet, regexp_split_to_array(text, '\r\n|\n|\r') AS lines FROM y),
+l AS (SELECT *, list_position(list_transform(lines, lambda x: regexp_matches(lower(x), 'watermark|tombstone')), true) AS k FROM z),
+m AS (SELECT *, rtrim(lines[k], ' ' || chr(9)) AS line, least(coalesce(nullif(instr(lower(lines[k]), 'watermark'), 0), 1000000000), coalesce(nullif(instr(lower(lines[k]), 'tombstone'), 0), 1000000000)) - 1 AS p FROM l),
+c AS (SELECT *, CASE WHEN length(line) <= 240 THEN 0 ELSE greatest(0, p - 120) END AS a2, CASE WHEN length(line) <= 240 THEN length(line) ELSE least(length(line), p + 9 + 120) END AS b2 FROM m)
+SELECT doc_id, snippet, trim(CASE WHEN a2 > 0 THEN '…' ELSE '' END || substr(line, a2 + 1, p - a2) || '«' || substr(line, p + 1, 9) || '»' || substr(line, p + 10, b2 - p - 9) || CASE WHEN b2 < length(line) THEN '…' ELSE '' END, ' ' || chr(9)) AS line, k - 1 AS line_no FROM c
+"""
 ORACLE = {
-    "shape_scores": ENT + f" SELECT DISTINCT name, {SHAPE.format(x='name')} AS shape FROM ent WHERE name IS NOT NULL",
+    "coref": _COREF + "SELECT * FROM found",
+    "coref_links": _COREF + "SELECT doc_id, lower(antecedent) AS concept, CAST(count(*) AS DOUBLE) AS weight FROM found GROUP BY 1, 2",
+    "kwic": _KWIC,
+    "shape_scores": ENT + f" SELECT name, {SHAPE_SQL} AS shape FROM (SELECT DISTINCT name, string_split(string_split(name, '/')[-1], '::')[-1] AS leaf FROM ent WHERE name IS NOT NULL)",
     "leaf_index": ENT + " SELECT string_split(name, '/')[-1] AS leaf, string_split(name, '/')[1] AS namespace, count(*) AS n FROM ent WHERE kind = 'concept' AND name LIKE '%/%' GROUP BY 1, 2",
     "query_terms": "WITH q AS (SELECT DISTINCT body, list_filter(regexp_split_to_array(trim(body), '\\s+'), lambda t: length(t) >= 2) AS t FROM query_log WHERE body IS NOT NULL), f AS (SELECT body, list_filter(t, lambda x, i: list_position(list_transform(t, lambda y: lower(y)), lower(x)) = i) AS f FROM q), k AS (SELECT *, list_filter(f, lambda x: lower(x) NOT IN (" + _STOPS + ")) AS k FROM f) SELECT body, array_to_string(CASE WHEN len(f) > 1 AND len(k) > 0 THEN k ELSE f END, '|') AS terms FROM k",
     "stems": f"SELECT word, {_STEM} AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS word FROM documents)",
