@@ -11,13 +11,13 @@ def test_a_folder_becomes_a_graph(spark, tmp_path):
     (tmp_path / "b.md").write_text("# Parsing\nThe parse function reads.\nrel: related-to -> [[lexer]]\n")
     (tmp_path / "bad.py").write_text("def (")
     (tmp_path / "calls.json").write_text(json.dumps({"edges": [{"from_file": "a.py", "from_func": "parse", "to_file": "c.py", "to_func": "lex"}]}))
-    graph, tracked = ingest(spark, str(tmp_path))
+    graph, tracked, errors = ingest(spark, str(tmp_path))
     names = {r.id: r.name for r in graph.entities.collect()}
     find = lambda q: {names[r[0]] for r in dsl.run(graph, q).collect()}
     assert find("defines:parse") == {"a.py::parse"} and find("calls:lex") == {"a.py::parse"} and find("defines:lex") == {"c.py::lex"}
     assert "b.md#parsing" in find("mentions:parse") and find("related-to:lexer") == {"b.md#parsing"}
-    assert graph.evidence.count() > 0 and tracked.count() == 4 and graph.entities.count() == graph.entities.select("id").distinct().count()
-    again, _ = ingest(spark, str(tmp_path))
+    assert graph.evidence.count() > 0 and tracked.count() == 3 and graph.entities.count() == graph.entities.select("id").distinct().count()
+    again, _, _ = ingest(spark, str(tmp_path))
     assert rows(again.links) == rows(graph.links)
     with pytest.raises(ValueError):
         ingest(spark, str(tmp_path), source="nope")

@@ -28,6 +28,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, d: s + d)
 
 
+def read_vectors(stored: DataFrame, ids: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+    """Stored vectors of a kind (where the table has kinds) and of the ids (id) given, each id once."""
+    rows = stored if kind is None else stored.filter(F.col("kind") == kind)
+    return rows if ids is None else rows.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int, ids: DataFrame | None = None) -> DataFrame:
     """(id, distance): the k vectors nearest to one query by squared Euclidean distance, exactly; ``ids`` restricts the search, and an empty one finds nothing."""
     rows = vectors.join(ids.select("id").distinct(), "id", "left_semi") if ids is not None else vectors

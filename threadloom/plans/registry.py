@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import compositions, core_problems, graphs, retrieval, set_algebra, store_analytics, store_changes, streams, texts
+from threadloom.plans import compositions, core_problems, graphs, readers, retrieval, set_algebra, store_analytics, store_changes, streams, texts
 
-MODULES = (core_problems, retrieval, set_algebra, graphs, store_analytics, store_changes, texts, compositions, streams)
+MODULES = (core_problems, retrieval, set_algebra, graphs, store_analytics, store_changes, texts, compositions, streams, readers)
 FLAGSHIP = "content_rank_lead"
 
 

@@ -7,12 +7,19 @@ import json
 import re
 from collections import Counter
 
-from threadloom.model import BODY_STOPWORDS
 from threadloom.sources.common import Findings
 
 #: Names that every program calls and that say nothing about it.
 COMMON_CALLS = set("print len str int float list dict set tuple range open isinstance getattr setattr hasattr super type sorted min max sum any all map filter zip enumerate repr format".split())
-STOP = set(BODY_STOPWORDS)
+# Words of docstrings that aren't keywords.
+DOC_STOP = set(
+    "the a an and or of to for in is are be this that it as on from with by if into out not but so we you i me my our use used uses using see also can may must will should would could args arg kwargs kwarg param params return "
+    "returns raise raises yields yield note notes example examples default true false none self cls type types value values object objects".split()
+)
+
+
+def doc_words(text: str) -> Counter:
+    return Counter(w for m in re.findall(r"[A-Za-z_][A-Za-z0-9_]{2,}", text) if (w := m.lower()) not in DOC_STOP)
 
 
 def parse_python(found: Findings, text: str) -> None:
@@ -20,7 +27,7 @@ def parse_python(found: Findings, text: str) -> None:
     module = ast.parse(text)
     path = found.path
     found.entity(path, "code", (ast.get_docstring(module) or "").split("\n")[0] or None)
-    for word, n in Counter(w.lower() for w in re.findall(r"[A-Za-z]{3,}", ast.get_docstring(module) or "") if w.lower() not in STOP).items():
+    for word, n in doc_words(ast.get_docstring(module) or "").items():
         found.link("mentions", f"keyword/{word}", path, float(n))
 
     def visit(node: ast.AST, owner: str, prefix: str) -> None:
@@ -43,7 +50,7 @@ def parse_python(found: Findings, text: str) -> None:
                     for base in child.bases:
                         if isinstance(base, (ast.Name, ast.Attribute)):
                             found.link("is_a", base.id if isinstance(base, ast.Name) else base.attr, me, None, child.lineno)
-                for word, n in Counter(w.lower() for w in re.findall(r"[A-Za-z]{3,}", doc) if w.lower() not in STOP).items():
+                for word, n in doc_words(doc).items():
                     found.link("mentions", f"keyword/{word}", me, float(n))
                 visit(child, me, f"{name}.")
             else:
@@ -58,84 +65,126 @@ def parse_python(found: Findings, text: str) -> None:
 
 
 _COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.DOTALL)
-_NAME = r'(?:"[^"]+"|[A-Za-z_][\w$]*)(?:\.(?:"[^"]+"|[A-Za-z_][\w$]*))*'
-_CREATE = re.compile(rf"\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+|UNIQUE\s+|MATERIALIZED\s+)*(TABLE|VIEW|TYPE|TRIGGER|INDEX|SCHEMA|FUNCTION|PROCEDURE)\s+(?:CONCURRENTLY\s+)?(?:IF\s+NOT\s+EXISTS\s+)?({_NAME})", re.IGNORECASE)
-_USES = re.compile(rf"\b(?:FROM|JOIN|INTO|UPDATE|REFERENCES|ON)\s+(?!SELECT\b|CONFLICT\b|DELETE\b|UPDATE\b)({_NAME})", re.IGNORECASE)
-_CALLS = re.compile(rf"\b(?:CALL|PERFORM|EXECUTE\s+(?:FUNCTION|PROCEDURE)|SELECT)\s+({_NAME})\s*\(", re.IGNORECASE)
+_PART = r'(?:"[^"]+"|[A-Za-z_][\w$]*)'
+_NAME = rf"{_PART}(?:\s*\.\s*{_PART})*"
+_CREATE = re.compile(
+    rf"\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:GLOBAL|LOCAL|TEMP|TEMPORARY|UNLOGGED|UNIQUE|MATERIALIZED|CONSTRAINT)\s+)*(TABLE|VIEW|TYPE|TRIGGER|INDEX|SCHEMA|FUNCTION|PROCEDURE)\s+(?:CONCURRENTLY\s+)?(?:IF\s+NOT\s+EXISTS\s+)?({_NAME})",
+    re.IGNORECASE,
+)
+_USES = re.compile(rf"\b(?:FROM|JOIN|INTO|UPDATE)\s+(?:ONLY\s+)?({_NAME})", re.IGNORECASE)
+_CALLS = re.compile(r"\b([A-Za-z_]\w{2,})\s*\(")
 _BODY = re.compile(r"\$(\w*)\$(.*?)\$\1\$", re.DOTALL)
+# Words of SQL that read like calls or tables.
+SQL_WORDS = set(
+    "select from where join inner outer left right full cross on using group order having limit offset union all into values insert update delete set and or not is null as by with lateral case when then else end if elsif elseif "
+    "loop while for foreach return returns begin declare exception raise perform execute create table view function procedure trigger index type schema exists distinct asc desc only alter add constraint check references foreign "
+    "primary unique key default column do drop grant revoke comment rename sequence materialized refresh truncate copy analyze owner to tablespace cascade restrict returning conflict nothing do_nothing generated always count sum avg "
+    "min max coalesce nullif cast array row over partition between like ilike abs now extract to_char to_date to_timestamp length lower upper trim concat nextval currval setval substring position replace split_part format round floor "
+    "ceil greatest least jsonb_build_object json_build_object unnest".split()
+)
 
 
 def parse_sql(found: Findings, text: str) -> None:
-    """What a SQL script defines, and what it mentions and calls; comments count for nothing."""
+    """What a SQL script defines, what its functions' bodies mention and call, and what it calls outside of them; comments count for nothing, names by their last part."""
     plain = _COMMENT.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-    bare = lambda n: n.replace('"', "").lower()
+    last = lambda n: re.split(r"\s*\.\s*", n)[-1].strip('"')
     line = lambda at: plain.count("\n", 0, at) + 1
     found.entity(found.path, "code")
-    bodies = [(m.start(), m.end()) for m in _BODY.finditer(plain)]
     made = list(_CREATE.finditer(plain))
-    owners = []
+    routines = [m for m in made if m[1].upper() in ("FUNCTION", "PROCEDURE")]
+    outside = plain
     for m in made:
-        name = bare(m[2])
+        name, kind = last(m[2]), m[1].lower()
         me = f"{found.path}::{name}"
-        found.entity(me, "code", m[1].lower())
-        found.link("defines", name, me, None, line(m.start()))
-        if m[1].upper() in ("FUNCTION", "PROCEDURE"):
-            own = next(((a, b) for a, b in bodies if a > m.end()), None)
-            if own and not any(m.end() < x.start() < own[0] for x in made):
-                owners.append((*own, me))
-    owner_of = lambda at: next((n for a, b, n in owners if a <= at < b), found.path)
-    defined = {m.start(2) for m in made}
-    for m in _USES.finditer(plain):
-        if m.start(1) not in defined:
-            found.link("mentions", bare(m[1]), owner_of(m.start()), 1.0, line(m.start()))
-    for m in _CALLS.finditer(plain):
-        found.link("calls", bare(m[1]), owner_of(m.start()), None, line(m.start()))
+        found.entity(me, "code", kind)
+        found.link("defines", name, me, None, line(m.start()), f"{kind} {name}")
+        if m not in routines:
+            continue
+        after = [x.start() for x in routines if x.start() > m.start()]
+        body = _BODY.search(plain, m.start(), after[0] if after else len(plain))
+        end = body.end() if body else after[0] if after else len(plain)
+        outside = outside[: m.start()] + re.sub(r"[^\n]", " ", outside[m.start() : end]) + outside[end:]
+        if body:
+            for verb, pattern, weight in (("mentions", _USES, 1.0), ("calls", _CALLS, None)):
+                for x in pattern.finditer(plain, body.start(2), body.end(2)):
+                    if (other := last(x[1])).lower() not in SQL_WORDS and other.lower() != name.lower():
+                        found.link(verb, other, me, weight, line(x.start()))
+    headers = [m.span() for m in made]
+    for x in _CALLS.finditer(outside):
+        if x[1].lower() not in SQL_WORDS and not any(a <= x.start() < b for a, b in headers):
+            found.link("calls", x[1], found.path, None, line(x.start()))
+
+
+_PSEUDO_TYPE = re.compile(r"([A-Z][A-Za-z0-9]+):\s*(?:#.*)?$")
+_PSEUDO_ROUTINE = re.compile(r"([a-z_]\w*)\s*\((?:([^)]*)\)(?:\s*->\s*(.+?))?\s*:\s*(?:#.*)?$)?", re.ASCII)
+_PSEUDO_VALUE = re.compile(r"\s+[A-Z][A-Z_0-9]+(?:\s*=.*)?\s*(?:#.*)?$")
+_PSEUDO_FIELD = re.compile(r"\s+[a-z_]\w*\s*:\s*(.+?)(?:\s*#.*)?$", re.ASCII)
+# Types that say nothing.
+PLAIN_TYPES = set("None True False int int32 int64 uint32 uint64 float double string bool bytes UUID JSON list dict map set tuple optional".split())
+
+
+def type_names(text: str | None) -> list[str]:
+    return [t for t in re.findall(r"[A-Z][A-Za-z0-9]{2,}", text or "") if t not in PLAIN_TYPES]
 
 
 def parse_pseudo(found: Findings, text: str) -> None:
-    """Pseudo code: types, enums and functions with indented bodies; references in parameters, fields, returns and bodies; calls but not of oneself."""
+    """Pseudo code: ``Name:`` heads a type with fields or an enum with values, ``name(parameters) -> type:`` a routine with a body, ``from x import y`` an import.
+
+    Types in fields, parameters, results and bodies are mentioned; bodies call, but not themselves; values of enums count for nothing.
+    """
     found.entity(found.path, "code")
-    state, owner = "top", found.path
+    within, owner, own_name = None, found.path, ""
     for n, raw in enumerate(text.splitlines(), 1):
-        line = raw.split("//")[0].rstrip()
-        if not line.strip():
+        if not raw.strip() or raw.strip().startswith(("#", "//")):
             continue
-        if not raw[:1].isspace():
-            state, owner = "top", found.path
-            if m := re.match(r"(?:import|use)\s+([\w./]+)", line):
-                found.link("imports", f"import/{re.split(r'[./]', m[1])[0]}", found.path, None, n)
-            elif m := re.match(r"(type|struct|class|interface|enum)\s+(\w+)", line):
-                state, owner = ("enum" if m[1] == "enum" else "type"), f"{found.path}::{m[2]}"
-                found.entity(owner, "code", m[1])
-                found.link("defines", m[2], owner, None, n)
-            elif m := re.match(r"(?:func|function|def|fn)\s+(\w+)\s*\(([^)]*)\)\s*(?:->\s*(.+?))?\s*[:{]?$", line):
-                state, owner = "func", f"{found.path}::{m[1]}"
-                found.entity(owner, "code", "function")
-                found.link("defines", m[1], owner, None, n)
-                for t in re.findall(r"\b[A-Z]\w+", f"{m[2]} {m[3] or ''}"):
+        if not raw[0].isspace():
+            within = None
+            if m := re.match(r"from\s+(\w+)\s+import\s+.+", raw):
+                found.link("imports", f"import/{m[1]}", found.path, None, n, raw.strip())
+                continue
+            head = _PSEUDO_TYPE.match(raw)
+            if not head:
+                head = _PSEUDO_ROUTINE.match(raw)
+                within = "routine" if head else None
+            else:
+                within = "type"
+            if head:
+                own_name, owner = head[1], f"{found.path}::{head[1]}"
+                found.entity(owner, "code", within)
+                found.link("defines", own_name, owner, None, n)
+                for t in type_names(" ".join(head.groups(default="")[1:])) if within == "routine" else []:
+                    found.link("mentions", t, owner, 1.0, n)
+        elif within == "type":
+            if _PSEUDO_VALUE.match(raw):
+                within = "enum"
+            elif m := _PSEUDO_FIELD.match(raw):
+                for t in type_names(m[1]):
                     found.link("mentions", t, owner, 1.0, n)
-        elif state in ("type", "func"):
-            for t in re.findall(r"\b[A-Z][a-z]\w+", line):
+        elif within == "routine":
+            for callee in re.findall(r"\b([a-z_][a-z0-9_]{2,})\s*\(", raw):
+                if callee != own_name:
+                    found.link("calls", callee, owner, None, n)
+            for t in type_names(raw):
                 found.link("mentions", t, owner, 1.0, n)
-            if state == "func":
-                for c in re.findall(r"\b([a-z_]\w*)\s*\(", line):
-                    if c not in COMMON_CALLS and c not in ("if", "while", "for", "return", "switch") and not owner.endswith(f"::{c}"):
-                        found.link("calls", c, owner, None, n)
 
 
 def parse_call_graph(found: Findings, text: str) -> None:
-    """``{edges: [{from_file, from_func, to_file, to_func}]}``: both ends define their function; calls and called_by between them."""
+    """``{edges: [{from_file, from_func, to_file, to_func}]}``: both ends define their function; calls and called_by between them. Ends may be missing."""
     for e in json.loads(text).get("edges", []):
-        a, b = f"{e['from_file']}::{e['from_func']}", f"{e['to_file']}::{e['to_func']}"
-        for name, func in ((a, e["from_func"]), (b, e["to_func"])):
-            found.entity(name, "code")
-            found.link("defines", func, name)
-        found.link("calls", e["to_func"], a)
-        found.link("called_by", e["from_func"], b)
+        ends = [(e.get(f"{side}_file"), e.get(f"{side}_func")) for side in ("from", "to")]
+        names = [f"{file}::{func}" if file and func else None for file, func in ends]
+        for (_, func), name in zip(ends, names):
+            if name:
+                found.entity(name, "code")
+                found.link("defines", func, name)
+        if names[0] and ends[1][1]:
+            found.link("calls", ends[1][1], names[0])
+            if names[1]:
+                found.link("called_by", ends[0][1], names[1])
 
 
 def parse_units(found: Findings, text: str) -> None:
-    """``{path, units: [{name, unit_type, summary, calls, imports, line}]}``: each unit defines its name and is a ``kind/<type>``; calls and imports follow."""
+    """``{path, units: [{name, unit_type, summary, calls, called_by, imports, dependencies, line}]}``: each unit defines its name and is a ``kind/<type>``; calls follow, imports by file."""
     doc = json.loads(text)
     path = doc.get("path") or found.path
     found.entity(path, "code", doc.get("summary"))
@@ -144,11 +193,12 @@ def parse_units(found: Findings, text: str) -> None:
         me = f"{path}::{u['name']}"
         found.entity(me, "code", u.get("summary"))
         found.link("defines", u["name"], me, None, u.get("line"))
-        found.link("is_a", f"kind/{u.get('unit_type', 'unit')}", me)
-        for c in u.get("calls", []):
-            if c not in COMMON_CALLS:
-                found.link("calls", c, me)
-        tops |= {i.split(".")[0] for i in u.get("imports", [])}
+        found.link("is_a", f"kind/{u.get('unit_type') or 'unit'}", me)
+        for verb in ("calls", "called_by"):
+            for other in u.get(verb) or []:
+                if other and other not in COMMON_CALLS:
+                    found.link(verb, other, me)
+        tops |= {i.strip().split(".")[0] for i in [*(u.get("imports") or []), *(u.get("dependencies") or "").split(",")]} - {""}
     for top in sorted(tops):
         found.link("imports", f"import/{top}", path)
 
@@ -157,12 +207,25 @@ def parse_units(found: Findings, text: str) -> None:
 CERTAINTY = {"EXTRACTED": 1.0, "INFERRED": 0.5, "AMBIGUOUS": 0.3}
 
 
+# What relations are called here.
+RELATIONS = {
+    "contains": "has-part", "inherits": "is_a", "implements": "defines", "references": "mentions", "uses": "depends-on", "cites": "related-to", "method": "has-part", "rationale_for": "specifies",
+    "conceptually_related_to": "related-to", "semantically_similar_to": "similar_to",
+}
+
+
 def parse_cross_graph(found: Findings, text: str) -> None:
-    """``{nodes: [{id, label, source_file}], edges: [{source, target, relation, weight, confidence, confidence_score, line}]}`` of any extractor."""
+    """``{nodes: [{id, label, file_type}], links: [{source, target, relation, weight, confidence, confidence_score, source_location}]}``: links from a node's concept to the other node.
+
+    Every node is an entity ``graphify::id`` and a concept ``gf/id``. Links without a relation or with an unknown end are left out.
+    """
     doc = json.loads(text)
-    for n in doc.get("nodes", []):
-        found.entity(f"graph::{n['id']}", "doc", n.get("label"))
-        found.link("defines", f"gf/{n['id']}", f"graph::{n['id']}")
-    for e in doc.get("edges", doc.get("links", [])):
-        w = float(e.get("weight", 1.0)) * CERTAINTY.get(str(e.get("confidence", "EXTRACTED")).upper(), 1.0) * float(e.get("confidence_score", 1.0))
-        found.link(str(e.get("relation", "related-to")).replace("related_to", "related-to"), f"gf/{e['target']}", f"graph::{e['source']}", w, e.get("line"), e.get("source_file"))
+    known = [n for n in doc.get("nodes") or [] if n.get("id")]
+    for n in known:
+        found.entity(f"graphify::{n['id']}", "doc" if n.get("file_type") in ("doc", "web", "paper") else "code", n.get("label") or n["id"])
+    ids = {n["id"] for n in known}
+    for e in doc.get("links") or doc.get("edges") or []:
+        if e.get("relation") and e.get("source") in ids and e.get("target") in ids:
+            weight = float(e.get("weight") or 1.0) * CERTAINTY.get(e.get("confidence") or "EXTRACTED", 1.0) * float(e.get("confidence_score") or 1.0)
+            at = re.match(r"L(\d+)", e.get("source_location") or "")
+            found.link(RELATIONS.get(e["relation"], e["relation"]), f"gf/{e['source']}", f"graphify::{e['target']}", weight, int(at[1]) if at else None, e.get("context") or e.get("source_file"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.names import glob_pattern
 
 # What is code, what is a document, and what is never read.
-CODE = "py js ts tsx jsx go rs java kt c h cc cpp hpp cs rb php swift scala sh sql lua".split()
+CODE = "py js ts tsx jsx go rs java kt c h cc cpp hpp cs rb php swift scala sh sql lua pseudo".split()
 DOCS = "md markdown rst txt adoc".split()
 IGNORED = ".git .hg .svn node_modules __pycache__ .venv venv dist build target .idea .vscode .pytest_cache .mypy_cache".split()
 

@@ -6,6 +6,7 @@ name, so that ingesting again gives the same ids and files can be taken in any o
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +17,27 @@ from threadloom.graph import Graph
 from threadloom.model import canonical_verb
 from threadloom.sources import code, files, markdown, records
 from threadloom.sources.common import Findings, parsed
+from threadloom.staging import stage
 
 #: Kinds of sources in the order in which ``auto`` takes them for JSON files.
 SOURCES = ("auto", "metadata", "tldr", "tree", "graphify")
 
 
+def parse_json(found: Findings, text: str) -> None:
+    """The parser that a JSON document's own keys ask for; one without any known key is an error."""
+    doc = json.loads(text)
+    for key, parse in (("units", code.parse_units), ("nodes", code.parse_cross_graph), ("edges", code.parse_call_graph)):
+        if isinstance(doc, dict) and key in doc:
+            return parse(found, text)
+    raise ValueError("neither units nor nodes nor edges")
+
+
 def parse_any(found: Findings, text: str) -> None:
-    """The parser that a file's name and, for JSON, its keys ask for."""
+    """The parser that a file's name asks for."""
     path = found.path.lower()
     if path.endswith((".md", ".markdown")):
         name = path.rsplit("/", 1)[-1]
-        (records.parse_decision if name.startswith("adr") or "/adr" in path else markdown.parse)(found, text)
+        (records.parse_decision if name.startswith("adr") or "adr" in path.split("/")[:-1] else markdown.parse)(found, text)
     elif path.endswith(".py"):
         code.parse_python(found, text)
     elif path.endswith(".sql"):
@@ -34,8 +45,7 @@ def parse_any(found: Findings, text: str) -> None:
     elif path.endswith((".pseudo", ".pseudocode")):
         code.parse_pseudo(found, text)
     elif path.endswith(".json"):
-        parse = code.parse_units if '"units"' in text else code.parse_cross_graph if '"nodes"' in text else code.parse_call_graph
-        parse(found, text)
+        parse_json(found, text)
     else:
         found.entity(found.path, "doc" if path.endswith((".rst", ".txt", ".adoc")) else "code")
 
@@ -64,8 +74,8 @@ def to_graph(findings: DataFrame, partition_id: int = 1, now: float = 0.0) -> Gr
     return Graph(entities, ids.groupBy("linkage", "concept_id", "entity_id").agg(F.max("weight").alias("weight")), evidence)
 
 
-def ingest(spark: SparkSession, root: str, source: str = "auto", ignore: Sequence[str] = (), partition_id: int = 1, now: float = 0.0) -> tuple[Graph, DataFrame]:
-    """The graph of a folder, and the files (path, mtime) to track for the next sync.
+def ingest(spark: SparkSession, root: str, source: str = "auto", ignore: Sequence[str] = (), partition_id: int = 1, now: float = 0.0) -> tuple[Graph, DataFrame, DataFrame]:
+    """The graph of a folder, the files (path, mtime) to track for the next sync, and the files that couldn't be parsed (path, detail), which aren't tracked.
 
     ``metadata``, ``tldr`` and ``graphify`` read JSON files only, ``tree`` all others, ``auto`` everything.
     """
@@ -79,4 +89,6 @@ def ingest(spark: SparkSession, root: str, source: str = "auto", ignore: Sequenc
         extra = extra.select(F.when(local.startswith(base), F.substring(local, F.lit(len(base) + 1), F.length(local))).otherwise(local).alias("path"), (F.unix_millis("modificationTime") / 1000.0).alias("mtime"), "length", F.decode(F.col("content"), "UTF-8").alias("text"), F.lit("code").alias("kind"))
         extra = extra.filter(~files.ignored(F.col("path"), ignore))
         tree = tree.unionByName(extra) if source == "auto" else extra
-    return to_graph(parsed(tree, parse_any), partition_id, now), tree.select("path", "mtime")
+    findings = stage(parsed(tree, parse_any), "findings")
+    errors = findings.filter("what = 'error'").select("path", "detail")
+    return to_graph(findings, partition_id, now), tree.select("path", "mtime").join(errors.select("path"), "path", "left_anti"), errors

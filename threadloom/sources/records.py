@@ -4,52 +4,57 @@ from __future__ import annotations
 
 import re
 
+from threadloom.sources.code import PLAIN_TYPES, type_names
 from threadloom.sources.common import Findings
 
 # What a decision's status is worth, and the authority of its structural edges.
 STATUS = {"accepted": 1.0, "proposed": 0.3, "draft": 0.2, "superseded": 0.0, "deprecated": 0.0, "rejected": 0.0}
 AUTHORITY = 3.0
-FIELD = re.compile(r"^(?:[-*]\s*)?\*{0,2}([A-Z][\w /-]{1,30}?)\*{0,2}:\*{0,2}\s*(.*)$")
+FIELD = re.compile(r"^(?:[-*]\s+)?\*{0,2}([A-Z][A-Za-z -]+?):\*{0,2}\s*(.+?)\s*$")
 CAMEL = re.compile(r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b")
-NUMBER = re.compile(r"(?:adr|decision)[-_/ ]?0*(\d{1,4})", re.IGNORECASE)
-EDGES = {"supersedes": "supersedes", "superseded by": "superseded-by", "depends on": "depends-on", "related": "related-to", "relates to": "related-to", "amends": "amends"}
+GOVERNED = re.compile(r"\b[A-Z][A-Za-z0-9_]{2,}\b")
+NUMBER = re.compile(r"(?:adr|decision)[-_/ ]?0*(\d{1,4})|(?:^|/)(\d{4})-[^/]*$", re.IGNORECASE)
+REFERENCE = re.compile(r"\bADR-(\d{4})\b")
+CHILD = re.compile(r"\s*[+\-|]+--\s*([A-Z]\w+)(?:\s*\(([\w,\s]+)\))?")
+CLASS = re.compile(r"(?:(?:class|enum|struct|interface)\s+)?([A-Z]\w+)\s*(?:(?:\(|extends\s+)([\w,\s]+)\)?)?\s*:\s*(?:#.*)?$")
+METHOD = re.compile(r"\s+([a-z_]\w*)\s*\(([^)]*)\)\s*(?:->\s*([^#]+?))?\s*(?:#.*)?$")
 
 
 def header(text: str) -> dict[str, str]:
-    """Fields above the first section; a field goes on over indented or unmarked lines until a blank one."""
+    """Fields above the first section; indented lines go on with the field before."""
     out: dict[str, str] = {}
     key = None
     for line in text.splitlines():
-        if line.startswith("##"):
+        bare = line.strip()
+        if bare.startswith("## "):
             break
-        if m := FIELD.match(line.strip()):
+        if m := FIELD.match(bare):
             key = m[1].strip().lower()
-            out[key] = m[2].strip()
-        elif not line.strip() or line.startswith("#"):
+            out[key] = m[2]
+        elif key and bare and line[0].isspace():
+            out[key] += f" {bare}"
+        else:
             key = None
-        elif key:
-            out[key] = f"{out[key]} {line.strip()}".strip()
     return out
 
 
 def parse_decision(found: Findings, text: str) -> None:
-    """A decision record: its hub ``adr/NNNN``, status weight, governed names and edges to other decisions, weighted by status and authority."""
+    """A decision record: its hub ``adr/NNNN``, governed names by its status, and, weighted by status and authority, the records it refers to and its class trees."""
     fields = header(text)
     n = NUMBER.search(found.path) or NUMBER.search(text[:200])
-    hub = f"adr/{int(n[1]):04d}" if n else f"adr/{found.path.rsplit('/', 1)[-1]}"
+    own = f"{int(n[1] or n[2]):04d}" if n else found.path.rsplit("/", 1)[-1]
     worth = next((w for s, w in STATUS.items() if fields.get("status", "").lower().startswith(s)), 1.0)
     title = next((x.lstrip("# ").strip() for x in text.splitlines() if x.startswith("# ")), None)
     found.entity(found.path, "doc", title)
-    found.link("defines", hub, found.path, worth)
-    for name in dict.fromkeys(CAMEL.findall(fields.get("governs", ""))):
-        found.link("mentions", name, found.path, worth)
-    for key, verb in EDGES.items():
-        for m in NUMBER.finditer(fields.get(key, "")):
-            other = f"adr/{int(m[1]):04d}"
-            found.link(verb, other, found.path, worth * AUTHORITY)
-            if verb == "related-to":
-                found.link(verb, hub, other, worth * AUTHORITY)
-    parse_classes(found, text)
+    found.link("defines", f"adr/{own}", found.path, worth * AUTHORITY)
+    for name in dict.fromkeys(GOVERNED.findall(fields.get("governs", ""))):
+        if name not in PLAIN_TYPES:
+            found.link("mentions", name, found.path, worth)
+    for other in dict.fromkeys(REFERENCE.findall(text)):
+        if other != own:
+            found.link("related-to", f"adr/{other}", found.path, worth * AUTHORITY)
+            found.link("related-to", f"adr/{own}", f"adr/{other}", worth * AUTHORITY)
+    parse_classes(found, text, worth)
 
 
 def parse_bold(found: Findings, text: str) -> None:
@@ -60,12 +65,32 @@ def parse_bold(found: Findings, text: str) -> None:
             found.link("mentions", name, found.path, 1.0, None, key.strip().lower())
 
 
-def parse_classes(found: Findings, text: str) -> None:
-    """``class A(B)`` or ``A <- B`` in fenced blocks: definitions and subtypes."""
-    for block in re.findall(r"^```[^\n]*\n(.*?)^```", text, re.MULTILINE | re.DOTALL):
-        for name, base in re.findall(r"^\s*class\s+(\w+)(?:\s*[(:]\s*(\w+))?", block, re.MULTILINE):
-            found.link("defines", name, found.path)
-            if base:
-                found.link("is_a", base, name)
-        for sub, base in re.findall(r"^\s*(\w+)\s*(?:<-|extends)\s*(\w+)\s*$", block, re.MULTILINE):
-            found.link("is_a", base, sub)
+def parse_classes(found: Findings, text: str, worth: float = 1.0) -> None:
+    """Class trees (``+-- Name (Base)``) anywhere and classes in fenced blocks: definitions and subtypes with authority, methods and types of their bodies as mentions."""
+    fenced, owner, own = False, None, ""
+
+    def define(m: re.Match, line: int) -> str:
+        me = f"{found.path}::{m[1]}"
+        found.entity(me, "doc", "class")
+        found.link("defines", m[1], me, worth * AUTHORITY, line)
+        for base in (b.strip() for b in (m[2] or "").split(",")):
+            if base and base not in PLAIN_TYPES:
+                found.link("is_a", base, me, worth * AUTHORITY, line)
+        return me
+
+    for n, line in enumerate(text.splitlines(), 1):
+        if line.strip().startswith("```"):
+            fenced, owner = not fenced, None
+        elif m := CHILD.match(line):
+            define(m, n)
+            owner = None
+        elif fenced and line[:1].strip() and (m := CLASS.match(line)):
+            owner, own = define(m, n), m[1]
+        elif owner and line[:1].isspace() and line.strip():
+            m = METHOD.match(line)
+            names = [m[1], *type_names(f"{m[2]} {m[3] or ''}")] if m else type_names(line)
+            for name in dict.fromkeys(names):
+                if name != own:
+                    found.link("mentions", name, owner, worth, n)
+        elif line.strip():
+            owner = None

@@ -72,6 +72,16 @@ def actions(rows: DataFrame) -> DataFrame:
     return calls.join(back, ["session", "id"], "left")
 
 
+def tree_stats(rows: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """(session, turns, actions, errors, tool_counts) of each session, from its transcript and its tool calls, nested ones included where ``calls`` is grafted."""
+    calls = actions(rows) if calls is None else calls
+    owner = F.col("root") if "root" in calls.columns else F.col("session")
+    per_tool = calls.groupBy(owner.alias("session"), "tool").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("error", F.lit(False)).cast("int")).alias("e"))
+    acted = per_tool.groupBy("session").agg(F.sum("n").alias("actions"), F.sum("e").alias("errors"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("tool_counts"))
+    turns = rows.groupBy("session").agg(F.sum(is_prompt(rows).cast("int")).alias("turns"))
+    return turns.join(acted, "session", "left").select("session", F.coalesce("turns", F.lit(0)).alias("turns"), F.coalesce("actions", F.lit(0)).alias("actions"), F.coalesce("errors", F.lit(0)).alias("errors"), "tool_counts")
+
+
 def grafted(calls: DataFrame, links: DataFrame) -> DataFrame:
     """Calls with the parent call of the session that they run in: ``links`` is (session, parent_session, parent_id) of sub-agents."""
     return calls.join(links, "session", "left").withColumn("root", F.coalesce("parent_session", "session"))

@@ -76,3 +76,13 @@ def discard(spark: SparkSession) -> None:
 def _discard_quietly(spark: SparkSession) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
         discard(spark)
+
+
+def put_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small text file to the shared folder."""
+    fs, where = _file_system(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
