@@ -138,10 +138,63 @@ def top_queries(log: DataFrame, zero_only: bool = False, k: int = 20) -> DataFra
     return rows.filter(F.col("body").isNotNull()).groupBy("body").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "body").limit(k)
 
 
-def adoption(log: DataFrame) -> DataFrame:
-    """(source, n, signal): whether a source is used: ``absent`` under 10 calls, ``failing`` from 20 % errors, ``empty`` from half without a result, else ``healthy``."""
-    rows = log.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("error").isNotNull(), 1.0).otherwise(0.0)).alias("e"), F.avg(F.when(F.col("cardinality") == 0, 1.0).otherwise(0.0)).alias("z"))
-    return rows.select("source", "n", F.when(F.col("n") < 10, "absent").when(F.col("e") >= 0.2, "failing").when(F.col("z") >= 0.5, "empty").otherwise("healthy").alias("signal"))
+# Commands that turn an index into answers.
+ANSWERS = ("context", "memory", "concept", "where", "query")
+SEVERITY = {"high": 0, "medium": 1, "low": 2}
+
+
+def adoption(log: DataFrame, by: Sequence[str], facts: DataFrame | None = None, commands: Sequence[str] = ANSWERS) -> DataFrame:
+    """(by, kind, severity, detail): what keeps each store from being used well, as its log and the facts about it say.
+
+    ``log`` has ``by``, kind, invocation, command and cardinality: no call from hooks (``no_hooks``); 30 % or more, and five or more, of the lookups other than scans without a
+    result (``high_zero_result``); in twenty calls or more some of ``commands`` never used (``underused_reads``). ``facts`` has ``by``, entities, stale_files, running and
+    supervised, each of which may be null: nothing ingested, ten stale files or more, not running, not supervised.
+    """
+    lookup = F.coalesce(F.col("kind") != "scan", F.lit(True))
+    counts = log.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"), F.sum(F.when(F.col("invocation") == "hook", 1).otherwise(0)).alias("hooks"), F.sum(F.when(lookup, 1).otherwise(0)).alias("lookups"),
+        F.sum(F.when(lookup & (F.col("cardinality") == 0), 1).otherwise(0)).alias("zero"), *[F.max(F.when(F.col("command") == c, 1).otherwise(0)).alias(f"_c{i}") for i, c in enumerate(commands)],
+    )
+    rows = counts
+    if facts is not None:
+        rows = counts.join(facts.select(*by, "entities", "stale_files", "running", "supervised"), list(by), "full")
+    unused = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"_c{i}") == 0, F.lit(c)) for i, c in enumerate(commands)])), ", ")
+    share = F.col("zero") / F.col("lookups")
+    tests = [
+        ("no_hooks", "medium", (F.col("total") > 0) & (F.col("hooks") == 0), F.lit("")),
+        ("high_zero_result", "medium", (F.col("lookups") > 0) & (share >= 0.30) & (F.col("zero") >= 5), F.concat(F.round(share * 100).cast("int").cast("string"), F.lit("%"))),
+        ("underused_reads", "low", (F.col("total") >= 20) & (unused != ""), unused),
+    ]
+    if facts is not None:
+        tests += [
+            ("daemon_down", "high", ~F.col("running"), F.lit("")), ("unsupervised", "medium", ~F.col("supervised"), F.lit("")), ("never_ingested", "high", F.col("entities") == 0, F.lit("")),
+            ("stale", "medium", F.col("stale_files") >= 10, F.col("stale_files").cast("string")),
+        ]
+    signals = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(k).alias("kind"), F.lit(sev).alias("severity"), detail.alias("detail"))) for k, sev, test, detail in tests]))
+    return rows.select(*by, F.explode(signals).alias("s")).select(*by, "s.*")
+
+
+def subjects(entities: DataFrame, memories: DataFrame, links: DataFrame, mtype: str = "subject", verb: str = "part-of") -> DataFrame:
+    """(id, name, label, leaves, updated_at): memories of the subject type with the number of entities that are part of them; the label is the metadata's, else the name."""
+    leaves = links.filter(F.col("linkage") == verb).groupBy(F.col("concept_id").alias("id")).agg(F.count(F.lit(1)).alias("leaves"))
+    own = memories.filter(F.col("mtype") == mtype).select(F.col("entity_id").alias("id"), F.get_json_object("metadata", "$.label").alias("label"), "updated_at")
+    rows = entities.filter("kind = 'memory'").select("id", "name").join(own, "id").join(leaves, "id", "left")
+    return rows.select("id", "name", F.coalesce(F.nullif("label", F.lit("")), "name").alias("label"), F.coalesce("leaves", F.lit(0)).alias("leaves"), "updated_at")
+
+
+# Types of memories that no corpus has, and what patterns are called.
+NOT_IN_CORPUS, PATTERN_TYPE, PATTERN_TAG = ("session", "session/*", "digest", "digest/*", "subject"), "impression", "pattern"
+
+
+def in_corpus(name: Column, mtype: Column, tags: Column, scope: str = "memory", exclude: Sequence[str] = NOT_IN_CORPUS) -> Column:
+    """Whether a memory belongs to a scope's corpus: not of an excluded type, no card of a session or digest, not tagged as a pattern, and an impression exactly in the scope ``pattern``."""
+    if scope not in ("memory", "pattern"):
+        raise ValueError(f"unknown scope {scope}")
+    kind = F.coalesce(mtype, F.lit(""))
+    out = ~F.coalesce(name.rlike(r"(?i)^(session|digest)[-_]"), F.lit(False)) & ~F.coalesce(F.array_contains(F.from_json(tags, "array<string>"), PATTERN_TAG), F.lit(False))
+    for glob in exclude:
+        out = out & ~kind.rlike(glob_pattern(glob))
+    return out & (kind == PATTERN_TYPE if scope == "pattern" else kind != PATTERN_TYPE)
 
 
 def anchored_windows(rows: DataFrame, key: str, time_s: str, window_s: float = 5.0) -> DataFrame:

@@ -94,11 +94,13 @@ def derive_called_by(links: DataFrame) -> DataFrame:
 # --- memories -----------------------------------------------------------------------------------------
 
 
-def retag(memories: DataFrame, ids: Sequence[int], add: Sequence[str] = (), remove: Sequence[str] = ()) -> DataFrame:
+def retag(memories: DataFrame, chosen: DataFrame, add: Sequence[str] = (), remove: Sequence[str] = ()) -> DataFrame:
+    """Memories with tags added to and removed from those of chosen (entity_id)."""
     tags = F.coalesce(F.from_json("tags", "array<string>"), F.array().cast("array<string>"))
     lits = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     new = F.to_json(F.array_except(F.array_union(tags, lits(add)), lits(remove)))
-    return memories.withColumn("tags", F.when(F.col("entity_id").isin(list(ids)), new).otherwise(F.col("tags")))
+    rows = memories.join(chosen.select("entity_id").distinct().withColumn("_c", F.lit(1)), "entity_id", "left")
+    return rows.withColumn("tags", F.when(F.col("_c") == 1, new).otherwise(F.col("tags"))).select(*memories.columns)
 
 
 def reclassify(memories: DataFrame, glob: str, mtype: str) -> DataFrame:
@@ -213,18 +215,25 @@ def promote_edges(pairs: DataFrame, nodes: DataFrame, threshold: float = 3.0, mo
 # --- the log ------------------------------------------------------------------------------------------------
 
 
-def dump_log(graph: Graph) -> DataFrame:
-    """The store as events (ts, line_no, op, kind, name, linkage, c, e, weight, path, value), entities before links."""
+def dump_log(graph: Graph, memories: DataFrame | None = None) -> DataFrame:
+    """The store as events (ts, phase, op, kind, name, linkage, c, e, weight, path, value): entities, then flags and bodies, then links, then evidence."""
     text = lambda c: F.col(c).cast("string")
-    null = lambda c, t="string": F.lit(None).cast(t).alias(c)
-    ents = graph.entities.select(
-        F.col("updated_at").alias("ts"), F.lit(0).alias("phase"), F.lit("entity").alias("op"), "kind", text("id").alias("name"), null("linkage"), null("c"), null("e"), null("weight", "double"), "path", F.col("tldr").alias("value")
-    )
-    ids = graph.entities.select(F.col("id").alias("entity_id"), "updated_at")
-    links = graph.links.join(ids, "entity_id").select(
-        F.col("updated_at").alias("ts"), F.lit(1).alias("phase"), F.lit("link").alias("op"), null("kind"), null("name"), "linkage", text("concept_id").alias("c"), text("entity_id").alias("e"), "weight", null("path"), null("value")
-    )
-    return ents.unionByName(links)
+    columns = {"kind": "string", "name": "string", "linkage": "string", "c": "string", "e": "string", "weight": "double", "path": "string", "value": "string"}
+
+    def events(df: DataFrame, phase: int, op: str, **given) -> DataFrame:
+        return df.select(F.col("updated_at").alias("ts"), F.lit(phase).alias("phase"), F.lit(op).alias("op"), *[(given[c] if c in given else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+
+    e, ids = graph.entities, graph.entities.select(F.col("id").alias("entity_id"), F.col("kind").alias("e_kind"), "updated_at")
+    out = events(e, 0, "entity", kind=F.col("kind"), name=text("id"), path=F.col("path"), value=F.col("tldr"))
+    for flag, op in (("protected", "protect"), ("noise", "noise")):
+        out = out.unionByName(events(e.filter(f"{flag} = 1"), 1, op, kind=F.col("kind"), name=text("id"), value=F.lit("1")))
+    if memories is not None:
+        out = out.unionByName(events(memories, 1, "memory_content", kind=F.lit("memory"), name=text("entity_id"), value=F.col("content")))
+    link = {"linkage": F.col("linkage"), "c": text("concept_id"), "e": text("entity_id")}
+    out = out.unionByName(events(graph.links.join(ids, "entity_id"), 2, "link", **link, weight=F.col("weight")))
+    if graph.evidence is not None:
+        out = out.unionByName(events(graph.evidence.join(ids, "entity_id"), 3, "evidence", **link, path=F.col("file"), value=text("line")))
+    return out
 
 
 def replay_entities(log: DataFrame) -> DataFrame:

@@ -80,6 +80,40 @@ def content_rank(
     return out.orderBy(F.desc("score"), "entity_id").limit(limit) if limit else out
 
 
+def term_rank_fusion(links: DataFrame, term_concepts: DataFrame, per_term: int = 100, k: int = RRF_K) -> DataFrame:
+    """(entity_id, score): the heaviest ``per_term`` mentions of each concept of (term, concept_id), as rankings that are fused."""
+    rows = links.filter("linkage = 'mentions' AND weight IS NOT NULL").join(term_concepts.select("concept_id").distinct(), "concept_id", "left_semi")
+    order = W.partitionBy("concept_id").orderBy(F.desc("weight"), "entity_id")
+    ranked = rows.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < per_term)
+    return fuse(ranked, k)
+
+
+def multi_rank(links: DataFrame, term_concepts: DataFrame, weights: dict[str, float], k1: float = K1, b: float = B, coverage_alpha: float = 0.0, together_alpha: float = 0.0) -> DataFrame:
+    """(entity_id, score): BM25 under each verb of ``weights``, added up by weight.
+
+    Concepts of one term count as one: their frequencies add up. Scores are times the share of terms found to the power of ``coverage_alpha``, and times the largest share that a
+    single verb finds to the power of ``together_alpha``. Every verb has its own document lengths, numbers and frequencies.
+    """
+    own = links.filter(F.col("linkage").isin(list(weights)) & F.col("weight").isNotNull())
+    length = own.groupBy("linkage", "entity_id").agg(F.sum("weight").alias("dl"))
+    corpus = length.groupBy("linkage").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    first = term_concepts.groupBy("concept_id").agg(F.min("term").alias("term"))
+    tf = own.join(first, "concept_id").groupBy("linkage", "term", "entity_id").agg(F.sum("weight").alias("tf"))
+    df = tf.groupBy("linkage", "term").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.coalesce(*[F.when(F.col("linkage") == v, F.lit(float(w))) for v, w in weights.items()])
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    rows = tf.join(df, ["linkage", "term"]).join(corpus, "linkage").join(length, ["linkage", "entity_id"])
+    part = weight * idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
+    units = first.agg(F.countDistinct("term").alias("units")).withColumn("one", F.lit(1))
+    by_verb = rows.groupBy("entity_id", "linkage").agg(F.sum(part).alias("score"), F.collect_set("term").alias("terms"))  # as many as the query has
+    found = by_verb.groupBy("entity_id").agg(F.sum("score").alias("score"), F.size(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("all"), F.max(F.size("terms")).alias("most"))
+    out = found.withColumn("one", F.lit(1)).join(F.broadcast(units), "one")
+    for share, alpha in (("all", coverage_alpha), ("most", together_alpha)):
+        if alpha > 0:
+            out = out.withColumn("score", F.col("score") * F.pow(F.col(share) / F.col("units"), F.lit(alpha)))
+    return out.select("entity_id", "score")
+
+
 def corpus_stats(links: DataFrame) -> DataFrame:
     """(n_docs, avgdl) of the mention links."""
     return links.filter("linkage = 'mentions'").agg(F.countDistinct("entity_id").alias("n_docs"), (F.sum("weight") / F.countDistinct("entity_id")).alias("avgdl"))

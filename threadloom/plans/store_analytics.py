@@ -105,10 +105,6 @@ def zero_results(spark, sf_dir):
     return an.top_queries(log(spark, sf_dir), zero_only=True)
 
 
-def adoption(spark, sf_dir):
-    return an.adoption(log(spark, sf_dir))
-
-
 def anchored_windows(spark, sf_dir):
     """Windows of 5 seconds that open at a call, per source: how many calls each holds."""
     rows = log(spark, sf_dir).select("source", (time_ms(F.col("ts")) / 1000.0).alias("t")).filter("t IS NOT NULL AND source IS NOT NULL")
@@ -202,7 +198,7 @@ def stale_files(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        store_stats, code_fraction, concept_density, primer, facets, noise_prune, same_as_audit, derive_counts, partition_audit, reinforcement, telemetry_summary, top_queries, zero_results, adoption, anchored_windows,
+        store_stats, code_fraction, concept_density, primer, facets, noise_prune, same_as_audit, derive_counts, partition_audit, reinforcement, telemetry_summary, top_queries, zero_results, anchored_windows,
         channel_stats, bus_unread, bus_read, bus_read_cursor, budget_prefix, dedup_first_seen, without_repeats, around_errors, turn_assignment, session_stats, scope_round_robin, history_cap, selector_filter,
         tag_filter, mtype_filter, recent_window, stale_files,
     )
@@ -241,8 +237,6 @@ ORACLE = {
     "telemetry_summary": LOG + " " + _SUMMARY,
     "top_queries": LOG + " SELECT body, count(*) AS n FROM lg WHERE body IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "zero_results": LOG + " SELECT body, count(*) AS n FROM lg WHERE body IS NOT NULL AND cardinality = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
-    "adoption": LOG
-    + " SELECT source, n, CASE WHEN n < 10 THEN 'absent' WHEN e >= 0.2 THEN 'failing' WHEN z >= 0.5 THEN 'empty' ELSE 'healthy' END AS signal FROM (SELECT source, count(*) AS n, avg(CASE WHEN error IS NOT NULL THEN 1.0 ELSE 0.0 END) AS e, avg(CASE WHEN cardinality = 0 THEN 1.0 ELSE 0.0 END) AS z FROM lg GROUP BY 1)",
     "channel_stats": BUS
     + " SELECT channel, count(*) AS n, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'archived') AS archived, count(*) FILTER (WHERE status = 'deleted') AS deleted, max(seq) AS last_seq FROM msg GROUP BY 1",
     "bus_unread": BUS + " SELECT agent, cur.channel, count(*) FILTER (WHERE seq > last_seq AND status = 'active') AS unread FROM cur LEFT JOIN msg ON cur.channel = msg.channel GROUP BY 1, 2",

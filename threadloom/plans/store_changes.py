@@ -72,8 +72,9 @@ def replica_audit(spark, sf_dir):
 
 
 def retag(spark, sf_dir):
+    """All decisions get a tag."""
     m = memories(spark, sf_dir)
-    return mutate.retag(m, [r[0] for r in m.filter("tags LIKE '[%'").select("entity_id").orderBy("entity_id").limit(5).collect()], ["checked"], []).filter("tags LIKE '%checked%'").select("entity_id")
+    return mutate.retag(m, m.filter("mtype = 'decision'"), ["checked"], []).filter("tags LIKE '%checked%'").select("entity_id")
 
 
 def reclassify(spark, sf_dir):
@@ -108,8 +109,8 @@ def log_replay_latest(spark, sf_dir):
 
 
 def log_dump(spark, sf_dir):
-    """The store as log events, counted."""
-    return mutate.dump_log(store_graph(spark, sf_dir)).groupBy("op", "phase").agg(F.count(F.lit(1)).alias("n"))
+    """The store as log events: entities, flags, bodies of memories and links."""
+    return mutate.dump_log(store_graph(spark, sf_dir), memories(spark, sf_dir)).drop("ts")
 
 
 def _vectors(spark, sf_dir):
@@ -220,14 +221,17 @@ ORACLE = {
     + ", p AS (SELECT s.id AS f, min(d.id) AS t FROM ent s JOIN ent d ON s.kind = d.kind AND s.name = d.name AND d.partition_id = 1 WHERE s.partition_id = 2 GROUP BY 1) SELECT DISTINCT linkage, coalesce(pc.t, concept_id) AS concept_id, coalesce(pe.t, entity_id) AS entity_id FROM lnk LEFT JOIN p pc ON pc.f = concept_id LEFT JOIN p pe ON pe.f = entity_id",
     "replica_merge": "WITH b AS (SELECT id, CASE WHEN updated_at > 1e11 THEN updated_at / 1000 ELSE updated_at END AS seen FROM entities UNION ALL SELECT id, CASE WHEN updated_at > 1e11 THEN updated_at / 1000 ELSE updated_at END AS seen FROM entities_replica) SELECT id, round(max(seen), 1) AS seen FROM b GROUP BY 1",
     "replica_audit": "SELECT 'a' AS side, count(*) AS n FROM (SELECT entity_id, content FROM memory_content EXCEPT ALL SELECT entity_id, content FROM memory_replica) UNION ALL SELECT 'b', count(*) FROM (SELECT entity_id, content FROM memory_replica EXCEPT ALL SELECT entity_id, content FROM memory_content)",
-    "retag": ENT + " SELECT entity_id FROM mem WHERE tags LIKE '%checked%' OR entity_id IN (SELECT entity_id FROM mem WHERE tags LIKE '[%' ORDER BY 1 LIMIT 5)",
+    "retag": ENT + " SELECT entity_id FROM mem WHERE tags LIKE '%checked%' OR mtype = 'decision'",
     "reclassify": ENT + " SELECT CASE WHEN mtype LIKE 'session/%' THEN 'digest' ELSE mtype END AS mtype, count(*) AS n FROM mem GROUP BY 1",
     "pending_vectors": ENT + " SELECT id FROM ent WHERE vectors_updated_at IS NULL OR vectors_updated_at < updated_at",
     "log_replay_lww": _LOG
     + " , r AS (SELECT kind, name, arg_max(path, (ts, line_no)) FILTER (WHERE op = 'entity' AND path IS NOT NULL) AS path, arg_max(value, (ts, line_no)) FILTER (WHERE op = 'entity') AS value, max(ts) FILTER (WHERE op = 'entity') AS ts, max(ts) FILTER (WHERE op = 'tombstone') AS dead FROM lg WHERE op IN ('entity', 'tombstone') GROUP BY 1, 2) SELECT kind, name, path, value, ts FROM r WHERE ts IS NOT NULL AND (dead IS NULL OR dead < ts)",
     "log_replay_links": _LOG + " SELECT linkage, c, e, weight FROM (SELECT *, row_number() OVER (PARTITION BY linkage, c, e ORDER BY ts DESC, line_no) AS n FROM lg WHERE op IN ('link', 'unlink')) WHERE n = 1 AND op = 'link'",
     "log_replay_latest": _LOG + " SELECT name, line_no FROM lg WHERE op = 'entity' QUALIFY row_number() OVER (PARTITION BY kind, name ORDER BY ts DESC, line_no) = 1",
-    "log_dump": STORE + "SELECT 'entity' AS op, 0 AS phase, count(*) AS n FROM ent UNION ALL SELECT 'link', 1, count(*) FROM lnk",
+    "log_dump": STORE
+    + ", l AS (SELECT 0 AS phase, 'entity' AS op, kind, CAST(id AS VARCHAR) AS name, NULL AS linkage, NULL AS c, NULL AS e, path, tldr AS value FROM ent UNION ALL SELECT 1, 'protect', kind, CAST(id AS VARCHAR), NULL, NULL, NULL, NULL, '1' FROM ent WHERE protected = 1 "
+    "UNION ALL SELECT 1, 'noise', kind, CAST(id AS VARCHAR), NULL, NULL, NULL, NULL, '1' FROM ent WHERE noise = 1 UNION ALL SELECT 1, 'memory_content', 'memory', CAST(entity_id AS VARCHAR), NULL, NULL, NULL, NULL, content FROM (SELECT DISTINCT * FROM memory_content) "
+    "UNION ALL SELECT 2, 'link', NULL, NULL, linkage, CAST(concept_id AS VARCHAR), CAST(entity_id AS VARCHAR), NULL, NULL FROM lnk JOIN ent ON id = entity_id) SELECT *, CAST(NULL AS DOUBLE) AS weight FROM l",
     "knn_exact": "SELECT vec_id AS id, round(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), lambda p: (p[1] - p[2]) ** 2)), 4) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 10",
     "knn_join": _NEAR + " SELECT id, other, round(cosine, 4) AS cosine FROM n",
     "mutual_knn": _NEAR + " SELECT x.id AS a, x.other AS b, round((x.cosine - 0.1) / 0.9, 4) AS weight FROM n x JOIN n y ON x.id = y.other AND x.other = y.id WHERE x.id < x.other AND x.cosine > 0.1",

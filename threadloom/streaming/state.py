@@ -76,3 +76,29 @@ def touch_notes(touches: DataFrame, token: str, now: float, current: str, age_s:
     each = touches.select(token, F.explode("touches").alias("t")).filter(F.col("t.ring") != current)
     last = each.groupBy(token).agg(F.max_by("t", F.col("t.ts")).alias("t"))
     return last.filter(now - F.col("t.ts") >= age_s).select(token, F.col("t.ring").alias("ring"), F.col("t.ts").alias("ts"))
+
+
+def composites(tokens: DataFrame, every: int = 5, k: int = 3) -> DataFrame:
+    """(session, turn, composite): after every ``every``-th turn of a session, the ``k`` tokens it has dealt with most so far, as ``token=n`` and by name where equal.
+
+    ``tokens`` is a stream of turns (session, seq, token), those of one micro-batch in any order. The state is a count for each distinct token of a session.
+    """
+
+    def process(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        turn, names, counts = state.get if state.exists else (0, [], [])
+        held = dict(zip(names, counts))
+        rows = pd.concat(list(frames)).sort_values("seq")
+        turns, made = [], []
+        for token in rows["token"]:
+            turn += 1
+            if token is not None:
+                held[token] = held.get(token, 0) + 1
+            if turn % every == 0:
+                best = sorted(held.items(), key=lambda x: (-x[1], x[0]))[:k]
+                turns.append(turn)
+                made.append(",".join(f"{t}={n}" for t, n in best))
+        state.update((turn, list(held), list(held.values())))
+        yield pd.DataFrame({"session": [key[0]] * len(turns), "turn": pd.array(turns, "int64"), "composite": made})
+
+    held = "turn long, names array<string>, counts array<long>"
+    return tokens.groupBy("session").applyInPandasWithState(process, "session string, turn long, composite string", held, "append", GroupStateTimeout.NoTimeout)

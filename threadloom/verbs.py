@@ -158,7 +158,7 @@ def memory(store: Store, action: str, ids: list | None = None, mtype: str = "",
             "facets": lambda: analytics.facets(m),
             "by_tag": lambda: analytics.tagged(m, tags, any_of),
             "without_type": lambda: analytics.without_types(m, [glob]),
-            "retag": lambda: replace(store, memories=mutate.retag(m, ids, add=tags)),
+            "retag": lambda: replace(store, memories=mutate.retag(m, m.filter(F.col("entity_id").isin(ids)), add=tags)),
             "reclassify": lambda: replace(store, memories=mutate.reclassify(m, glob, mtype)),
             "forget": forget,
             "dedup": lambda: replace(store, graph=mutate.fold_duplicates(g)),
@@ -246,7 +246,7 @@ def telemetry(store: Store, action: str, dimension: str = "kind", k: int = 20) -
             "summary": lambda: analytics.telemetry_summary(store.log, dimension),
             "top": lambda: analytics.top_queries(store.log, k=k),
             "zero": lambda: analytics.top_queries(store.log, True, k),
-            "adoption": lambda: analytics.adoption(store.log),
+            "adoption": lambda: analytics.adoption(store.log.withColumn("command", F.col("source")), ["root"]),
         },
         action,
     )()
