@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.names import canonicalize
 from threadloom.model import BODY_STOPWORDS, stored_verb
-from threadloom.staging import spread
+from threadloom.staging import kept, spread, stage
 
 BODY_TOKEN = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 
@@ -38,15 +38,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _paths(sf_dir: str, *tables: str) -> list[str]:
+    return [f"{sf_dir}/{t}.parquet" for t in tables]
+
+
 def store_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The stored graph: entities once each, and one link for each bit of the fragments whose two ends exist."""
-    entities = read(spark, sf_dir, "entities").distinct()
-    bits = read(spark, sf_dir, "bitmap_fragments").select(
-        stored_verb(F.col("linkage")).alias("linkage"), F.shiftright("bit", 32).alias("concept_id"), F.col("bit").bitwiseAND(F.lit(0xFFFFFFFF)).alias("entity_id")
-    )
-    ids = entities.select("id")
-    links = bits.distinct().join(ids.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").join(ids.withColumnRenamed("id", "concept_id"), "concept_id", "left_semi")
-    return Graph(entities, links.select("linkage", "concept_id", "entity_id", F.lit(None).cast("double").alias("weight")))
+    """The stored graph: entities once each, and one link for each bit of the fragments whose two ends exist.
+
+    Both are built once and kept, links by verb and within it sorted by concept, so that a query reads the verbs and concepts that it asks for.
+    """
+
+    def entities() -> DataFrame:
+        return read(spark, sf_dir, "entities").distinct()
+
+    def links() -> DataFrame:
+        bits = read(spark, sf_dir, "bitmap_fragments").select(
+            stored_verb(F.col("linkage")).alias("linkage"), F.shiftright("bit", 32).alias("concept_id"), F.col("bit").bitwiseAND(F.lit(0xFFFFFFFF)).alias("entity_id")
+        )
+        ids = read(spark, sf_dir, "entities").select("id").distinct()
+        return bits.distinct().join(ids.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").join(ids.withColumnRenamed("id", "concept_id"), "concept_id", "left_semi")
+
+    kept_entities = kept(spark, "entities", _paths(sf_dir, "entities"), entities)
+    found = kept(spark, "links", _paths(sf_dir, "entities", "bitmap_fragments"), links, ["linkage"], ["concept_id", "entity_id"])
+    return Graph(kept_entities, found.select("linkage", "concept_id", "entity_id", F.lit(None).cast("double").alias("weight")))
 
 
 def body_terms(df: DataFrame, record: str, text: str, linkage: str = "mentions") -> DataFrame:
@@ -70,6 +84,31 @@ def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.unionByName(lead).unionByName(tags.select(F.lit("tagged").alias("linkage"), "concept", F.col("doc_id").alias("entity_id"), F.lit(1.0).alias("weight")))
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of the documents (linkage, concept_id, entity_id, weight, dl), built once and kept by verb and concept; dl is the entity's length, the sum of its mentions' weights."""
+
+    def build() -> DataFrame:
+        links = stage(document_links(spark, sf_dir), "document-links")
+        length = links.filter("linkage = 'mentions'").groupBy("entity_id").agg(F.sum("weight").alias("dl"))
+        return links.join(length, "entity_id", "left").select("linkage", F.col("concept").alias("concept_id"), "entity_id", "weight", "dl")
+
+    return kept(spark, "document-index", _paths(sf_dir, "documents"), build, ["linkage"], ["concept_id", "entity_id"])
+
+
+_figures: dict[str, tuple[int, float]] = {}
+
+
+def document_figures(spark: SparkSession, sf_dir: str) -> tuple[int, float]:
+    """The number of documents in the index and their mean length, worked out once for each index."""
+    index = document_index(spark, sf_dir)
+    place = index.inputFiles()[0].rsplit("/", 2)[0] if index.inputFiles() else ""
+    if place not in _figures:
+        length = index.filter("linkage = 'mentions'").groupBy("entity_id").agg(F.max("dl").alias("dl"))
+        n, mean = length.agg(F.count(F.lit(1)), F.avg("dl")).first()
+        _figures[place] = (n, mean or 0.0)
+    return _figures[place]
+
+
 def with_concept_ids(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links with a concept id (a hash of the name, 60 bits, above all table ids) and the concepts (concept_id, name, canonical_name)."""
     identified = links.withColumn("concept_id", F.shiftrightunsigned(F.xxhash64("concept"), 4) + F.lit(1 << 33))

@@ -212,11 +212,10 @@ def _truth(tree: Term | Node, of) -> Column | bool:
 
 def resolve(graph: Graph, names: list[str]) -> DataFrame:
     """(name, concept_id) of all concepts that a name denotes: the same name or the same canonical name."""
-    concepts = graph.concepts()
-    wanted = graph.entities.sparkSession.createDataFrame([(n, canonicalize_text(n)) for n in names], "term string, canon string")
-    by_name = concepts.join(F.broadcast(wanted), F.col("name") == F.col("term")).select("term", "concept_id")
-    by_canon = concepts.join(F.broadcast(wanted), F.col("canonical_name") == F.col("canon")).select("term", "concept_id")
-    return by_name.union(by_canon).distinct()
+    canons = {n: canonicalize_text(n) for n in names}
+    rows = graph.concepts().filter(F.col("name").isin(names) | F.col("canonical_name").isin(list(canons.values())))  # reaches the scan
+    means = [F.when((F.col("name") == n) | F.coalesce(F.col("canonical_name") == c, F.lit(False)), F.lit(n)) for n, c in canons.items()]
+    return rows.select("concept_id", F.explode(F.array_compact(F.array(*means).cast("array<string>"))).alias("term")).select("term", "concept_id").distinct()
 
 
 def members(graph: Graph, tree: Term | Node) -> DataFrame:

@@ -7,7 +7,7 @@ tables of one row. All rankings end with score descending, id ascending.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,23 +29,30 @@ def tf_transform(tf: Column, how: str) -> Column:
 
 
 def content_rank(
-    links: DataFrame, term_concepts: DataFrame, n_terms: int, kinds: DataFrame | None = None, limit: int | None = 50, k1: float = K1, b: float = B, coverage_alpha: float = COVERAGE_ALPHA,
+    links: DataFrame, term_concepts: DataFrame | Mapping, n_terms: int, kinds: DataFrame | None = None, limit: int | None = 50, k1: float = K1, b: float = B, coverage_alpha: float = COVERAGE_ALPHA,
     tf: str = "raw", null_tf: float = 0.0, boosts: dict[str, float] | None = None, floor: float = DEFINITION_FLOOR,
+    corpus: tuple[int, float] | None = None,
 ) -> DataFrame:
     """(entity_id, score): BM25 times coverage for a bag of terms.
 
     ``term_concepts`` has (term int from 0, concept_id): the concepts that each term denotes; a concept that several terms claim belongs to the
-    first. A null weight counts as frequency ``null_tf`` and still counts for document frequency and coverage. ``kinds`` (entity_id) restricts
+    first. If the driver knows them, they may be a mapping of concept to term, which then is part of the scan's filter. A null weight counts as frequency ``null_tf`` and still counts for document frequency and coverage. ``kinds`` (entity_id) restricts
     what is scored, not the corpus figures. ``boosts`` maps a linkage to the weight that an entity gains per idf of a term that it is linked to so
-    (``lead``). Entities that define a term's concept without mentioning one get ``floor``. No term that resolves gives an empty result.
+    (``lead``). Entities that define a term's concept without mentioning one get ``floor``. No term that resolves gives an empty result. Links of an index carry
+    their entity's length as ``dl`` and come with its figures as ``corpus``, the number of documents and their mean length; then only the postings of the terms are read.
     """
     boosts = {"lead": LEAD_WEIGHT} if boosts is None else boosts
-    first = term_concepts.groupBy("concept_id").agg(F.min("term").alias("term"))
+    known = isinstance(term_concepts, Mapping)
+    if known and not term_concepts:
+        return links.select("entity_id", F.lit(0.0).alias("score")).limit(0)
+    first = None if known else term_concepts.groupBy("concept_id").agg(F.min("term").alias("term"))
     # The same filter on both branches, so that they share one scan and one shuffle of the links.
     links = links.filter(F.col("concept_id").isNotNull() & F.col("entity_id").isNotNull())
     mentions = links.filter("linkage = 'mentions'")
-    length = mentions.groupBy("entity_id").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("dl"))
-    corpus = length.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+    length = figures = None
+    if corpus is None:
+        length = mentions.groupBy("entity_id").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("dl"))
+        figures = length.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
     raw = tf_transform(F.coalesce(F.col("weight"), F.lit(null_tf)), tf)
     aggs = []
     for i in range(n_terms):
@@ -56,14 +63,28 @@ def content_rank(
         for j, linkage in enumerate(boosts):
             aggs.append(F.sum(F.when((F.col("linkage") == linkage) & own, 1).otherwise(0)).alias(f"boost{i}_{j}"))
     aggs.append(F.max(F.when(F.col("linkage") == "defines", 1).otherwise(0)).alias("defines_it"))
-    hits = links.filter(F.col("linkage").isin(["mentions", "defines", *boosts])).join(first, "concept_id").groupBy("entity_id").agg(*aggs)
+    if length is None:
+        aggs.append(F.max("dl").alias("dl"))
+    postings = links.filter(F.col("linkage").isin(["mentions", "defines", *boosts]))
+    if known:
+        term = F.coalesce(*[F.when(F.col("concept_id") == c, F.lit(t)) for c, t in term_concepts.items()])
+        postings = postings.filter(F.col("concept_id").isin(list(term_concepts))).withColumn("term", term)
+    else:
+        postings = postings.join(first, "concept_id")
+    hits = postings.groupBy("entity_id").agg(*aggs)
     hit = reduce(lambda x, y: x | y, [F.col(f"has{i}") == 1 for i in range(n_terms)]) | (F.col("defines_it") == 1)
     hits = hits.filter(hit)
     counts = hits.agg(*[F.sum(f"has{i}").alias(f"n{i}") for i in range(n_terms)])
-    units = first.agg(F.countDistinct("term").alias("units"))
-    one = F.lit(1).alias("one")
-    figures = corpus.select("*", one).join(counts.select("*", one), "one").join(units.select("*", one), "one")  # three tables of one row
-    scored = hits.join(length, "entity_id", "left").withColumn("one", F.lit(1)).join(F.broadcast(figures), "one")
+    if known:
+        counts = counts.withColumn("units", F.lit(len(set(term_concepts.values()))))
+    else:
+        counts = counts.crossJoin(first.agg(F.countDistinct("term").alias("units")))  # tables of one row
+    counts = counts.withColumn("one", F.lit(1))
+    if figures is None:
+        figures = counts.withColumns({"n_docs": F.lit(corpus[0]), "avgdl": F.lit(float(corpus[1]))})
+    else:
+        figures = figures.withColumn("one", F.lit(1)).join(counts, "one")
+    scored = (hits if length is None else hits.join(length, "entity_id", "left")).withColumn("one", F.lit(1)).join(F.broadcast(figures), "one")
     if kinds is not None:
         scored = scored.join(kinds, "entity_id", "left_semi")
     idf = [F.log((F.col("n_docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5) + 1.0) for i in range(n_terms)]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions.frames import local_table
 from threadloom.functions.names import shape_score
-from threadloom.graph import document_links, read
+from threadloom.graph import document_figures, document_index, read
 from threadloom.model import BODY_STOPWORDS, SEARCH_STOPWORDS
 from threadloom.operators import rank
 
@@ -35,15 +36,16 @@ SHAPE_SQL = (
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_links(spark, sf_dir).withColumnRenamed("concept", "concept_id")
+    return document_index(spark, sf_dir)
 
 
 def term_table(spark: SparkSession, terms: list[str] = TERMS) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(terms)), "term int, concept_id string")
+    return local_table(spark, list(enumerate(terms)), "term int, concept_id string")
 
 
 def ranked(spark: SparkSession, sf_dir: str, terms: list[str] = TERMS, **options) -> DataFrame:
-    return rank.content_rank(links(spark, sf_dir), term_table(spark, terms), len(terms), **options)
+    own = {t: i for i, t in reversed(list(enumerate(terms)))}
+    return rank.content_rank(links(spark, sf_dir), own, len(terms), corpus=document_figures(spark, sf_dir), **options)
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -81,7 +83,7 @@ def tf_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls, out = links(spark, sf_dir), None
     for t in TERMS:
-        one = rank.top_weighted(ls, "mentions", term_table(spark, [t]), 20).withColumnRenamed("weight", "score")
+        one = rank.top_weighted(ls.filter(F.col("concept_id") == t), "mentions", term_table(spark, [t]), 20).withColumnRenamed("weight", "score")
         one = rank.as_ranks(one, t)
         out = one if out is None else out.unionByName(one)
     return out
@@ -93,15 +95,15 @@ def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.top_weighted(links(spark, sf_dir), "mentions", term_table(spark, TERMS[:1]), 20)
+    return rank.top_weighted(links(spark, sf_dir).filter(F.col("concept_id") == TERMS[0]), "mentions", term_table(spark, TERMS[:1]), 20)
 
 
 def per_linkage_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.per_linkage_top(links(spark, sf_dir), term_table(spark), 10)
+    return rank.per_linkage_top(links(spark, sf_dir).filter(F.col("concept_id").isin(TERMS)), term_table(spark), 10)
 
 
 def fused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(rank.fused_rows(links(spark, sf_dir), term_table(spark), ["lead", "mentions"], 10), "score")
+    return _rounded(rank.fused_rows(links(spark, sf_dir).filter(F.col("concept_id").isin(TERMS)), term_table(spark), ["lead", "mentions"], 10), "score")
 
 
 def feedback_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: set[str] = set()
+_kept: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +47,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
+    """What a table built from files depends on: their names, lengths and times."""
+    seen = []
+    for path in paths:
+        fs, where = _file_system(spark, path)
+        status = fs.getFileStatus(where)
+        for f in fs.listStatus(where) if status.isDirectory() else [status]:
+            seen.append(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("|".join([*paths, *sorted(seen)]).encode()).hexdigest()[:16]
+
+
+def kept(spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[], DataFrame], partition_by: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """A table that is built once for an application from source files and read by every query after that, as long as these files stay as they are.
+
+    It is partitioned by ``partition_by`` and sorted by range of ``order`` within, so that filters on either read only what they need.
+    """
+    key = (shared_dir(spark), name, fingerprint(spark, sources))
+    if key not in _kept:
+        path, df = new_path(spark, f"kept-{name}"), build()
+        columns = [*partition_by, *order]
+        if columns:
+            df = stage(df, name)  # ranges are cut from a sample, for which the rows would be made twice
+            df = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+        writer = df.write.mode("error").option("compression", "zstd").option("parquet.block.size", 8 << 20)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        spark.read.parquet(path).schema  # noqa: B018  it can be read
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than cores (a small file), over all cores; larger ones as they are. For work that is heavy per row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -71,6 +104,8 @@ def discard(spark: SparkSession) -> None:
     """Delete every staged table of this application."""
     fs, folder = _file_system(spark, shared_dir(spark))
     fs.delete(folder, True)
+    for key in [k for k in _kept if k[0] == shared_dir(spark)]:
+        del _kept[key]
 
 
 def _discard_quietly(spark: SparkSession) -> None:
