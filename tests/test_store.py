@@ -285,3 +285,63 @@ def test_labels_spread_over_all_links(spark, small):
     links = graphs._typed(spark, small)[0]
     mentioned = links.filter("linkage = 'mentions' AND concept_id != entity_id").select("concept_id").distinct().withColumnRenamed("concept_id", "id")
     assert graphs.label_propagation(spark, small).join(mentioned, "id", "left_semi").count() >= 0.9 * mentioned.count() > 0
+
+
+def test_cells_find_neighbours_of_clustered_vectors(spark):
+    from threadloom.operators import vectors
+
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(25, 16))
+    x = centre[rng.integers(0, 25, 1500)] + 0.15 * rng.normal(size=(1500, 16))
+    x[0] = 0
+    v = spark.createDataFrame([(i, [float(y) for y in row]) for i, row in enumerate(x)], "id long, vector array<double>")
+    asked = v.filter("id % 20 = 0 AND id > 0")
+    cells = vectors.fit_cells(v)
+    recall = vectors.recall_of(vectors.knn_cells(asked, v, 5, cells=cells, size=64), vectors.knn_join(asked, v, 5, size=400)).first()
+    assert recall.recall >= 0.9 and recall.n == 5 * asked.count() and cells.probes < len(cells.centres) / 2
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -3)
+    exact = {(int(r.id), int(r.other)) for r in vectors.knn_join(asked, v, 3, size=300).collect()}
+    assert exact == {(i, int(j)) for i in range(20, 1500, 20) for j in np.argsort(-sim[i], kind="stable")[:3]}
+    assert vectors.knn_cells(asked.limit(0), v, 3).count() == 0 and vectors.knn_cells(asked, v.limit(0), 3).count() == 0
+
+
+def test_concepts_bridge_all_similar_pairs_and_windows_are_anchored(spark):
+    import random
+
+    from threadloom.operators import analytics, vectors
+
+    rng = random.Random(8)
+    sets = spark.createDataFrame([(i, f"c{c}") for i in range(60) for c in rng.sample(range(12), rng.randrange(1, 6))] + [(i, "all") for i in range(60)], "entity_id long, concept string")
+    sets = vectors.informative_concepts(sets, most_share=1.0)
+    weight = {}
+    for r in sets.collect():
+        weight.setdefault(r.entity_id, {})[r.concept] = r.idf
+    norm = {i: math.sqrt(sum(w * w for w in c.values())) for i, c in weight.items()}
+    for least in (0.2, 0.6, 0.95):
+        want = {(a, b): dot / norm[a] / norm[b] for a in weight for b in weight if a < b and norm[a] and norm[b] for dot in [sum(w * weight[b].get(c, 0.0) for c, w in weight[a].items())] if dot > least * norm[a] * norm[b] * (1 + 1e-9)}
+        got = {(r.a, r.b): r.cosine for r in vectors.concept_cosine(sets, least).collect() if r.cosine > least * (1 + 1e-9)}
+        assert got == pytest.approx(want)
+    with pytest.raises(ValueError):
+        vectors.concept_cosine(sets, 0.0)
+    times = [("a", rng.choice([0, 50, 51, 52, 200]) + rng.randrange(40) / 4) for _ in range(120)] + [("b", 3.0), (None, 1.0)]
+    rows_ = spark.createDataFrame(times, "k string, t double")
+    want = []
+    for k in ("a", "b", None):
+        start = None
+        for t in sorted(t for x, t in times if x == k):
+            start = t if start is None or t > start + 5 else start
+            want.append((k, t, start))
+    assert rows(analytics.anchored_windows(rows_, "k", "t")) == sorted(want, key=repr)
+    assert analytics.anchored_windows(rows_.limit(0), "k", "t").count() == 0
+
+
+def test_last_touches_hold_no_more_than_asked_for(spark):
+    from threadloom.streaming import runner, state
+
+    events = [(f"t{i % 3}", float(i * 7 % 31), f"r{i % 4}", i, i) for i in range(30)]
+    df = spark.createDataFrame(events, "token string, ts double, ring string, line int, seq int")
+    stream = runner.replayed(spark, df, files_per_batch=1, order="seq").drop("seq")
+    got = {r.token: [(t.ts, t.ring, t.line) for t in r.touches] for r in runner.latest_of_updates(state.last_touches(stream, "token", 4), ["token"], "touches").collect()}
+    assert got == {k: sorted((ts, ring, line) for t, ts, ring, line, _ in events if t == k)[-4:] for k in ("t0", "t1", "t2")}

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from threadloom.functions.frames import plain_strings
 from threadloom.functions.names import channel_matches, glob_pattern, namespace
 from threadloom.operators.prefix_sum import running_totals
+from threadloom.staging import stage
 
 # --- percentiles by nearest rank, as small reports need them -------------------------------------
 
@@ -200,15 +201,21 @@ def in_corpus(name: Column, mtype: Column, tags: Column, scope: str = "memory",
 def anchored_windows(rows: DataFrame, key: str, time_s: str, window_s: float = 5.0) -> DataFrame:
     """``rows`` with ``window_start``: a window opens at the first row of a key and holds the rows up to window_s later; the next row opens the next.
 
-    Each start depends on the one before, so a key's rows are scanned in order; the scan keeps one number. Keys are cut at
-    silences longer than the window first, where a new window begins in any case, so one busy key spreads over many groups.
+    Each start depends on the one before, so a key's rows are scanned in order; the scan keeps one number. Keys are cut first where a slot of
+    window_s seconds is empty, as a new window begins after it in any case; slots are found and numbered by joins and ranges, so one busy key spreads over many groups. A stretch of
+    a key without an empty slot is one group.
     """
     import pandas as pd
 
-    order = W.partitionBy(key).orderBy(time_s)
-    gap = F.col(time_s) - F.lag(time_s).over(order)
-    cut = rows.withColumn("_run", F.sum(F.when(gap.isNull() | (gap > window_s), 1).otherwise(0)).over(order))
     names = rows.columns
+    slot = F.floor(F.col(time_s) / F.lit(window_s))
+    placed = rows.withColumn("_slot", slot)
+    slots = placed.filter("_slot IS NOT NULL").select(F.col(key).alias("_k"), "_slot").distinct()
+    before = slots.select(F.col("_k").alias("_k2"), (F.col("_slot") + 1).alias("_slot2"), F.lit(1).alias("_went"))
+    flagged = slots.join(before, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_slot") == F.col("_slot2")), "left")
+    flagged = flagged.select("_k", "_slot", F.when(F.col("_went").isNull(), 1).otherwise(0).cast("long").alias("_new"))
+    runs = running_totals(flagged, ["_k"], ["_slot"], "_new", total="_stretch").select("_k", F.col("_slot").alias("_s"), "_stretch")
+    cut = placed.join(runs, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slot") == F.col("_s"))).select(*names, "_stretch")
     schema = T.StructType([*rows.schema.fields, T.StructField("window_start", T.DoubleType())])
 
     def scan(frame: pd.DataFrame) -> pd.DataFrame:
@@ -220,12 +227,13 @@ def anchored_windows(rows: DataFrame, key: str, time_s: str, window_s: float = 5
             out.append(start)
         return plain_strings(frame[names]).assign(window_start=out)
 
-    whole = W.partitionBy(key, "_run")
-    cut = cut.withColumns({"_first": F.min(time_s).over(whole), "_last": F.max(time_s).over(whole)})
+    cut = stage(cut, "window-runs")
+    ends = cut.groupBy(F.col(key).alias("_k"), F.col("_stretch").alias("_r")).agg(F.min(time_s).alias("_first"), F.max(time_s).alias("_last"))
+    cut = cut.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_stretch") == F.col("_r")))
     # A run no longer than the window is one window; only longer ones need the scan.
     short = F.col("_last") - F.col("_first") <= window_s
     plain = cut.filter(short).select(*names, F.col("_first").cast("double").alias("window_start"))
-    return plain.unionByName(cut.filter(~short).groupBy(key, "_run").applyInPandas(scan, schema))
+    return plain.unionByName(cut.filter(~short).select(*names, "_stretch").groupBy(key, "_stretch").applyInPandas(scan, schema))
 
 
 # --- channels ---------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.operators.walks import communities
+from threadloom.staging import stage
+
 #: Rows of a block in blocked all-pairs searches.
 BLOCK = 2048
 
@@ -44,41 +48,136 @@ def nearest(vectors: DataFrame, query: list[float], k: int, ids: DataFrame | Non
     return rows.select("id", d.alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def blocks_of(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(block, ids, vectors): rows in blocks by a hash of the id, about ``size`` rows each."""
-    n = max(1, -(-vectors.count() // size))
-    return vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "vector"))).alias("rows"))
-
+def _best(a: list, b: list, k: int, threshold: float) -> pd.DataFrame:
+    """The k best of block b for each query of block a, by one matrix product."""
+    ai, bi = np.array([r["id"] for r in a]), np.array([r["id"] for r in b])
+    am, bm = (np.array([np.asarray(r["vector"], dtype=np.float64) for r in x]) for x in (a, b))
+    am, bm = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (am, bm))
+    sim = am @ bm.T
+    sim[ai[:, None] == bi[None, :]] = -3.0
+    order = np.lexsort((np.broadcast_to(bi, sim.shape), -np.round(sim, 12)), axis=1)[:, :k]
+    best = np.take_along_axis(sim, order, axis=1)
+    keep = best > threshold
+    return pd.DataFrame({"id": np.repeat(ai, keep.sum(axis=1)), "other": bi[order][keep], "cosine": best[keep]})
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = -2.0) -> DataFrame:
-    """(id, other, cosine): for each query the k vectors of highest cosine above the threshold, itself left out; ties go to the smaller id.
 
-    Blocks of queries meet blocks of vectors, a matrix product each, and only the k best of a block go on: the result is exact, and the work per task bounded.
-    """
-    q, v = blocks_of(queries), blocks_of(vectors)
-    keyed = q.select(F.col("block").alias("qb"), F.col("rows").alias("q"), F.lit(1).alias("one")).join(v.select(F.col("block").alias("vb"), F.col("rows").alias("v"), F.lit(1).alias("one")), "one")
+def _search(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(id, other, cosine): the k best over all pairs of blocks (q, v)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for a, b in zip(frame["q"], frame["v"]):
-                ai, bi = np.array([r["id"] for r in a]), np.array([r["id"] for r in b])
-                am, bm = (np.array([np.asarray(r["vector"], dtype=np.float64) for r in x]) for x in (a, b))
-                am, bm = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (am, bm))
-                sim = am @ bm.T
-                sim[ai[:, None] == bi[None, :]] = -3.0
-                order = np.lexsort((np.broadcast_to(bi, sim.shape), -np.round(sim, 12)), axis=1)[:, :k]
-                best = np.take_along_axis(sim, order, axis=1)
-                keep = best > threshold
-                yield pd.DataFrame({"id": np.repeat(ai, keep.sum(axis=1)), "other": bi[order][keep], "cosine": best[keep]})
-
-    near = keyed.select("q", "v").mapInPandas(run, "id long, other long, cosine double")
+                yield _best(a, b, k, threshold)
+
+    near = pairs.select("q", "v").mapInPandas(run, "id long, other long, cosine double").distinct()
     order = W.partitionBy("id").orderBy(F.desc(F.round("cosine", 12)), "other")
     return near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
 
 
-def mutual_knn(vectors: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b, weight), a < b: pairs that are among each other's k nearest, weighing (cosine - t) / (1 - t)."""
-    return mutual_of(knn_join(vectors, vectors, k, threshold), threshold)
+def _blocks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "vector"))).alias(name))
+
+
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = -2.0, size: int = BLOCK) -> DataFrame:
+    """(id, other, cosine): for each query the k vectors of highest cosine above the threshold, itself left out; ties go to the smaller id. Exact.
+
+    Every block of queries is sent to every block of vectors, by the number of that block, and meets it in a matrix product; only the k best of a block go on. Work and traffic grow
+    with the number of queries times that of blocks, which suits a stated set of queries; for all rows against all, ``knn_cells`` looks at likely blocks only.
+    """
+    nq, nv = (max(1, -(-x.count() // size)) for x in (queries, vectors))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    v = _blocks(vectors.select("id", "vector", block(nv).alias("vb")), ["vb"], "v")
+    q = _blocks(queries.select("id", "vector", block(nq).alias("qb")), ["qb"], "q").withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    return _search(q.join(v.hint("merge"), "vb"), k, threshold)
+
+
+#: Most vectors that cells are fitted on, most cells, queries that the search is calibrated with, and the recall that it is calibrated for.
+SAMPLE, MOST_CELLS, ASKED, RECALL = 50_000, 4096, 1000, 0.95
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Centres of inverted lists, and how many of them, the nearest ones, a query has to look into."""
+
+    centres: np.ndarray
+    probes: int
+
+
+def fit_cells(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE, rounds: int = 12, seed: int = 0, k: int = 10, recall: float = RECALL) -> Cells:
+    """Cells by spherical k-means on a bounded sample of ``sample`` vectors at most; about as many as the square root of the number of vectors, up to ``MOST_CELLS``.
+
+    For up to ``ASKED`` vectors of the sample their k nearest in the sample are found, and as many cells are looked into as hold the share ``recall`` of these. In the whole
+    collection, which is denser, neighbours are nearer. Vectors without any structure need most cells, clustered ones few.
+    """
+    n = vectors.count()
+    chosen = vectors.orderBy(F.xxhash64("id", F.lit(seed))).limit(sample) if n > sample else vectors
+    rows = chosen.select("vector").toPandas()["vector"]
+    x = np.array([v for v in (np.asarray(v, dtype=np.float64) for v in rows) if v.any()])
+    if not len(x):
+        return Cells(np.ones((1, 1)), 1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    order = np.random.default_rng(seed).permutation(len(x))
+    count = min(cells or max(1, round(n**0.5)), MOST_CELLS, len(x))
+    centres = x[order[:count]]
+    for _ in range(rounds):
+        own = np.argmax(x @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-300), centres)
+    own = np.argmax(x @ centres.T, axis=1)
+    asked = order[:ASKED]
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -3.0
+    near = np.argsort(-near, axis=1)[:, : min(k, len(x) - 1)]
+    place = np.argsort(np.argsort(-(x[asked] @ centres.T), axis=1), axis=1)
+    places = np.take_along_axis(place, own[near], axis=1)
+    return Cells(centres, int(np.quantile(places, recall, method="higher")) + 1 if places.size else count)
+
+
+def _in_cells(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """(id, vector, cell): rows in the ``probes`` cells nearest to them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            x = np.array([np.asarray(v, dtype=np.float64) for v in frame["vector"]])
+            if centres.shape == (1, 1) and x.shape[1] != 1:
+                continue  # no vectors to be found
+            near = np.argpartition(-(x @ centres.T), min(probes, len(centres)) - 1, axis=1)[:, :probes]
+            at = np.repeat(np.arange(len(frame)), near.shape[1])
+            yield pd.DataFrame({"id": frame["id"].to_numpy()[at], "vector": frame["vector"].to_numpy()[at], "cell": near.ravel()})
+
+    return rows.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(run, "id long, vector array<double>, cell long")
+
+
+def knn_cells(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = -2.0, cells: Cells | None = None, size: int = BLOCK) -> DataFrame:
+    """The same as ``knn_join`` within inverted lists: every vector lies in the cell of its nearest centre, and a query looks into as many cells as ``fit_cells`` found to be needed.
+
+    Approximate: a neighbour in another cell is missed. All rows are indexed; only the cells are fitted on a sample. A cell with more than ``size`` vectors is several blocks.
+    """
+    cells = fit_cells(vectors, k=k) if cells is None else cells
+    lists = stage(_in_cells(vectors, cells.centres, 1), "cells")
+    parts = lists.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("n"))
+    place = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+    v = _blocks(lists.join(parts, "cell").withColumn("part", place), ["cell", "part"], "v")
+    asked = _in_cells(queries, cells.centres, cells.probes)
+    counts = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("n"))
+    q = _blocks(asked.join(counts, "cell").withColumn("qpart", place), ["cell", "qpart"], "q")
+    return _search(q.join(v, "cell"), k, threshold)
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(recall, n): the share of the true neighbours (id, other) that were found."""
+    hit = exact.select("id", "other").join(found.select("id", "other").distinct().withColumn("hit", F.lit(1)), ["id", "other"], "left")
+    return hit.agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall"), F.count(F.lit(1)).alias("n"))
+
+
+def mutual_knn(vectors: DataFrame, k: int, threshold: float, exact: bool = True) -> DataFrame:
+    """(a, b, weight), a < b: pairs that are among each other's k nearest, weighing (cosine - t) / (1 - t). Exact among all, or within cells."""
+    near = knn_join(vectors, vectors, k, threshold) if exact else knn_cells(vectors, vectors, k, threshold)
+    return mutual_of(near, threshold)
 
 
 def cosine_percentile(pairs: DataFrame, p: float) -> DataFrame:
@@ -94,16 +193,46 @@ def informative_concepts(doc_concepts: DataFrame, least: int = 2, most_share: fl
     return rows.join(df, "concept").select("entity_id", "concept", F.log(F.lit(float(n)) / F.col("df")).alias("idf"))
 
 
-def concept_cosine(sets: DataFrame, least: float = 0.0) -> DataFrame:
-    """(a, b, cosine), a < b: similarity of documents by the squared idf of the concepts that they share."""
-    norm = sets.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    side = lambda s: sets.select("concept", F.col("entity_id").alias(s), F.col("idf").alias("i" + s))
-    shared = side("a").join(side("b"), "concept").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ia") * F.col("ib")).alias("dot"))
-    n = lambda s: norm.select(F.col("entity_id").alias(s), F.col("norm").alias("n" + s))
-    return shared.join(n("a"), "a").join(n("b"), "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine")).filter(F.col("cosine") > least)
+#: From this similarity on, documents without a dense edge are bridged by their concepts.
+BRIDGE_FROM = 0.35
+
+
+def concept_norms(sets: DataFrame) -> DataFrame:
+    """(entity_id, concepts, norm): the documents' concepts with idf, as one row each."""
+    return sets.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("concept", "idf"))).alias("concepts"), F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+
 
+def cosine_of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, cosine): similarity of given pairs of documents by the squared idf of the concepts that they share."""
+    rows = concept_norms(sets)
+    side = lambda s: rows.select(F.col("entity_id").alias(s), F.col("concepts").alias(f"c{s}"), F.col("norm").alias(f"n{s}"))
+    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    dot = F.aggregate(F.map_keys("ca"), F.lit(0.0), lambda t, c: t + F.coalesce(F.try_element_at("ca", c) * F.try_element_at("cb", c), F.lit(0.0)))
+    return both.select("a", "b", F.try_divide(dot, F.col("na") * F.col("nb")).alias("cosine")).filter("cosine > 0")
 
-def fuse_edges(dense: DataFrame, sparse: DataFrame, beta: float = 1.0, gamma: float = 0.5, bridge_from: float = 0.35) -> DataFrame:
+
+def concept_cosine(sets: DataFrame, least: float = BRIDGE_FROM) -> DataFrame:
+    """(a, b, cosine), a < b: all pairs of documents whose similarity by the squared idf of shared concepts is above ``least``, which is above 0.
+
+    Concepts are ordered from rare to frequent. What is left of a document after its prefix is so short that it can't bring the similarity to ``least`` by itself; so the first concept
+    that two similar documents share lies in both their prefixes, where they meet. No pair is lost, frequent concepts hardly ever are in a prefix, and the candidates' similarity is exact.
+    """
+    if least <= 0:
+        raise ValueError("the least similarity must be above 0")
+    norm = sets.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm")).filter("norm > 0")
+    falling = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("i"), "concept")))
+    rows = sets.join(norm, "entity_id").groupBy("entity_id", "norm").agg(falling.alias("cs"))
+    # Squared weight of what follows each concept, itself included; a place belongs to the prefix while that is not below the bound.
+    after = F.transform("cs", lambda x, i: F.aggregate(F.slice(F.col("cs"), i + 1, F.size("cs")), F.lit(0.0), lambda t, y: t + y["i"] * y["i"]))
+    bound = F.col("norm") * F.col("norm") * (least * least * (1 - 1e-9))
+    prefix = F.filter("cs", lambda x, i: F.get(F.col("after"), i) >= F.col("bound"))
+    rows = rows.withColumns({"after": after, "bound": bound}).select("entity_id", F.explode(F.transform(prefix, lambda x: x["concept"])).alias("concept"))
+    a, b = (rows.select("concept", F.col("entity_id").alias(s)) for s in "ab")
+    pairs = a.join(b, "concept").filter("a < b").select("a", "b").distinct()
+    return cosine_of_pairs(pairs, sets).filter(F.col("cosine") > least)
+
+
+def fuse_edges(dense: DataFrame, sparse: DataFrame, beta: float = 1.0, gamma: float = 0.5, bridge_from: float = BRIDGE_FROM) -> DataFrame:
     """(a, b, weight): dense edges times 1 + beta * s; pairs without one become bridges of gamma * s where s is at least ``bridge_from``."""
     rows = dense.join(sparse.select("a", "b", F.col("cosine").alias("s")), ["a", "b"], "full")
     s = F.coalesce("s", F.lit(0.0))
@@ -157,25 +286,25 @@ def orphan_concepts(links: DataFrame, least: int = 4) -> DataFrame:
 # --- documents compiled into subjects ---------------------------------------------------------------------
 
 
-def compile_subjects(vectors: DataFrame, doc_concepts: DataFrame, k: int = 8, percentile: float = 0.90, least: int = 2, beta: float = 1.0, gamma: float = 0.5, bridge_from: float = 0.35, signal: str = "fused") -> tuple[DataFrame, DataFrame]:
+def compile_subjects(vectors: DataFrame, doc_concepts: DataFrame, k: int = 8, percentile: float = 0.90, least: int = 2, beta: float = 1.0, gamma: float = 0.5, bridge_from: float = BRIDGE_FROM, signal: str = "fused") -> tuple[DataFrame, DataFrame]:
     """Clusters of documents, (entity_id, cluster), and their labels, (cluster, label, lift).
 
     Dense edges join mutual neighbours above a percentile of the neighbours' cosines; concept edges come from the idf-weighted sets; ``signal`` takes ``dense``, ``concept`` or
     both ``fused``. Communities of the edges are the clusters; documents in none are left out.
     """
-    from threadloom.operators.walks import communities
-    from threadloom.staging import stage
-
     sets = stage(informative_concepts(doc_concepts), "concept-sets")
-    near = stage(knn_join(vectors, vectors, k), "near") if signal != "concept" else None
+    near = stage(knn_cells(vectors, vectors, k), "near") if signal != "concept" else None
     none = sets.select(F.col("entity_id").alias("a"), F.col("entity_id").alias("b"), F.lit(0.0).alias("weight")).limit(0)
     dense = none
     if near is not None:
         threshold = cosine_percentile(near, percentile).first()[0]
         if threshold is not None and threshold < 1.0:
-            dense = mutual_of(near.filter(F.col("cosine") > threshold), threshold)
-    sparse = concept_cosine(sets) if signal != "dense" else none.withColumnRenamed("weight", "cosine")
-    edges = stage(fuse_edges(dense, sparse, beta, gamma, bridge_from if signal == "fused" else 0.0), "subject-edges")
+            dense = stage(mutual_of(near.filter(F.col("cosine") > threshold), threshold), "dense-edges")
+    # The similarity by concepts counts for every dense edge, and for other pairs from the bridge on.
+    sparse = none.withColumnRenamed("weight", "cosine")
+    if signal != "dense":
+        sparse = concept_cosine(sets, bridge_from).unionByName(cosine_of_pairs(dense, sets)).dropDuplicates(["a", "b"])
+    edges = stage(fuse_edges(dense, sparse, beta, gamma, bridge_from), "subject-edges")
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
     members = stage(communities(both, least=least).select(F.col("id").alias("entity_id"), F.col("label").alias("cluster")), "subjects")
     n = sets.select("entity_id").distinct().count()

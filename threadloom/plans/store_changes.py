@@ -125,8 +125,22 @@ def knn_exact(spark, sf_dir):
 
 
 def knn_join(spark, sf_dir):
+    """The five nearest of every twentieth vector, among all."""
     v = _vectors(spark, sf_dir)
-    return vectors.knn_join(v, v, 5).select("id", "other", F.round("cosine", 4).alias("cosine"))
+    return vectors.knn_join(v.filter("id % 20 = 0"), v, 5).select("id", "other", F.round("cosine", 4).alias("cosine"))
+
+
+def knn_cells(spark, sf_dir):
+    """The five nearest of every vector, within cells."""
+    v = _vectors(spark, sf_dir)
+    return vectors.knn_cells(v, v, 5)
+
+
+def knn_recall(spark, sf_dir):
+    """How many of the true neighbours of every twentieth vector the cells give."""
+    v = _vectors(spark, sf_dir)
+    asked = v.filter("id % 20 = 0")
+    return vectors.recall_of(vectors.knn_cells(asked, v, 10), vectors.knn_join(asked, v, 10))
 
 
 def mutual_knn(spark, sf_dir):
@@ -139,38 +153,28 @@ def _doc_concepts(spark, sf_dir, verbs=("mentions",)):
     return g.links.filter(F.col("linkage").isin(*verbs)).join(g.concepts().select("concept_id", "name"), "concept_id").select("entity_id", F.col("name").alias("concept")).distinct()
 
 
-#: The verbs of the queries that don't end in _mentions.
-RARE = ("reinforces", "specifies", "lead")
+def informative_concepts(spark, sf_dir):
+    return vectors.informative_concepts(_doc_concepts(spark, sf_dir)).select("entity_id", "concept", F.round("idf", 6).alias("idf"))
 
 
-def informative_concepts(spark, sf_dir, verbs=RARE):
-    return vectors.informative_concepts(_doc_concepts(spark, sf_dir, verbs)).select("entity_id", "concept", F.round("idf", 6).alias("idf"))
-
-
-def concept_cosine(spark, sf_dir, verbs=RARE):
-    return vectors.concept_cosine(vectors.informative_concepts(_doc_concepts(spark, sf_dir, verbs))).select("a", "b", F.round("cosine", 6).alias("cosine"))
+def concept_cosine(spark, sf_dir):
+    """Pairs of entities alike enough to be bridged by their concepts."""
+    return vectors.concept_cosine(vectors.informative_concepts(_doc_concepts(spark, sf_dir))).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def _members(spark, sf_dir):
     return entities(spark, sf_dir).select(F.col("id").alias("entity_id"), F.col("partition_id").alias("cluster"))
 
 
-def cluster_label_lift(spark, sf_dir, verbs=RARE):
+def cluster_label_lift(spark, sf_dir):
     """Partitions as clusters, labelled by the concepts of their entities."""
-    sets = vectors.informative_concepts(_doc_concepts(spark, sf_dir, verbs))
+    sets = vectors.informative_concepts(_doc_concepts(spark, sf_dir))
     n = sets.select("entity_id").distinct().count()
     return vectors.cluster_labels(_members(spark, sf_dir), sets, n).select("cluster", "label", F.round("lift", 6).alias("lift"))
 
 
-def crosscutting(spark, sf_dir, verbs=RARE):
-    return vectors.crosscutting(_members(spark, sf_dir), vectors.informative_concepts(_doc_concepts(spark, sf_dir, verbs))).select("concept", F.round("score", 6).alias("score"))
-
-
-def _over_mentions(f):
-    def run(spark, sf_dir):
-        return f(spark, sf_dir, ("mentions",))
-
-    return run
+def crosscutting(spark, sf_dir):
+    return vectors.crosscutting(_members(spark, sf_dir), vectors.informative_concepts(_doc_concepts(spark, sf_dir))).select("concept", F.round("score", 6).alias("score"))
 
 
 def corroborated(spark, sf_dir):
@@ -195,9 +199,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         link_audit, merge_links, merge_verb_alias, derive_called_by, vacuum, purge_partition, set_flags, partition_merge, partition_merge_links, replica_merge, replica_audit, retag, reclassify, pending_vectors,
-        log_replay_lww, log_replay_links, log_replay_latest, log_dump, knn_exact, knn_join, mutual_knn, informative_concepts, concept_cosine, cluster_label_lift, crosscutting, corroborated, singletons, contradicted, orphan_concept,
+        log_replay_lww, log_replay_links, log_replay_latest, log_dump, knn_exact, knn_join, knn_cells, knn_recall, mutual_knn, informative_concepts, concept_cosine, cluster_label_lift, crosscutting, corroborated, singletons, contradicted, orphan_concept,
     )
-} | {f"{f.__name__}_mentions": _over_mentions(f) for f in (informative_concepts, concept_cosine, cluster_label_lift, crosscutting)}
+}
 
 _LOG = """WITH lg AS (SELECT CAST(epoch_us(ts) // 60000000 AS DOUBLE) AS ts, event_id AS line_no, CASE event_type WHEN 'error' THEN 'tombstone' WHEN 'click' THEN 'unlink' WHEN 'purchase' THEN 'link' ELSE 'entity' END AS op,
  'memory' AS kind, 'user-' || user_id AS name, 'mentions' AS linkage, json_extract_string(props, '$.k') AS c, 'user-' || user_id AS e, value AS weight, CASE WHEN value > 20 THEN json_extract_string(props, '$.k') END AS path, event_type AS value FROM events)"""
@@ -205,7 +209,7 @@ _COS = "SELECT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(CAST(a.
 _NEAR = f"WITH s AS ({_COS}), n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(cosine, 12) DESC, other) <= 5)"
 _SETS = (
     STORE
-    + ", dc AS (SELECT DISTINCT entity_id, lower(name) AS concept FROM lnk JOIN con USING (concept_id) WHERE linkage IN ('reinforces', 'specifies', 'lead') AND name IS NOT NULL), nd AS (SELECT count(DISTINCT entity_id) AS n FROM dc), cd AS (SELECT concept, count(*) AS df FROM dc GROUP BY 1), st AS (SELECT entity_id, concept, df, ln(n / df) AS idf FROM dc JOIN cd USING (concept), nd WHERE df >= 2 AND df <= greatest(2, floor(0.1 * n)))"
+    + ", dc AS (SELECT DISTINCT entity_id, lower(name) AS concept FROM lnk JOIN con USING (concept_id) WHERE linkage = 'mentions' AND name IS NOT NULL), nd AS (SELECT count(DISTINCT entity_id) AS n FROM dc), cd AS (SELECT concept, count(*) AS df FROM dc GROUP BY 1), st AS (SELECT entity_id, concept, df, ln(n / df) AS idf FROM dc JOIN cd USING (concept), nd WHERE df >= 2 AND df <= greatest(2, floor(0.1 * n)))"
 )
 ORACLE = {
     "link_audit": "WITH b AS (SELECT DISTINCT replace(lower(linkage), '_', '-') AS l, bit >> 32 AS c, bit & 4294967295 AS e FROM bitmap_fragments), x AS (SELECT e IN (SELECT id FROM entities) AS he, c IN (SELECT id FROM entities) AS hc FROM b) SELECT CASE WHEN NOT he AND NOT hc THEN 'both' WHEN NOT he THEN 'entity' WHEN NOT hc THEN 'concept' ELSE 'alive' END AS state, count(*) AS n FROM x GROUP BY 1",
@@ -233,11 +237,11 @@ ORACLE = {
     "UNION ALL SELECT 1, 'noise', kind, CAST(id AS VARCHAR), NULL, NULL, NULL, NULL, '1' FROM ent WHERE noise = 1 UNION ALL SELECT 1, 'memory_content', 'memory', CAST(entity_id AS VARCHAR), NULL, NULL, NULL, NULL, content FROM (SELECT DISTINCT * FROM memory_content) "
     "UNION ALL SELECT 2, 'link', NULL, NULL, linkage, CAST(concept_id AS VARCHAR), CAST(entity_id AS VARCHAR), NULL, NULL FROM lnk JOIN ent ON id = entity_id) SELECT *, CAST(NULL AS DOUBLE) AS weight FROM l",
     "knn_exact": "SELECT vec_id AS id, round(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), lambda p: (p[1] - p[2]) ** 2)), 4) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 10",
-    "knn_join": _NEAR + " SELECT id, other, round(cosine, 4) AS cosine FROM n",
+    "knn_join": _NEAR + " SELECT id, other, round(cosine, 4) AS cosine FROM n WHERE id % 20 = 0",
     "mutual_knn": _NEAR + " SELECT x.id AS a, x.other AS b, round((x.cosine - 0.1) / 0.9, 4) AS weight FROM n x JOIN n y ON x.id = y.other AND x.other = y.id WHERE x.id < x.other AND x.cosine > 0.1",
     "informative_concepts": _SETS + " SELECT entity_id, concept, round(idf, 6) AS idf FROM st",
     "concept_cosine": _SETS
-    + ", nm AS (SELECT entity_id, sqrt(sum(idf * idf)) AS n FROM st GROUP BY 1), d AS (SELECT a.entity_id AS a, b.entity_id AS b, sum(a.idf * b.idf) AS dot FROM st a JOIN st b ON a.concept = b.concept AND a.entity_id < b.entity_id GROUP BY 1, 2) SELECT a, b, round(dot / (x.n * y.n), 6) AS cosine FROM d JOIN nm x ON x.entity_id = a JOIN nm y ON y.entity_id = b",
+    + ", nm AS (SELECT entity_id, sqrt(sum(idf * idf)) AS n FROM st GROUP BY 1), d AS (SELECT a.entity_id AS a, b.entity_id AS b, sum(a.idf * b.idf) AS dot FROM st a JOIN st b ON a.concept = b.concept AND a.entity_id < b.entity_id GROUP BY 1, 2) SELECT a, b, round(dot / (x.n * y.n), 6) AS cosine FROM d JOIN nm x ON x.entity_id = a JOIN nm y ON y.entity_id = b WHERE dot / (x.n * y.n) > 0.35",
     "cluster_label_lift": _SETS
     + ", m AS (SELECT id AS entity_id, partition_id AS cluster FROM ent), sz AS (SELECT cluster, count(*) AS size FROM m GROUP BY 1), td AS (SELECT concept, count(*) AS tdf FROM st GROUP BY 1), ins AS (SELECT cluster, concept, count(*) AS din, max(idf) AS idf FROM st JOIN m USING (entity_id) GROUP BY 1, 2 HAVING count(*) >= 2), r AS (SELECT *, (din / size) / (tdf / (SELECT count(DISTINCT entity_id) FROM st)) AS lift FROM ins JOIN td USING (concept) JOIN sz USING (cluster)) SELECT cluster, concept AS label, round(lift, 6) AS lift FROM r QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(lift, 9) DESC, din DESC, round(idf, 9) DESC, concept) = 1",
     "crosscutting": _SETS
@@ -248,5 +252,3 @@ ORACLE = {
     "contradicted": STORE + "SELECT DISTINCT concept_id, entity_id FROM lnk WHERE linkage = 'contradicts'",
     "orphan_concept": STORE + "SELECT concept_id, count(DISTINCT entity_id) AS mentions FROM lnk WHERE linkage = 'mentions' AND concept_id NOT IN (SELECT concept_id FROM lnk WHERE linkage IN ('defines', 'lead')) GROUP BY 1 HAVING count(DISTINCT entity_id) >= 4",
 }
-_RARE = "linkage IN ('reinforces', 'specifies', 'lead')"
-ORACLE |= {f"{q}_mentions": ORACLE[q].replace(_RARE, "linkage = 'mentions'") for q in ("informative_concepts", "concept_cosine", "cluster_label_lift", "crosscutting")}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import combinations
 
 import pandas as pd
@@ -47,38 +48,63 @@ class Focus:
             self.edges[pair] = self.edges.get(pair, 0.0) + 1.0
         self.trim()
 
-    def degrees(self) -> dict[str, int]:
-        out = dict.fromkeys(self.nodes, 0)
+    def neighbours(self) -> dict[str, set[str]]:
+        out: dict[str, set[str]] = {x: set() for x in self.nodes}
         for a, b in self.edges:
-            out[a] += 1
-            if a != b:
-                out[b] += 1
+            out[a].add(b)
+            out[b].add(a)
         return out
 
-    def scores(self) -> dict[str, float]:
-        degree = self.degrees()
-        most_degree, most_freq = max(degree.values(), default=0) or 1, max((n[1] for n in self.nodes.values() if not n[3]), default=0) or 1
-        return {name: RECENCY * n[0] + FREQUENCY * n[1] / most_freq + DEGREE * degree[name] / most_degree + PIN * n[2] for name, n in self.nodes.items()}
+    def norms(self, near: dict[str, set[str]]) -> tuple[int, int]:
+        """What degrees and frequencies are measured by: the largest of all nodes, the largest of nodes that aren't stubs."""
+        return max(map(len, near.values()), default=0) or 1, max((n[1] for n in self.nodes.values() if not n[3]), default=0) or 1
+
+    def score(self, name: str, degree: int, norms: tuple[int, int]) -> float:
+        recency, freq, pin = self.nodes[name][:3]
+        return RECENCY * recency + FREQUENCY * freq / norms[1] + DEGREE * degree / norms[0] + PIN * pin
 
-    def drop(self, name: str) -> None:
-        del self.nodes[name]
-        self.edges = {e: w for e, w in self.edges.items() if name not in e}
+    def scores(self) -> dict[str, float]:
+        near = self.neighbours()
+        norms = self.norms(near)
+        return {x: self.score(x, len(near[x]), norms) for x in self.nodes}
 
     def trim(self) -> None:
-        while sum(not n[3] for n in self.nodes.values()) > self.budget:
-            score = self.scores()
-            loose = [x for x, n in self.nodes.items() if not n[3] and not n[2]]
-            if not loose:
-                break
-            victim = min(loose, key=lambda x: (score[x], x))
-            near = {b if a == victim else a for a, b in self.edges if victim in (a, b)} - {victim}
-            if any(not self.nodes[x][3] for x in near):
+        """Back to the budgets: the lowest scores go first, and of stubs the oldest. A heap of scores is kept as long as what they are measured by stays."""
+        over = sum(not n[3] for n in self.nodes.values()) - self.budget
+        stubs = sum(n[3] for n in self.nodes.values())
+        if over <= 0 and stubs <= STUB_BUDGET:
+            return
+        near, gone, norms, heap = self.neighbours(), set(), None, []
+        while over > 0:
+            now = self.norms(near)
+            if now != norms:
+                norms = now
+                heap = [(self.score(x, len(near[x]), norms), x) for x, n in self.nodes.items() if x in near and not n[3] and not n[2]]
+                heapify(heap)
+            if not heap:
+                break  # all that is left is pinned
+            stale, victim = heappop(heap)
+            if victim not in near or self.nodes[victim][3]:
+                continue
+            if stale != (true := self.score(victim, len(near[victim]), norms)):
+                heappush(heap, (true, victim))
+                continue
+            over -= 1
+            if any(not self.nodes[x][3] for x in near[victim] - {victim}):
                 self.nodes[victim][0], self.nodes[victim][3] = 0.0, True
             else:
-                self.drop(victim)
+                for x in near.pop(victim) - {victim}:
+                    near[x].discard(victim)
+                    if not self.nodes[x][3] and not self.nodes[x][2]:
+                        heappush(heap, (self.score(x, len(near[x]), norms), x))
+                gone.add(victim)
+                del self.nodes[victim]
         stubs = sorted((n[5], x) for x, n in self.nodes.items() if n[3])
         for _, x in stubs[: max(0, len(stubs) - STUB_BUDGET)]:
-            self.drop(x)
+            gone.add(x)
+            del self.nodes[x]
+        if gone:
+            self.edges = {e: w for e, w in self.edges.items() if gone.isdisjoint(e)}
 
     def frame(self, session: str) -> pd.DataFrame:
         score = self.scores()

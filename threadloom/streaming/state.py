@@ -66,9 +66,21 @@ def calls_in_flight(events: DataFrame, after_s: int = ABANDONED_AFTER_S, delay:
 
 
 def last_touches(events: DataFrame, token: str, k: int = 5) -> DataFrame:
-    """(token, touches): the last k (ts, ring, line) of each token, rising; an update per token and batch."""
-    rows = events.groupBy(token).agg(F.array_sort(F.collect_list(F.struct("ts", "ring", "line"))).alias("t"))
-    return rows.select(token, F.expr(f"slice(t, greatest(1, size(t) - {int(k)} + 1), {int(k)})").alias("touches"))
+    """(token, touches): the last k (ts, ring, line) of each token, rising; an update per token and batch. The state holds k touches for each token."""
+    kinds = dict(events.dtypes)
+    touch = ["ts", "ring", "line"]
+
+    def process(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [tuple(x) for x in zip(*state.get)] if state.exists else []
+        for frame in frames:
+            held = sorted([*held, *frame[touch].itertuples(index=False, name=None)])[-k:]
+        state.update(tuple(list(x) for x in zip(*held)))
+        yield pd.DataFrame({token: [key[0]], "touches": [[dict(zip(touch, t)) for t in held]]})
+
+    row = ", ".join(f"{c}: {kinds[c]}" for c in touch)
+    return events.groupBy(token).applyInPandasWithState(
+        process, f"{token} {kinds[token]}, touches array<struct<{row}>>", ", ".join(f"{c} array<{kinds[c]}>" for c in touch), "update", GroupStateTimeout.NoTimeout
+    )
 
 
 def touch_notes(touches: DataFrame, token: str, now: float, current: str, age_s: float) -> DataFrame:
