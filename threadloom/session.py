@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +23,8 @@ def build_session(cpus: int | str | None = None, app: str = "threadloom", **conf
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.driver.host": "127.0.0.1",
+        # One machine, so its temporary folder is shared by all; a cluster's setting takes its place.
+        "spark.checkpoint.dir": "file://" + os.path.join(tempfile.gettempdir(), "threadloom-checkpoints"),
     }
     settings.update(conf)
     spark = SparkSession.builder.config(map=settings).getOrCreate()

@@ -23,7 +23,7 @@ _kept: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for this application, without a trailing slash. Only a local session may do without a setting."""
+    """The shared folder for this application, without a trailing slash. A session without the setting gets one if it is local, and an error if not."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
