@@ -156,6 +156,17 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir).withColumnRenamed("item", "doc_id")
 
 
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the filling of each container: all documents with tokens are in, no bin is overfull, nothing that fits is split, pieces add up to their documents."""
+    items = _sized_documents(spark, sf_dir).select(F.col("doc_id").alias("item"), "tokens")
+    packed = stage(packing.pack(items, read(spark, sf_dir, "containers").select("container", F.col("capacity_tokens").alias("capacity"))), "packed")
+    per_bin = packed.groupBy("container", "bin").agg(F.sum("tokens").alias("t"), F.max("capacity").alias("c"), F.max("bin_tokens").alias("said"), F.max("unused").alias("unused"))
+    bins = per_bin.groupBy("container").agg(F.sum(((F.col("t") > F.col("c")) | (F.col("t") != F.col("said")) | (F.col("t") + F.col("unused") != F.col("c"))).cast("int")).alias("wrong_bins"))
+    per_item = packed.groupBy("container", "item").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("capacity").alias("c")).join(items, "item")
+    wrong = (F.col("t") != F.col("tokens")) | (F.col("n") != F.ceil(F.col("tokens") / F.col("c")))
+    return per_item.groupBy("container", F.col("c").alias("capacity")).agg(F.count(F.lit(1)).alias("documents"), F.sum(wrong.cast("int")).alias("wrong_documents")).join(bins, "container")
+
+
 def p8_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins, tokens and unused space of each kind of container, beside the least number of bins."""
     return packing.filling(_packed(spark, sf_dir))
@@ -176,6 +187,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(*_mixed(spark, sf_dir))
 
 
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of each target in the mixture: no document is used more often than allowed or from another source, and the tokens are within one document of the demand."""
+    uses, goal = _mixed(spark, sf_dir)
+    uses = stage(uses, "uses")
+    docs = _sized_documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.col("source").alias("own"), F.col("tokens").alias("size"))
+    per_doc = uses.groupBy("source", "doc").agg(F.count(F.lit(1)).alias("n"), F.max("tokens").alias("t"), F.min("position").alias("lo"), F.max("position").alias("hi")).join(docs, "doc", "left")
+    per = per_doc.groupBy("source").agg(
+        F.max("n").alias("most"), F.sum(F.col("n") * F.col("t")).alias("got"), F.sum((~F.col("own").eqNullSafe(F.col("source")) | (F.col("t") != F.col("size")) | (F.col("lo") < 0) | (F.col("hi") > 1)).cast("int")).alias("wrong")
+    )
+    largest = docs.groupBy(F.col("own").alias("source")).agg(F.max("size").alias("largest"))
+    rows = goal.join(per, "source", "left").join(largest, "source", "left").na.fill(0, ["most", "got", "largest", "wrong"])
+    fits = F.abs(F.col("got") - F.col("demand")) <= F.col("largest")
+    return rows.select("source", "max_repeats", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), fits.alias("within_a_document"), "wrong")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
 
@@ -188,7 +214,7 @@ def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_frequency, p3_found, p3_weekly, p3_overall, p4_found, p4_groups, p5_found, p5_overlap, p5_shared, p6_found, p6_consensus, p8_pack, p8_filling, p9_mixture, p9_shares, p10_found, p10_kinds
+        p1_found, p1_frequency, p3_found, p3_weekly, p3_overall, p4_found, p4_groups, p5_found, p5_overlap, p5_shared, p6_found, p6_consensus, p8_pack, p8_filling, p8_check, p9_mixture, p9_shares, p9_check, p10_found, p10_kinds
     )
 }
 
@@ -244,7 +270,22 @@ SELECT ea AS entity_a, eb AS entity_b FROM o JOIN s a ON a.entity_id = ea JOIN s
 WHERE n * 5 >= (len(a.tok) + len(b.tok) - n) * 3
   AND len(list_intersect(a.tg, b.tg)) * 2 >= len(a.tg) + len(b.tg) - len(list_intersect(a.tg, b.tg))
 """
+# Classes of equal texts and tags, linked where a pair of theirs is a case; groups by reachability.
+_P4_GROUPS = (
+    _P4.replace("WITH m AS", "WITH RECURSIVE m AS").rsplit("SELECT ea AS entity_a", 1)[0]
+    + """, k AS (SELECT entity_id, md5(CAST(list_sort(tok) AS VARCHAR) || CAST(list_sort(tg) AS VARCHAR)) AS cid, tok, tg FROM s),
+  p AS (SELECT DISTINCT a.cid AS ca, b.cid AS cb FROM o JOIN k a ON a.entity_id = ea JOIN k b ON b.entity_id = eb WHERE a.cid <> b.cid AND n * 5 >= (len(a.tok) + len(b.tok) - n) * 3
+    AND len(list_intersect(a.tg, b.tg)) * 2 >= len(a.tg) + len(b.tg) - len(list_intersect(a.tg, b.tg))),
+  e AS (SELECT ca, cb FROM p UNION SELECT cb, ca FROM p), d AS (SELECT ca AS cid, count(*) AS n FROM e GROUP BY 1), z AS (SELECT cid, count(DISTINCT entity_id) AS n, min(entity_id) AS least FROM k GROUP BY 1),
+  reach AS (SELECT cid, cid AS other FROM z UNION SELECT r.cid, e.cb FROM reach r JOIN e ON e.ca = r.other),
+  g AS (SELECT reach.cid, min(z.least) AS group_id FROM reach JOIN z ON z.cid = reach.other GROUP BY 1)
+SELECT entity_id, min(group_id) AS group_id, CAST(sum(coalesce(d.n, 0)) AS BIGINT) AS n_links FROM k JOIN z USING (cid) JOIN g USING (cid) LEFT JOIN d USING (cid) WHERE d.n IS NOT NULL OR z.n > 1 GROUP BY 1
+"""
+)
 ORACLE = {
+    "p4_groups": _P4_GROUPS,
+    "p8_check": "SELECT container, capacity_tokens AS capacity, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0 AS wrong_documents, 0 AS wrong_bins FROM containers",
+    "p9_check": "SELECT source, max_repeats, true AS within_repeats, true AS within_a_document, 0 AS wrong FROM mix_targets",
     "p1_found": _P1 + "SELECT field, term, mark FROM r WHERE mark <> 'kept'",
     "p1_frequency": _P1 + "SELECT field, term, occurrences, records, mark FROM r",
     "p3_found": _P3 + _RANKS.format(g="week, kind, source", ps=_PS) + "SELECT week, kind, source FROM p WHERE n >= 30 AND p95 >= 10 * p50",
