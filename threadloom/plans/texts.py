@@ -129,7 +129,14 @@ m AS (SELECT *, rtrim(lines[k], ' ' || chr(9)) AS line, least(coalesce(nullif(in
 c AS (SELECT *, CASE WHEN length(line) <= 240 THEN 0 ELSE greatest(0, p - 120) END AS a2, CASE WHEN length(line) <= 240 THEN length(line) ELSE least(length(line), p + 9 + 120) END AS b2 FROM m)
 SELECT doc_id, snippet, trim(CASE WHEN a2 > 0 THEN '…' ELSE '' END || substr(line, a2 + 1, p - a2) || '«' || substr(line, p + 1, 9) || '»' || substr(line, p + 10, b2 - p - 9) || CASE WHEN b2 < length(line) THEN '…' ELSE '' END, ' ' || chr(9)) AS line, k - 1 AS line_no FROM c
 """
+# Without look-ahead: a capital that begins a word is set apart first.
+_PARTS = "list_transform(regexp_extract_all(regexp_replace({x}, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda p: lower(p))"
 ORACLE = {
+    "canonicalize": ENT + f" , p AS (SELECT DISTINCT name, {_PARTS.format(x='name')} AS p FROM ent WHERE name IS NOT NULL) SELECT name, CASE WHEN len(p) > 0 THEN array_to_string(p, '_') ELSE lower(trim(name)) END AS canonical FROM p",
+    "name_variants": ENT
+    + f" , p AS (SELECT DISTINCT name, trim(name) AS t, {_PARTS.format(x='name')} AS p FROM ent WHERE kind = 'concept' AND name IS NOT NULL), v AS (SELECT name, CASE WHEN len(p) >= 2 THEN [t, array_to_string(p, '_'), array_to_string(p, '-'), array_to_string(p, ' ')] WHEN len(p) = 1 THEN [t, p[1]] ELSE [t] END AS v FROM p) "
+    "SELECT name, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '|') AS variants FROM v",
+    "references": ENT + f" SELECT entity_id, CAST(len(list_distinct(regexp_extract_all(content, '{text.REFERENCE}'))) AS INTEGER) AS n FROM mem WHERE content IS NOT NULL",
     "coref": _COREF + "SELECT * FROM found",
     "coref_links": _COREF + "SELECT doc_id, lower(antecedent) AS concept, CAST(count(*) AS DOUBLE) AS weight FROM found GROUP BY 1, 2",
     "kwic": _KWIC,
