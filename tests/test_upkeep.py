@@ -103,3 +103,34 @@ def test_rules(spark):
     assert own("memory") == {"a", "e"} and own("pattern") == {"c"}
     with pytest.raises(ValueError):
         own("other")
+
+
+def test_surprise_and_pronouns_in_the_ranking(spark):
+    links = spark.createDataFrame([("mentions", "a", 1, 1.0), ("mentions", "a", 2, 4.0), ("mentions", "b", 2, 1.0), ("coref", "a", 3, 9.0), ("coref", "a", 1, None)], "linkage string, concept_id string, entity_id long, weight double")
+    weight = {(r.concept_id, r.entity_id): r.weight for r in rank.surprising(links).filter("linkage = 'mentions'").collect()}
+    assert weight == {("a", 1): 1.0, ("b", 2): 1.0, ("a", 2): pytest.approx(1 + 1.584963, abs=1e-5)}
+    terms = spark.createDataFrame([(0, "a")], "term int, concept_id string")
+    plain = {r.entity_id: r.score for r in rank.content_rank(links, terms, 1, boosts={}).collect()}
+    meant = {r.entity_id: r.score for r in rank.content_rank(links, terms, 1, boosts={}, coref=0.5).collect()}
+    assert set(plain) == {1, 2} and set(meant) == {1, 2, 3} and meant[2] == plain[2] and meant[3] == pytest.approx(3 * (meant[1] - plain[1]))
+
+
+def test_queues_are_drained_and_filled_again(spark):
+    from threadloom.streaming import sync
+
+    lines = ['{"pattern": "x", "hits": [{"file": "a", "line": 1}, {"file": "a", "line": "1"}, {"file": null, "line": 2}]}', "no json", '{"pattern": "", "hits": []}', '{"pattern": "y", "hits": [{"file": "b", "line": 7}]}', "  ", '{"pattern": "x", "hits": [{"file": "c", "line": 3}]}']
+    queue = spark.createDataFrame(list(enumerate(lines)), "seq long, value string")
+    entries, report = sync.batch_of(queue)
+    assert rows(entries) == [("x", 0, "a", 1), ("x", 0, "c", 3), ("y", 3, "b", 7)] and tuple(report.first()) == (5, 3, 0)
+    assert rows(sync.batch_of(queue, 2)[0].select("pattern")) == [("x",), ("y",)] and sync.batch_of(queue, 2)[1].first().overflow == 1
+    again = sync.requeued(entries, spark.createDataFrame([("y",)], "pattern string"), 100)
+    assert rows(sync.batch_of(again)[0]) == [("x", 100, "a", 1), ("x", 100, "c", 3)]
+    assert tuple(sync.batch_of(queue.limit(0))[1].first()) == (0, 0, 0)
+
+
+def test_new_ids_follow_the_largest(spark):
+    from threadloom.operators import mutate
+
+    e = entities(spark, (5, 1, "doc", "a"))
+    batch = spark.createDataFrame([(1, "doc", n, None, None, None, 0, None, 2.0, i) for i, n in enumerate("cba")], "partition_id int, kind string, name string, path string, tldr string, meta string, protected int, canonical_name string, now double, seq long")
+    assert rows(mutate.upsert_entities(e, batch).select("id", "name")) == [(5, "a"), (6, "b"), (7, "c")]

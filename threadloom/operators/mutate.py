@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.names import glob_pattern
 from threadloom.graph import Graph
 from threadloom.model import canonical_verb
+from threadloom.operators.prefix_sum import running_totals
 
 LINK_KEY = ["linkage", "concept_id", "entity_id"]
 
@@ -44,8 +45,8 @@ def upsert_entities(entities: DataFrame, batch: DataFrame) -> DataFrame:
         changed = changed | ~v.eqNullSafe(old[c])
     kept = joined.select(*[(merged[c] if c in merged else F.when(changed & n["now"].isNotNull(), n["now"]).otherwise(old[c]) if c == "updated_at" else F.col(c) if c in key else old[c]).alias(c) for c in entities.columns])
     top = entities.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top")).withColumn("one", F.lit(1))
-    fresh = new.join(entities.select(*key), key, "left_anti").withColumn("one", F.lit(1)).join(F.broadcast(top), "one")
-    fresh = fresh.withColumn("id", F.col("top") + F.row_number().over(W.partitionBy("one").orderBy(*key)))  # of one batch
+    fresh = new.join(entities.select(*key), key, "left_anti").withColumn("one", F.lit(1).cast("long"))
+    fresh = running_totals(fresh, [], key, "one", total="_rank").join(F.broadcast(top), "one").withColumn("id", F.col("top") + F.col("_rank"))
     own = {"created_at": F.col("now"), "updated_at": F.col("now"), "noise": F.lit(0)}
     schema = entities.schema
     cols = [(own[c] if c in own else F.col(c) if c in fresh.columns else F.lit(None)).cast(schema[c].dataType).alias(c) for c in entities.columns]

@@ -31,7 +31,7 @@ def tf_transform(tf: Column, how: str) -> Column:
 def content_rank(
     links: DataFrame, term_concepts: DataFrame | Mapping, n_terms: int, kinds: DataFrame | None = None, limit: int | None = 50, k1: float = K1, b: float = B, coverage_alpha: float = COVERAGE_ALPHA,
     tf: str = "raw", null_tf: float = 0.0, boosts: dict[str, float] | None = None, floor: float = DEFINITION_FLOOR,
-    corpus: tuple[int, float] | None = None,
+    corpus: tuple[int, float] | None = None, coref: float = 0.0,
 ) -> DataFrame:
     """(entity_id, score): BM25 times coverage for a bag of terms.
 
@@ -39,7 +39,8 @@ def content_rank(
     first. If the driver knows them, they may be a mapping of concept to term, which then is part of the scan's filter. A null weight counts as frequency ``null_tf`` and still counts for document frequency and coverage. ``kinds`` (entity_id) restricts
     what is scored, not the corpus figures. ``boosts`` maps a linkage to the weight that an entity gains per idf of a term that it is linked to so
     (``lead``). Entities that define a term's concept without mentioning one get ``floor``. No term that resolves gives an empty result. Links of an index carry
-    their entity's length as ``dl`` and come with its figures as ``corpus``, the number of documents and their mean length; then only the postings of the terms are read.
+    their entity's length as ``dl`` and come with its figures as ``corpus``, the number of documents and their mean length; then only the postings of the terms are read. With ``coref``, an entity
+    whose pronouns mean a term's concept gains that weight per idf and pronoun, three pronouns at most, and is found even without a mention.
     """
     boosts = {"lead": LEAD_WEIGHT} if boosts is None else boosts
     known = isinstance(term_concepts, Mapping)
@@ -62,10 +63,13 @@ def content_rank(
         aggs.append(F.collect_list(F.when(mention, raw)).alias(f"tf{i}"))
         for j, linkage in enumerate(boosts):
             aggs.append(F.sum(F.when((F.col("linkage") == linkage) & own, 1).otherwise(0)).alias(f"boost{i}_{j}"))
+        if coref > 0:
+            meant = F.least(F.coalesce("weight", F.lit(1.0)), F.lit(3.0))
+            aggs.append(F.sum(F.when(own & (F.col("linkage") == "coref"), meant).otherwise(0.0)).alias(f"coref{i}"))
     aggs.append(F.max(F.when(F.col("linkage") == "defines", 1).otherwise(0)).alias("defines_it"))
     if length is None:
         aggs.append(F.max("dl").alias("dl"))
-    postings = links.filter(F.col("linkage").isin(["mentions", "defines", *boosts]))
+    postings = links.filter(F.col("linkage").isin(["mentions", "defines", *boosts, *(["coref"] if coref > 0 else [])]))
     if known:
         term = F.coalesce(*[F.when(F.col("concept_id") == c, F.lit(t)) for c, t in term_concepts.items()])
         postings = postings.filter(F.col("concept_id").isin(list(term_concepts))).withColumn("term", term)
@@ -73,6 +77,8 @@ def content_rank(
         postings = postings.join(first, "concept_id")
     hits = postings.groupBy("entity_id").agg(*aggs)
     hit = reduce(lambda x, y: x | y, [F.col(f"has{i}") == 1 for i in range(n_terms)]) | (F.col("defines_it") == 1)
+    if coref > 0:
+        hit = reduce(lambda x, y: x | y, [F.col(f"coref{i}") > 0 for i in range(n_terms)], hit)
     hits = hits.filter(hit)
     counts = hits.agg(*[F.sum(f"has{i}").alias(f"n{i}") for i in range(n_terms)])
     if known:
@@ -96,11 +102,21 @@ def content_rank(
         score = score * F.when(F.col("units") > 1, F.pow(covered / F.col("units"), F.lit(coverage_alpha))).otherwise(1.0)
     for j, w in enumerate(boosts.values()):
         score = score + w * _sum([idf[i] * F.col(f"boost{i}_{j}") for i in range(n_terms)])
-    score = F.when(covered > 0, score).otherwise(F.lit(floor))
+    score = F.when(covered > 0, score).when(F.col("defines_it") == 1, F.lit(floor)).otherwise(0.0)
+    if coref > 0:
+        score = score + coref * _sum([idf[i] * F.col(f"coref{i}") for i in range(n_terms)])
     out = scored.select("entity_id", score.alias("score"))
     return out.orderBy(F.desc("score"), "entity_id").limit(limit) if limit else out
 
 
+def surprising(links: DataFrame, tails: DataFrame | None = None) -> DataFrame:
+    """Links whose mentions weigh 1 - log2 of the share of mentions with at least that frequency: how surprising it is that a term comes that often. ``tails`` has a row for each frequency."""
+    tails = tf_tail(links) if tails is None else tails
+    rows = links.join(F.broadcast(tails.select(F.col("tf").alias("weight"), "tail")), "weight", "left")  # as few rows as frequencies
+    known = (F.col("linkage") == "mentions") & F.col("tail").isNotNull()
+    return rows.withColumn("weight", F.when(known, 1.0 - F.log2("tail")).otherwise(F.col("weight"))).select(*links.columns)
+
+
 def term_rank_fusion(links: DataFrame, term_concepts: DataFrame, per_term: int = 100, k: int = RRF_K) -> DataFrame:
     """(entity_id, score): the heaviest ``per_term`` mentions of each concept of (term, concept_id), as rankings that are fused."""
     rows = links.filter("linkage = 'mentions' AND weight IS NOT NULL").join(term_concepts.select("concept_id").distinct(), "concept_id", "left_semi")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import compositions, core_problems, graphs, readers, retrieval, set_algebra, store_analytics, store_changes, streams, texts, upkeep
+from threadloom.plans import compositions, core_problems, graphs, readers, reports, retrieval, set_algebra, store_analytics, store_changes, streams, texts, upkeep
 
-MODULES = (core_problems, retrieval, set_algebra, graphs, store_analytics, store_changes, texts, compositions, streams, readers, upkeep)
+MODULES = (core_problems, retrieval, set_algebra, graphs, store_analytics, store_changes, texts, compositions, streams, readers, upkeep, reports)
 FLAGSHIP = "content_rank_lead"
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.graph import Graph, read, store_graph
-from threadloom.operators import analytics, context, dsl, mutate, rank, vectors, walks
+from threadloom.operators import analytics, context, dsl, embed, evidence, mutate, rank, reports, upkeep, vectors, walks
+from threadloom.sources import files, ingest, sessions
 
 VERBS: dict[str, Callable] = {}
 
@@ -121,7 +122,7 @@ def search(store: Store, text: str, limit: int = 50) -> DataFrame:
 
 @verb
 def graph(store: Store, action: str, name: str = "", depth: int = 1, k: int = 10, linkage: str = "mentions") -> DataFrame:
-    """neighbors, co_occur, top, related, stats, footprint, pagerank, net, assoc."""
+    """neighbors, co_occur, top, related, visited, stats, footprint, timeline, pagerank, net, assoc. ``related`` solves the walk, ``visited`` pushes it; a timeline shows when the entities around a name changed."""
     g = store.graph
     seeds = lambda: dsl.resolve(g, [name]).select("concept_id")
     return _action(
@@ -130,6 +131,8 @@ def graph(store: Store, action: str, name: str = "", depth: int = 1, k: int = 10
             "co_occur": lambda: dsl.co_occurrence(g, name, linkage).orderBy(F.desc("overlap"), "name", "concept_id").limit(k),
             "top": lambda: analytics.concept_density(g.links).orderBy(F.desc("total"), "concept_id").limit(k),
             "related": lambda: walks.pagerank(walks.adjacency(g.links), 20, restart=seeds().select(F.col("concept_id").alias("id"), F.lit(1.0).alias("weight"))).orderBy(F.desc("score"), "id").limit(k),
+            "visited": lambda: walks.related(g.links, g.entities, [r[0] for r in seeds().distinct().collect()], k),
+            "timeline": lambda: context.timeline(walks.footprint(g.links, seeds(), depth - 1), g.entities, g.entities.filter("path != ''").select(F.col("updated_at").alias("ts"), F.col("kind").alias("what"), "path")),
             "stats": lambda: analytics.store_stats(g.entities, g.links),
             "footprint": lambda: walks.footprint(g.links, seeds(), depth),
             "pagerank": lambda: walks.pagerank(walks.adjacency(g.links)).orderBy(F.desc("score"), "id").limit(k),
@@ -141,26 +144,60 @@ def graph(store: Store, action: str, name: str = "", depth: int = 1, k: int = 10
 
 
 @verb
-def memory(store: Store, action: str, ids: list | None = None, mtype: str = "", glob: str = "*", tags: list | None = None, any_of: bool = False, now: float = 0.0, seconds: float = 0.0, limit: int = 50):
-    """get, list, recent, facets, by_tag, without_type, retag, reclassify, forget, dedup, brief."""
+def memory(
+    store: Store, action: str, ids: list | None = None, mtype: str = "", glob: str = "*", tags: list | None = None, any_of: bool = False, now: float = 0.0, seconds: float = 0.0, limit: int = 50,
+    batch: DataFrame | None = None, concept: str = "", linkage: str = "related-to", weight: float | None = None, partition: int = 1, dry_run: bool = True,
+):
+    """get, list, recent, facets, by_tag, without_type, subjects, corpus, add, link, score, promote, retag, reclassify, forget, bulk_forget, dedup, brief.
+
+    ``add`` takes a batch (partition_id, name, content, mtype, tags, metadata, now, seq); ``link`` ties memories to a concept; ``score`` says how far a concept is reinforced;
+    ``promote`` copies memories, tagged ``behavior``, into another partition; ``bulk_forget`` goes by globs of type and name and lists them unless dry_run is off.
+    """
     m, g = store.memories, store.graph
     ids, tags = ids or [], tags or []
+    chosen = m.filter(F.col("entity_id").isin(ids))
 
-    def forget() -> Store:
-        kept, bodies = mutate.purge(g, g.entities.filter(F.col("id").isin(ids)), m)
-        return replace(store, graph=kept, memories=bodies)
+    def changed(graph: Graph, bodies: DataFrame) -> Store:
+        return replace(store, graph=graph, memories=bodies)
+
+    def link() -> Store:
+        at = dsl.resolve(g, [concept]).select("concept_id").distinct().withColumn("one", F.lit(1))
+        links = chosen.select(F.lit(linkage).alias("linkage"), "entity_id", F.lit(1).alias("one")).join(at, "one").select("linkage", "concept_id", "entity_id", F.lit(weight).cast("double").alias("weight"), F.lit(0).cast("long").alias("seq"))
+        return replace(store, graph=replace(g, links=mutate.merge_links(g.links, links, "update")))
+
+    def score() -> DataFrame:
+        at = dsl.resolve(g, [concept]).select("concept_id").distinct()
+        return analytics.reinforcement(g.links.join(at, "concept_id", "left_semi"), g.entities, now)
+
+    def promote() -> Store:
+        names = g.entities.select(F.col("id").alias("entity_id"), "name")
+        tagged = mutate.retag(chosen, chosen, ["behavior"]).join(names, "entity_id")
+        given = tagged.select(F.lit(partition).alias("partition_id"), "name", "content", "mtype", "tags", "metadata", F.lit(now).alias("now"), F.col("entity_id").alias("seq"))
+        return changed(*upkeep.add_memories(g, m, given))
 
+    def bulk_forget():
+        selector = {"name": glob, "mtype": mtype or "*", "tag": tags[0] if tags else None, "older_than": now or None}
+        return upkeep.forgettable(g, m, **selector) if dry_run else changed(*upkeep.bulk_forget(g, m, **selector))
+
+    named = lambda: m.join(g.entities.select(F.col("id").alias("entity_id"), "name"), "entity_id")
     return _action(
         {
-            "get": lambda: m.filter(F.col("entity_id").isin(ids)),
+            "get": lambda: chosen,
             "list": lambda: m.orderBy(F.desc_nulls_last("updated_at"), "entity_id").limit(limit),
             "recent": lambda: analytics.recent(m, now, seconds, limit),
             "facets": lambda: analytics.facets(m),
             "by_tag": lambda: analytics.tagged(m, tags, any_of),
             "without_type": lambda: analytics.without_types(m, [glob]),
-            "retag": lambda: replace(store, memories=mutate.retag(m, m.filter(F.col("entity_id").isin(ids)), add=tags)),
+            "subjects": lambda: analytics.subjects(g.entities, m, g.links),
+            "corpus": lambda: named().filter(analytics.in_corpus(F.col("name"), F.col("mtype"), F.col("tags"), "pattern" if mtype == "pattern" else "memory")),
+            "add": lambda: changed(*upkeep.add_memories(g, m, batch)),
+            "link": link,
+            "score": score,
+            "promote": promote,
+            "retag": lambda: replace(store, memories=mutate.retag(m, chosen, add=tags)),
             "reclassify": lambda: replace(store, memories=mutate.reclassify(m, glob, mtype)),
-            "forget": forget,
+            "forget": lambda: changed(*mutate.purge(g, g.entities.filter(F.col("id").isin(ids)), m)),
+            "bulk_forget": bulk_forget,
             "dedup": lambda: replace(store, graph=mutate.fold_duplicates(g)),
             "brief": lambda: vectors.corroborated_concepts(g.links, g.entities),
         },
@@ -168,6 +205,78 @@ def memory(store: Store, action: str, ids: list | None = None, mtype: str = "",
     )()
 
 
+@verb
+def grep(store: Store, pattern: str, regex: bool = False, ignore_case: bool = False, word: bool = False, root: str = "", limit: int = 100) -> DataFrame:
+    """Evidence of concepts that a pattern names; with a root, checked against the lines of the files there."""
+    g = store.graph
+    if g.evidence is None:
+        raise ValueError("the store has no evidence")
+    named = g.evidence.join(g.entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity"), "kind"), "entity_id").withColumnRenamed("file", "path")
+    lines = files.lines_of(files.tree(store.memories.sparkSession, root)) if root else None
+    return evidence.grep_evidence(named, g.concepts(), lines, pattern, regex, ignore_case, word, limit=limit)
+
+
+@verb
+def ingest_folder(store: Store, root: str, source: str = "auto", partition: int = 1, now: float = 0.0) -> Store:
+    """The store with a folder's entities, links and evidence added."""
+    new = ingest.ingest(store.memories.sparkSession, root, source, partition_id=partition, now=now)[0]
+    g = store.graph
+    known = g.entities.select("id")
+    found = new.entities.join(known, "id", "left_anti").select(*g.entities.columns)
+    proof = new.evidence if g.evidence is None else g.evidence.unionByName(new.evidence).distinct()
+    links = mutate.merge_links(g.links, new.links.withColumn("seq", F.lit(0).cast("long")), "update")
+    return replace(store, graph=Graph(g.entities.unionByName(found), links, proof))
+
+
+@verb
+def embed_pending(store: Store) -> Store:
+    """The store with vectors for all entities whose vector is missing or older than they are, by the encoder that needs no model."""
+    due = mutate.pending_vectors(store.graph.entities)
+    made = embed.embed(embed.entity_texts(store.graph.entities.join(due, "id", "left_semi"), store.memories))
+    old = store.vectors
+    return replace(store, vectors=made if old is None else old.join(made.select("id"), "id", "left_anti").select("id", "vector").unionByName(made))
+
+
+@verb
+def session(store: Store, action: str, folder: str = "", ref: str = "", text: str = "", k: int = 10) -> DataFrame:
+    """list, recall, show, stats of the transcripts in a folder."""
+    rows = sessions.transcript(store.memories.sparkSession, folder)
+    cards = sessions.session_cards(rows)
+    return _action({"list": lambda: reports.list_sessions(cards, 0, k), "recall": lambda: reports.recall_sessions(cards, text, k=k), "show": lambda: reports.show_session(cards, ref), "stats": lambda: sessions.tree_stats(rows)}, action)()
+
+
+@verb
+def where(store: Store, name: str) -> DataFrame:
+    """Where a name is found over all partitions: definitions, entities and memories that hold it."""
+    found = context.locate(store.graph, name).select("entity_id", "name", "kind", "partition_id")
+    held = search(store, name).select("entity_id").join(store.graph.entities.select(F.col("id").alias("entity_id"), "name", "kind", "partition_id"), "entity_id")
+    return found.unionByName(held.select("entity_id", "name", "kind", "partition_id")).distinct()
+
+
+@verb
+def projects(store: Store) -> DataFrame:
+    """The partitions with what they hold."""
+    held = store.graph.entities.groupBy(F.col("partition_id").alias("id")).agg(F.count(F.lit(1)).alias("entities"))
+    return store.partitions.join(held, "id", "left").select("id", "name", "kind", "root_path", F.coalesce("entities", F.lit(0)).alias("entities"))
+
+
+@verb
+def taxonomy(store: Store, allowed: list) -> DataFrame:
+    """Memories with tags that a taxonomy doesn't list."""
+    from threadloom.functions.text import unknown_tags
+
+    return store.memories.select("entity_id", unknown_tags(F.from_json("tags", "array<string>"), allowed).alias("unknown")).filter(F.size("unknown") > 0)
+
+
+@verb
+def publish(store: Store, channel: str, sender: str, value: str = "", ts: str = "") -> Store:
+    """A message put on a channel, after all that are there."""
+    m = store.messages
+    last = m.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
+    given = {"seq": F.col("last") + 1, "channel": F.lit(channel), "sender": F.lit(sender), "ts": F.lit(ts or None), "value": F.lit(value), "status": F.lit("active")}
+    return replace(store, messages=m.unionByName(last.select(*[given.get(c, F.lit(None)).cast(m.schema[c].dataType).alias(c) for c in m.columns])))
+
+
 @verb
 def matrix(store: Store, action: str, batch: DataFrame | None = None, policy: str = "first", kind: str | None = None):
     """link, unlink, add_entities, list_entities, list_linkages, list_queries."""
@@ -211,8 +320,8 @@ def canon(store: Store, action: str, name: str = "") -> DataFrame:
 
 
 @verb
-def maintain(store: Store, action: str, src: int = 0, dst: int = 0):
-    """vacuum, prune_noise, merge_partitions, audit, counts, pending_vectors, called_by."""
+def maintain(store: Store, action: str, src: int = 0, dst: int = 0, old: str = "", new: str = "", folder: str = "", version: int = 1):
+    """vacuum, prune_noise, merge_partitions, rename_partition, snapshot, drop_vectors, audit, counts, pending_vectors, called_by."""
     g = store.graph
 
     def prune() -> Store:
@@ -229,6 +338,9 @@ def maintain(store: Store, action: str, src: int = 0, dst: int = 0):
             "vacuum": lambda: replace(store, graph=mutate.vacuum(g)),
             "prune_noise": prune,
             "merge_partitions": merge,
+            "rename_partition": lambda: replace(store, partitions=upkeep.rename_partition(store.partitions, old, new)),
+            "snapshot": lambda: upkeep.snapshot({"entities": g.entities, "links": g.links, "memory_content": store.memories}, folder, version),
+            "drop_vectors": lambda: replace(store, vectors=upkeep.drop_vectors(store.vectors, g.entities)[0], graph=replace(g, entities=upkeep.drop_vectors(store.vectors, g.entities)[1])),
             "audit": lambda: analytics.partition_audit(g.entities, g.links, store.partitions),
             "counts": lambda: analytics.structural_counts(g.entities, g.links, store.memories),
             "pending_vectors": lambda: mutate.pending_vectors(g.entities),
