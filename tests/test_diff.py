@@ -31,7 +31,10 @@ def test_assignment_against_all_permutations():
 
 def test_fields_missing_and_tolerances(spark):
     main = [(1, "a", '{"x": 1, "y": [1, 2]}', 100.0, "e"), (2, "b", None, 5.0, "e"), (3, "c", "no json", 1.7e12, "e"), (5, None, None, None, "e")]
-    copy = [(1, "a", '{"y":[1,2],"x":1}', 100.005, "f"), (2, "B", "{}", 5.02, "f"), (3, "c", "no  json", 1.7e9, "f"), (4, "d", None, None, "f"), (5, None, None, None, "f")]
+    copy = [
+        (1, "a", '{"y":[1,2],"x":1}', 100.005, "f"), (2, "B", "{}", 5.02, "f"), (3, "c", "no  json", 1.7e9, "f"), (4, "d", None, None, "f"),
+        (5, None, None, None, "f")
+    ]
     assert diff(spark, main, copy) == [(2, "at", 1), (2, "meta", 1), (2, "name", 1), (3, "meta", 1), (4, "missing_in_main", 1)]
 
 
@@ -89,7 +92,9 @@ def test_a_key_with_many_rows_is_assigned_exactly(spark):
 def test_keys_span_batches_and_hold_nulls(spark):
     main = [(k, f"n{i}", None, None, "") for k in (None, 1, 2) for i in range(4000)]
     copy = [(k, f"n{i}", "1", None, "") for k in (None, 1, 2) for i in range(4000 - (k or 0))]
-    assert diff(spark, main, copy, once=False) == [(1, "meta", 3999), (1, "missing_in_copy", 1), (2, "meta", 3998), (2, "missing_in_copy", 2), (None, "meta", 4000)]
+    assert diff(spark, main, copy, once=False) == [
+        (1, "meta", 3999), (1, "missing_in_copy", 1), (2, "meta", 3998), (2, "missing_in_copy", 2), (None, "meta", 4000)
+    ]
 
 
 def test_above_the_exact_bound_every_row_is_kept(spark):

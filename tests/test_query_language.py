@@ -10,7 +10,10 @@ ENTITIES = [
     (1, 1, "concept", "parser", "parser", 0), (2, 1, "concept", "tokenizer", "tokenizer", 0), (3, 1, "concept", "noisy", "noisy", 1),
     (10, 1, "code", "src/foo.py", None, 0), (11, 1, "code", "src/lex.py", None, 0), (12, 1, "doc", "README.md", None, 0),
 ]
-LINKS = [("defines", 1, 10, 0.9), ("mentions", 1, 12, None), ("defines", 2, 11, None), ("related-to", 1, 11, None), ("mentions", 3, 12, None), ("mentions", 2, 12, 2.0)]
+LINKS = [
+    ("defines", 1, 10, 0.9), ("mentions", 1, 12, None), ("defines", 2, 11, None), ("related-to", 1, 11, None), ("mentions", 3, 12, None),
+    ("mentions", 2, 12, 2.0)
+]
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +60,9 @@ def test_co_occurrence_and_explain(spark, graph):
     evidence = spark.createDataFrame([(10, "defines", 1, "src/foo.py", 3)], "entity_id long, linkage string, concept_id long, file string, line int")
     from dataclasses import replace
 
-    assert rows(dsl.explain(replace(graph, evidence=evidence), dsl.run(graph, "defines:parser OR mentions:parser"))) == [(10, "defines", 1, "src/foo.py", 3), (12, None, None, None, None)]
+    assert rows(
+        dsl.explain(replace(graph, evidence=evidence), dsl.run(graph, "defines:parser OR mentions:parser"))
+    ) == [(10, "defines", 1, "src/foo.py", 3), (12, None, None, None, None)]
 
 
 @pytest.mark.parametrize("bad", ["", "a b", "(a", "a AND", "NOT NOT a", "a )", "#x", "not-x", "AND a"])
@@ -77,7 +82,13 @@ def test_trees():
 
 
 terms = st.sampled_from([Term("parser"), Term("tokenizer"), Term("parser", "defines"), Term("parser", "mentions"), Term("missing")])
-trees = st.recursive(terms, lambda t: st.one_of(st.builds(lambda a: Node("not", (a,)), t), st.builds(lambda op, a, b: Node(op, (a, b)), st.sampled_from(["and", "or", "diff", "xor"]), t, t)), max_leaves=5)
+trees = st.recursive(
+    terms,
+    lambda t: st.one_of(
+        st.builds(lambda a: Node("not", (a,)), t), st.builds(lambda op, a, b: Node(op, (a, b)), st.sampled_from(["and", "or", "diff", "xor"]), t, t)
+    ),
+    max_leaves=5
+)
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -90,6 +101,9 @@ def test_laws_against_python_sets(graph, tree):
         if isinstance(t, Term):
             return {e for linkage, c, e, _ in LINKS if names[c] == t.name and t.linkage in (None, linkage)}
         a = [value(x) for x in t.args]
-        return {"not": lambda: everything - a[0], "and": lambda: a[0] & a[1], "or": lambda: a[0] | a[1], "diff": lambda: a[0] - a[1], "xor": lambda: a[0] ^ a[1]}[t.op]()
+        return {
+            "not": lambda: everything - a[0], "and": lambda: a[0] & a[1], "or": lambda: a[0] | a[1], "diff": lambda: a[0] - a[1],
+            "xor": lambda: a[0] ^ a[1]
+        }[t.op]()
 
     assert ids(dsl.members(graph, tree)) == value(tree)

@@ -66,7 +66,10 @@ def test_late_events_within_the_delay_of_a_real_stream(spark):
 
     base = 1_700_000_000_000
     times = [0, 60_000, 30_000, 200_000, 100_000, 900_000, 905_000]  # out of order
-    df = spark.createDataFrame([("a", base + t, base + t, 1, i) for i, t in enumerate(times)] + [("end", base + 10**9, base + 10**9, 1, 99)], "k string, start_ms long, end_ms long, n_events long, seq long")
+    df = spark.createDataFrame(
+        [("a", base + t, base + t, 1, i) for i, t in enumerate(times)] + [("end", base + 10**9, base + 10**9, 1, 99)],
+        "k string, start_ms long, end_ms long, n_events long, seq long"
+    )
     df = df.withColumn("event_time", F.timestamp_millis("end_ms"))
     stream = replayed(spark, df, files_per_batch=1, files=4, order="seq").drop("seq")
     got = rows(to_table(sessions_stream(stream, ["k"], 120_000, "1 hour"), "test-sessions"))

@@ -15,7 +15,9 @@ def test_markdown_tree_relations_and_terms(spark):
     assert entities == {"spec-1", "spec-1#parser", "spec-1#details"}
     assert ("part-of", "spec-1", "spec-1#parser", None) in links and ("part-of", "spec-1#parser", "spec-1#details", None) in links
     assert ("depends-on", "tokenizer", "spec-1#parser", 1.0) in links and ("mentions", "grammar", "spec-1#parser", 1.0) in links
-    assert ("mentions", "tokens", "spec-1#parser", 2.0) in links and ("mentions", "lexer", "spec-1#parser", 3.0) in links and ("mentions", "graph", "spec-1", 1.0) in links
+    assert (
+        "mentions", "tokens", "spec-1#parser", 2.0
+    ) in links and ("mentions", "lexer", "spec-1#parser", 3.0) in links and ("mentions", "graph", "spec-1", 1.0) in links
     assert ("lead", "parser", "spec-1#parser", 1.0) in links and not any("not this" in str(x) for x in links)
 
 
@@ -23,7 +25,10 @@ def test_python(spark):
     text = '"""Reads graphs."""\nimport os.path\nfrom json import loads\n\nclass A(Base):\n    def run(self, x):\n        return helper(x)\n'
     links, entities, found = parse(spark, code.parse_python, text, "a.py")
     assert {"a.py", "a.py::A", "a.py::A.run"} <= entities
-    assert {("imports", "import/os", "a.py", None), ("imports", "import/json", "a.py", None), ("defines", "run", "a.py::A.run", None), ("calls", "helper", "a.py::A.run", None), ("is_a", "Base", "a.py::A", None), ("mentions", "keyword/graphs", "a.py", 1.0)} <= links
+    assert {
+        ("imports", "import/os", "a.py", None), ("imports", "import/json", "a.py", None), ("defines", "run", "a.py::A.run", None),
+        ("calls", "helper", "a.py::A.run", None), ("is_a", "Base", "a.py::A", None), ("mentions", "keyword/graphs", "a.py", 1.0)
+    } <= links
     assert parse(spark, code.parse_python, "def broken(", "b.py")[2].filter("what = 'error'").count() == 1
 
 
@@ -32,24 +37,50 @@ def test_sql(spark):
     links, entities, _ = parse(spark, code.parse_sql, text, "s.sql")
     assert entities == {"s.sql", "s.sql::bins", "s.sql::refill"}
     assert links == {
-        ("defines", "bins", "s.sql::bins", None), ("defines", "refill", "s.sql::refill", None), ("mentions", "ledger", "s.sql::refill", 1.0), ("mentions", "bins", "s.sql::refill", 1.0), ("calls", "weigh", "s.sql::refill", None),
+        ("defines", "bins", "s.sql::bins", None), ("defines", "refill", "s.sql::refill", None), ("mentions", "ledger", "s.sql::refill", 1.0),
+        ("mentions", "bins", "s.sql::refill", 1.0), ("calls", "weigh", "s.sql::refill", None),
         ("calls", "lift", "s.sql::refill", None), ("calls", "fits", "s.sql", None), ("calls", "sweep", "s.sql", None),
     }
 
 
 def test_pseudo_call_graph_units_and_cross_graph(spark):
-    links, _, _ = parse(spark, code.parse_pseudo, "from net import get, put\nNode:\n  next: Node\n  left: list of Leaf\nColour:\n  RED = 1\n  Blue: Thing\nwalk(n: Node,\n     m: Leaf)\n  visit(n)\n  walk(n)\nrest = Other\n  lost(Me)\n", "p.pseudo")
+    links, _, _ = parse(
+        spark, code.parse_pseudo,
+        "from net import get, put\nNode:\n  next: Node\n  left: list of Leaf\nColour:\n  RED = 1\n  Blue: Thing\nwalk(n: Node,\n     m: Leaf)\n  visit(n)\n  walk(n)\nrest = Other\n  lost(Me)\n",
+        "p.pseudo"
+    )
     assert links == {
-        ("imports", "import/net", "p.pseudo", None), ("defines", "Node", "p.pseudo::Node", None), ("mentions", "Node", "p.pseudo::Node", 1.0), ("mentions", "Leaf", "p.pseudo::Node", 1.0), ("defines", "Colour", "p.pseudo::Colour", None),
+        ("imports", "import/net", "p.pseudo", None), ("defines", "Node", "p.pseudo::Node", None), ("mentions", "Node", "p.pseudo::Node", 1.0),
+        ("mentions", "Leaf", "p.pseudo::Node", 1.0), ("defines", "Colour", "p.pseudo::Colour", None),
         ("defines", "walk", "p.pseudo::walk", None), ("calls", "visit", "p.pseudo::walk", None), ("mentions", "Leaf", "p.pseudo::walk", 1.0),
     }
     graph = json.dumps({"edges": [{"from_file": "a.py", "from_func": "f", "to_file": "b.py", "to_func": "g"}, {"to_file": "b.py"}, {}]})
     links, _, _ = parse(spark, code.parse_call_graph, graph)
-    assert links == {("defines", "f", "a.py::f", None), ("defines", "g", "b.py::g", None), ("calls", "g", "a.py::f", None), ("called_by", "f", "b.py::g", None)}
-    units = json.dumps({"path": "m.py", "units": [{"name": "f", "unit_type": "function", "calls": ["g", "print", None], "imports": ["os.path", "os"], "dependencies": " json.decoder, "}]})
+    assert links == {
+        ("defines", "f", "a.py::f", None), ("defines", "g", "b.py::g", None), ("calls", "g", "a.py::f", None), ("called_by", "f", "b.py::g", None)
+    }
+    units = json.dumps(
+        {
+            "path": "m.py",
+            "units": [
+                {"name": "f", "unit_type": "function", "calls": ["g", "print", None], "imports": ["os.path", "os"], "dependencies": " json.decoder, "}
+            ]
+        }
+    )
     links, _, _ = parse(spark, code.parse_units, units)
-    assert links == {("defines", "f", "m.py::f", None), ("is_a", "kind/function", "m.py::f", None), ("calls", "g", "m.py::f", None), ("imports", "import/os", "m.py", None), ("imports", "import/json", "m.py", None)}
-    cross = json.dumps({"nodes": [{"id": "a", "label": "A"}, {"id": "b"}], "edges": [{"source": "a", "target": "b", "relation": "uses", "weight": 2, "confidence": "INFERRED", "confidence_score": 0.5}, {"source": "a", "target": "c", "relation": "uses"}]})
+    assert links == {
+        ("defines", "f", "m.py::f", None), ("is_a", "kind/function", "m.py::f", None), ("calls", "g", "m.py::f", None),
+        ("imports", "import/os", "m.py", None), ("imports", "import/json", "m.py", None)
+    }
+    cross = json.dumps(
+        {
+            "nodes": [{"id": "a", "label": "A"}, {"id": "b"}],
+            "edges": [
+                {"source": "a", "target": "b", "relation": "uses", "weight": 2, "confidence": "INFERRED", "confidence_score": 0.5},
+                {"source": "a", "target": "c", "relation": "uses"}
+            ]
+        }
+    )
     links, entities, _ = parse(spark, code.parse_cross_graph, cross)
     assert links == {("depends-on", "gf/a", "graphify::b", 0.5)} and entities == {"graphify::a", "graphify::b"}
 
@@ -58,8 +89,10 @@ def test_decision_record(spark):
     text = "# ADR 7: Keep graphs\n\n- **Status:** Accepted\n- **Governs:** GraphStore,\n  LinkTable\n- **Supersedes:** ADR-0003\n\n## Context\n+-- Leaf (Node)\n```\nclass GraphStore(Store):\n  put(l: LinkTable)\n```\n"
     links, _, _ = parse(spark, records.parse_decision, text, "docs/adr-0007.md")
     assert {
-        ("defines", "adr/0007", "docs/adr-0007.md", 3.0), ("mentions", "GraphStore", "docs/adr-0007.md", 1.0), ("mentions", "LinkTable", "docs/adr-0007.md", 1.0), ("related-to", "adr/0003", "docs/adr-0007.md", 3.0),
-        ("related-to", "adr/0007", "adr/0003", 3.0), ("is_a", "Store", "docs/adr-0007.md::GraphStore", 3.0), ("mentions", "LinkTable", "docs/adr-0007.md::GraphStore", 1.0), ("mentions", "put", "docs/adr-0007.md::GraphStore", 1.0),
+        ("defines", "adr/0007", "docs/adr-0007.md", 3.0), ("mentions", "GraphStore", "docs/adr-0007.md", 1.0),
+        ("mentions", "LinkTable", "docs/adr-0007.md", 1.0), ("related-to", "adr/0003", "docs/adr-0007.md", 3.0),
+        ("related-to", "adr/0007", "adr/0003", 3.0), ("is_a", "Store", "docs/adr-0007.md::GraphStore", 3.0),
+        ("mentions", "LinkTable", "docs/adr-0007.md::GraphStore", 1.0), ("mentions", "put", "docs/adr-0007.md::GraphStore", 1.0),
         ("is_a", "Node", "docs/adr-0007.md::Leaf", 3.0),
     } == links - {x for x in links if x[1] in ("GraphStore", "Leaf") and x[0] == "defines"}
 
@@ -84,9 +117,24 @@ def test_files_and_grep(spark, tmp_path):
 
 def test_session_cards_and_actions(spark, tmp_path):
     lines = [
-        {"type": "user", "message": {"role": "user", "content": "fix 0a1b2c3d"}, "timestamp": "2026-01-01T00:00:00Z", "cwd": "/w", "gitBranch": "main"},
-        {"type": "assistant", "message": {"role": "assistant", "model": "m1", "content": json.dumps([{"type": "text", "text": "ok"}, {"type": "tool_use", "name": "Edit", "id": "t1", "input": {"file_path": "a.py"}}])}, "timestamp": "2026-01-01T00:00:01Z"},
-        {"type": "user", "message": {"role": "user", "content": json.dumps([{"type": "tool_result", "tool_use_id": "t1", "is_error": True}])}, "timestamp": "2026-01-01T00:00:02Z"},
+        {
+            "type": "user", "message": {"role": "user", "content": "fix 0a1b2c3d"}, "timestamp": "2026-01-01T00:00:00Z", "cwd": "/w",
+            "gitBranch": "main"
+        },
+        {
+            "type": "assistant",
+            "message": {
+                "role": "assistant", "model": "m1",
+                "content": json.dumps(
+                    [{"type": "text", "text": "ok"}, {"type": "tool_use", "name": "Edit", "id": "t1", "input": {"file_path": "a.py"}}]
+                )
+            },
+            "timestamp": "2026-01-01T00:00:01Z"
+        },
+        {
+            "type": "user", "message": {"role": "user", "content": json.dumps([{"type": "tool_result", "tool_use_id": "t1", "is_error": True}])},
+            "timestamp": "2026-01-01T00:00:02Z"
+        },
         {"type": "user", "message": {"role": "user", "content": "again"}, "timestamp": "2026-01-01T00:00:03Z"},
         {"type": "user", "message": {"role": "user", "content": "again"}, "timestamp": "2026-01-01T00:00:04Z"},
         {"type": "ai-title", "aiTitle": "A fix"},

@@ -12,8 +12,11 @@ from threadloom.streaming import focus
 from threadloom.streaming.sync import apply_sync, drain, due, learned, plan_sync
 
 E = [
-    (1, 1, "concept", None, "parser", None, None, 1.0, 1.0, 0, 0, "parser", None), (2, 1, "concept", None, "loose", None, None, 1.0, 1.0, 0, 0, "loose", None), (3, 1, "concept", None, "kept", None, None, 1.0, 1.0, 1, 0, "kept", None),
-    (10, 1, "doc", "a.md", "a.md", "old", None, 1.0, 1.0, 0, 0, None, 0.5), (11, 2, "doc", "b.md", "a.md", None, None, 1.0, 1.0, 0, 0, None, None), (12, 2, "memory", None, "note", None, None, 1.0, 2.0, 0, 0, None, 5.0),
+    (1, 1, "concept", None, "parser", None, None, 1.0, 1.0, 0, 0, "parser", None),
+    (2, 1, "concept", None, "loose", None, None, 1.0, 1.0, 0, 0, "loose", None),
+    (3, 1, "concept", None, "kept", None, None, 1.0, 1.0, 1, 0, "kept", None),
+    (10, 1, "doc", "a.md", "a.md", "old", None, 1.0, 1.0, 0, 0, None, 0.5), (11, 2, "doc", "b.md", "a.md", None, None, 1.0, 1.0, 0, 0, None, None),
+    (12, 2, "memory", None, "note", None, None, 1.0, 2.0, 0, 0, None, 5.0),
 ]
 L = [("mentions", 1, 10, 2.0), ("mentions", 1, 11, None), ("same_as", 1, 12, None)]
 M = [(12, "body", "note", '["x"]', None, 1.0, 1.0), (10, "s", "note", None, None, 1.0, 1.0), (11, "longer", "note", None, None, 9.0, 9.0)]
@@ -27,17 +30,29 @@ def store(spark):
 
 def test_upsert_rules(spark, store):
     batch = spark.createDataFrame(
-        [(1, "doc", "a.md", None, "new", None, 0, None, 5.0, 1), (1, "doc", "a.md", "p", None, None, 1, "c1", 6.0, 2), (1, "doc", "a.md", None, None, None, 0, "c2", 7.0, 3), (1, "concept", "parser", None, None, None, 0, None, 9.0, 4), (1, "doc", "z.md", "z", None, None, 0, None, 8.0, 5)],
+        [
+            (1, "doc", "a.md", None, "new", None, 0, None, 5.0, 1), (1, "doc", "a.md", "p", None, None, 1, "c1", 6.0, 2),
+            (1, "doc", "a.md", None, None, None, 0, "c2", 7.0, 3), (1, "concept", "parser", None, None, None, 0, None, 9.0, 4),
+            (1, "doc", "z.md", "z", None, None, 0, None, 8.0, 5)
+        ],
         "partition_id int, kind string, name string, path string, tldr string, meta string, protected int, canonical_name string, now double, seq int",
     )
     got = {r.id: r for r in mutate.upsert_entities(store.graph.entities, batch).collect()}
-    assert (got[10].path, got[10].tldr, got[10].protected, got[10].canonical_name, got[10].updated_at, got[10].created_at) == ("p", "new", 1, "c1", 7.0, 1.0)
+    assert (
+        got[10].path, got[10].tldr, got[10].protected, got[10].canonical_name, got[10].updated_at, got[10].created_at
+    ) == ("p", "new", 1, "c1", 7.0, 1.0)
     assert got[1].updated_at == 1.0  # nothing changed
     assert got[13].name == "z.md" and got[13].created_at == 8.0 and len(got) == 7
 
 
 def test_link_policies_and_unlink(spark, store):
-    batch = spark.createDataFrame([("mentions", 1, 10, 9.0, 1), ("mentions", 1, 11, 4.0, 2), ("mentions", 1, 11, None, 3), ("related_to", 1, 12, 1.0, 4), ("related_to", 1, 12, 2.0, 5)], "linkage string, concept_id long, entity_id long, weight double, seq int")
+    batch = spark.createDataFrame(
+        [
+            ("mentions", 1, 10, 9.0, 1), ("mentions", 1, 11, 4.0, 2), ("mentions", 1, 11, None, 3), ("related_to", 1, 12, 1.0, 4),
+            ("related_to", 1, 12, 2.0, 5)
+        ],
+        "linkage string, concept_id long, entity_id long, weight double, seq int"
+    )
     get = lambda policy: {(r.linkage, r.entity_id): r.weight for r in mutate.merge_links(store.graph.links, batch, policy).collect()}
     assert get("first") == {("mentions", 10): 2.0, ("mentions", 11): None, ("same_as", 12): None, ("related-to", 12): 1.0}
     assert get("update") == {("mentions", 10): 9.0, ("mentions", 11): 4.0, ("same_as", 12): None, ("related-to", 12): 2.0}
@@ -59,12 +74,21 @@ def test_vacuum_purge_and_merge(spark, store):
 
 def test_replay_ties_and_idempotence(spark):
     log = spark.createDataFrame(
-        [(1.0, 1, "entity", "doc", "a", "p1", "v1"), (2.0, 2, "entity", "doc", "a", None, "v2"), (2.0, 3, "entity", "doc", "a", None, "v3"), (2.0, 4, "tombstone", "doc", "b", None, None), (2.0, 5, "entity", "doc", "b", "x", None), (1.0, 6, "tombstone", "doc", "a", None, None)],
+        [
+            (1.0, 1, "entity", "doc", "a", "p1", "v1"), (2.0, 2, "entity", "doc", "a", None, "v2"), (2.0, 3, "entity", "doc", "a", None, "v3"),
+            (2.0, 4, "tombstone", "doc", "b", None, None), (2.0, 5, "entity", "doc", "b", "x", None), (1.0, 6, "tombstone", "doc", "a", None, None)
+        ],
         "ts double, line_no long, op string, kind string, name string, path string, value string",
     )
     want = [("doc", "a", "p1", "v3", 2.0)]
     assert rows(mutate.replay_entities(log)) == want == rows(mutate.replay_entities(log.union(log)))
-    links = spark.createDataFrame([(1.0, 1, "link", "m", "c", "e", 1.0), (2.0, 2, "unlink", "m", "c", "e", None), (2.0, 3, "link", "m", "c", "e", 3.0), (5.0, 4, "link", "m", "d", "e", 2.0)], "ts double, line_no long, op string, linkage string, c string, e string, weight double")
+    links = spark.createDataFrame(
+        [
+            (1.0, 1, "link", "m", "c", "e", 1.0), (2.0, 2, "unlink", "m", "c", "e", None), (2.0, 3, "link", "m", "c", "e", 3.0),
+            (5.0, 4, "link", "m", "d", "e", 2.0)
+        ],
+        "ts double, line_no long, op string, linkage string, c string, e string, weight double"
+    )
     assert rows(mutate.replay_links(links)) == [("m", "d", "e", 2.0)]
 
 
@@ -75,7 +99,13 @@ def test_fusion_is_exact_and_independent_of_order(spark):
 
 
 def test_content_rank_rules(spark):
-    links = spark.createDataFrame([("mentions", "a", 1, 2.0), ("mentions", "b", 1, 1.0), ("mentions", "a", 2, 2.0), ("mentions", "z", 3, 5.0), ("mentions", "a", 4, None), ("defines", "a", 9, None)], "linkage string, concept_id string, entity_id long, weight double")
+    links = spark.createDataFrame(
+        [
+            ("mentions", "a", 1, 2.0), ("mentions", "b", 1, 1.0), ("mentions", "a", 2, 2.0), ("mentions", "z", 3, 5.0), ("mentions", "a", 4, None),
+            ("defines", "a", 9, None)
+        ],
+        "linkage string, concept_id string, entity_id long, weight double"
+    )
     terms = spark.createDataFrame([(0, "a"), (1, "b"), (1, "a")], "term int, concept_id string")
     got = {r.entity_id: r.score for r in rank.content_rank(links, terms, 2, boosts={}).collect()}
     assert set(got) == {1, 2, 4, 9} and got[9] == 1e-3 and got[4] == 0.0 and got[1] > got[2] * 8
@@ -115,7 +145,10 @@ def test_pushes_stay_within_their_bound(spark):
 
 def test_related_leaves_cards_and_other_kinds_out(spark):
     links = spark.createDataFrame([("mentions", c, e, None) for c, e in ((1, 10), (2, 10), (3, 11), (2, 11), (4, 10))], LINK)
-    nodes = spark.createDataFrame([(1, "one", "concept"), (2, "two", "concept"), (3, "three", "concept"), (4, "Session-9", "concept"), (10, "d", "doc"), (11, "e", "doc")], "id long, name string, kind string")
+    nodes = spark.createDataFrame(
+        [(1, "one", "concept"), (2, "two", "concept"), (3, "three", "concept"), (4, "Session-9", "concept"), (10, "d", "doc"), (11, "e", "doc")],
+        "id long, name string, kind string"
+    )
     assert {r.name for r in walks.related(links, nodes, [1]).collect()} == {"one", "two", "three"}
     assert [r.name for r in walks.related(links, nodes, [1], 1, ("doc",), with_seeds=False).collect()] == ["d"]
     assert walks.related(links, nodes, []).count() == 0
@@ -147,7 +180,13 @@ def test_labels_and_support(spark):
 
 def test_reinforcement_sign_decay_and_cap(spark):
     e = spark.createDataFrame([(1, 0.0), (2, -86400.0 * 30), (3, None)], "id long, created_at double")
-    links = spark.createDataFrame([("reinforces", 7, 1, None), ("contradicts", 8, 1, -0.5), ("reinforces", 9, 2, 2.0), ("reinforces", 10, 1, 100.0), ("reinforces", 11, 3, 1.0)], LINK)
+    links = spark.createDataFrame(
+        [
+            ("reinforces", 7, 1, None), ("contradicts", 8, 1, -0.5), ("reinforces", 9, 2, 2.0), ("reinforces", 10, 1, 100.0),
+            ("reinforces", 11, 3, 1.0)
+        ],
+        LINK
+    )
     assert {r.concept_id: round(r.signal, 9) for r in analytics.reinforcement(links, e, 0.0).collect()} == {7: 1.0, 8: -0.5, 9: 1.0, 10: 5.0, 11: 1.0}
     assert {r.concept_id: r.signal for r in analytics.reinforcement(links, e, 0.0, halflife_days=0).collect()}[9] == 2.0
 
@@ -169,7 +208,10 @@ def test_reading_a_channel_loses_and_repeats_nothing(spark):
     for _ in range(8):
         got, moved = analytics.read_channel(m, cursors, "me", "*", 3)
         seen += [r.seq for r in got.collect()]
-        cursors = spark.createDataFrame([tuple(r) for r in cursors.join(moved, ["agent", "channel"], "left_anti").unionByName(moved).collect()], "agent string, channel string, last_seq long")
+        cursors = spark.createDataFrame(
+            [tuple(r) for r in cursors.join(moved, ["agent", "channel"], "left_anti").unionByName(moved).collect()],
+            "agent string, channel string, last_seq long"
+        )
     assert seen == [i for i in range(1, 21) if i % 5]
 
 
@@ -189,7 +231,9 @@ def test_focus_decays_counts_and_keeps_a_budget():
 
 
 def test_vectors(spark):
-    v = spark.createDataFrame([(i, [float(i == j) for j in range(4)]) for i in range(4)] + [(9, [0.9, 0.1, 0.0, 0.0])], "id long, vector array<double>")
+    v = spark.createDataFrame(
+        [(i, [float(i == j) for j in range(4)]) for i in range(4)] + [(9, [0.9, 0.1, 0.0, 0.0])], "id long, vector array<double>"
+    )
     assert vectors.nearest(v, [1.0, 0.0, 0.0, 0.0], 2).first().id == 0
     assert vectors.nearest(v, [1.0, 0.0, 0.0, 0.0], 2, ids=v.limit(0)).count() == 0
     with pytest.raises(ValueError):
@@ -222,8 +266,14 @@ def test_sync_and_queues(spark):
     assert rows(apply_sync({"t": table}, plan, {"t": spark.createDataFrame([("b", 9)], "path string, v int")})["t"]) == [("a", 1), ("b", 9)]
     queue = spark.createDataFrame([("x", 1), ("y", 2), ("x", 3)], "path string, seq int")
     assert [r.path for r in drain(queue).collect()] == ["x", "y"]
-    assert rows(learned(spark.createDataFrame([(" Foo ", "a", 1), ("foo", "a", 1), ("", "b", 2)], "pattern string, path string, line int"))) == [("query/foo", "a", 1)]
-    assert rows(due(spark.createDataFrame([("a", 10.0, None), ("b", 10.0, 95.0), ("c", 10.0, 90.0)], "name string, every_s double, last_run double"), 100.0).select("name")) == [("a",), ("c",)]
+    assert rows(
+        learned(spark.createDataFrame([(" Foo ", "a", 1), ("foo", "a", 1), ("", "b", 2)], "pattern string, path string, line int"))
+    ) == [("query/foo", "a", 1)]
+    assert rows(
+        due(
+            spark.createDataFrame([("a", 10.0, None), ("b", 10.0, 95.0), ("c", 10.0, 90.0)], "name string, every_s double, last_run double"), 100.0
+        ).select("name")
+    ) == [("a",), ("c",)]
 
 
 def test_the_rest_works_without_the_training_data_package():
@@ -311,14 +361,20 @@ def test_concepts_bridge_all_similar_pairs_and_windows_are_anchored(spark):
     from threadloom.operators import analytics, vectors
 
     rng = random.Random(8)
-    sets = spark.createDataFrame([(i, f"c{c}") for i in range(60) for c in rng.sample(range(12), rng.randrange(1, 6))] + [(i, "all") for i in range(60)], "entity_id long, concept string")
+    sets = spark.createDataFrame(
+        [(i, f"c{c}") for i in range(60) for c in rng.sample(range(12), rng.randrange(1, 6))] + [(i, "all") for i in range(60)],
+        "entity_id long, concept string"
+    )
     sets = vectors.informative_concepts(sets, most_share=1.0)
     weight = {}
     for r in sets.collect():
         weight.setdefault(r.entity_id, {})[r.concept] = r.idf
     norm = {i: math.sqrt(sum(w * w for w in c.values())) for i, c in weight.items()}
     for least in (0.2, 0.6, 0.95):
-        want = {(a, b): dot / norm[a] / norm[b] for a in weight for b in weight if a < b and norm[a] and norm[b] for dot in [sum(w * weight[b].get(c, 0.0) for c, w in weight[a].items())] if dot > least * norm[a] * norm[b] * (1 + 1e-9)}
+        want = {
+            (a, b): dot / norm[a] / norm[b] for a in weight for b in weight if a < b and norm[a] and norm[b]
+            for dot in [sum(w * weight[b].get(c, 0.0) for c, w in weight[a].items())] if dot > least * norm[a] * norm[b] * (1 + 1e-9)
+        }
         got = {(r.a, r.b): r.cosine for r in vectors.concept_cosine(sets, least).collect() if r.cosine > least * (1 + 1e-9)}
         assert got == pytest.approx(want)
     with pytest.raises(ValueError):
@@ -341,12 +397,18 @@ def test_last_touches_hold_no_more_than_asked_for(spark):
     events = [(f"t{i % 3}", float(i * 7 % 31), f"r{i % 4}", i, i) for i in range(30)]
     df = spark.createDataFrame(events, "token string, ts double, ring string, line int, seq int")
     stream = runner.replayed(spark, df, files_per_batch=1, order="seq").drop("seq")
-    got = {r.token: [(t.ts, t.ring, t.line) for t in r.touches] for r in runner.latest_of_updates(state.last_touches(stream, "token", 4), ["token"], "touches").collect()}
+    got = {
+        r.token: [(t.ts, t.ring, t.line) for t in r.touches]
+        for r in runner.latest_of_updates(state.last_touches(stream, "token", 4), ["token"], "touches").collect()
+    }
     assert got == {k: sorted((ts, ring, line) for t, ts, ring, line, _ in events if t == k)[-4:] for k in ("t0", "t1", "t2")}
 
 
 def test_more_verbs(store, spark, tmp_path):
-    batch = spark.createDataFrame([(1, "fresh", "new body", "note", '["t"]', None, 9.0, 1)], "partition_id int, name string, content string, mtype string, tags string, metadata string, now double, seq long")
+    batch = spark.createDataFrame(
+        [(1, "fresh", "new body", "note", '["t"]', None, 9.0, 1)],
+        "partition_id int, name string, content string, mtype string, tags string, metadata string, now double, seq long"
+    )
     more = verbs.call(store, "memory", action="add", batch=batch)
     made = more.memories.filter("content = 'new body'").first().entity_id
     linked = verbs.call(more, "memory", action="link", ids=[made], concept="parser", linkage="reinforces", weight=2.0)
@@ -354,20 +416,53 @@ def test_more_verbs(store, spark, tmp_path):
     assert verbs.call(linked, "memory", action="score", concept="parser", now=9.0).count() >= 1
     moved = verbs.call(more, "memory", action="promote", ids=[made], partition=7, now=10.0)
     copy = moved.graph.entities.filter("partition_id = 7 AND name = 'fresh'").first().id
-    assert moved.memories.filter(f"entity_id = {copy}").first().tags == '["t","behavior"]' and moved.memories.filter(f"entity_id = {made}").first().tags == '["t"]'
+    assert moved.memories.filter(
+        f"entity_id = {copy}"
+    ).first().tags == '["t","behavior"]' and moved.memories.filter(f"entity_id = {made}").first().tags == '["t"]'
     assert {r.id for r in verbs.call(more, "memory", action="bulk_forget", glob="fre*").collect()} == {made}
     assert verbs.call(more, "memory", action="bulk_forget", glob="fre*", dry_run=False).memories.filter(f"entity_id = {made}").count() == 0
-    assert verbs.call(store, "graph", action="visited", name="parser").count() >= 1 and verbs.call(store, "graph", action="timeline", name="parser").columns == ["ts", "what", "path", "hop"]
+    assert verbs.call(store, "graph", action="visited", name="parser").count() >= 1 and verbs.call(
+        store, "graph", action="timeline", name="parser"
+    ).columns == ["ts", "what", "path", "hop"]
     assert verbs.call(store, "where", name="parser").count() >= 1
     (tmp_path / "a.py").write_text("def needle():\n    return 1\n")
     full = verbs.call(store, "ingest_folder", root=str(tmp_path))
-    assert [(r.path, r.line) for r in verbs.call(full, "grep", pattern="needle", root=str(tmp_path)).select("path", "line").distinct().collect()] == [("a.py", 1)]
+    assert [
+        (r.path, r.line) for r in verbs.call(full, "grep", pattern="needle", root=str(tmp_path)).select("path", "line").distinct().collect()
+    ] == [("a.py", 1)]
     assert verbs.call(store, "embed_pending").vectors.count() >= 1
     assert verbs.call(store, "taxonomy", allowed=[]).columns == ["entity_id", "unknown"]
-    messages = spark.createDataFrame([(1, "c", "a", "2026-01-01", 1.0, "active")], "seq long, channel string, sender string, ts string, value double, status string")
+    messages = spark.createDataFrame(
+        [(1, "c", "a", "2026-01-01", 1.0, "active")], "seq long, channel string, sender string, ts string, value double, status string"
+    )
     from dataclasses import replace
 
     assert verbs.call(replace(store, messages=messages), "publish", channel="c", sender="b").messages.agg({"seq": "max"}).first()[0] == 2
     snap = verbs.call(store, "maintain", action="snapshot", folder=f"file://{tmp_path}/snap", version=3)
     assert snap["links"].count() == store.graph.links.count()
     assert {x["name"] for x in verbs.schema()} >= {"grep", "session", "projects", "publish", "taxonomy", "where", "embed_pending", "ingest_folder"}
+
+
+def test_context_with_a_walk(spark):
+    from threadloom.operators import context
+
+    nodes = [
+        (1, "concept", "valve"), (2, "concept", "pump"), (10, "doc", "d10"), (11, "doc", "d11#a"), (12, "doc", "d11#b"), (13, "doc", "session-13"),
+        (14, "doc", "d14")
+    ]
+    e = spark.createDataFrame([(i, 1, k, None, n, None, None, 1.0, 1.0, 0, 0, n, None) for i, k, n in nodes], ENTITY)
+    links = spark.createDataFrame([("mentions", 1, 10, None), ("mentions", 2, 10, None)] + [("mentions", 2, i, None) for i in (11, 12, 13, 14)], LINK)
+    g = Graph(e, links)
+    plain = [r.entity_id for r in context.build_context(g, "valve").orderBy("place").collect()]
+    assert plain == [10]
+    walked = [(r.entity_id, r.linkage) for r in context.build_context(g, "valve", degree=3).orderBy("place").collect()]
+    # one entry for each document, no cards of sessions, no bare concepts
+    assert walked[0] == (10, "mentions") and sorted(walked[1:]) == [(11, "walk"), (14, "walk")]
+    ranked = spark.createDataFrame([(14, 3.0), (12, 2.0), (13, 1.0)], "entity_id long, score double")
+    tight = [
+        (r.entity_id, r.linkage) for r in context.build_context(g, "valve", ranked, degree=3, walk_most=1, most_entities=3).orderBy("place").collect()
+    ]
+    assert tight[0] == (10, "mentions") and (14, "content") in tight and len(tight) == 3
+    assert context.build_context(g, "absent", degree=2).count() == 0
+    # links without weights have no lengths to be measured by
+    assert rank.content_rank(links, {1: 0}, 1, null_tf=1.0, boosts={}).count() == 1

@@ -61,12 +61,15 @@ def content_terms_text(text: str) -> list[str]:
 
 
 def shape_score(token: Column) -> Column:
-    """How much a token looks like an identifier: 1 each for mixed case, an acronym and a compound, a half each for a digit and for 12 characters or more, of its last part."""
+    """How much a token looks like an identifier: 1 each for mixed case, an acronym and a compound, a half each for a digit and for 12 characters
+    or more, of its last part."""
     last = F.element_at(F.split(F.element_at(F.split(token, "/"), -1), "::"), -1)
     point = lambda test, worth: F.when(test, worth).otherwise(0.0)
     upper, lower = last.rlike(r"\p{Lu}"), last.rlike(r"\p{Ll}")
     compound = last.rlike(r"[_.-]") | token.contains("::")
-    return point(upper & lower, 1.0) + point(upper & ~lower & (F.length(last) >= 2), 1.0) + point(compound, 1.0) + point(last.rlike(r"\d"), 0.5) + point(F.length(last) >= 12, 0.5)
+    return point(upper & lower, 1.0) + point(
+        upper & ~lower & (F.length(last) >= 2), 1.0
+    ) + point(compound, 1.0) + point(last.rlike(r"\d"), 0.5) + point(F.length(last) >= 12, 0.5)
 
 
 def candidates(text: Column) -> Column:

@@ -36,20 +36,29 @@ def stem(word: Column) -> Column:
 def word_pairs(df: DataFrame, record: str, text: str, window: int = PAIR_WINDOW, stop: list[str] = BODY_STOPWORDS) -> DataFrame:
     """(record, pair, n): stemmed words that stand fewer than ``window`` content words apart, as sorted ``a_b``.
 
-    Clause ends, stop words and numbers end a run; a word isn't paired with itself. The runs stay arrays within the row, so nothing is shuffled before the count.
+    Clause ends, stop words and numbers end a run; a word isn't paired with itself. The runs stay arrays within the row, so nothing is shuffled
+    before the count.
     """
     clauses = F.split(F.col(text), CLAUSE_END)
     rows = df.select(F.col(record), F.explode(clauses).alias("clause"))
     marked = rows.select(record, F.transform(F.regexp_extract_all("clause", F.lit(PAIR_WORD), F.lit(0)), F.lower).alias("w"))
     stops = F.array(*[F.lit(s) for s in stop])
     # A stop word becomes a break; the joined text is cut there, and each piece is a run.
-    runs = marked.select(record, F.explode(F.split(F.array_join(F.transform("w", lambda x: F.when(F.array_contains(stops, x), F.lit("|")).otherwise(x)), " "), r"\|")).alias("run"))
+    runs = marked.select(
+        record,
+        F.explode(
+            F.split(F.array_join(F.transform("w", lambda x: F.when(F.array_contains(stops, x), F.lit("|")).otherwise(x)), " "), r"\|")
+        ).alias("run")
+    )
     words = runs.select(record, F.filter(F.split(F.trim("run"), r"\s+"), lambda x: x != "").alias("r")).filter(F.size("r") > 1)
     words = words.select(record, F.transform("r", stem).alias("r"))
     pairs = F.flatten(
         F.transform(
             F.col("r"),
-            lambda a, i: F.transform(F.slice(F.col("r"), i + 2, F.lit(window - 1)), lambda b: F.when(a != b, F.concat(F.least(a, b), F.lit("_"), F.greatest(a, b)))),
+            lambda a,
+            i: F.transform(
+                F.slice(F.col("r"), i + 2, F.lit(window - 1)), lambda b: F.when(a != b, F.concat(F.least(a, b), F.lit("_"), F.greatest(a, b)))
+            ),
         )
     )
     return words.select(record, F.explode(F.array_compact(pairs)).alias("pair")).groupBy(record, "pair").agg(F.count(F.lit(1)).alias("n"))
@@ -120,7 +129,8 @@ DEFINES = "def class function func fn interface type struct impl trait module su
 
 
 def definition_line(text: str | None, words: list[str], symbol: str | None, most: int = 240, around: int = 0) -> tuple[str, int] | None:
-    """The line that defines a symbol, after a defining word or else where it is bound, called or typed; marked at a query word or else at the symbol."""
+    """The line that defines a symbol, after a defining word or else where it is bound, called or typed; marked at a query word or else at the
+    symbol."""
     if not text or not symbol:
         return None
     lines, name = [line.rstrip() for line in text.splitlines()], re.escape(symbol)
@@ -142,7 +152,10 @@ def with_kwic(df: DataFrame, record: str, text: str, query: str, width: int = 10
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             lines = [kwic_line(t, words) for t in frame["_t"]]
-            out = {record: frame[record], "snippet": [kwic(t, words, width) for t in frame["_t"]], "line": [x and x[0] for x in lines], "line_no": [x[1] if x else None for x in lines]}
+            out = {
+                record: frame[record], "snippet": [kwic(t, words, width) for t in frame["_t"]], "line": [x and x[0] for x in lines],
+                "line_no": [x[1] if x else None for x in lines]
+            }
             yield pd.DataFrame(out).astype({"line_no": "Int64"})
 
     rows = df.filter(held).select(record, F.col(text).alias("_t"))
@@ -197,7 +210,8 @@ class _Trail:
 def pronouns(text: str, window: int = 3) -> list[Pronoun]:
     """Every pronoun of a text with its antecedent, the latest candidate of its class within ``window`` sentences, or None without one.
 
-    Candidates for persons are capitalised words that aren't furniture of the sentence (openers count after the first place only); for things, lower-case words
+    Candidates for persons are capitalised words that aren't furniture of the sentence (openers count after the first place only); for things,
+    lower-case words
     found in two sentences or more. The confidence is 1 / (1 + sentences between), halved where candidates of different names are within the window.
     """
     tiles, sentence, offset = [], 0, 0
@@ -249,9 +263,12 @@ def unresolved_opening(found: list[Pronoun], sentences: int = 3) -> list[tuple[i
 
 
 def dominant_person(text: str, found: list[Pronoun]) -> str | None:
-    """The person that a pronoun pointing into this text means most likely: the most usual antecedent, else the most usual name; None if none comes twice."""
+    """The person that a pronoun pointing into this text means most likely: the most usual antecedent, else the most usual name; None if none
+    comes twice."""
     people = Counter(p.antecedent for p in found if p.antecedent and p.antecedent[0].isupper())
-    names = Counter(w for w in re.findall(r"[A-Za-z][A-Za-z0-9_'-]*", text) if w[0].isupper() and len(w) >= 2 and w.lower() not in NO_NAME | VERBLIKE | OPENERS)
+    names = Counter(
+        w for w in re.findall(r"[A-Za-z][A-Za-z0-9_'-]*", text) if w[0].isupper() and len(w) >= 2 and w.lower() not in NO_NAME | VERBLIKE | OPENERS
+    )
     for counted in (people, names):
         if counted and counted.most_common(1)[0][1] >= 2:
             return counted.most_common(1)[0][0]
@@ -263,7 +280,9 @@ def with_pronouns(df: DataFrame, record: str, text: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(r, p.offset, p.word, p.antecedent, p.confidence) for r, t in zip(frame[record], frame["_t"]) for p in pronouns(t) if p.antecedent]
+            rows = [
+                (r, p.offset, p.word, p.antecedent, p.confidence) for r, t in zip(frame[record], frame["_t"]) for p in pronouns(t) if p.antecedent
+            ]
             yield pd.DataFrame({c: [x[i] for x in rows] for i, c in enumerate([record, "pos", "pronoun", "antecedent", "confidence"])})
 
     words = "|".join(sorted(PERSON | THING))
@@ -298,7 +317,12 @@ def unknown_tags(tags: Column, allowed: list[str]) -> Column:
 
 def index_line(name: Column, mtype: Column, tldr: Column, most: int = 160) -> Column:
     """One line of a memory index: ``- name (type): summary``, cut."""
-    return F.substring(F.concat(F.lit("- "), name, F.coalesce(F.concat(F.lit(" ("), mtype, F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(": "), tldr), F.lit(""))), 1, most)
+    return F.substring(
+        F.concat(
+            F.lit("- "), name, F.coalesce(F.concat(F.lit(" ("), mtype, F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(": "), tldr), F.lit(""))
+        ),
+        1, most
+    )
 
 
 def udfs(spark) -> None:

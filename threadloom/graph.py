@@ -31,7 +31,9 @@ class Graph:
         return replace(self, entities=own, links=self.links.join(own.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"))
 
     def concepts(self) -> DataFrame:
-        return self.entities.filter("kind = 'concept'").select(F.col("id").alias("concept_id"), "name", "canonical_name", F.coalesce("noise", F.lit(0)).alias("noise"))
+        return self.entities.filter("kind = 'concept'").select(
+            F.col("id").alias("concept_id"), "name", "canonical_name", F.coalesce("noise", F.lit(0)).alias("noise")
+        )
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,10 +55,13 @@ def store_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
     def links() -> DataFrame:
         bits = read(spark, sf_dir, "bitmap_fragments").select(
-            stored_verb(F.col("linkage")).alias("linkage"), F.shiftright("bit", 32).alias("concept_id"), F.col("bit").bitwiseAND(F.lit(0xFFFFFFFF)).alias("entity_id")
+            stored_verb(F.col("linkage")).alias("linkage"), F.shiftright("bit", 32).alias("concept_id"),
+            F.col("bit").bitwiseAND(F.lit(0xFFFFFFFF)).alias("entity_id")
         )
         ids = read(spark, sf_dir, "entities").select("id").distinct()
-        return bits.distinct().join(ids.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").join(ids.withColumnRenamed("id", "concept_id"), "concept_id", "left_semi")
+        return bits.distinct().join(ids.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").join(
+            ids.withColumnRenamed("id", "concept_id"), "concept_id", "left_semi"
+        )
 
     kept_entities = kept(spark, "entities", _paths(sf_dir, "entities"), entities)
     found = kept(spark, "links", _paths(sf_dir, "entities", "bitmap_fragments"), links, ["linkage"], ["concept_id", "entity_id"])
@@ -65,9 +70,13 @@ def store_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 def body_terms(df: DataFrame, record: str, text: str, linkage: str = "mentions") -> DataFrame:
     """(linkage, concept, entity_id, weight): term counts of each text, without stop words."""
-    terms = df.select(F.col(record).alias("entity_id"), F.explode(F.regexp_extract_all(text, F.lit(BODY_TOKEN), F.lit(0))).alias("t")).select("entity_id", F.lower("t").alias("concept"))
+    terms = df.select(
+        F.col(record).alias("entity_id"), F.explode(F.regexp_extract_all(text, F.lit(BODY_TOKEN), F.lit(0))).alias("t")
+    ).select("entity_id", F.lower("t").alias("concept"))
     terms = terms.filter(~F.col("concept").isin(BODY_STOPWORDS))
-    return terms.groupBy("concept", "entity_id").agg(F.count(F.lit(1)).cast("double").alias("weight")).select(F.lit(linkage).alias("linkage"), "concept", "entity_id", "weight")
+    return terms.groupBy("concept", "entity_id").agg(F.count(F.lit(1)).cast("double").alias("weight")).select(
+        F.lit(linkage).alias("linkage"), "concept", "entity_id", "weight"
+    )
 
 
 def lead_text(text, lines: int = 3):
@@ -80,12 +89,17 @@ def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(read(spark, sf_dir, "documents").select(F.col("doc_id"), "text", "lang", "source"))
     mentions = body_terms(docs, "doc_id", "text")
     lead = body_terms(docs.select("doc_id", lead_text(F.col("text")).alias("text")), "doc_id", "text", "lead").withColumn("weight", F.lit(1.0))
-    tags = docs.select("doc_id", F.explode(F.array_compact(F.array(F.concat(F.lit("lang/"), "lang"), F.concat(F.lit("source/"), "source")))).alias("concept"))
-    return mentions.unionByName(lead).unionByName(tags.select(F.lit("tagged").alias("linkage"), "concept", F.col("doc_id").alias("entity_id"), F.lit(1.0).alias("weight")))
+    tags = docs.select(
+        "doc_id", F.explode(F.array_compact(F.array(F.concat(F.lit("lang/"), "lang"), F.concat(F.lit("source/"), "source")))).alias("concept")
+    )
+    return mentions.unionByName(lead).unionByName(
+        tags.select(F.lit("tagged").alias("linkage"), "concept", F.col("doc_id").alias("entity_id"), F.lit(1.0).alias("weight"))
+    )
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The links of the documents (linkage, concept_id, entity_id, weight, dl), built once and kept by verb and concept; dl is the entity's length, the sum of its mentions' weights."""
+    """The links of the documents (linkage, concept_id, entity_id, weight, dl), built once and kept by verb and concept; dl is the entity's
+    length, the sum of its mentions' weights."""
 
     def build() -> DataFrame:
         links = stage(document_links(spark, sf_dir), "document-links")

@@ -94,7 +94,9 @@ def _assigner(key_type: pa.DataType, names: Sequence[str], cols: Sequence[str],
     labels = [*names, "missing_in_copy", "missing_in_main"]
 
     def report(keys: pa.Array, field: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([keys.cast(key_type), pa.array([labels[i] for i in field], pa.string()), pa.array(n, pa.int64())], names=["k", "field", "n"])
+        return pa.RecordBatch.from_arrays(
+            [keys.cast(key_type), pa.array([labels[i] for i in field], pa.string()), pa.array(n, pa.int64())], names=["k", "field", "n"]
+        )
 
     def settle(rows: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         side = rows.column("side").to_numpy()
@@ -156,7 +158,8 @@ def _group_starts(rows: pa.Table) -> np.ndarray:
 def paired_in_rounds(rows: DataFrame, kinds: Mapping[str, str], names: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
     """Report (k, field, n) of rows paired because they agree in all fields but one, then in all but two, and the rows that are left.
 
-    ``rows`` has one row (k, fields, side, copy_no) for each row left; what agrees is paired by its place on either side. Epochs come first, which may differ by nothing but tolerance.
+    ``rows`` has one row (k, fields, side, copy_no) for each row left; what agrees is paired by its place on either side. Epochs come first, which
+    may differ by nothing but tolerance.
     """
     cols = sorted(kinds, key=lambda c: kinds[c] != "epoch")
     agree = lambda keys: reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys])
@@ -166,12 +169,21 @@ def paired_in_rounds(rows: DataFrame, kinds: Mapping[str, str], names: Mapping[s
         both = rows.groupBy(*kept).agg(F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo != hi")
         if not both.limit(1).count():
             continue
-        ranked = running_totals(rows.withColumn("one", F.lit(1).cast("long")), [*kept, "side"], [*free, "copy_no"], "one", total="rank").drop("one", "whole")
+        ranked = running_totals(
+            rows.withColumn("one", F.lit(1).cast("long")), [*kept, "side"], [*free, "copy_no"], "one", total="rank"
+        ).drop("one", "whole")
         ranked = stage(ranked, "diff-ranked")
         one, two = ranked.filter("side = 1").alias("a"), ranked.filter("side = 0").alias("b")
-        pairs = one.join(two, agree([*kept, "rank"])).select(F.col("a.k").alias("k"), F.explode(F.array_compact(F.array(*[F.when(differs(F.col(f"a.{c}"), F.col(f"b.{c}"), kinds[c]), F.lit(names[c])) for c in free]))).alias("field"))
+        pairs = one.join(two, agree([*kept, "rank"])).select(
+            F.col("a.k").alias("k"),
+            F.explode(
+                F.array_compact(F.array(*[F.when(differs(F.col(f"a.{c}"), F.col(f"b.{c}"), kinds[c]), F.lit(names[c])) for c in free]))
+            ).alias("field")
+        )
         report = report.unionByName(stage(pairs.groupBy("k", "field").agg(F.count(F.lit(1)).alias("n")), "diff-paired"))
-        left = one.join(two, agree([*kept, "rank"]), "left_anti").unionByName(two.alias("b").join(one.alias("a"), agree([*kept, "rank"]), "left_anti"))
+        left = one.join(two, agree([*kept, "rank"]), "left_anti").unionByName(
+            two.alias("b").join(one.alias("a"), agree([*kept, "rank"]), "left_anti")
+        )
         rows = stage(left.drop("rank"), "diff-unpaired")
     return report, rows
 
@@ -179,20 +191,39 @@ def paired_in_rounds(rows: DataFrame, kinds: Mapping[str, str], names: Mapping[s
 def least_cost(rows: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     """(k, least): differences that any pairing of a key's rows has at least.
 
-    Every row of the side with fewer rows is paired, and differs in as many fields as from the row nearest to it: 0 to 2, or 3 where no row is that near. Epochs are
+    Every row of the side with fewer rows is paired, and differs in as many fields as from the row nearest to it: 0 to 2, or 3 where no row is
+    that near. Epochs are
     left out, because of their tolerance, which can only make this smaller.
     """
     exact = [c for c in kinds if kinds[c] != "epoch"]
     frees = [free for n in range(3) for free in combinations(exact, n)]
-    pattern = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(len(free)).alias("d"), F.xxhash64(F.lit(i), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in exact if c not in free]).alias("h")) for i, free in enumerate(frees)]))
+    pattern = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("i"), F.lit(len(free)).alias("d"),
+                    F.xxhash64(F.lit(i), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in exact if c not in free]).alias("h")
+                )
+                for i,
+                free in enumerate(frees)
+            ]
+        )
+    )
     unit = rows.groupBy("k", "side", *exact).agg(F.count(F.lit(1)).alias("n"))
     flat = unit.withColumn("p", pattern).select("k", "side", *exact, "n", "p.*")
-    both = flat.groupBy("k", "i", "h").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo != hi").select(F.col("k").alias("k2"), F.col("i").alias("i2"), F.col("h").alias("h2"))
+    both = flat.groupBy("k", "i", "h").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo != hi").select(
+        F.col("k").alias("k2"), F.col("i").alias("i2"), F.col("h").alias("h2")
+    )
     near = flat.join(both, F.col("k").eqNullSafe(F.col("k2")) & (F.col("i") == F.col("i2")) & (F.col("h") == F.col("h2")), "left")
     cost = near.groupBy("k", "side", *exact, "n").agg(F.coalesce(F.min(F.when(F.col("h2").isNotNull(), F.col("d"))), F.lit(3)).alias("d"))
     of = lambda m, what: F.sum(F.when(F.col("side") == m, what).otherwise(0))
-    sides = cost.groupBy("k").agg(*[of(m, F.col("n")).alias(f"c{m}") for m in (1, 0)], *[of(m, F.col("n") * F.col("d")).alias(f"d{m}") for m in (1, 0)])
-    return sides.select("k", F.when(F.col("c1") < F.col("c0"), F.col("d1")).when(F.col("c1") > F.col("c0"), F.col("d0")).otherwise(F.greatest("d1", "d0")).alias("least"))
+    sides = cost.groupBy("k").agg(
+        *[of(m, F.col("n")).alias(f"c{m}") for m in (1, 0)], *[of(m, F.col("n") * F.col("d")).alias(f"d{m}") for m in (1, 0)]
+    )
+    return sides.select(
+        "k",
+        F.when(F.col("c1") < F.col("c0"), F.col("d1")).when(F.col("c1") > F.col("c0"), F.col("d0")).otherwise(F.greatest("d1", "d0")).alias("least")
+    )
 
 
 def _fingerprints(df: DataFrame, is_main: int, key: str, fields: Mapping[str, str], version: str | None) -> DataFrame:
@@ -204,7 +235,8 @@ def _fingerprints(df: DataFrame, is_main: int, key: str, fields: Mapping[str, st
 def left_over(main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str, str], version: str | None = None, once: bool = True) -> DataFrame:
     """(k, v1, v0, f0, f1, ..., n1, n0): fingerprints of the rows that don't cancel, how often they are left in main (n1) or in the copy (n0).
 
-    Of n1 equal rows in main and n0 in the copy, the difference is left on the side that has more. See ``diff_copies`` for the options; v1 and v0 are the
+    Of n1 equal rows in main and n0 in the copy, the difference is left on the side that has more. See ``diff_copies`` for the options; v1 and v0
+    are the
     key's newest versions.
     """
     cols = [f"f{i}" for i in range(len(fields))]
@@ -215,7 +247,9 @@ def left_over(main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str, s
     if version:
         of = lambda m: F.max(F.when(F.col("m") == m, F.col("v"))).alias(f"v{m}")
         newest = rows.groupBy(F.col("k").alias("k2")).agg(of(1), of(0))
-        rows = rows.join(newest, F.col("k").eqNullSafe(F.col("k2"))).filter(F.col("v") == F.when(F.col("m") == 1, F.col("v1")).otherwise(F.col("v0"))).drop("k2")
+        rows = rows.join(newest, F.col("k").eqNullSafe(F.col("k2"))).filter(
+            F.col("v") == F.when(F.col("m") == 1, F.col("v1")).otherwise(F.col("v0"))
+        ).drop("k2")
     else:
         rows = rows.withColumns({"v1": F.lit(None).cast("double"), "v0": F.lit(None).cast("double")})
     count = lambda m: F.sum(F.when(F.col("m") == m, F.col("n")).otherwise(0))
@@ -225,7 +259,8 @@ def left_over(main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str, s
 
 
 def diff_copies(
-    main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str, str], version: str | None = None, once: bool = True, exact_cells: int = EXACT_CELLS
+    main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str, str], version: str | None = None, once: bool = True,
+    exact_cells: int = EXACT_CELLS
 ) -> DataFrame:
     """Report (row_id, field, n): what is missing on either side and which fields of paired rows differ.
 
@@ -243,14 +278,22 @@ def diff_copies(
     cols = [f"f{i}" for i in range(len(names))]
     kinds = dict(zip(cols, fields.values()))
     left = stage(left_over(main, copy, key, fields, version, once), "diff-left")
-    sides = left.groupBy(F.col("k").alias("k2")).agg(F.sum("n1").alias("c1"), F.sum("n0").alias("c0"), F.max("v1").alias("w1"), F.max("v0").alias("w0"))
+    sides = left.groupBy(F.col("k").alias("k2")).agg(
+        F.sum("n1").alias("c1"), F.sum("n0").alias("c0"), F.max("v1").alias("w1"), F.max("v0").alias("w0")
+    )
     # A side without a row left needs no pairing.
     gone_copy, gone_main = (F.col("w0").isNull(), F.col("w1").isNull()) if version else (F.lit(True), F.lit(True))
     missing = F.when((F.col("c0") == 0) & gone_copy, "missing_in_copy").when((F.col("c1") == 0) & gone_main, "missing_in_main")
-    alone = sides.filter("c1 = 0 OR c0 = 0").select(F.col("k2").alias("k"), missing.alias("field"), (F.col("c1") + F.col("c0")).alias("n")).filter("field IS NOT NULL")
-    sides = sides.filter("c1 > 0 AND c0 > 0").select("k2", ((F.col("c1") * F.col("c0") > exact_cells) | (F.greatest("c1", "c0") > EXACT_ROWS)).alias("hot"))
+    alone = sides.filter("c1 = 0 OR c0 = 0").select(
+        F.col("k2").alias("k"), missing.alias("field"), (F.col("c1") + F.col("c0")).alias("n")
+    ).filter("field IS NOT NULL")
+    sides = sides.filter("c1 > 0 AND c0 > 0").select(
+        "k2", ((F.col("c1") * F.col("c0") > exact_cells) | (F.greatest("c1", "c0") > EXACT_ROWS)).alias("hot")
+    )
     # A row that is left several times is repeated here, as often as it is left.
-    rows = left.join(sides, F.col("k").eqNullSafe(F.col("k2"))).withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("n1", "n0"))))
+    rows = left.join(sides, F.col("k").eqNullSafe(F.col("k2"))).withColumn(
+        "copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("n1", "n0")))
+    )
     rows = rows.select("k", *cols, F.when(F.col("n1") > 0, 1).otherwise(0).cast("long").alias("side"), "copy_no", "hot")
     assigned = rows.filter("NOT hot").drop("hot", "copy_no").withColumn("block", F.lit(0).cast("long"))
     has_hot = sides.filter("hot").limit(1).count() > 0
@@ -271,6 +314,8 @@ def diff_copies(
     if has_hot:
         paired = stage(paired.unionByName(in_rounds), "diff-report")
         taken = paired.filter(~F.col("field").startswith("missing_in_")).groupBy(F.col("k").alias("k2")).agg(F.sum("n").alias("taken"))
-        dear = least_cost(hot, kinds).join(taken, F.col("k").eqNullSafe(F.col("k2"))).select("k", F.lit(NOT_CERTIFIED).alias("field"), (F.col("taken") - F.col("least")).alias("n"))
+        dear = least_cost(hot, kinds).join(taken, F.col("k").eqNullSafe(F.col("k2"))).select(
+            "k", F.lit(NOT_CERTIFIED).alias("field"), (F.col("taken") - F.col("least")).alias("n")
+        )
         paired = paired.groupBy("k", "field").agg(F.sum("n").alias("n")).unionByName(dear.filter("n > 0"))
     return alone.unionByName(paired).select(F.col("k").alias("row_id"), "field", "n")

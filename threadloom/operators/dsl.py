@@ -113,7 +113,10 @@ def parse_infix(text: str) -> Term | Node:
 
 
 _CALL = re.compile(r"\s*(?:(?P<name>[A-Za-z_][\w\-./]*)|(?P<int>-?\d+)|'(?P<one>[^']*)'|\"(?P<two>[^\"]*)\"|(?P<mark>[(),=]))")
-_FUNCTIONS = {"row": "row", "union": "or", "or": "or", "intersect": "and", "and": "and", "not": "not", "difference": "diff", "diff": "diff", "xor": "xor", "count": "count", "topn": "topn", "neighbors": "neighbors"}
+_FUNCTIONS = {
+    "row": "row", "union": "or", "or": "or", "intersect": "and", "and": "and", "not": "not", "difference": "diff", "diff": "diff", "xor": "xor",
+    "count": "count", "topn": "topn", "neighbors": "neighbors"
+}
 
 
 def parse_functional(text: str) -> Term | Node:
@@ -169,7 +172,10 @@ def parse_functional(text: str) -> Term | Node:
                 raise ValueError("Row takes a linkage and a concept")
             return Term(str(args[1]), str(args[0]))
         if op == "neighbors":
-            return Node(op, (Term(str(args[0])),), {"depth": int(options.get("depth", args[1] if len(args) > 1 else 1)), "linkages": [str(a) for a in args[2:]]})
+            return Node(
+                op, (Term(str(args[0])),),
+                {"depth": int(options.get("depth", args[1] if len(args) > 1 else 1)), "linkages": [str(a) for a in args[2:]]}
+            )
         if op == "topn":
             return Node(op, (as_set(args[0]),), {"n": int(options.get("n", args[1] if len(args) > 1 else 10))})
         sets = tuple(as_set(a) for a in args)
@@ -215,7 +221,9 @@ def resolve(graph: Graph, names: list[str]) -> DataFrame:
     canons = {n: canonicalize_text(n) for n in names}
     rows = graph.concepts().filter(F.col("name").isin(names) | F.col("canonical_name").isin(list(canons.values())))  # reaches the scan
     means = [F.when((F.col("name") == n) | F.coalesce(F.col("canonical_name") == c, F.lit(False)), F.lit(n)) for n, c in canons.items()]
-    return rows.select("concept_id", F.explode(F.array_compact(F.array(*means).cast("array<string>"))).alias("term")).select("term", "concept_id").distinct()
+    return rows.select(
+        "concept_id", F.explode(F.array_compact(F.array(*means).cast("array<string>"))).alias("term")
+    ).select("term", "concept_id").distinct()
 
 
 def members(graph: Graph, tree: Term | Node) -> DataFrame:
@@ -227,7 +235,10 @@ def members(graph: Graph, tree: Term | Node) -> DataFrame:
     mask = reduce(
         lambda a, b: a.bitwiseOR(b),
         [
-            F.when((F.col("term") == t.name) & (F.lit(True) if t.linkage is None else F.col("linkage") == VERB_ALIASES.get(t.linkage, t.linkage)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+            F.when(
+                (F.col("term") == t.name) & (F.lit(True) if t.linkage is None else F.col("linkage") == VERB_ALIASES.get(t.linkage, t.linkage)),
+                F.lit(1 << i)
+            ).otherwise(F.lit(0)).cast("long")
             for i, t in enumerate(terms)
         ],
     )
@@ -246,7 +257,9 @@ def members(graph: Graph, tree: Term | Node) -> DataFrame:
 def top_n(graph: Graph, found: DataFrame, n: int = 10) -> DataFrame:
     """(entity_id, weight): entities by the number of (linkage, concept that isn't noise) rows that hold them."""
     concepts = graph.concepts().filter("noise = 0").select("concept_id")
-    counted = graph.links.join(found, "entity_id", "left_semi").join(concepts, "concept_id", "left_semi").groupBy("entity_id").agg(F.count(F.lit(1)).alias("weight"))
+    counted = graph.links.join(found, "entity_id", "left_semi").join(
+        concepts, "concept_id", "left_semi"
+    ).groupBy("entity_id").agg(F.count(F.lit(1)).alias("weight"))
     return counted.orderBy(F.desc("weight"), "entity_id").limit(n)
 
 
@@ -278,7 +291,9 @@ def co_occurrence(graph: Graph, name: str, linkage: str = "mentions") -> DataFra
     anchors = resolve(graph, [name]).select("concept_id")
     links = graph.links.filter(F.col("linkage") == linkage)
     holders = links.join(anchors, "concept_id", "left_semi").select("entity_id").distinct()
-    others = links.join(holders, "entity_id", "left_semi").join(anchors, "concept_id", "left_anti").groupBy("concept_id").agg(F.countDistinct("entity_id").alias("overlap"))
+    others = links.join(holders, "entity_id", "left_semi").join(anchors, "concept_id", "left_anti").groupBy("concept_id").agg(
+        F.countDistinct("entity_id").alias("overlap")
+    )
     return others.join(graph.concepts().filter("noise = 0").select("concept_id", "name"), "concept_id").select("concept_id", "name", "overlap")
 
 

@@ -17,10 +17,16 @@ Encoder = Callable[[Sequence[str]], np.ndarray]
 
 
 def entity_text(kind: Column, name: Column, canonical: Column, tldr: Column, content: Column, mtype: Column, tags: Column) -> Column:
-    """What stands for an entity: a memory's ``[type] body`` and tags (its name without a body), a concept's name and other spelling with its summary, else name and summary."""
+    """What stands for an entity: a memory's ``[type] body`` and tags (its name without a body), a concept's name and other spelling with its
+    summary, else name and summary."""
     empty = F.lit("")
-    memory = F.when(content.isNotNull(), F.trim(F.concat(F.lit("["), F.coalesce(mtype, empty), F.lit("] "), content, F.lit("\n"), F.coalesce(tags, empty)))).otherwise(F.coalesce(name, empty))
-    head = F.concat(F.coalesce(name, empty), F.when(canonical.isNotNull() & (canonical != "") & ~canonical.eqNullSafe(name), F.concat(F.lit(" "), canonical)).otherwise(empty))
+    memory = F.when(
+        content.isNotNull(), F.trim(F.concat(F.lit("["), F.coalesce(mtype, empty), F.lit("] "), content, F.lit("\n"), F.coalesce(tags, empty)))
+    ).otherwise(F.coalesce(name, empty))
+    head = F.concat(
+        F.coalesce(name, empty),
+        F.when(canonical.isNotNull() & (canonical != "") & ~canonical.eqNullSafe(name), F.concat(F.lit(" "), canonical)).otherwise(empty)
+    )
     body = F.trim(F.coalesce(tldr, empty))
     concept = F.when(body != "", F.concat(head, F.lit("\n"), body)).otherwise(head)
     plain = F.trim(F.concat_ws("\n", F.nullif(name, empty), F.nullif(tldr, empty)))

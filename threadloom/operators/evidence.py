@@ -13,7 +13,8 @@ HIT = ["path", "line", "linkage", "concept", "entity"]
 
 
 def named_like(name: Column, canonical: Column, pattern: str, regex: bool = False) -> Column:
-    """Concepts whose name holds the pattern (``%`` and ``_`` match anything), or, where its canonical form is another spelling, whose canonical name is that or ends in it as a part."""
+    """Concepts whose name holds the pattern (``%`` and ``_`` match anything), or, where its canonical form is another spelling, whose canonical
+    name is that or ends in it as a part."""
     if regex:
         return name.rlike(pattern)
     found = name.ilike(f"%{pattern}%")
@@ -45,11 +46,13 @@ def line_holds(text: Column, pattern: str, regex: bool = False, ignore_case: boo
 
 
 def grep_evidence(
-    evidence: DataFrame, concepts: DataFrame, lines: DataFrame | None, pattern: str, regex: bool = False, ignore_case: bool = False, word: bool = False, linkage: str | None = None, kind: str | None = None, limit: int | None = 100,
+    evidence: DataFrame, concepts: DataFrame, lines: DataFrame | None, pattern: str, regex: bool = False, ignore_case: bool = False,
+    word: bool = False, linkage: str | None = None, kind: str | None = None, limit: int | None = 100,
 ) -> DataFrame:
     """(path, line, linkage, concept, entity): evidence of the concepts that a pattern names, in order, each hit once.
 
-    ``evidence`` has (path, line from 1, linkage, concept_id, entity, kind), ``concepts`` (concept_id, name, canonical_name), ``lines`` (path, line_no, line). With
+    ``evidence`` has (path, line from 1, linkage, concept_id, entity, kind), ``concepts`` (concept_id, name, canonical_name), ``lines`` (path,
+    line_no, line). With
     lines, a hit stays only if its line really holds the pattern, and the limit counts such hits. Only the lines that evidence points at are joined.
     """
     own = concepts.filter(named_like(F.col("name"), F.col("canonical_name"), pattern, regex)).select("concept_id", F.col("name").alias("concept"))
@@ -60,7 +63,9 @@ def grep_evidence(
         rows = rows.filter(F.col("kind") == kind)
     hits = rows.join(own, "concept_id").select(*HIT).distinct()
     if lines is not None:
-        text = lines.select("path", F.col("line_no").alias("line"), F.col("line").alias("text")).filter(line_holds(F.col("text"), pattern, regex, ignore_case, word))
+        text = lines.select(
+            "path", F.col("line_no").alias("line"), F.col("line").alias("text")
+        ).filter(line_holds(F.col("text"), pattern, regex, ignore_case, word))
         hits = hits.join(text, ["path", "line"]).groupBy("path", "line", "linkage", "concept").agg(F.min("entity").alias("entity"))
     hits = hits.select(*HIT)
     return hits.orderBy(*HIT).limit(limit) if limit else hits

@@ -24,14 +24,16 @@ def collapse_batch(batch: DataFrame, order: str = "seq") -> DataFrame:
     """One row per (partition_id, kind, name) of a batch: later non-null path, tldr and meta win, flags only rise, the first canonical name stays."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
     return batch.groupBy("partition_id", "kind", "name").agg(
-        last("path"), last("tldr"), last("meta"), F.max(F.coalesce("protected", F.lit(0))).alias("protected"), F.min_by("canonical_name", F.when(F.col("canonical_name").isNotNull(), F.col(order))).alias("canonical_name"), F.max("now").alias("now")
+        last("path"), last("tldr"), last("meta"), F.max(F.coalesce("protected", F.lit(0))).alias("protected"),
+        F.min_by("canonical_name", F.when(F.col("canonical_name").isNotNull(), F.col(order))).alias("canonical_name"), F.max("now").alias("now")
     )
 
 
 def upsert_entities(entities: DataFrame, batch: DataFrame) -> DataFrame:
     """Entities after a batch of (partition_id, kind, name, path, tldr, meta, protected, canonical_name, now, seq).
 
-    Given values replace, nulls don't; protected only rises; the canonical name is set once; updated_at moves only where something changed. New rows get ids
+    Given values replace, nulls don't; protected only rises; the canonical name is set once; updated_at moves only where something changed. New
+    rows get ids
     after the largest, in order of their keys.
     """
     new = collapse_batch(batch)
@@ -39,11 +41,22 @@ def upsert_entities(entities: DataFrame, batch: DataFrame) -> DataFrame:
     n = {c: F.col(f"b.{c}") for c in ("path", "tldr", "meta", "protected", "canonical_name", "now")}
     old = {c: F.col(f"e.{c}") for c in entities.columns}
     joined = entities.alias("e").join(new.alias("b"), key, "left")
-    merged = {c: F.coalesce(n[c], old[c]) for c in ("path", "tldr", "meta")} | {"protected": F.greatest(F.coalesce(old["protected"], F.lit(0)), F.coalesce(n["protected"], F.lit(0))), "canonical_name": F.coalesce(old["canonical_name"], n["canonical_name"])}
+    merged = {c: F.coalesce(n[c], old[c]) for c in ("path", "tldr", "meta")} | {
+        "protected": F.greatest(F.coalesce(old["protected"], F.lit(0)), F.coalesce(n["protected"], F.lit(0))),
+        "canonical_name": F.coalesce(old["canonical_name"], n["canonical_name"])
+    }
     changed = F.lit(False)
     for c, v in merged.items():
         changed = changed | ~v.eqNullSafe(old[c])
-    kept = joined.select(*[(merged[c] if c in merged else F.when(changed & n["now"].isNotNull(), n["now"]).otherwise(old[c]) if c == "updated_at" else F.col(c) if c in key else old[c]).alias(c) for c in entities.columns])
+    kept = joined.select(
+        *[
+            (
+                merged[c] if c in merged else F.when(changed & n["now"].isNotNull(), n["now"]).otherwise(old[c]) if c == "updated_at" else F.col(c)
+                if c in key else old[c]
+            ).alias(c)
+            for c in entities.columns
+        ]
+    )
     top = entities.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top")).withColumn("one", F.lit(1))
     fresh = new.join(entities.select(*key), key, "left_anti").withColumn("one", F.lit(1).cast("long"))
     fresh = running_totals(fresh, [], key, "one", total="_rank").join(F.broadcast(top), "one").withColumn("id", F.col("top") + F.col("_rank"))
@@ -59,10 +72,13 @@ def upsert_entities(entities: DataFrame, batch: DataFrame) -> DataFrame:
 def merge_links(links: DataFrame, batch: DataFrame, policy: str = "first") -> DataFrame:
     """Links after a batch of (linkage, concept_id, entity_id, weight, seq).
 
-    ``first``: what is there stays, of the batch the first comes in. ``update``: the last non-null weight wins. ``ignore``: new links come in without a weight.
+    ``first``: what is there stays, of the batch the first comes in. ``update``: the last non-null weight wins. ``ignore``: new links come in
+    without a weight.
     """
     new = batch.withColumn("linkage", canonical_verb(F.col("linkage")))
-    rows = links.select(*LINK_KEY, "weight", F.lit(-1).cast("long").alias("seq")).unionByName(new.select(*LINK_KEY, "weight", F.col("seq").cast("long").alias("seq")))
+    rows = links.select(*LINK_KEY, "weight", F.lit(-1).cast("long").alias("seq")).unionByName(
+        new.select(*LINK_KEY, "weight", F.col("seq").cast("long").alias("seq"))
+    )
     if policy == "update":
         weight = F.max_by("weight", F.when(F.col("weight").isNotNull(), F.col("seq")))
     elif policy == "ignore":
@@ -89,7 +105,9 @@ def derive_called_by(links: DataFrame) -> DataFrame:
     callee = defines.select(F.col("concept_id").alias("callee_concept"), F.col("entity_id").alias("callee"))
     caller = defines.select(F.col("concept_id").alias("caller_concept"), F.col("entity_id").alias("caller"))
     rows = calls.join(callee, "callee_concept").join(caller, "caller").filter("caller_concept != callee_concept")
-    return rows.select(F.lit("called_by").alias("linkage"), F.col("caller_concept").alias("concept_id"), F.col("callee").alias("entity_id")).distinct()
+    return rows.select(
+        F.lit("called_by").alias("linkage"), F.col("caller_concept").alias("concept_id"), F.col("callee").alias("entity_id")
+    ).distinct()
 
 
 # --- memories -----------------------------------------------------------------------------------------
@@ -112,12 +130,17 @@ def reclassify(memories: DataFrame, glob: str, mtype: str) -> DataFrame:
 
 
 def purge(graph: Graph, doomed: DataFrame, *sidecars: DataFrame) -> tuple:
-    """The graph and sidecars (entity_id) without the entities of doomed (id): their links at either end and their evidence go too. Protected ones stay."""
+    """The graph and sidecars (entity_id) without the entities of doomed (id): their links at either end and their evidence go too. Protected ones
+    stay."""
     ids = doomed.select("id").join(graph.entities.filter("protected = 1").select("id"), "id", "left_anti").distinct()
     at = lambda c: ids.withColumnRenamed("id", c)
     links = graph.links.join(at("entity_id"), "entity_id", "left_anti").join(at("concept_id"), "concept_id", "left_anti")
-    evidence = graph.evidence.join(at("entity_id"), "entity_id", "left_anti").join(at("concept_id"), "concept_id", "left_anti") if graph.evidence is not None else None
-    return replace(graph, entities=graph.entities.join(ids, "id", "left_anti"), links=links, evidence=evidence), *[s.join(at("entity_id"), "entity_id", "left_anti") for s in sidecars]
+    evidence = graph.evidence.join(at("entity_id"), "entity_id", "left_anti").join(
+        at("concept_id"), "concept_id", "left_anti"
+    ) if graph.evidence is not None else None
+    return replace(
+        graph, entities=graph.entities.join(ids, "id", "left_anti"), links=links, evidence=evidence
+    ), *[s.join(at("entity_id"), "entity_id", "left_anti") for s in sidecars]
 
 
 def vacuum(graph: Graph) -> Graph:
@@ -137,12 +160,15 @@ def set_flag(entities: DataFrame, chosen: DataFrame, flag: str, value: int) -> D
 
 
 def fold_duplicates(graph: Graph) -> Graph:
-    """A concept that shares partition and name with a memory gives it the links that it lacks (its own weights stay, self loops go), and is dropped."""
+    """A concept that shares partition and name with a memory gives it the links that it lacks (its own weights stay, self loops go), and is
+    dropped."""
     m = graph.entities.filter("kind = 'memory'").select("partition_id", "name", F.col("id").alias("to"))
     c = graph.entities.filter("kind = 'concept'").select("partition_id", "name", F.col("id").alias("from"))
     pairs = c.join(m, ["partition_id", "name"]).groupBy("from").agg(F.min("to").alias("to"))
     links = remap(graph.links.withColumn("_p", F.lit(0)), pairs)
-    links = links.filter("concept_id != entity_id").groupBy(*LINK_KEY).agg(F.min_by("weight", F.struct("_p", F.col("weight").isNull())).alias("weight"))
+    links = links.filter("concept_id != entity_id").groupBy(*LINK_KEY).agg(
+        F.min_by("weight", F.struct("_p", F.col("weight").isNull())).alias("weight")
+    )
     return replace(graph, entities=graph.entities.join(pairs.select(F.col("from").alias("id")), "id", "left_anti"), links=links)
 
 
@@ -151,12 +177,15 @@ def remap(links: DataFrame, pairs: DataFrame) -> DataFrame:
     out = links
     for end in ("concept_id", "entity_id"):
         p = pairs.select(F.col("from").alias(end), F.col("to").alias("_to"))
-        out = out.join(p, end, "left").withColumn("_p", F.when(F.col("_to").isNotNull(), 1).otherwise(F.col("_p"))).withColumn(end, F.coalesce("_to", F.col(end))).drop("_to")
+        out = out.join(p, end, "left").withColumn(
+            "_p", F.when(F.col("_to").isNotNull(), 1).otherwise(F.col("_p"))
+        ).withColumn(end, F.coalesce("_to", F.col(end))).drop("_to")
     return out
 
 
 def merge_partitions(graph: Graph, memories: DataFrame, src: int, dst: int) -> tuple[Graph, DataFrame]:
-    """Everything of partition src moved to dst: entities with a (kind, name) that dst has are replaced by dst's, links follow, a strictly longer body of src replaces dst's.
+    """Everything of partition src moved to dst: entities with a (kind, name) that dst has are replaced by dst's, links follow, a strictly longer
+    body of src replaces dst's.
 
     Links are made distinct on (linkage, concept, entity); the weight of dst's link stays.
     """
@@ -165,9 +194,15 @@ def merge_partitions(graph: Graph, memories: DataFrame, src: int, dst: int) -> t
     d = graph.entities.filter(F.col("partition_id") == dst).groupBy(*key).agg(F.min("id").alias("to"))
     pairs = s.join(d, key).select("from", "to")
     gone = pairs.select(F.col("from").alias("id"))
-    entities = graph.entities.join(gone, "id", "left_anti").withColumn("partition_id", F.when(F.col("partition_id") == src, dst).otherwise(F.col("partition_id")))
-    links = remap(graph.links.withColumn("_p", F.lit(0)), pairs).groupBy(*LINK_KEY).agg(F.min_by("weight", F.struct("_p", F.col("weight").isNull())).alias("weight"))
-    moved = memories.join(pairs.select(F.col("from").alias("entity_id"), "to"), "entity_id", "left").withColumn("_own", F.col("to").isNull()).withColumn("entity_id", F.coalesce("to", "entity_id")).drop("to")
+    entities = graph.entities.join(gone, "id", "left_anti").withColumn(
+        "partition_id", F.when(F.col("partition_id") == src, dst).otherwise(F.col("partition_id"))
+    )
+    links = remap(graph.links.withColumn("_p", F.lit(0)), pairs).groupBy(*LINK_KEY).agg(
+        F.min_by("weight", F.struct("_p", F.col("weight").isNull())).alias("weight")
+    )
+    moved = memories.join(
+        pairs.select(F.col("from").alias("entity_id"), "to"), "entity_id", "left"
+    ).withColumn("_own", F.col("to").isNull()).withColumn("entity_id", F.coalesce("to", "entity_id")).drop("to")
     longest = F.max_by("content", F.struct(F.length("content"), F.col("_own").cast("int")))
     own = lambda c: F.coalesce(F.max(F.when(F.col("_own"), F.col(c))), F.max(c)).alias(c)
     bodies = moved.groupBy("entity_id").agg(longest.alias("content"), *[own(c) for c in ("mtype", "tags", "metadata", "created_at", "updated_at")])
@@ -200,15 +235,22 @@ def link_audit(bits: DataFrame, entities: DataFrame) -> DataFrame:
     """(state, n): bits whose ends exist, lack the entity, lack the concept or lack both."""
     ids = entities.select("id").distinct()
     rows = bits.select("linkage", "concept_id", "entity_id").distinct()
-    rows = rows.join(ids.select(F.col("id").alias("entity_id"), F.lit(1).alias("e")), "entity_id", "left").join(ids.select(F.col("id").alias("concept_id"), F.lit(1).alias("c")), "concept_id", "left")
-    state = F.when(F.col("e").isNull() & F.col("c").isNull(), "both").when(F.col("e").isNull(), "entity").when(F.col("c").isNull(), "concept").otherwise("alive")
+    rows = rows.join(ids.select(F.col("id").alias("entity_id"), F.lit(1).alias("e")), "entity_id", "left").join(
+        ids.select(F.col("id").alias("concept_id"), F.lit(1).alias("c")), "concept_id", "left"
+    )
+    state = F.when(
+        F.col("e").isNull() & F.col("c").isNull(), "both"
+    ).when(F.col("e").isNull(), "entity").when(F.col("c").isNull(), "concept").otherwise("alive")
     return rows.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def promote_edges(pairs: DataFrame, nodes: DataFrame, threshold: float = 3.0, most: int = 200) -> DataFrame:
-    """(a, b, weight) in both directions: working-memory pairs of at least the threshold, the ``most`` of highest lift = weight / (freq_a * freq_b)."""
+    """(a, b, weight) in both directions: working-memory pairs of at least the threshold, the ``most`` of highest lift = weight / (freq_a *
+    freq_b)."""
     f = lambda s: nodes.select(F.col("name").alias(s), F.col("freq").alias(f"f{s}"))
-    best = pairs.filter(F.col("weight") >= threshold).join(f("a"), "a").join(f("b"), "b").withColumn("lift", F.col("weight") / (F.col("fa") * F.col("fb")))
+    best = pairs.filter(F.col("weight") >= threshold).join(f("a"), "a").join(f("b"), "b").withColumn(
+        "lift", F.col("weight") / (F.col("fa") * F.col("fb"))
+    )
     best = best.orderBy(F.desc("lift"), F.desc("weight"), "a", "b").limit(most).select("a", "b", "weight")
     return best.unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
@@ -217,12 +259,18 @@ def promote_edges(pairs: DataFrame, nodes: DataFrame, threshold: float = 3.0, mo
 
 
 def dump_log(graph: Graph, memories: DataFrame | None = None) -> DataFrame:
-    """The store as events (ts, phase, op, kind, name, linkage, c, e, weight, path, value): entities, then flags and bodies, then links, then evidence."""
+    """The store as events (ts, phase, op, kind, name, linkage, c, e, weight, path, value): entities, then flags and bodies, then links, then
+    evidence."""
     text = lambda c: F.col(c).cast("string")
-    columns = {"kind": "string", "name": "string", "linkage": "string", "c": "string", "e": "string", "weight": "double", "path": "string", "value": "string"}
+    columns = {
+        "kind": "string", "name": "string", "linkage": "string", "c": "string", "e": "string", "weight": "double", "path": "string", "value": "string"
+    }
 
     def events(df: DataFrame, phase: int, op: str, **given) -> DataFrame:
-        return df.select(F.col("updated_at").alias("ts"), F.lit(phase).alias("phase"), F.lit(op).alias("op"), *[(given[c] if c in given else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+        return df.select(
+            F.col("updated_at").alias("ts"), F.lit(phase).alias("phase"), F.lit(op).alias("op"),
+            *[(given[c] if c in given else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+        )
 
     e, ids = graph.entities, graph.entities.select(F.col("id").alias("entity_id"), F.col("kind").alias("e_kind"), "updated_at")
     out = events(e, 0, "entity", kind=F.col("kind"), name=text("id"), path=F.col("path"), value=F.col("tldr"))
@@ -246,7 +294,9 @@ def replay_entities(log: DataFrame) -> DataFrame:
     at = F.struct("ts", "line_no")
     own = F.col("op") == "entity"
     last = lambda c: F.max_by(c, F.when(own & F.col(c).isNotNull(), at)).alias(c)
-    out = rows.groupBy("kind", "name").agg(last("path"), last("value"), F.max(F.when(own, F.col("ts"))).alias("ts"), F.max(F.when(F.col("op") == "tombstone", F.col("ts"))).alias("dead"))
+    out = rows.groupBy("kind", "name").agg(
+        last("path"), last("value"), F.max(F.when(own, F.col("ts"))).alias("ts"), F.max(F.when(F.col("op") == "tombstone", F.col("ts"))).alias("dead")
+    )
     return out.filter("ts IS NOT NULL AND (dead IS NULL OR dead < ts)").drop("dead")
 
 

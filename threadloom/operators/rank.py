@@ -29,17 +29,21 @@ def tf_transform(tf: Column, how: str) -> Column:
 
 
 def content_rank(
-    links: DataFrame, term_concepts: DataFrame | Mapping, n_terms: int, kinds: DataFrame | None = None, limit: int | None = 50, k1: float = K1, b: float = B, coverage_alpha: float = COVERAGE_ALPHA,
+    links: DataFrame, term_concepts: DataFrame | Mapping, n_terms: int, kinds: DataFrame | None = None, limit: int | None = 50, k1: float = K1,
+    b: float = B, coverage_alpha: float = COVERAGE_ALPHA,
     tf: str = "raw", null_tf: float = 0.0, boosts: dict[str, float] | None = None, floor: float = DEFINITION_FLOOR,
     corpus: tuple[int, float] | None = None, coref: float = 0.0,
 ) -> DataFrame:
     """(entity_id, score): BM25 times coverage for a bag of terms.
 
     ``term_concepts`` has (term int from 0, concept_id): the concepts that each term denotes; a concept that several terms claim belongs to the
-    first. If the driver knows them, they may be a mapping of concept to term, which then is part of the scan's filter. A null weight counts as frequency ``null_tf`` and still counts for document frequency and coverage. ``kinds`` (entity_id) restricts
+    first. If the driver knows them, they may be a mapping of concept to term, which then is part of the scan's filter. A null weight counts as
+    frequency ``null_tf`` and still counts for document frequency and coverage. ``kinds`` (entity_id) restricts
     what is scored, not the corpus figures. ``boosts`` maps a linkage to the weight that an entity gains per idf of a term that it is linked to so
-    (``lead``). Entities that define a term's concept without mentioning one get ``floor``. No term that resolves gives an empty result. Links of an index carry
-    their entity's length as ``dl`` and come with its figures as ``corpus``, the number of documents and their mean length; then only the postings of the terms are read. With ``coref``, an entity
+    (``lead``). Entities that define a term's concept without mentioning one get ``floor``. No term that resolves gives an empty result. Links of
+    an index carry
+    their entity's length as ``dl`` and come with its figures as ``corpus``, the number of documents and their mean length; then only the postings
+    of the terms are read. With ``coref``, an entity
     whose pronouns mean a term's concept gains that weight per idf and pronoun, three pronouns at most, and is found even without a mention.
     """
     boosts = {"lead": LEAD_WEIGHT} if boosts is None else boosts
@@ -94,7 +98,7 @@ def content_rank(
     if kinds is not None:
         scored = scored.join(kinds, "entity_id", "left_semi")
     idf = [F.log((F.col("n_docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5) + 1.0) for i in range(n_terms)]
-    norm = k1 * (1.0 - b + b * F.coalesce("dl", "avgdl") / F.col("avgdl"))
+    norm = k1 * (1.0 - b + b * F.coalesce(F.try_divide(F.coalesce("dl", "avgdl"), F.col("avgdl")), F.lit(1.0)))  # links without weights have no lengths
     posting = lambda i: F.aggregate(f"tf{i}", F.lit(0.0), lambda acc, x: acc + F.coalesce(F.try_divide(x * (k1 + 1.0), x + norm), F.lit(0.0)))
     covered = _sum([F.col(f"has{i}") for i in range(n_terms)])
     score = _sum([idf[i] * posting(i) for i in range(n_terms)])
@@ -110,7 +114,8 @@ def content_rank(
 
 
 def surprising(links: DataFrame, tails: DataFrame | None = None) -> DataFrame:
-    """Links whose mentions weigh 1 - log2 of the share of mentions with at least that frequency: how surprising it is that a term comes that often. ``tails`` has a row for each frequency."""
+    """Links whose mentions weigh 1 - log2 of the share of mentions with at least that frequency: how surprising it is that a term comes that
+    often. ``tails`` has a row for each frequency."""
     tails = tf_tail(links) if tails is None else tails
     rows = links.join(F.broadcast(tails.select(F.col("tf").alias("weight"), "tail")), "weight", "left")  # as few rows as frequencies
     known = (F.col("linkage") == "mentions") & F.col("tail").isNotNull()
@@ -125,10 +130,14 @@ def term_rank_fusion(links: DataFrame, term_concepts: DataFrame, per_term: int =
     return fuse(ranked, k)
 
 
-def multi_rank(links: DataFrame, term_concepts: DataFrame, weights: dict[str, float], k1: float = K1, b: float = B, coverage_alpha: float = 0.0, together_alpha: float = 0.0) -> DataFrame:
+def multi_rank(
+    links: DataFrame, term_concepts: DataFrame, weights: dict[str, float], k1: float = K1, b: float = B, coverage_alpha: float = 0.0,
+    together_alpha: float = 0.0
+) -> DataFrame:
     """(entity_id, score): BM25 under each verb of ``weights``, added up by weight.
 
-    Concepts of one term count as one: their frequencies add up. Scores are times the share of terms found to the power of ``coverage_alpha``, and times the largest share that a
+    Concepts of one term count as one: their frequencies add up. Scores are times the share of terms found to the power of ``coverage_alpha``, and
+    times the largest share that a
     single verb finds to the power of ``together_alpha``. Every verb has its own document lengths, numbers and frequencies.
     """
     own = links.filter(F.col("linkage").isin(list(weights)) & F.col("weight").isNotNull())
@@ -143,7 +152,9 @@ def multi_rank(links: DataFrame, term_concepts: DataFrame, weights: dict[str, fl
     part = weight * idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
     units = first.agg(F.countDistinct("term").alias("units")).withColumn("one", F.lit(1))
     by_verb = rows.groupBy("entity_id", "linkage").agg(F.sum(part).alias("score"), F.collect_set("term").alias("terms"))  # as many as the query has
-    found = by_verb.groupBy("entity_id").agg(F.sum("score").alias("score"), F.size(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("all"), F.max(F.size("terms")).alias("most"))
+    found = by_verb.groupBy("entity_id").agg(
+        F.sum("score").alias("score"), F.size(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("all"), F.max(F.size("terms")).alias("most")
+    )
     out = found.withColumn("one", F.lit(1)).join(F.broadcast(units), "one")
     for share, alpha in (("all", coverage_alpha), ("most", together_alpha)):
         if alpha > 0:
@@ -153,7 +164,9 @@ def multi_rank(links: DataFrame, term_concepts: DataFrame, weights: dict[str, fl
 
 def corpus_stats(links: DataFrame) -> DataFrame:
     """(n_docs, avgdl) of the mention links."""
-    return links.filter("linkage = 'mentions'").agg(F.countDistinct("entity_id").alias("n_docs"), (F.sum("weight") / F.countDistinct("entity_id")).alias("avgdl"))
+    return links.filter("linkage = 'mentions'").agg(
+        F.countDistinct("entity_id").alias("n_docs"), (F.sum("weight") / F.countDistinct("entity_id")).alias("avgdl")
+    )
 
 
 def document_length(links: DataFrame) -> DataFrame:
@@ -180,18 +193,24 @@ def fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
 
 def as_ranks(scored: DataFrame, name: str) -> DataFrame:
     """(list, entity_id, rank) of an already limited ranking."""
-    return scored.select(F.lit(name).alias("list"), "entity_id", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "entity_id")) - 1).alias("rank"))
+    return scored.select(
+        F.lit(name).alias("list"), "entity_id", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "entity_id")) - 1).alias("rank")
+    )
 
 
 def top_weighted(links: DataFrame, linkage: str, concepts: DataFrame, k: int) -> DataFrame:
     """The k heaviest entities of a concept under a linkage; links without a weight don't count."""
-    rows = links.filter((F.col("linkage") == linkage) & F.col("weight").isNotNull()).join(concepts.select("concept_id").distinct(), "concept_id", "left_semi")
+    rows = links.filter((F.col("linkage") == linkage) & F.col("weight").isNotNull()).join(
+        concepts.select("concept_id").distinct(), "concept_id", "left_semi"
+    )
     return rows.groupBy("entity_id").agg(F.max("weight").alias("weight")).orderBy(F.desc("weight"), "entity_id").limit(k)
 
 
 def per_linkage_top(links: DataFrame, concepts: DataFrame, k: int) -> DataFrame:
     """(linkage, entity_id, weight, rank from 0): the first k entities of each linkage, heaviest first, then by id."""
-    rows = links.join(concepts.select("concept_id").distinct(), "concept_id", "left_semi").groupBy("linkage", "entity_id").agg(F.max("weight").alias("weight"))
+    rows = links.join(
+        concepts.select("concept_id").distinct(), "concept_id", "left_semi"
+    ).groupBy("linkage", "entity_id").agg(F.max("weight").alias("weight"))
     order = W.partitionBy("linkage").orderBy(F.desc_nulls_last("weight"), "entity_id")
     return rows.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
 
@@ -200,7 +219,9 @@ def fused_rows(links: DataFrame, concepts: DataFrame, linkages: Sequence[str], k
     """(entity_id, score, linkage): fusion of the linkages' rankings, each entity attributed to the first linkage in the given order."""
     ranked = per_linkage_top(links.filter(F.col("linkage").isin(list(linkages))), concepts, k)
     place = F.array_position(F.array(*[F.lit(x) for x in linkages]), F.col("linkage"))
-    return ranked.groupBy("entity_id").agg(F.sum(1.0 / (F.lit(float(RRF_K)) + F.col("rank"))).alias("score"), F.min_by("linkage", place).alias("linkage"))
+    return ranked.groupBy("entity_id").agg(
+        F.sum(1.0 / (F.lit(float(RRF_K)) + F.col("rank"))).alias("score"), F.min_by("linkage", place).alias("linkage")
+    )
 
 
 def feedback_terms(links: DataFrame, top: DataFrame, query_terms: Sequence[str], stop: Sequence[str], n: int = 5) -> DataFrame:
@@ -234,7 +255,8 @@ def hybrid(symbolic: DataFrame, dense: DataFrame, k: int = 10) -> DataFrame:
 
 
 def prefilter(links: DataFrame, concepts: DataFrame, population: int, least: int = 5, most_share: float = 0.5) -> DataFrame | None:
-    """Candidates of a dense search: all postings of the query's concepts; None (no filter) under ``least`` or above ``most_share`` of the population."""
+    """Candidates of a dense search: all postings of the query's concepts; None (no filter) under ``least`` or above ``most_share`` of the
+    population."""
     found = links.join(concepts.select("concept_id").distinct(), "concept_id", "left_semi").select("entity_id").distinct()
     n = found.count()
     return found if least <= n <= most_share * population else None
@@ -259,11 +281,17 @@ def cosine_of_distance(squared: Column) -> Column:
     return 1.0 - squared / 2.0
 
 
-def salience(name: Column, token_shape: Column, df: Column, max_tf: Column, pagerank: Column, degree: Column, n_docs: Column, code_fraction: Column) -> Column:
+def salience(
+    name: Column, token_shape: Column, df: Column, max_tf: Column, pagerank: Column, degree: Column, n_docs: Column, code_fraction: Column
+) -> Column:
     """Worth of showing a concept: centrality, specificity, shape of the token and a bonus for namespaced names."""
     plain = (token_shape == 0) & ~name.contains("/")
-    central = F.when(pagerank > 0, F.least(F.lit(2.5), 0.8 * F.log2(pagerank + 1.0))).otherwise(F.when(degree > 0, 2.0 + 0.1 * F.least(degree, F.lit(10))).otherwise(0.0))
-    central = F.when(plain, central * F.when(max_tf <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.log2(max_tf + 1.0) / F.log2(F.lit(9.0))))).otherwise(central)
+    central = F.when(pagerank > 0, F.least(F.lit(2.5), 0.8 * F.log2(pagerank + 1.0))).otherwise(
+        F.when(degree > 0, 2.0 + 0.1 * F.least(degree, F.lit(10))).otherwise(0.0)
+    )
+    central = F.when(
+        plain, central * F.when(max_tf <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.log2(max_tf + 1.0) / F.log2(F.lit(9.0))))
+    ).otherwise(central)
     weak = F.when(df > 0, 1.0 / F.log2(df + 2)).otherwise(0.3)
     true = F.when((n_docs > 0) & (df > 0), F.log2(F.greatest(F.lit(1.0), n_docs / df))).otherwise(0.0)
     cf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), code_fraction))
@@ -276,7 +304,14 @@ def retrieval_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFram
     relevant = qrels.filter("rel > 0")
     gain = lambda rel, rank: (F.pow(F.lit(2.0), rel) - 1) / F.log2(rank + 1.0)
     ideal = relevant.withColumn("best", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rel"), "doc_id")))
-    ideal = ideal.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("best") <= k, gain(F.col("rel"), F.col("best"))).otherwise(0.0)).alias("idcg"))
-    hits = ranked.join(relevant, ["qid", "doc_id"]).groupBy("qid").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("found"), F.sum(gain(F.col("rel"), F.col("rank"))).alias("dcg"))
+    ideal = ideal.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("best") <= k, gain(F.col("rel"), F.col("best"))).otherwise(0.0)).alias("idcg")
+    )
+    hits = ranked.join(relevant, ["qid", "doc_id"]).groupBy("qid").agg(
+        F.min("rank").alias("first"), F.count(F.lit(1)).alias("found"), F.sum(gain(F.col("rel"), F.col("rank"))).alias("dcg")
+    )
     rows = ideal.join(hits, "qid", "left")
-    return rows.select("qid", F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("found") / F.col("n"), F.lit(0.0)).alias("recall"), F.coalesce(F.col("dcg") / F.col("idcg"), F.lit(0.0)).alias("ndcg"))
+    return rows.select(
+        "qid", F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("found") / F.col("n"), F.lit(0.0)).alias("recall"),
+        F.coalesce(F.col("dcg") / F.col("idcg"), F.lit(0.0)).alias("ndcg")
+    )

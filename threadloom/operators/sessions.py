@@ -30,7 +30,8 @@ GAP_MS = 1_800_000
 STATE = T.StructType([T.StructField(n, T.ArrayType(T.LongType(), False)) for n in ("starts", "ends", "counts")])
 #: Micro-batches that a finite table is read in.
 SLICES = 3
-#: The stream's clock starts at 1970 and ends in 2262. Times keep their value; only the clock, by which timers expire, is shifted, and stands nearly still (1 ms a slice)
+#: The stream's clock starts at 1970 and ends in 2262. Times keep their value; only the clock, by which timers expire, is shifted, and stands nearly
+#: still (1 ms a slice)
 #: outside the years 1831 to 2109: sessions there are emitted later, those after 2109 at the end of input.
 LATEST_MS, SHIFT_MS, END_OF_INPUT_MS = 4_400_000_000_000, 4_500_000_000_000, 9_000_000_000_000
 
@@ -104,8 +105,12 @@ def sessions(events: DataFrame, keys: Sequence[str], time_ms: str, gap_ms: int =
     spark = events.sparkSession
     gap = int(gap_ms)
     named = [f"k{i}" for i in range(len(keys))]
-    rows = events.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, named)], F.col(f"`{time_ms}`").cast("long").alias("ms")).filter("ms IS NOT NULL")
-    slots = rows.groupBy(*named, F.floor(F.col("ms") / F.lit(max(gap, 1))).alias("slot")).agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count(F.lit(1)).alias("n_events"))
+    rows = events.select(
+        *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, named)], F.col(f"`{time_ms}`").cast("long").alias("ms")
+    ).filter("ms IS NOT NULL")
+    slots = rows.groupBy(*named, F.floor(F.col("ms") / F.lit(max(gap, 1))).alias("slot")).agg(
+        F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count(F.lit(1)).alias("n_events")
+    )
     slots = stage(slots, "session-slots")
     # Slices are cut between slots, so no event of a slice is older than the watermark of the one before.
     cuts = slots.agg(F.percentile_approx("slot", [i / slices for i in range(1, slices)], 1000)).first()[0] or [] if slices > 1 else []
@@ -114,7 +119,9 @@ def sessions(events: DataFrame, keys: Sequence[str], time_ms: str, gap_ms: int =
     clock = F.least(F.greatest(F.col("end_ms"), -latest), latest) + SHIFT_MS + F.when(F.abs("end_ms") > latest, F.col("slice")).otherwise(0)
     fields = [T.StructField(n, rows.schema[n].dataType) for n in named] + [T.StructField(n, T.LongType()) for n in ("start_ms", "end_ms", "n_events")]
     last, none = F.lit(1 << 61).cast("long"), F.lit(0).cast("long")
-    end = spark.range(1).select(*[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in named], last.alias("start_ms"), last.alias("end_ms"), none.alias("n_events"))
+    end = spark.range(1).select(
+        *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in named], last.alias("start_ms"), last.alias("end_ms"), none.alias("n_events")
+    )
     end = end.withColumns({"slice": F.lit(len(cuts)), "event_time": F.timestamp_millis(F.lit(END_OF_INPUT_MS).cast("long"))})
     updates, inbox, checkpoint, out = (new_path(spark, x) for x in ("session-updates", "session-inbox", "session-state", "sessions"))
     timed = slots.withColumn("slice", piece).withColumn("event_time", F.timestamp_millis(clock)).drop("slot")
@@ -125,8 +132,12 @@ def sessions(events: DataFrame, keys: Sequence[str], time_ms: str, gap_ms: int =
         # The next slice is moved into the folder that the stream watches, and the stream goes on from its checkpoint.
         if not move_folder(spark, f"{updates}/slice={i}", f"{inbox}/part-{i}"):
             continue
-        stream = sessions_stream(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(inbox), named, gap, shift_ms=SHIFT_MS).filter("n_events > 0")
-        query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
+        stream = sessions_stream(
+            spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(inbox), named, gap, shift_ms=SHIFT_MS
+        ).filter("n_events > 0")
+        query = stream.writeStream.format("parquet").option(
+            "checkpointLocation", checkpoint
+        ).outputMode("append").trigger(availableNow=True).start(out)
         query.awaitTermination()
     done = spark.read.schema(T.StructType(fields)).parquet(out)
     return done.select(*[F.col(n).alias(k) for n, k in zip(named, keys)], "start_ms", "end_ms", "n_events")

@@ -16,7 +16,8 @@ from threadloom.staging import new_path
 
 
 class DeferredLinks:
-    """Links gathered from many writers and merged in one pass: ``with DeferredLinks(links) as d: d.add(batch)``, then ``d.links``. Nothing is merged if the block fails."""
+    """Links gathered from many writers and merged in one pass: ``with DeferredLinks(links) as d: d.add(batch)``, then ``d.links``. Nothing is
+    merged if the block fails."""
 
     def __init__(self, links: DataFrame, policy: str = "first") -> None:
         self.links, self.policy = links, policy
@@ -49,20 +50,35 @@ def bulk_write(spark: SparkSession, batches: Sequence[pa.RecordBatch], path: str
 
 
 def add_memories(graph: Graph, memories: DataFrame, batch: DataFrame) -> tuple[Graph, DataFrame]:
-    """The store with memories (partition_id, name, content, mtype, tags, metadata, now, seq) added; of an existing name, what is given replaces what was there."""
-    named = batch.select("partition_id", F.lit("memory").alias("kind"), "name", *[F.lit(None).cast("string").alias(c) for c in ("path", "tldr", "meta")], F.lit(0).alias("protected"), F.lit(None).cast("string").alias("canonical_name"), "now", "seq")
+    """The store with memories (partition_id, name, content, mtype, tags, metadata, now, seq) added; of an existing name, what is given replaces
+    what was there."""
+    named = batch.select(
+        "partition_id", F.lit("memory").alias("kind"), "name", *[F.lit(None).cast("string").alias(c) for c in ("path", "tldr", "meta")],
+        F.lit(0).alias("protected"), F.lit(None).cast("string").alias("canonical_name"), "now", "seq"
+    )
     entities = mutate.upsert_entities(graph.entities, named)
     ids = entities.filter("kind = 'memory'").groupBy("partition_id", "name").agg(F.min("id").alias("entity_id"))
-    last = batch.groupBy("partition_id", "name").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("content", "mtype", "tags", "metadata")], F.max("now").alias("now"))
-    new = ids.join(last, ["partition_id", "name"]).select("entity_id", *[F.col(c).alias(f"n_{c}") for c in ("content", "mtype", "tags", "metadata", "now")])
+    last = batch.groupBy("partition_id", "name").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("content", "mtype", "tags", "metadata")],
+        F.max("now").alias("now")
+    )
+    new = ids.join(last, ["partition_id", "name"]).select(
+        "entity_id", *[F.col(c).alias(f"n_{c}") for c in ("content", "mtype", "tags", "metadata", "now")]
+    )
     both = memories.withColumn("_old", F.lit(1)).join(new, "entity_id", "full")
     cols = [F.coalesce(f"n_{c}", c).alias(c) for c in ("content", "mtype", "tags", "metadata")]
-    return replace(graph, entities=entities), both.select("entity_id", *cols, F.coalesce("created_at", "n_now").alias("created_at"), F.coalesce("n_now", "updated_at").alias("updated_at"))
+    return replace(graph, entities=entities), both.select(
+        "entity_id", *cols, F.coalesce("created_at", "n_now").alias("created_at"), F.coalesce("n_now", "updated_at").alias("updated_at")
+    )
 
 
-def forgettable(graph: Graph, memories: DataFrame, name: str = "*", mtype: str = "*", tag: str | None = None, older_than: float | None = None) -> DataFrame:
+def forgettable(
+    graph: Graph, memories: DataFrame, name: str = "*", mtype: str = "*", tag: str | None = None, older_than: float | None = None
+) -> DataFrame:
     """(id, name, mtype): memories that globs of name and type, a tag and an age find. Protected ones aren't among them."""
-    m = graph.entities.filter("kind = 'memory' AND coalesce(protected, 0) = 0").select("id", "name").join(memories.withColumnRenamed("entity_id", "id"), "id")
+    m = graph.entities.filter("kind = 'memory' AND coalesce(protected, 0) = 0").select("id", "name").join(
+        memories.withColumnRenamed("entity_id", "id"), "id"
+    )
     m = m.filter(F.col("name").rlike(glob_pattern(name)) & F.coalesce(F.col("mtype"), F.lit("")).rlike(glob_pattern(mtype)))
     if tag is not None:
         m = m.filter(F.coalesce(F.array_contains(F.from_json("tags", "array<string>"), tag), F.lit(False)))
@@ -95,11 +111,14 @@ def repair(bits: DataFrame, entities: DataFrame) -> DataFrame:
     """Distinct links whose two ends exist, from bits (linkage, concept_id, entity_id) of any spelling: what an index is built from again."""
     ids = entities.select("id").distinct()
     rows = bits.select(F.translate(F.lower("linkage"), "_", "-").alias("linkage"), "concept_id", "entity_id").distinct()
-    return rows.join(ids.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").join(ids.withColumnRenamed("id", "concept_id"), "concept_id", "left_semi").select(*mutate.LINK_KEY)
+    return rows.join(ids.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").join(
+        ids.withColumnRenamed("id", "concept_id"), "concept_id", "left_semi"
+    ).select(*mutate.LINK_KEY)
 
 
 def snapshot(tables: dict[str, DataFrame], folder: str, version: int, rows_per_file: int = 5_000_000) -> dict[str, DataFrame]:
-    """Tables written below ``folder/v<version>``, compacted into files of up to rows_per_file rows and sorted for pruning, as read back. Versions aren't overwritten."""
+    """Tables written below ``folder/v<version>``, compacted into files of up to rows_per_file rows and sorted for pruning, as read back. Versions
+    aren't overwritten."""
     out = {}
     for name, df in tables.items():
         keys = [k for k in ("linkage", "concept_id", "partition_id", "kind", "id", "entity_id") if k in df.columns][:2]

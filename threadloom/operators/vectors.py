@@ -25,7 +25,9 @@ def normalized(col: Column) -> Column:
 
 
 def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d
+    )
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,7 +41,8 @@ def read_vectors(stored: DataFrame, ids: DataFrame | None = None, kind: str | No
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, ids: DataFrame | None = None) -> DataFrame:
-    """(id, distance): the k vectors nearest to one query by squared Euclidean distance, exactly; ``ids`` restricts the search, and an empty one finds nothing."""
+    """(id, distance): the k vectors nearest to one query by squared Euclidean distance, exactly; ``ids`` restricts the search, and an empty one
+    finds nothing."""
     rows = vectors.join(ids.select("id").distinct(), "id", "left_semi") if ids is not None else vectors
     bad = rows.filter(F.size("vector") != len(query)).limit(1).count()
     if bad:
@@ -81,8 +84,10 @@ def _blocks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = -2.0, size: int = BLOCK) -> DataFrame:
     """(id, other, cosine): for each query the k vectors of highest cosine above the threshold, itself left out; ties go to the smaller id. Exact.
 
-    Every block of queries is sent to every block of vectors, by the number of that block, and meets it in a matrix product; only the k best of a block go on. Work and traffic grow
-    with the number of queries times that of blocks, which suits a stated set of queries; for all rows against all, ``knn_cells`` looks at likely blocks only.
+    Every block of queries is sent to every block of vectors, by the number of that block, and meets it in a matrix product; only the k best of a
+    block go on. Work and traffic grow
+    with the number of queries times that of blocks, which suits a stated set of queries; for all rows against all, ``knn_cells`` looks at likely
+    blocks only.
     """
     nq, nv = (max(1, -(-x.count() // size)) for x in (queries, vectors))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -103,10 +108,14 @@ class Cells:
     probes: int
 
 
-def fit_cells(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE, rounds: int = 12, seed: int = 0, k: int = 10, recall: float = RECALL) -> Cells:
-    """Cells by spherical k-means on a bounded sample of ``sample`` vectors at most; about as many as the square root of the number of vectors, up to ``MOST_CELLS``.
+def fit_cells(
+    vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE, rounds: int = 12, seed: int = 0, k: int = 10, recall: float = RECALL
+) -> Cells:
+    """Cells by spherical k-means on a bounded sample of ``sample`` vectors at most; about as many as the square root of the number of vectors, up
+    to ``MOST_CELLS``.
 
-    For up to ``ASKED`` vectors of the sample their k nearest in the sample are found, and as many cells are looked into as hold the share ``recall`` of these. In the whole
+    For up to ``ASKED`` vectors of the sample their k nearest in the sample are found, and as many cells are looked into as hold the share
+    ``recall`` of these. In the whole
     collection, which is denser, neighbours are nearer. Vectors without any structure need most cells, clustered ones few.
     """
     n = vectors.count()
@@ -153,9 +162,11 @@ def _in_cells(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
 
 
 def knn_cells(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = -2.0, cells: Cells | None = None, size: int = BLOCK) -> DataFrame:
-    """The same as ``knn_join`` within inverted lists: every vector lies in the cell of its nearest centre, and a query looks into as many cells as ``fit_cells`` found to be needed.
+    """The same as ``knn_join`` within inverted lists: every vector lies in the cell of its nearest centre, and a query looks into as many cells
+    as ``fit_cells`` found to be needed.
 
-    Approximate: a neighbour in another cell is missed. All rows are indexed; only the cells are fitted on a sample. A cell with more than ``size`` vectors is several blocks.
+    Approximate: a neighbour in another cell is missed. All rows are indexed; only the cells are fitted on a sample. A cell with more than
+    ``size`` vectors is several blocks.
     """
     cells = fit_cells(vectors, k=k) if cells is None else cells
     lists = stage(_in_cells(vectors, cells.centres, 1), "cells")
@@ -199,7 +210,9 @@ BRIDGE_FROM = 0.35
 
 def concept_norms(sets: DataFrame) -> DataFrame:
     """(entity_id, concepts, norm): the documents' concepts with idf, as one row each."""
-    return sets.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("concept", "idf"))).alias("concepts"), F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    return sets.groupBy("entity_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("concept", "idf"))).alias("concepts"), F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm")
+    )
 
 
 def cosine_of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -214,8 +227,10 @@ def cosine_of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def concept_cosine(sets: DataFrame, least: float = BRIDGE_FROM) -> DataFrame:
     """(a, b, cosine), a < b: all pairs of documents whose similarity by the squared idf of shared concepts is above ``least``, which is above 0.
 
-    Concepts are ordered from rare to frequent. What is left of a document after its prefix is so short that it can't bring the similarity to ``least`` by itself; so the first concept
-    that two similar documents share lies in both their prefixes, where they meet. No pair is lost, frequent concepts hardly ever are in a prefix, and the candidates' similarity is exact.
+    Concepts are ordered from rare to frequent. What is left of a document after its prefix is so short that it can't bring the similarity to
+    ``least`` by itself; so the first concept
+    that two similar documents share lies in both their prefixes, where they meet. No pair is lost, frequent concepts hardly ever are in a prefix,
+    and the candidates' similarity is exact.
     """
     if least <= 0:
         raise ValueError("the least similarity must be above 0")
@@ -226,7 +241,9 @@ def concept_cosine(sets: DataFrame, least: float = BRIDGE_FROM) -> DataFrame:
     after = F.transform("cs", lambda x, i: F.aggregate(F.slice(F.col("cs"), i + 1, F.size("cs")), F.lit(0.0), lambda t, y: t + y["i"] * y["i"]))
     bound = F.col("norm") * F.col("norm") * (least * least * (1 - 1e-9))
     prefix = F.filter("cs", lambda x, i: F.get(F.col("after"), i) >= F.col("bound"))
-    rows = rows.withColumns({"after": after, "bound": bound}).select("entity_id", F.explode(F.transform(prefix, lambda x: x["concept"])).alias("concept"))
+    rows = rows.withColumns({"after": after, "bound": bound}).select(
+        "entity_id", F.explode(F.transform(prefix, lambda x: x["concept"])).alias("concept")
+    )
     a, b = (rows.select("concept", F.col("entity_id").alias(s)) for s in "ab")
     pairs = a.join(b, "concept").filter("a < b").select("a", "b").distinct()
     return cosine_of_pairs(pairs, sets).filter(F.col("cosine") > least)
@@ -236,14 +253,18 @@ def fuse_edges(dense: DataFrame, sparse: DataFrame, beta: float = 1.0, gamma: fl
     """(a, b, weight): dense edges times 1 + beta * s; pairs without one become bridges of gamma * s where s is at least ``bridge_from``."""
     rows = dense.join(sparse.select("a", "b", F.col("cosine").alias("s")), ["a", "b"], "full")
     s = F.coalesce("s", F.lit(0.0))
-    return rows.select("a", "b", F.when(F.col("weight").isNotNull(), F.col("weight") * (1 + beta * s)).when(s >= bridge_from, gamma * s).alias("weight")).filter("weight IS NOT NULL")
+    return rows.select(
+        "a", "b", F.when(F.col("weight").isNotNull(), F.col("weight") * (1 + beta * s)).when(s >= bridge_from, gamma * s).alias("weight")
+    ).filter("weight IS NOT NULL")
 
 
 def cluster_labels(members: DataFrame, sets: DataFrame, n_docs: int, least: int = 2) -> DataFrame:
     """(cluster, label, lift): each cluster's concept of highest lift among those that at least ``least`` of its members have."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     df = sets.groupBy("concept").agg(F.count(F.lit(1)).alias("df"))
-    inside = sets.join(members, "entity_id").groupBy("cluster", "concept").agg(F.count(F.lit(1)).alias("df_in"), F.max("idf").alias("idf")).filter(F.col("df_in") >= least)
+    inside = sets.join(members, "entity_id").groupBy("cluster", "concept").agg(
+        F.count(F.lit(1)).alias("df_in"), F.max("idf").alias("idf")
+    ).filter(F.col("df_in") >= least)
     rows = inside.join(df, "concept").join(sizes, "cluster").withColumn("lift", (F.col("df_in") / F.col("size")) / (F.col("df") / F.lit(n_docs)))
     order = W.partitionBy("cluster").orderBy(F.desc(F.round("lift", 9)), F.desc("df_in"), F.desc(F.round("idf", 9)), "concept")
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("cluster", F.col("concept").alias("label"), "lift")
@@ -251,8 +272,12 @@ def cluster_labels(members: DataFrame, sets: DataFrame, n_docs: int, least: int
 
 def crosscutting(members: DataFrame, sets: DataFrame, k: int = 12) -> DataFrame:
     """(concept, score): concepts of several clusters by df * idf / (spread - 1)."""
-    rows = sets.join(members, "entity_id").groupBy("concept").agg(F.count(F.lit(1)).alias("df"), F.max("idf").alias("idf"), F.countDistinct("cluster").alias("spread")).filter("spread > 1")
-    return rows.select("concept", (F.col("df") * F.col("idf") / (F.col("spread") - 1)).alias("score")).orderBy(F.desc(F.round("score", 9)), "concept").limit(k)
+    rows = sets.join(members, "entity_id").groupBy("concept").agg(
+        F.count(F.lit(1)).alias("df"), F.max("idf").alias("idf"), F.countDistinct("cluster").alias("spread")
+    ).filter("spread > 1")
+    return rows.select(
+        "concept", (F.col("df") * F.col("idf") / (F.col("spread") - 1)).alias("score")
+    ).orderBy(F.desc(F.round("score", 9)), "concept").limit(k)
 
 
 # --- coverage reports ----------------------------------------------------------------------------------
@@ -261,13 +286,17 @@ def crosscutting(members: DataFrame, sets: DataFrame, k: int = 12) -> DataFrame:
 def corroborated_concepts(links: DataFrame, entities: DataFrame, members: int = 3, days: int = 3) -> DataFrame:
     """(concept_id, members, days): concepts that memories of several days hold."""
     m = entities.filter("kind = 'memory'").select(F.col("id").alias("entity_id"), F.floor(F.col("created_at") / 86400).alias("day"))
-    return links.join(m, "entity_id").groupBy("concept_id").agg(F.countDistinct("entity_id").alias("members"), F.countDistinct("day").alias("days")).filter((F.col("members") >= members) & (F.col("days") >= days))
+    return links.join(m, "entity_id").groupBy("concept_id").agg(
+        F.countDistinct("entity_id").alias("members"), F.countDistinct("day").alias("days")
+    ).filter((F.col("members") >= members) & (F.col("days") >= days))
 
 
 def singletons(links: DataFrame, entities: DataFrame) -> DataFrame:
     """(concept_id, entity_id): concepts that a single memory holds."""
     m = entities.filter("kind = 'memory'").select(F.col("id").alias("entity_id"))
-    return links.join(m, "entity_id").groupBy("concept_id").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id")).filter("n = 1").drop("n")
+    return links.join(m, "entity_id").groupBy("concept_id").agg(
+        F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id")
+    ).filter("n = 1").drop("n")
 
 
 def contradicted(links: DataFrame) -> DataFrame:
@@ -279,17 +308,23 @@ def contradicted(links: DataFrame) -> DataFrame:
 
 def orphan_concepts(links: DataFrame, least: int = 4) -> DataFrame:
     """(concept_id, mentions): concepts mentioned at least ``least`` times that nothing defines or leads with."""
-    seen = links.filter("linkage = 'mentions'").groupBy("concept_id").agg(F.countDistinct("entity_id").alias("mentions")).filter(F.col("mentions") >= least)
+    seen = links.filter("linkage = 'mentions'").groupBy("concept_id").agg(
+        F.countDistinct("entity_id").alias("mentions")
+    ).filter(F.col("mentions") >= least)
     return seen.join(links.filter(F.col("linkage").isin("defines", "lead")).select("concept_id"), "concept_id", "left_anti")
 
 
 # --- documents compiled into subjects ---------------------------------------------------------------------
 
 
-def compile_subjects(vectors: DataFrame, doc_concepts: DataFrame, k: int = 8, percentile: float = 0.90, least: int = 2, beta: float = 1.0, gamma: float = 0.5, bridge_from: float = BRIDGE_FROM, signal: str = "fused") -> tuple[DataFrame, DataFrame]:
+def compile_subjects(
+    vectors: DataFrame, doc_concepts: DataFrame, k: int = 8, percentile: float = 0.90, least: int = 2, beta: float = 1.0, gamma: float = 0.5,
+    bridge_from: float = BRIDGE_FROM, signal: str = "fused"
+) -> tuple[DataFrame, DataFrame]:
     """Clusters of documents, (entity_id, cluster), and their labels, (cluster, label, lift).
 
-    Dense edges join mutual neighbours above a percentile of the neighbours' cosines; concept edges come from the idf-weighted sets; ``signal`` takes ``dense``, ``concept`` or
+    Dense edges join mutual neighbours above a percentile of the neighbours' cosines; concept edges come from the idf-weighted sets; ``signal``
+    takes ``dense``, ``concept`` or
     both ``fused``. Communities of the edges are the clusters; documents in none are left out.
     """
     sets = stage(informative_concepts(doc_concepts), "concept-sets")
@@ -305,7 +340,9 @@ def compile_subjects(vectors: DataFrame, doc_concepts: DataFrame, k: int = 8, pe
     if signal != "dense":
         sparse = concept_cosine(sets, bridge_from).unionByName(cosine_of_pairs(dense, sets)).dropDuplicates(["a", "b"])
     edges = stage(fuse_edges(dense, sparse, beta, gamma, bridge_from), "subject-edges")
-    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
+    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(
+        edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight")
+    )
     members = stage(communities(both, least=least).select(F.col("id").alias("entity_id"), F.col("label").alias("cluster")), "subjects")
     n = sets.select("entity_id").distinct().count()
     return members, cluster_labels(members, sets, max(n, 1), least)
@@ -321,4 +358,7 @@ def mutual_of(near: DataFrame, threshold: float) -> DataFrame:
 def subject_links(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(linkage, concept, entity_id): members as ``part-of`` their subject, named by its label (``subject-<id>`` without one)."""
     named = members.join(labels.select("cluster", "label"), "cluster", "left")
-    return named.select(F.lit("part-of").alias("linkage"), F.concat(F.lit("subject/"), F.coalesce("label", F.concat(F.lit("subject-"), F.col("cluster").cast("string")))).alias("concept"), "entity_id")
+    return named.select(
+        F.lit("part-of").alias("linkage"),
+        F.concat(F.lit("subject/"), F.coalesce("label", F.concat(F.lit("subject-"), F.col("cluster").cast("string")))).alias("concept"), "entity_id"
+    )

@@ -20,13 +20,17 @@ MOST_LOCAL_EDGES = 5_000_000
 
 
 def adjacency(links: DataFrame, nodes: DataFrame | None = None, link_weight: float = 2.0, mentions: str = "flat") -> DataFrame:
-    """(src, dst, weight), undirected: a mention weighs 1 (``flat``), its weight (``weighted``) or both added; other links ``link_weight`` times their absolute weight (null is 1).
+    """(src, dst, weight), undirected: a mention weighs 1 (``flat``), its weight (``weighted``) or both added; other links ``link_weight`` times
+    their absolute weight (null is 1).
 
     Parallel edges add up; self loops are dropped; with ``nodes`` (id), both ends must be among them.
     """
     w = F.abs(F.coalesce("weight", F.lit(1.0)))
     mention = {"flat": F.lit(1.0), "weighted": w, "both": 1.0 + w}[mentions]
-    edges = links.filter("concept_id != entity_id").select(F.col("concept_id").alias("src"), F.col("entity_id").alias("dst"), F.when(F.col("linkage") == "mentions", mention).otherwise(link_weight * w).alias("weight"))
+    edges = links.filter("concept_id != entity_id").select(
+        F.col("concept_id").alias("src"), F.col("entity_id").alias("dst"),
+        F.when(F.col("linkage") == "mentions", mention).otherwise(link_weight * w).alias("weight")
+    )
     if nodes is not None:
         own = nodes.select("id").distinct()
         edges = edges.join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")
@@ -34,11 +38,16 @@ def adjacency(links: DataFrame, nodes: DataFrame | None = None, link_weight: flo
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def pagerank(edges: DataFrame, rounds: int = MOST_ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE, restart: DataFrame | None = None, every: int = 5) -> DataFrame:
+def pagerank(
+    edges: DataFrame, rounds: int = MOST_ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE, restart: DataFrame | None = None,
+    every: int = 5
+) -> DataFrame:
     """(id, score): weighted PageRank with dangling mass spread again, times the number of nodes (mean 1).
 
-    ``restart`` (id, weight) makes it personalised: the walk restarts there, and scores are probabilities. Edges and transition shares are staged once,
-    the ranks every few rounds, so that the plan stays short and lost executors cost little; it stops when the ranks move less than ``tolerance`` in total.
+    ``restart`` (id, weight) makes it personalised: the walk restarts there, and scores are probabilities. Edges and transition shares are staged
+    once,
+    the ranks every few rounds, so that the plan stays short and lost executors cost little; it stops when the ranks move less than ``tolerance``
+    in total.
     """
     total = edges.groupBy(F.col("src").alias("s")).agg(F.sum("weight").alias("out"))
     moves = stage(edges.join(total, F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "moves")
@@ -74,7 +83,9 @@ def pagerank(edges: DataFrame, rounds: int = MOST_ROUNDS, damping: float = DAMPI
     return ranks.withColumn("score", F.col("score") * n) if restart is None else ranks
 
 
-def push(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, seeds: list[int], alpha: float = 0.15, epsilon: float = 1e-4, most: int = 200_000) -> dict[int, float]:
+def push(
+    src: np.ndarray, dst: np.ndarray, weight: np.ndarray, seeds: list[int], alpha: float = 0.15, epsilon: float = 1e-4, most: int = 200_000
+) -> dict[int, float]:
     """Approximate personalised PageRank by lazy local pushes, first in first out; deterministic for edges in a given order.
 
     A node is due while its rest exceeds epsilon times its weighted degree. The mass of seeds without edges stays where it is.
@@ -85,11 +96,15 @@ def push(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, seeds: list[int],
     return push_known(near, {u: sum(w for _, w in x) for u, x in near.items()}, seeds, alpha, epsilon, most)[0]
 
 
-def push_known(near: dict[int, list[tuple[int, float]]], degrees: dict[int, float], seeds: list[int], alpha: float, epsilon: float, most: int) -> tuple[dict[int, float], set[int]]:
+def push_known(
+    near: dict[int, list[tuple[int, float]]], degrees: dict[int, float], seeds: list[int] | dict[int, float], alpha: float, epsilon: float, most: int
+) -> tuple[dict[int, float], set[int]]:
     """What is settled by pushes over the nodes whose edges are known, and the nodes that are due but aren't known. ``degrees`` are weighted."""
+    given = list(seeds.items()) if isinstance(seeds, dict) else [(s, 1.0) for s in seeds]
+    mass = sum(m for _, m in given) or 1.0
     rest: dict[int, float] = {}
-    for s in seeds:
-        rest[s] = rest.get(s, 0.0) + 1.0 / len(seeds)
+    for s, m in given:
+        rest[s] = rest.get(s, 0.0) + m / mass
     exceeds = lambda u: degrees.get(u, 0.0) > 0 and rest[u] > epsilon * degrees[u]
     settled: dict[int, float] = {}
     unknown: set[int] = set()
@@ -102,9 +117,9 @@ def push_known(near: dict[int, list[tuple[int, float]]], degrees: dict[int, floa
             unknown.add(u)
             continue
         done += 1
-        mass = rest[u]
-        settled[u] = settled.get(u, 0.0) + alpha * mass
-        rest[u] = (1 - alpha) * mass / 2
+        held = rest[u]
+        settled[u] = settled.get(u, 0.0) + alpha * held
+        rest[u] = (1 - alpha) * held / 2
         share = rest[u] / degrees[u]
         for v, w in near[u]:
             rest[v] = rest.get(v, 0.0) + share * w
@@ -117,11 +132,13 @@ def push_known(near: dict[int, list[tuple[int, float]]], degrees: dict[int, floa
     return settled, unknown
 
 
-def ppr_push(edges: DataFrame, seeds: list[int], alpha: float = 0.15, epsilon: float = 1e-4, most: int = 200_000) -> DataFrame:
-    """(id, score) by pushes from the seeds over all edges, with the result of ``push``.
+def ppr_push(edges: DataFrame, seeds: list[int] | dict[int, float], alpha: float = 0.15, epsilon: float = 1e-4, most: int = 200_000) -> DataFrame:
+    """(id, score) by pushes from the seeds, equal or with masses, over all edges, with the result of ``push``.
 
-    A push settles alpha * epsilon for each unit of its node's weighted degree at least, so that the nodes pushed have edges of a weight of 1 / (alpha * epsilon)
-    together, whatever the size of the graph. Only these nodes' edges are fetched, in rounds: pushes run over what is known, nodes that are due but not known are fetched, and
+    A push settles alpha * epsilon for each unit of its node's weighted degree at least, so that the nodes pushed have edges of a weight of 1 /
+    (alpha * epsilon)
+    together, whatever the size of the graph. Only these nodes' edges are fetched, in rounds: pushes run over what is known, nodes that are due
+    but not known are fetched, and
     the pushes start again. More than ``MOST_LOCAL_EDGES`` (five million) edges are refused: ``pagerank`` with ``restart`` is the distributed walk.
     """
     spark = edges.sparkSession
@@ -132,7 +149,9 @@ def ppr_push(edges: DataFrame, seeds: list[int], alpha: float = 0.15, epsilon: f
     settled, due, held = {}, set(seeds), 0
     while due:
         wanted = spark.createDataFrame([(s,) for s in sorted(due)], "src long")
-        found = edges.join(wanted, "src").join(degree, F.col("dst") == F.col("id"), "left").select("src", "dst", "weight", F.coalesce("degree", F.lit(0.0)).alias("degree")).limit(MOST_LOCAL_EDGES - held + 1).collect()
+        found = edges.join(wanted, "src").join(degree, F.col("dst") == F.col("id"), "left").select(
+            "src", "dst", "weight", F.coalesce("degree", F.lit(0.0)).alias("degree")
+        ).limit(MOST_LOCAL_EDGES - held + 1).collect()
         held += len(found)
         if held > MOST_LOCAL_EDGES:
             raise ValueError(f"more than {MOST_LOCAL_EDGES} edges around the seeds")
@@ -145,8 +164,12 @@ def ppr_push(edges: DataFrame, seeds: list[int], alpha: float = 0.15, epsilon: f
     return spark.createDataFrame(sorted(settled.items()), "id long, score double")
 
 
-def related(links: DataFrame, entities: DataFrame, seeds: list[int], k: int = 10, kinds: tuple[str, ...] | None = ("concept",), with_seeds: bool = True, alpha: float = 0.15, epsilon: float = 1e-4) -> DataFrame:
-    """(id, name, kind, score, seed): the k nodes that a walk from the seeds visits most, of the kinds asked for; cards of sessions and digests are left out."""
+def related(
+    links: DataFrame, entities: DataFrame, seeds: list[int], k: int = 10, kinds: tuple[str, ...] | None = ("concept",), with_seeds: bool = True,
+    alpha: float = 0.15, epsilon: float = 1e-4
+) -> DataFrame:
+    """(id, name, kind, score, seed): the k nodes that a walk from the seeds visits most, of the kinds asked for; cards of sessions and digests
+    are left out."""
     edges = adjacency(links, entities)
     found = ppr_push(edges, seeds, alpha, epsilon)
     names = entities.filter(~F.coalesce(F.col("name").rlike(OPERATIONAL), F.lit(False))).select("id", "name", "kind").dropDuplicates(["id"])
@@ -198,14 +221,17 @@ def degree_walk(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float
 def corroborated(edges: DataFrame, core: DataFrame, least: int = 2) -> DataFrame:
     """(id, support): nodes outside the core that at least ``least`` of its members reach."""
     own = core.select(F.col("id").alias("src")).distinct()
-    support = edges.join(own, "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("support")).filter(F.col("support") >= least)
+    support = edges.join(own, "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(
+        F.countDistinct("src").alias("support")
+    ).filter(F.col("support") >= least)
     return support.join(core.select("id").distinct(), "id", "left_anti")
 
 
 def lift(links: DataFrame, seeds: DataFrame, least: int = 2, most_df: float = 0.25, anchors: int = 4000) -> DataFrame:
     """(concept_id, lift, co): concepts that come more often with the seeds than on their own.
 
-    Anchors are the entities that mention two or more seeds (any seed, if none does), the ``anchors`` best covered ones; lift = (co / anchors) / (df / documents), and
+    Anchors are the entities that mention two or more seeds (any seed, if none does), the ``anchors`` best covered ones; lift = (co / anchors) /
+    (df / documents), and
     concepts with co below ``least``, in more than ``most_df`` of the documents or with a lift of 1 or less are left out.
     """
     men = links.filter("linkage = 'mentions'").select("concept_id", "entity_id").distinct()
@@ -216,7 +242,9 @@ def lift(links: DataFrame, seeds: DataFrame, least: int = 2, most_df: float = 0.
     anchor = base.orderBy(F.desc("n"), "entity_id").limit(anchors).select("entity_id", F.lit(1).alias("near"))
     # One pass over the mentions gives both counts of every concept.
     counts = men.join(anchor, "entity_id", "left").groupBy("concept_id").agg(F.count(F.lit(1)).alias("df"), F.count("near").alias("co"))
-    size = anchor.agg(F.count(F.lit(1)).alias("a")).withColumn("one", F.lit(1)).join(men.agg(F.countDistinct("entity_id").alias("docs")).withColumn("one", F.lit(1)), "one")
+    size = anchor.agg(F.count(F.lit(1)).alias("a")).withColumn("one", F.lit(1)).join(
+        men.agg(F.countDistinct("entity_id").alias("docs")).withColumn("one", F.lit(1)), "one"
+    )
     rows = counts.join(own, "concept_id", "left_anti").filter(F.col("co") >= least).withColumn("one", F.lit(1)).join(F.broadcast(size), "one")
     rows = rows.filter(F.col("df") <= most_df * F.col("docs")).withColumn("lift", (F.col("co") / F.col("a")) / (F.col("df") / F.col("docs")))
     return rows.filter("lift > 1").select("concept_id", "lift", "co")
@@ -245,7 +273,8 @@ def spread_labels(frame: pd.DataFrame, rounds: int = 30) -> dict[int, int]:
 
 
 def spread_labels_staged(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, label): label propagation in staged rounds, distributed. Half of the nodes, by a hash of id and round, take their heaviest label (of equally heavy ones the
+    """(id, label): label propagation in staged rounds, distributed. Half of the nodes, by a hash of id and round, take their heaviest label (of
+    equally heavy ones the
     smaller) at once, which keeps two sides from swapping labels for ever. It ends when no node at all would change, or after ``rounds`` rounds.
     """
     edges = stage(edges, "label-edges")
@@ -256,7 +285,9 @@ def spread_labels_staged(edges: DataFrame, rounds: int = 30) -> DataFrame:
         wanted = stage(labels.join(best, "id", "left").select("id", "label", F.coalesce("best", "label").alias("best")), "labels")
         if not wanted.filter("best != label").limit(1).count():
             break
-        labels = wanted.select("id", F.when(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0, F.col("best")).otherwise(F.col("label")).alias("label"))
+        labels = wanted.select(
+            "id", F.when(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0, F.col("best")).otherwise(F.col("label")).alias("label")
+        )
     return labels
 
 
@@ -266,7 +297,9 @@ def communities(edges: DataFrame, scores: DataFrame | None = None, least: int =
     Components above MOST_LOCAL_EDGES edges go through ``spread_labels_staged``, whose communities may differ from the sweep's.
     """
     nodes = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
-    score = nodes.join(scores, "id", "left").select("id", F.coalesce("score", "degree").alias("score")) if scores is not None else nodes.select("id", F.col("degree").alias("score"))
+    score = nodes.join(scores, "id", "left").select(
+        "id", F.coalesce("score", "degree").alias("score")
+    ) if scores is not None else nodes.select("id", F.col("degree").alias("score"))
     roots = connected(edges)
     rows = edges.join(score.withColumnRenamed("id", "src"), "src").join(roots.select(F.col("id").alias("src"), "root"), "src")
     rows = stage(rows.select("src", "dst", "weight", "score", "root"), "component-edges")
@@ -292,7 +325,9 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         near = edges.join(labels.select(F.col("id").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("root").alias("near"))
         jump = labels.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        new = labels.join(near, "id", "left").join(jump, "root", "left").select("id", F.least("root", "near", "far").alias("root"), F.col("root").alias("old"))
+        new = labels.join(near, "id", "left").join(jump, "root", "left").select(
+            "id", F.least("root", "near", "far").alias("root"), F.col("root").alias("old")
+        )
         new = stage(new, "labels")
         changed = new.filter("root != old").limit(1).count()
         labels = new.select("id", "root")

@@ -7,17 +7,32 @@ from pyspark.sql import functions as F
 from threadloom.functions import render
 from threadloom.functions.clean import epoch_seconds
 from threadloom.graph import read, store_graph
-from threadloom.operators import context, dsl, vectors, walks
+from threadloom.operators import context, dsl, rank, vectors, walks
 from threadloom.plans.set_algebra import A, STORE
 from threadloom.plans.store_changes import _doc_concepts
 from threadloom.sources import common, markdown
 from threadloom.staging import spread
 
 
-def context_bundle(spark, sf_dir):
+def context_links(spark, sf_dir):
+    """Context from the links of a concept alone."""
     return context.context(store_graph(spark, sf_dir), A)
 
 
+def context_content(spark, sf_dir):
+    """Context from the links of a concept and a content ranking by its name."""
+    g = store_graph(spark, sf_dir)
+    own = {r["concept_id"]: 0 for r in dsl.resolve(g, [A]).collect()}
+    return context.build_context(g, A, rank.content_rank(g.links, own, 1, null_tf=1.0, boosts={}))
+
+
+def context_bundle(spark, sf_dir):
+    """The same with what a walk adds."""
+    g = store_graph(spark, sf_dir)
+    own = {r["concept_id"]: 0 for r in dsl.resolve(g, [A]).collect()}
+    return context.build_context(g, A, rank.content_rank(g.links, own, 1, null_tf=1.0, boosts={}), degree=2)
+
+
 def describe(spark, sf_dir):
     g = store_graph(spark, sf_dir)
     return context.describe(g, A, read(spark, sf_dir, "memory_content").distinct()).select("section", "linkage", "other", "name")
@@ -25,12 +40,18 @@ def describe(spark, sf_dir):
 
 def scan_prompts(spark, sf_dir):
     """The query texts of the log as prompts: the concepts worth showing for each."""
-    prompts = read(spark, sf_dir, "query_log").filter("body IS NOT NULL").select(F.col("body").alias("prompt"), F.col("body").alias("text")).distinct()
-    return context.scan(store_graph(spark, sf_dir), prompts).select("prompt", "place", "token", "concept_id", F.round("salience", 6).alias("salience"))
+    prompts = read(spark, sf_dir, "query_log").filter("body IS NOT NULL").select(
+        F.col("body").alias("prompt"), F.col("body").alias("text")
+    ).distinct()
+    return context.scan(store_graph(spark, sf_dir), prompts).select(
+        "prompt", "place", "token", "concept_id", F.round("salience", 6).alias("salience")
+    )
 
 
 def match_prompts(spark, sf_dir):
-    prompts = read(spark, sf_dir, "query_log").filter("body IS NOT NULL").select(F.col("body").alias("prompt"), F.col("body").alias("text")).distinct()
+    prompts = read(spark, sf_dir, "query_log").filter("body IS NOT NULL").select(
+        F.col("body").alias("prompt"), F.col("body").alias("text")
+    ).distinct()
     return context.match_prompt(store_graph(spark, sf_dir), prompts)
 
 
@@ -39,7 +60,9 @@ def locate(spark, sf_dir):
 
 
 def _markdown(spark, sf_dir):
-    files = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.concat_ws("-", F.coalesce("path", F.lit("doc")), "doc_id").alias("path"), "text")
+    files = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(
+        F.concat_ws("-", F.coalesce("path", F.lit("doc")), "doc_id").alias("path"), "text"
+    )
     return common.parsed(spread(files), markdown.parse)
 
 
@@ -78,8 +101,36 @@ def concept_timeline(spark, sf_dir):
     return context.timeline(files, g.entities, events)
 
 
-QUERIES = {f.__name__: f for f in (context_bundle, describe, scan_prompts, match_prompts, locate, gmd_parse, gmd_nodes, compile_subjects, context_text, federated_query, concept_timeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        context_links, context_content, context_bundle, describe, scan_prompts, match_prompts, locate, gmd_parse, gmd_nodes, compile_subjects,
+        context_text, federated_query, concept_timeline
+    )
+}
+_ORDER = "CASE linkage " + " ".join(f"WHEN '{v}' THEN {i + 1}" for i, v in enumerate(context.LINKAGE_ORDER)) + " ELSE 99 END"
+
+
+def _context_sql(content: bool) -> str:
+    ranked = (
+        ", st AS (SELECT count(DISTINCT entity_id) AS n, count(*) / count(DISTINCT entity_id) AS avgdl FROM lnk WHERE linkage = 'mentions'), dl AS (SELECT entity_id, count(*) AS dl FROM lnk WHERE linkage = 'mentions' GROUP BY 1), "
+        "tf AS (SELECT entity_id, count(*) AS k FROM lnk WHERE linkage = 'mentions' AND concept_id IN (SELECT concept_id FROM i) GROUP BY 1), m AS (SELECT entity_id, k * ln((n - (SELECT count(*) FROM tf) + 0.5) / ((SELECT count(*) FROM tf) + 0.5) + 1) * 2.5 / (1 + 1.5 * 1.0) AS score FROM tf JOIN dl USING (entity_id), st ORDER BY 2 DESC, 1 LIMIT 50)"
+        if content
+        else ""
+    )
+    extra = " UNION ALL SELECT 1, 'content', entity_id, score FROM m" if content else ""
+    return (
+        STORE
+        + f", i AS (SELECT concept_id FROM con WHERE name = '{A}' OR canonical_name = '{A}'){ranked}, r AS (SELECT linkage, entity_id, row_number() OVER (PARTITION BY linkage ORDER BY entity_id) AS k FROM (SELECT DISTINCT linkage, entity_id FROM lnk WHERE concept_id IN (SELECT concept_id FROM i))), "
+        f"u AS (SELECT 0 AS source, linkage, entity_id, 0.0 AS score FROM r WHERE k <= 10{extra}), o AS (SELECT *, {_ORDER} AS ord FROM u), e AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY source, ord, linkage, score DESC) = 1), "
+        "j AS (SELECT e.*, name, kind, CAST(floor(length(concat_ws(' ', name, coalesce(tldr, ''))) / 4) AS BIGINT) + 4 AS cost FROM e JOIN ent ON id = entity_id), "
+        "f AS (SELECT *, row_number() OVER w AS place, sum(cost) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM j WINDOW w AS (ORDER BY source, ord, linkage, score DESC, entity_id)) SELECT place, source, linkage, entity_id, name, kind, CAST(used AS BIGINT) AS used FROM f WHERE used <= 2000 AND place <= 40"
+    )
+
+
 ORACLE = {
+    "context_links": _context_sql(False),
+    "context_content": _context_sql(True),
     "concept_timeline": STORE
     + f", i AS (SELECT concept_id FROM con WHERE name = '{A}' OR canonical_name = '{A}'), p AS (SELECT DISTINCT path AS own FROM ent WHERE path <> '' AND id IN (SELECT entity_id FROM lnk WHERE concept_id IN (SELECT concept_id FROM i))), "
     "v AS (SELECT CASE WHEN updated_at > 1e11 THEN updated_at / 1000 ELSE updated_at END AS ts, coalesce(kind, '?') AS what, path FROM entities_replica WHERE path <> '') "

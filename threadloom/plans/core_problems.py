@@ -10,7 +10,8 @@ from threadloom.operators.diff import NOT_CERTIFIED, diff_copies, left_over
 from threadloom.operators.sessions import GAP_MS, sessions
 
 ENTITY_FIELDS = {
-    "partition_id": "exact", "kind": "exact", "path": "exact", "name": "exact", "tldr": "exact", "meta": "json", "created_at": "epoch", "updated_at": "epoch", "protected": "exact", "noise": "exact",
+    "partition_id": "exact", "kind": "exact", "path": "exact", "name": "exact", "tldr": "exact", "meta": "json", "created_at": "epoch",
+    "updated_at": "epoch", "protected": "exact", "noise": "exact",
     "canonical_name": "exact", "vectors_updated_at": "epoch",
 }
 MEMORY_FIELDS = {"content": "exact", "mtype": "exact", "tags": "json", "metadata": "json", "created_at": "epoch", "updated_at": "epoch"}
@@ -25,7 +26,10 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     invocation = folded(F.col("invocation"))
     return (
         read(spark, sf_dir, "query_log")
-        .select("query_id", F.rtrim(F.col("root"), F.lit("/")).alias("root"), F.when(is_blank(F.col("invocation")), "unknown").otherwise(invocation).alias("invocation"), time_ms(F.col("ts")).alias("ms"))
+        .select(
+            "query_id", F.rtrim(F.col("root"), F.lit("/")).alias("root"),
+            F.when(is_blank(F.col("invocation")), "unknown").otherwise(invocation).alias("invocation"), time_ms(F.col("ts")).alias("ms")
+        )
         .filter("ms IS NOT NULL")
         .distinct()
     )
@@ -39,7 +43,8 @@ def p2_session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number, calls and durations of the sessions of every root."""
     duration = F.col("end_ms") - F.col("start_ms")
     return p2_found(spark, sf_dir).groupBy("root").agg(
-        F.count(F.lit(1)).alias("n_sessions"), F.sum("n_calls").alias("n_calls"), F.max(duration).alias("longest_ms"), F.sum(duration).alias("active_ms")
+        F.count(F.lit(1)).alias("n_sessions"), F.sum("n_calls").alias("n_calls"), F.max(duration).alias("longest_ms"),
+        F.sum(duration).alias("active_ms")
     )
 
 
@@ -57,7 +62,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables and their copies compared row by row, every delivery and version counted."""
-    parts = [diff_copies(read(spark, sf_dir, t), read(spark, sf_dir, c), key, fields, once=False).select(F.lit(t).alias("tbl"), "row_id", "field", "n") for t, c, key, fields in COPIES]
+    parts = [
+        diff_copies(read(spark, sf_dir, t), read(spark, sf_dir, c), key, fields, once=False).select(F.lit(t).alias("tbl"), "row_id", "field", "n")
+        for t,
+        c, key, fields in COPIES
+    ]
     return parts[0].unionByName(parts[1])
 
 
@@ -66,7 +75,11 @@ def p7_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for table, copy, key, fields in COPIES:
         left = left_over(read(spark, sf_dir, table), read(spark, sf_dir, copy), key, fields, once=False)
-        parts.append(left.groupBy(F.col("k").alias("row_id")).agg(F.sum("n1").alias("left_main"), F.sum("n0").alias("left_copy")).withColumn("tbl", F.lit(table)))
+        parts.append(
+            left.groupBy(F.col("k").alias("row_id")).agg(
+                F.sum("n1").alias("left_main"), F.sum("n0").alias("left_copy")
+            ).withColumn("tbl", F.lit(table))
+        )
     return parts[0].unionByName(parts[1])
 
 
@@ -120,7 +133,9 @@ def _changes_sql(table: str, copy: str, key: str, fields: dict[str, str]) -> str
             test = f"(a.{c} IS NULL) <> (b.{c} IS NULL) OR (a.{c} IS NOT NULL AND b.{c} IS NOT NULL AND NOT ({same_json.format(c=c)}))"
         else:
             test = f"a.{c} IS DISTINCT FROM b.{c}"
-        tests.append(f"SELECT '{table}' AS tbl, a.{key} AS row_id, '{c}' AS field FROM {table}_m a JOIN {table}_c b ON a.{key} = b.{key} WHERE {test}")
+        tests.append(
+            f"SELECT '{table}' AS tbl, a.{key} AS row_id, '{c}' AS field FROM {table}_m a JOIN {table}_c b ON a.{key} = b.{key} WHERE {test}"
+        )
     newest = "SELECT * FROM (SELECT DISTINCT * FROM {t}) QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY " + s.format(x="updated_at") + " DESC NULLS LAST) = 1"
     return (
         f"{table}_m AS ({newest.format(t=table, k=key)}), {table}_c AS ({newest.format(t=copy, k=key)}), {table}_d AS ("

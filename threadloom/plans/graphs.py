@@ -36,7 +36,9 @@ def pagerank_k10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ppr_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten rounds of the personalised walk from the seeds."""
     links, seeds = _typed(spark, sf_dir)
-    return walks.pagerank(walks.adjacency(links), ROUNDS, tolerance=0.0, restart=seeds.select(F.col("concept_id").alias("id"), F.lit(1.0).alias("weight"))).select("id", F.round("score", 6).alias("score"))
+    return walks.pagerank(
+        walks.adjacency(links), ROUNDS, tolerance=0.0, restart=seeds.select(F.col("concept_id").alias("id"), F.lit(1.0).alias("weight"))
+    ).select("id", F.round("score", 6).alias("score"))
 
 
 def ppr_push(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +56,9 @@ def rank_related(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     links, seeds = _typed(spark, sf_dir)
-    return walks.seed_coverage(walks.adjacency(links), seeds.select(F.col("concept_id").alias("id"))).select("id", F.round("coverage", 6).alias("coverage"))
+    return walks.seed_coverage(
+        walks.adjacency(links), seeds.select(F.col("concept_id").alias("id"))
+    ).select("id", F.round("coverage", 6).alias("coverage"))
 
 
 def enrich_walk_h2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +93,13 @@ def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.footprint(links, seeds, hops=1)
 
 
-QUERIES = {f.__name__: f for f in (adjacency, pagerank_k10, ppr_exact, ppr_push, rank_related, seed_coverage, enrich_walk_h2, net_support, assoc_lift, label_propagation, connected_components, footprint)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        adjacency, pagerank_k10, ppr_exact, ppr_push, rank_related, seed_coverage, enrich_walk_h2, net_support, assoc_lift, label_propagation,
+        connected_components, footprint
+    )
+}
 
 _ADJ = (
     STORE.replace("WITH ", "WITH RECURSIVE ", 1)
@@ -111,9 +121,13 @@ def _rank(base: str, scale: str) -> str:
 
 ORACLE = {
     "adjacency": _ADJ + "SELECT src, dst, weight FROM adj",
-    "pagerank_k10": _rank("SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS base, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS score FROM ids", " * (SELECT count(*) FROM ids)"),
+    "pagerank_k10": _rank(
+        "SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS base, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS score FROM ids",
+        " * (SELECT count(*) FROM ids)"
+    ),
     "ppr_exact": _rank(
-        "SELECT id, CASE WHEN id IN (SELECT id FROM sd) THEN 1.0::DOUBLE / (SELECT count(*) FROM sd JOIN ids USING (id)) ELSE 0 END AS base, CASE WHEN id IN (SELECT id FROM sd) THEN 1.0::DOUBLE / (SELECT count(*) FROM sd JOIN ids USING (id)) ELSE 0 END AS score FROM ids", ""
+        "SELECT id, CASE WHEN id IN (SELECT id FROM sd) THEN 1.0::DOUBLE / (SELECT count(*) FROM sd JOIN ids USING (id)) ELSE 0 END AS base, CASE WHEN id IN (SELECT id FROM sd) THEN 1.0::DOUBLE / (SELECT count(*) FROM sd JOIN ids USING (id)) ELSE 0 END AS score FROM ids",
+        ""
     ),
     "seed_coverage": _ADJ
     + f", {_SEEDS}, nb AS (SELECT DISTINCT src, dst FROM adj WHERE src IN (SELECT id FROM sd)), h AS (SELECT *, count(*) OVER (PARTITION BY dst) AS n FROM nb) SELECT src AS id, round(avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM h GROUP BY 1",
@@ -124,7 +138,8 @@ h2 AS (SELECT dst AS id, w * share * 0.35 ** 2 AS w FROM t1 JOIN mv ON src = id)
 f2 AS (SELECT DISTINCT dst AS id, frm FROM (SELECT DISTINCT id, frm FROM h1 WHERE id IN (SELECT id FROM t1)) JOIN mv ON src = id),
 aw AS (SELECT id, sum(w) AS w FROM (SELECT id, w FROM s0 UNION ALL SELECT id, w FROM h1 UNION ALL SELECT id, w FROM h2) GROUP BY 1), af AS (SELECT id, count(DISTINCT frm) AS reach FROM (SELECT id, frm FROM s0 UNION SELECT id, frm FROM h1 UNION SELECT * FROM f2) GROUP BY 1)
 SELECT id, round(w * (reach / (SELECT count(*) FROM s0)) ** 2, 6) AS score, reach FROM aw JOIN af USING (id)""",
-    "net_support": _ADJ + f", {_SEEDS} SELECT dst AS id, count(DISTINCT src) AS support FROM adj WHERE src IN (SELECT id FROM sd) AND dst NOT IN (SELECT id FROM sd) GROUP BY 1 HAVING count(DISTINCT src) >= 2",
+    "net_support": _ADJ
+    + f", {_SEEDS} SELECT dst AS id, count(DISTINCT src) AS support FROM adj WHERE src IN (SELECT id FROM sd) AND dst NOT IN (SELECT id FROM sd) GROUP BY 1 HAVING count(DISTINCT src) >= 2",
     "assoc_lift": STORE
     + f""", sd AS (SELECT DISTINCT concept_id AS id FROM ({_named(LIFT_SEEDS[0])} UNION {_named(LIFT_SEEDS[1])})), men AS (SELECT DISTINCT concept_id, entity_id FROM lnk WHERE linkage = 'mentions'), cov AS (SELECT entity_id, count(*) AS n FROM men WHERE concept_id IN (SELECT id FROM sd) GROUP BY 1),
 anc AS (SELECT entity_id FROM cov WHERE n >= 2 OR NOT EXISTS (SELECT 1 FROM cov WHERE n >= 2) ORDER BY n DESC, entity_id LIMIT 4000), c AS (SELECT concept_id, count(*) AS df, count(*) FILTER (WHERE entity_id IN (SELECT entity_id FROM anc)) AS co FROM men GROUP BY 1),

@@ -40,11 +40,14 @@ def top_{id}():
     print(run_{p}())
 '''
 PYTHON_LINKS: list[Link] = [
-    ("mentions", "keyword/ledger", "{path}", 2.0), ("mentions", "keyword/keeps", "{path}", 1.0), ("mentions", "keyword/valve", "{path}", 1.0), ("mentions", "keyword/fresh", "{path}", 1.0), ("mentions", "keyword/first", "{path}", 1.0),
+    ("mentions", "keyword/ledger", "{path}", 2.0), ("mentions", "keyword/keeps", "{path}", 1.0), ("mentions", "keyword/valve", "{path}", 1.0),
+    ("mentions", "keyword/fresh", "{path}", 1.0), ("mentions", "keyword/first", "{path}", 1.0),
     ("imports", "import/os", "{path}", None), ("imports", "import/mod_{p}", "{path}", None),
-    ("defines", "Box{id}", "{path}::Box{id}", None), ("has-part", "Box{id}", "{path}", None), ("is_a", "Base{m}", "{path}::Box{id}", None), ("is_a", "Other", "{path}::Box{id}", None),
+    ("defines", "Box{id}", "{path}::Box{id}", None), ("has-part", "Box{id}", "{path}", None), ("is_a", "Base{m}", "{path}::Box{id}", None),
+    ("is_a", "Other", "{path}::Box{id}", None),
     ("mentions", "keyword/holds", "{path}::Box{id}", 1.0), ("mentions", "keyword/valves_{m}", "{path}::Box{id}", 1.0),
-    ("defines", "run", "{path}::Box{id}.run", None), ("has-part", "Box{id}.run", "{path}::Box{id}", None), ("calls", "helper_{m}", "{path}::Box{id}.run", None),
+    ("defines", "run", "{path}::Box{id}.run", None), ("has-part", "Box{id}.run", "{path}::Box{id}", None),
+    ("calls", "helper_{m}", "{path}::Box{id}.run", None),
     ("defines", "top_{id}", "{path}::top_{id}", None), ("has-part", "top_{id}", "{path}", None), ("calls", "run_{p}", "{path}::top_{id}", None),
     ("defines", "inner", "{path}::top_{id}.inner", None), ("has-part", "top_{id}.inner", "{path}::top_{id}", None),
 ]
@@ -63,8 +66,10 @@ END $$;
 DO $$ BEGIN PERFORM sweep_{m}(1); END $$;
 """
 SQL_LINKS: list[Link] = [
-    ("defines", "depot_{p}", "{path}::depot_{p}", None), ("defines", "bins_{id}", "{path}::bins_{id}", None), ("defines", "bins_idx_{id}", "{path}::bins_idx_{id}", None), ("defines", "fill_{id}", "{path}::fill_{id}", None),
-    ("mentions", "audit_{m}", "{path}::fill_{id}", 1.0), ("mentions", "bins_{id}", "{path}::fill_{id}", 1.0), ("calls", "weigh_{m}", "{path}::fill_{id}", None), ("calls", "lift_{p}", "{path}::fill_{id}", None),
+    ("defines", "depot_{p}", "{path}::depot_{p}", None), ("defines", "bins_{id}", "{path}::bins_{id}", None),
+    ("defines", "bins_idx_{id}", "{path}::bins_idx_{id}", None), ("defines", "fill_{id}", "{path}::fill_{id}", None),
+    ("mentions", "audit_{m}", "{path}::fill_{id}", 1.0), ("mentions", "bins_{id}", "{path}::fill_{id}", 1.0),
+    ("calls", "weigh_{m}", "{path}::fill_{id}", None), ("calls", "lift_{p}", "{path}::fill_{id}", None),
     ("calls", "fits_{m}", "{path}", None), ("calls", "sweep_{m}", "{path}", None), ("calls", "bins_{id}", "{path}", None),
 ]
 PSEUDO = """# depot {id}
@@ -83,20 +88,24 @@ loose: x
   ignored(Me)
 """
 PSEUDO_LINKS: list[Link] = [
-    ("imports", "import/depot_{p}", "{path}", None), ("defines", "Crate{id}", "{path}::Crate{id}", None), ("mentions", "Item{m}", "{path}::Crate{id}", 1.0), ("defines", "Colour{id}", "{path}::Colour{id}", None),
-    ("defines", "move_{id}", "{path}::move_{id}", None), ("mentions", "Crate{id}", "{path}::move_{id}", 1.0), ("mentions", "Shelf{m}", "{path}::move_{id}", 1.0), ("mentions", "Receipt{p}", "{path}::move_{id}", 1.0),
+    ("imports", "import/depot_{p}", "{path}", None), ("defines", "Crate{id}", "{path}::Crate{id}", None),
+    ("mentions", "Item{m}", "{path}::Crate{id}", 1.0), ("defines", "Colour{id}", "{path}::Colour{id}", None),
+    ("defines", "move_{id}", "{path}::move_{id}", None), ("mentions", "Crate{id}", "{path}::move_{id}", 1.0),
+    ("mentions", "Shelf{m}", "{path}::move_{id}", 1.0), ("mentions", "Receipt{p}", "{path}::move_{id}", 1.0),
     ("calls", "lift_{m}", "{path}::move_{id}", None),
 ]
 CALL_GRAPH = '{"edges": [{"from_file": "a{p}.py", "from_func": "f{id}", "to_file": "b{p}.py", "to_func": "g{m}"}, {"from_file": "a{p}.py", "from_func": "f{id}", "to_func": "free{m}"}, {"to_file": "c.py"}]}'
 CALL_GRAPH_LINKS: list[Link] = [
-    ("defines", "f{id}", "a{p}.py::f{id}", None), ("defines", "g{m}", "b{p}.py::g{m}", None), ("calls", "g{m}", "a{p}.py::f{id}", None), ("called_by", "f{id}", "b{p}.py::g{m}", None), ("calls", "free{m}", "a{p}.py::f{id}", None),
+    ("defines", "f{id}", "a{p}.py::f{id}", None), ("defines", "g{m}", "b{p}.py::g{m}", None), ("calls", "g{m}", "a{p}.py::f{id}", None),
+    ("called_by", "f{id}", "b{p}.py::g{m}", None), ("calls", "free{m}", "a{p}.py::f{id}", None),
 ]
 UNITS = (
     '{"path": "u{id}.py", "units": [{"name": "f{id}", "unit_type": "function", "calls": ["g{m}", "print", ""], "called_by": ["h{p}"], "imports": ["os.path", "os"], "dependencies": "json, mod{m}.sub"}, '
     '{"name": "C{id}", "unit_type": "class", "line": 9}]}'
 )
 UNITS_LINKS: list[Link] = [
-    ("defines", "f{id}", "u{id}.py::f{id}", None), ("is_a", "kind/function", "u{id}.py::f{id}", None), ("calls", "g{m}", "u{id}.py::f{id}", None), ("called_by", "h{p}", "u{id}.py::f{id}", None),
+    ("defines", "f{id}", "u{id}.py::f{id}", None), ("is_a", "kind/function", "u{id}.py::f{id}", None), ("calls", "g{m}", "u{id}.py::f{id}", None),
+    ("called_by", "h{p}", "u{id}.py::f{id}", None),
     ("defines", "C{id}", "u{id}.py::C{id}", None), ("is_a", "kind/class", "u{id}.py::C{id}", None),
     ("imports", "import/os", "u{id}.py", None), ("imports", "import/json", "u{id}.py", None), ("imports", "import/mod{m}", "u{id}.py", None),
 ]
@@ -123,13 +132,19 @@ class Shelf{m}(Holder):
 ```
 """
 DECISION_LINKS: list[Link] = [
-    ("defines", "adr/{n}", "{path}", 0.9), ("mentions", "Crate{id}", "{path}", 0.3), ("mentions", "Shelf_{m}", "{path}", 0.3), ("related-to", "adr/0003", "{path}", 0.9), ("related-to", "adr/{n}", "adr/0003", 0.9),
+    ("defines", "adr/{n}", "{path}", 0.9), ("mentions", "Crate{id}", "{path}", 0.3), ("mentions", "Shelf_{m}", "{path}", 0.3),
+    ("related-to", "adr/0003", "{path}", 0.9), ("related-to", "adr/{n}", "adr/0003", 0.9),
     ("related-to", "adr/0007", "{path}", 0.9), ("related-to", "adr/{n}", "adr/0007", 0.9),
-    ("defines", "Box{id}", "{path}::Box{id}", 0.9), ("is_a", "Crate{id}", "{path}::Box{id}", 0.9), ("is_a", "Holder", "{path}::Box{id}", 0.9), ("defines", "Shelf{m}", "{path}::Shelf{m}", 0.9), ("is_a", "Holder", "{path}::Shelf{m}", 0.9),
-    ("mentions", "place", "{path}::Shelf{m}", 0.3), ("mentions", "Crate{id}", "{path}::Shelf{m}", 0.3), ("mentions", "Receipt{m}", "{path}::Shelf{m}", 0.3),
+    ("defines", "Box{id}", "{path}::Box{id}", 0.9), ("is_a", "Crate{id}", "{path}::Box{id}", 0.9), ("is_a", "Holder", "{path}::Box{id}", 0.9),
+    ("defines", "Shelf{m}", "{path}::Shelf{m}", 0.9), ("is_a", "Holder", "{path}::Shelf{m}", 0.9),
+    ("mentions", "place", "{path}::Shelf{m}", 0.3), ("mentions", "Crate{id}", "{path}::Shelf{m}", 0.3),
+    ("mentions", "Receipt{m}", "{path}::Shelf{m}", 0.3),
 ]
 BOLD = "# Notes\n\n**Owner:** `team-{m}` and NightTeam\n- **Uses:** CrateStore{m}, `bins_{id}`\nplain **Word** text\n"
-BOLD_LINKS: list[Link] = [("mentions", "team-{m}", "{path}", 1.0), ("mentions", "NightTeam", "{path}", 1.0), ("mentions", "CrateStore{m}", "{path}", 1.0), ("mentions", "bins_{id}", "{path}", 1.0)]
+BOLD_LINKS: list[Link] = [
+    ("mentions", "team-{m}", "{path}", 1.0), ("mentions", "NightTeam", "{path}", 1.0), ("mentions", "CrateStore{m}", "{path}", 1.0),
+    ("mentions", "bins_{id}", "{path}", 1.0)
+]
 GRAPH_MARKDOWN = """---
 id: spec-{id}
 tags: [depot, shelf{m}]
@@ -146,11 +161,16 @@ See [[ledger]] and `[[not this]]`.
 More goods_{p}.
 """
 GRAPH_MARKDOWN_LINKS: list[Link] = [
-    ("mentions", "depot", "spec-{id}", 1.0), ("mentions", "shelf{m}", "spec-{id}", 1.0), ("part-of", "spec-{id}", "spec-{id}#crate", None), ("part-of", "spec-{id}#crate", "spec-{id}#limits", None),
-    ("mentions", "Crate", "spec-{id}#crate", 2.0), ("mentions", "design", "spec-{id}#crate", 2.0), ("mentions", "box{m}", "spec-{id}#crate", 3.0), ("mentions", "crates", "spec-{id}#crate", 2.0), ("mentions", "hold", "spec-{id}#crate", 1.0),
-    ("mentions", "goods", "spec-{id}#crate", 1.0), ("mentions", "stack", "spec-{id}#crate", 1.0), ("mentions", "see", "spec-{id}#crate", 1.0), ("mentions", "ledger", "spec-{id}#crate", 1.0),
-    ("lead", "crates", "spec-{id}#crate", 1.0), ("lead", "hold", "spec-{id}#crate", 1.0), ("lead", "goods", "spec-{id}#crate", 1.0), ("lead", "stack", "spec-{id}#crate", 1.0), ("lead", "see", "spec-{id}#crate", 1.0), ("lead", "ledger", "spec-{id}#crate", 1.0),
-    ("depends-on", "shelf-{m}", "spec-{id}#crate", 2.0), ("mentions", "Limits", "spec-{id}#limits", 2.0), ("mentions", "more", "spec-{id}#limits", 1.0), ("mentions", "goods_{p}", "spec-{id}#limits", 1.0),
+    ("mentions", "depot", "spec-{id}", 1.0), ("mentions", "shelf{m}", "spec-{id}", 1.0), ("part-of", "spec-{id}", "spec-{id}#crate", None),
+    ("part-of", "spec-{id}#crate", "spec-{id}#limits", None),
+    ("mentions", "Crate", "spec-{id}#crate", 2.0), ("mentions", "design", "spec-{id}#crate", 2.0), ("mentions", "box{m}", "spec-{id}#crate", 3.0),
+    ("mentions", "crates", "spec-{id}#crate", 2.0), ("mentions", "hold", "spec-{id}#crate", 1.0),
+    ("mentions", "goods", "spec-{id}#crate", 1.0), ("mentions", "stack", "spec-{id}#crate", 1.0), ("mentions", "see", "spec-{id}#crate", 1.0),
+    ("mentions", "ledger", "spec-{id}#crate", 1.0),
+    ("lead", "crates", "spec-{id}#crate", 1.0), ("lead", "hold", "spec-{id}#crate", 1.0), ("lead", "goods", "spec-{id}#crate", 1.0),
+    ("lead", "stack", "spec-{id}#crate", 1.0), ("lead", "see", "spec-{id}#crate", 1.0), ("lead", "ledger", "spec-{id}#crate", 1.0),
+    ("depends-on", "shelf-{m}", "spec-{id}#crate", 2.0), ("mentions", "Limits", "spec-{id}#limits", 2.0),
+    ("mentions", "more", "spec-{id}#limits", 1.0), ("mentions", "goods_{p}", "spec-{id}#limits", 1.0),
     ("lead", "more", "spec-{id}#limits", 1.0), ("lead", "goods_{p}", "spec-{id}#limits", 1.0),
 ]
 #: name: (path, text, parser, links).
@@ -179,7 +199,10 @@ def _filled(template: str, path: str) -> Column:
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "entities").filter("kind = 'code'").select("id", F.col("partition_id").alias("p")).dropDuplicates(["id"])
     text = lambda c: c.cast("string")
-    return e.select(text(F.col("id")).alias("id"), F.coalesce(text(F.col("p")), F.lit("0")).alias("p"), text(F.col("id") % 5).alias("m"), F.lpad(text(1000 + F.col("id") % 8999), 4, "0").alias("n"))
+    return e.select(
+        text(F.col("id")).alias("id"), F.coalesce(text(F.col("p")), F.lit("0")).alias("p"), text(F.col("id") % 5).alias("m"),
+        F.lpad(text(1000 + F.col("id") % 8999), 4, "0").alias("n")
+    )
 
 
 def _format_query(name: str):
@@ -206,7 +229,11 @@ def _sql_filled(template: str, path: str) -> str:
 
 def _links_sql(name: str, source: str = _SRC) -> str:
     path, _, _, links = FORMATS[name]
-    rows = [f"SELECT '{v}' AS linkage, {_sql_filled(c, path)} AS concept, {_sql_filled(e, path)} AS name, CAST({'NULL' if w is None else w} AS DOUBLE) AS weight FROM s" for v, c, e, w in links]
+    rows = [
+        f"SELECT '{v}' AS linkage, {_sql_filled(c, path)} AS concept, {_sql_filled(e, path)} AS name, CAST({'NULL' if w is None else w} AS DOUBLE) AS weight FROM s"
+        for v,
+        c, e, w in links
+    ]
     return f"WITH s AS ({source}), l AS ({' UNION ALL '.join(rows)}) SELECT linkage, concept, name, max(weight) AS weight FROM l GROUP BY ALL"
 
 
@@ -220,12 +247,19 @@ def ingest_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, (path, text, _, _) in FORMATS.items():
         if name != "read_bold":
             put_file(spark, f"{root}/{fill(path)}", fill(text).replace("{path}", fill(path)))
-    for path, text in (("src/broken.py", "def broken("), ("src/what.json", '{"what": 1}'), ("node_modules/x.py", "def hidden(): pass"), ("notes/plain.txt", "words")):
+    for path, text in (
+        ("src/broken.py", "def broken("), ("src/what.json", '{"what": 1}'), ("node_modules/x.py", "def hidden(): pass"), ("notes/plain.txt", "words")
+    ):
         put_file(spark, f"{root}/{path}", text)
     graph, _, errors = ingest.ingest(spark, root.removeprefix("file://"))
     e = graph.entities.select("id", "name")
-    links = graph.links.join(e.select(F.col("id").alias("concept_id"), F.col("name").alias("concept")), "concept_id").join(e.withColumnRenamed("id", "entity_id"), "entity_id")
-    failed = errors.select(F.lit("error").alias("linkage"), F.substring_index("detail", ":", 1).alias("concept"), F.col("path").alias("name"), F.lit(None).cast("double").alias("weight"))
+    links = graph.links.join(
+        e.select(F.col("id").alias("concept_id"), F.col("name").alias("concept")), "concept_id"
+    ).join(e.withColumnRenamed("id", "entity_id"), "entity_id")
+    failed = errors.select(
+        F.lit("error").alias("linkage"), F.substring_index("detail", ":", 1).alias("concept"), F.col("path").alias("name"),
+        F.lit(None).cast("double").alias("weight")
+    )
     return links.select("linkage", "concept", "name", "weight").unionByName(failed)
 
 
@@ -268,7 +302,9 @@ def tracked_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = lambda t: read(spark, sf_dir, t).filter("path != ''").groupBy("path").agg(F.max("created_at").alias("mtime"))
     now, seen = stamp("entities_replica"), stamp("entities")
     new = files.changed(now, seen).select("path", F.lit("changed").alias("what"))
-    return new.unionByName(files.deleted(now, seen).select("path", F.lit("gone").alias("what"))).groupBy("what").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
+    return new.unionByName(
+        files.deleted(now, seen).select("path", F.lit("gone").alias("what"))
+    ).groupBy("what").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
 
 
 # --- logs and transcripts -----------------------------------------------------------------------------------
@@ -277,7 +313,9 @@ def tracked_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query log as JSON lines with lines that aren't JSON between, from a time on."""
     path = new_path(spark, "telemetry")
-    rows = read(spark, sf_dir, "query_log").select("ts", "kind", "source", "invocation", "body", "cardinality", "latency_ms", "outcome", "answered_by", "error")
+    rows = read(spark, sf_dir, "query_log").select(
+        "ts", "kind", "source", "invocation", "body", "cardinality", "latency_ms", "outcome", "answered_by", "error"
+    )
     broken = spark.range(20).select(F.concat(F.lit("{broken "), F.col("id").cast("string")).alias("value"))
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).unionByName(broken).write.text(path)
     kept = sessions.json_lines(spark, path, sessions.TELEMETRY, since="2026-03")
@@ -287,18 +325,27 @@ def read_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query log as transcripts: every call a prompt, one with an outcome a tool call, one with an error a failed one."""
     path = new_path(spark, "transcripts")
-    rows = read(spark, sf_dir, "query_log").select("query_id", F.col("root").alias("cwd"), time_ms(F.col("ts")).alias("ms"), "body", "outcome", F.col("error").isNotNull().alias("failed")).filter("ms IS NOT NULL AND body IS NOT NULL").distinct()
+    rows = read(spark, sf_dir, "query_log").select(
+        "query_id", F.col("root").alias("cwd"), time_ms(F.col("ts")).alias("ms"), "body", "outcome", F.col("error").isNotNull().alias("failed")
+    ).filter("ms IS NOT NULL AND body IS NOT NULL").distinct()
     stamp = F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     session = F.concat(F.lit("s-"), F.substring(F.sha2("cwd", 256), 1, 12))
 
     def line(kind: str, content: Column) -> Column:
         message = F.struct(F.lit(kind).alias("role"), content.alias("content"), F.lit("m1").alias("model"))
-        return F.to_json(F.struct(F.lit(kind).alias("type"), message.alias("message"), stamp.alias("timestamp"), F.col("cwd"), session.alias("sessionId")))
+        return F.to_json(
+            F.struct(F.lit(kind).alias("type"), message.alias("message"), stamp.alias("timestamp"), F.col("cwd"), session.alias("sessionId"))
+        )
 
     block = lambda **kv: F.to_json(F.array(F.struct(*[v.alias(k) for k, v in kv.items()])))
     call = F.when(F.col("outcome").isNotNull(), line("assistant", block(type=F.lit("tool_use"), name=F.col("outcome"), id=F.col("query_id"))))
-    back = F.when(F.col("outcome").isNotNull(), line("user", block(type=F.lit("tool_result"), tool_use_id=F.col("query_id"), is_error=F.col("failed"))))
-    lines = rows.select(session.alias("session"), "ms", "query_id", F.posexplode(F.array_compact(F.array(line("user", F.col("body")), call, back))).alias("n", "value"))
+    back = F.when(
+        F.col("outcome").isNotNull(), line("user", block(type=F.lit("tool_result"), tool_use_id=F.col("query_id"), is_error=F.col("failed")))
+    )
+    lines = rows.select(
+        session.alias("session"), "ms", "query_id",
+        F.posexplode(F.array_compact(F.array(line("user", F.col("body")), call, back))).alias("n", "value")
+    )
     lines.repartition("session").sortWithinPartitions("session", "ms", "query_id", "n").select("value").write.text(path)
     return stage(sessions.transcript(spark, path), "transcript")
 
@@ -306,7 +353,9 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_session_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One card for each project root of the query log."""
     cards = sessions.session_cards(_transcripts(spark, sf_dir))
-    return cards.select("session", "cwd", "first_ts", "last_ts", "turns", F.size("prompts").alias("prompts"), F.size(F.map_keys("tool_counts")).alias("tools"))
+    return cards.select(
+        "session", "cwd", "first_ts", "last_ts", "turns", F.size("prompts").alias("prompts"), F.size(F.map_keys("tool_counts")).alias("tools")
+    )
 
 
 def read_transcript_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,15 +370,21 @@ def migrate_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables written in the store's own layout and read back by partition."""
     target = new_path(spark, "migrated")
     catalog.migrate({"entities": read(spark, sf_dir, "entities"), "memory_content": read(spark, sf_dir, "memory_content")}, target)
-    e = spark.read.parquet(f"{target}/entities.parquet").groupBy(F.col("partition_id").cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count("tldr").alias("described"))
-    m = spark.read.parquet(f"{target}/memory_content.parquet").select(F.lit(-1).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("described"))
+    e = spark.read.parquet(f"{target}/entities.parquet").groupBy(F.col("partition_id").cast("int").alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("tldr").alias("described")
+    )
+    m = spark.read.parquet(f"{target}/memory_content.parquet").select(F.lit(-1).alias("part")).groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("described")
+    )
     return e.unionByName(m)
 
 
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories of the catalog with their entities, of some types."""
     e = read(spark, sf_dir, "entities").distinct().filter("kind = 'memory'").select(F.col("id").alias("entity_id"), "name", "partition_id")
-    return e.join(read(spark, sf_dir, "memory_content").distinct().filter("mtype IN ('feedback', 'note', 'decision')").select("entity_id", "mtype"), "entity_id")
+    return e.join(
+        read(spark, sf_dir, "memory_content").distinct().filter("mtype IN ('feedback', 'note', 'decision')").select("entity_id", "mtype"), "entity_id"
+    )
 
 
 def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,7 +395,11 @@ def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: _format_query(name) for name in FORMATS} | {
-    f.__name__: f for f in (ingest_folder, read_tree, grep_files, tracked_changes, read_json_lines, read_session_cards, read_transcript_tree, migrate_catalog, catalog_scan, vector_scan)
+    f.__name__: f
+    for f in (
+        ingest_folder, read_tree, grep_files, tracked_changes, read_json_lines, read_session_cards, read_transcript_tree, migrate_catalog,
+        catalog_scan, vector_scan
+    )
 }
 _CALLS = f"""
 WITH c AS (SELECT DISTINCT query_id, root AS cwd, {TIME_SQL} AS ms, body, outcome, error IS NOT NULL AS failed FROM query_log WHERE body IS NOT NULL),
@@ -355,7 +414,8 @@ ORACLE = {name: _links_sql(name) for name in FORMATS} | {
     "read_json_lines": "SELECT kind, count(*) AS n, count(latency_ms) AS timed, max(ts) AS last FROM query_log WHERE ts >= '2026-03' GROUP BY 1",
     "read_session_cards": _CALLS
     + "SELECT session, any_value(cwd) AS cwd, min(stamp) AS first_ts, max(stamp) AS last_ts, count(*) AS turns, count(*) FILTER (WHERE before IS DISTINCT FROM body) AS prompts, count(DISTINCT outcome) AS tools FROM s GROUP BY session",
-    "read_transcript_tree": _CALLS + "SELECT session, count(*) AS turns, count(outcome) AS actions, count(*) FILTER (WHERE outcome IS NOT NULL AND failed) AS errors FROM s GROUP BY session",
+    "read_transcript_tree": _CALLS
+    + "SELECT session, count(*) AS turns, count(outcome) AS actions, count(*) FILTER (WHERE outcome IS NOT NULL AND failed) AS errors FROM s GROUP BY session",
     "migrate_catalog": "SELECT partition_id AS part, count(*) AS n, count(tldr) AS described FROM entities GROUP BY 1 UNION ALL SELECT -1, count(*), count(*) FROM memory_content",
     "catalog_scan": "SELECT e.id AS entity_id, name, partition_id, mtype FROM (SELECT DISTINCT * FROM entities WHERE kind = 'memory') e JOIN (SELECT DISTINCT * FROM memory_content) m ON m.entity_id = e.id WHERE mtype IN ('feedback', 'note', 'decision')",
     "vector_scan": "SELECT vec_id AS id, len(embedding) AS dims FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)",

@@ -27,8 +27,13 @@ from threadloom.streaming import sync
 def derivation_state(spark, sf_dir):
     """Which kinds of events are derived by their latest version; the stamps are the events."""
     ev = read(spark, sf_dir, "events")
-    stamps = ev.select(F.col("event_type").alias("pass_name"), F.get_json_object("props", "$.k").alias("version"), F.lit("h").alias("code_hash"), F.col("event_id").cast("double").alias("derived_at"))
-    wanted = ev.groupBy(F.col("event_type").alias("pass_name")).agg(F.max(F.get_json_object("props", "$.k")).alias("version")).filter("pass_name != 'error'")
+    stamps = ev.select(
+        F.col("event_type").alias("pass_name"), F.get_json_object("props", "$.k").alias("version"), F.lit("h").alias("code_hash"),
+        F.col("event_id").cast("double").alias("derived_at")
+    )
+    wanted = ev.groupBy(F.col("event_type").alias("pass_name")).agg(
+        F.max(F.get_json_object("props", "$.k")).alias("version")
+    ).filter("pass_name != 'error'")
     never = spark.range(1).select(F.lit("missing").alias("pass_name"), F.lit("1").alias("version"))
     return reports.derivation_state(stamps, wanted.unionByName(never).withColumn("code_hash", F.lit("h")))
 
@@ -37,7 +42,9 @@ def _commands(spark, sf_dir):
     rows = log(spark, sf_dir).withColumn("t", time_ms(F.col("ts")) / 1000.0)
     argv = F.array("source", "kind")
     return rows.select(
-        argv.alias("argv"), F.when(F.col("outcome") == "empty", "start").alias("phase"), F.when(F.col("error").isNotNull(), 2).otherwise(0).alias("exit_code"), "latency_ms", F.col("root").alias("session"), F.col("source").alias("command"), "t",
+        argv.alias("argv"), F.when(F.col("outcome") == "empty", "start").alias("phase"),
+        F.when(F.col("error").isNotNull(), 2).otherwise(0).alias("exit_code"), "latency_ms", F.col("root").alias("session"),
+        F.col("source").alias("command"), "t",
         F.when(F.col("cardinality") > 0, F.col("cardinality")).alias("out_bytes"),
     )
 
@@ -67,7 +74,9 @@ def session_recall(spark, sf_dir):
 
 def due_jobs(spark, sf_dir):
     """Roots as jobs that run every day: those whose last call is a day ago or more."""
-    jobs = log(spark, sf_dir).select(F.col("root").alias("name"), (time_ms(F.col("ts")) / 1000.0).alias("t")).groupBy("name").agg(F.max("t").alias("last_run")).withColumn("every_s", F.lit(86_400.0))
+    jobs = log(spark, sf_dir).select(
+        F.col("root").alias("name"), (time_ms(F.col("ts")) / 1000.0).alias("t")
+    ).groupBy("name").agg(F.max("t").alias("last_run")).withColumn("every_s", F.lit(86_400.0))
     return sync.due(jobs, 1_774_000_000.0).select("name")
 
 
@@ -77,7 +86,9 @@ def due_jobs(spark, sf_dir):
 def content_rank_surprisal(spark, sf_dir):
     """Frequencies weigh what they tell."""
     own = rank.surprising(links(spark, sf_dir)).filter(F.col("concept_id").isin(TERMS))
-    index = links(spark, sf_dir).filter("linkage = 'mentions'").groupBy("entity_id").agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)), F.avg("dl")).first()
+    index = links(spark, sf_dir).filter("linkage = 'mentions'").groupBy("entity_id").agg(F.max("dl").alias("dl")).agg(
+        F.count(F.lit(1)), F.avg("dl")
+    ).first()
     found = rank.content_rank(own, {t: i for i, t in enumerate(TERMS)}, len(TERMS), limit=None, boosts={}, corpus=tuple(index))
     return _rounded(found, "score")
 
@@ -90,7 +101,9 @@ def content_rank_coref(spark, sf_dir):
     own = links(spark, sf_dir).select("linkage", "concept_id", "entity_id", "weight")
     docs = read(spark, sf_dir, "documents")
     meant = text.antecedent_counts(text.with_pronouns(docs, "doc_id", "text"), "doc_id")
-    both = own.unionByName(meant.select(F.lit("coref").alias("linkage"), F.col("concept").alias("concept_id"), F.col("doc_id").alias("entity_id"), "weight"))
+    both = own.unionByName(
+        meant.select(F.lit("coref").alias("linkage"), F.col("concept").alias("concept_id"), F.col("doc_id").alias("entity_id"), "weight")
+    )
     found = rank.content_rank(both, {t.lower(): i for i, t in enumerate(NOUNS)}, len(NOUNS), limit=None, boosts={}, coref=0.5)
     return _rounded(found, "score")
 
@@ -98,7 +111,9 @@ def content_rank_coref(spark, sf_dir):
 def hybrid(spark, sf_dir):
     """The ranking by words and that by nearness to a vector, fused."""
     v = _vectors(spark, sf_dir)
-    dense = vectors.nearest(v, v.filter("id = 0").first()["vector"], 60).select(F.col("id").alias("entity_id"), rank.cosine_of_distance(F.col("distance")).alias("score"))
+    dense = vectors.nearest(v, v.filter("id = 0").first()["vector"], 60).select(
+        F.col("id").alias("entity_id"), rank.cosine_of_distance(F.col("distance")).alias("score")
+    )
     return _rounded(rank.hybrid(ranked(spark, sf_dir, boosts={}, limit=60), dense, 20), "score")
 
 
@@ -128,7 +143,9 @@ def clique(spark, sf_dir):
 
 def promote_edges(spark, sf_dir):
     """Kinds and sources of calls as working memory: the pairs that belong together most."""
-    rows = log(spark, sf_dir).filter("kind IS NOT NULL AND source IS NOT NULL").select(F.concat(F.lit("k-"), "kind").alias("a"), F.concat(F.lit("s-"), "source").alias("b"))
+    rows = log(spark, sf_dir).filter("kind IS NOT NULL AND source IS NOT NULL").select(
+        F.concat(F.lit("k-"), "kind").alias("a"), F.concat(F.lit("s-"), "source").alias("b")
+    )
     pairs = rows.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     nodes = rows.select(F.col("a").alias("name")).unionAll(rows.select("b")).groupBy("name").agg(F.count(F.lit(1)).alias("freq"))
     return mutate.promote_edges(pairs, nodes, 3.0, 20)
@@ -138,8 +155,12 @@ def fold_duplicates(spark, sf_dir):
     """Every memory has a concept of its name with the memory's own links doubled onto it; folded, the links are as before."""
     g = store_graph(spark, sf_dir)
     first = g.entities.filter("kind = 'memory' AND name IS NOT NULL").groupBy("partition_id", "name").agg(F.min("id").alias("id")).select("id")
-    twin = g.entities.join(first, "id", "left_semi").select(*g.entities.columns).withColumn("kind", F.lit("concept")).withColumn("id", F.col("id") + F.lit(1 << 40))
-    extra = g.links.join(twin.select((F.col("id") - F.lit(1 << 40)).alias("entity_id"), F.col("id").alias("to")), "entity_id").select("linkage", "concept_id", F.col("to").alias("entity_id"), F.lit(1.0).alias("weight"))
+    twin = g.entities.join(first, "id", "left_semi").select(*g.entities.columns).withColumn("kind", F.lit("concept")).withColumn(
+        "id", F.col("id") + F.lit(1 << 40)
+    )
+    extra = g.links.join(
+        twin.select((F.col("id") - F.lit(1 << 40)).alias("entity_id"), F.col("id").alias("to")), "entity_id"
+    ).select("linkage", "concept_id", F.col("to").alias("entity_id"), F.lit(1.0).alias("weight"))
     folded = mutate.fold_duplicates(replace(g, entities=g.entities.unionByName(twin), links=g.links.unionByName(extra)))
     return folded.links.groupBy("linkage").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_id").alias("entities"))
 
@@ -147,7 +168,10 @@ def fold_duplicates(spark, sf_dir):
 def learn_queue(spark, sf_dir):
     """Searches of the log as a queue, with lines that aren't JSON: the hits that a drain learns, each once."""
     rows = read(spark, sf_dir, "query_log").filter("body IS NOT NULL").select("query_id", "body", "cardinality").distinct()
-    hit = F.array(F.struct(F.concat(F.lit("f"), F.col("cardinality")).alias("file"), F.col("cardinality").cast("string").alias("line")), F.struct(F.lit("g").alias("file"), F.lit("x").alias("line")))
+    hit = F.array(
+        F.struct(F.concat(F.lit("f"), F.col("cardinality")).alias("file"), F.col("cardinality").cast("string").alias("line")),
+        F.struct(F.lit("g").alias("file"), F.lit("x").alias("line"))
+    )
     line = F.when(F.col("cardinality") == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("body").alias("pattern"), hit.alias("hits"))))
     queue = rows.select(F.abs(F.xxhash64("query_id")).alias("seq"), line.alias("value"))
     return sync.learned(sync.batch_of(queue, 100_000_000)[0].select("pattern", F.col("file").alias("path"), "line"))
@@ -157,8 +181,12 @@ def sync_plan(spark, sf_dir):
     """Entities of changed files taken out and put in again, from the copy."""
     stamp = lambda t: read(spark, sf_dir, t).filter("path != ''").groupBy("path").agg(F.max("created_at").alias("mtime"))
     plan = sync.plan_sync(stamp("entities_replica"), stamp("entities"))
-    fresh = read(spark, sf_dir, "entities_replica").join(plan.filter("action = 'extract'").select("path"), "path", "left_semi").select("path", "id").distinct()
-    tables = sync.apply_sync({"entities": read(spark, sf_dir, "entities").filter("path != ''").select("path", "id").distinct()}, plan, {"entities": fresh})
+    fresh = read(spark, sf_dir, "entities_replica").join(
+        plan.filter("action = 'extract'").select("path"), "path", "left_semi"
+    ).select("path", "id").distinct()
+    tables = sync.apply_sync(
+        {"entities": read(spark, sf_dir, "entities").filter("path != ''").select("path", "id").distinct()}, plan, {"entities": fresh}
+    )
     return tables["entities"]
 
 
@@ -187,7 +215,8 @@ def json_values(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        derivation_state, command_summary, context_cost, usage, session_list, session_recall, due_jobs, content_rank_surprisal, content_rank_coref, hybrid, rerank, rescored, clique, promote_edges, fold_duplicates, learn_queue, sync_plan,
+        derivation_state, command_summary, context_cost, usage, session_list, session_recall, due_jobs, content_rank_surprisal, content_rank_coref,
+        hybrid, rerank, rescored, clique, promote_edges, fold_duplicates, learn_queue, sync_plan,
         durations, identifiers, json_values,
     )
 }
@@ -202,15 +231,22 @@ _BYTES = _at(0.5).replace("latency_ms", "out_bytes"), _at(0.95).replace("latency
 _NOUNS = ", ".join(f"'{t.lower()}'" for t in NOUNS)
 ORACLE = {
     "derivation_state": "WITH s AS (SELECT event_type AS p, arg_max(json_extract_string(props, '$.k'), event_id) AS v, max(json_extract_string(props, '$.k')) AS w FROM events GROUP BY 1) SELECT p AS pass_name, CASE WHEN p = 'error' THEN 'unknown' WHEN v = w THEN 'fresh' ELSE 'stale' END AS state FROM s UNION ALL SELECT 'missing', 'never'",
-    "command_summary": LOG + f" SELECT source AS command, count(*) AS n, count(*) FILTER (WHERE error IS NOT NULL) AS errors, {_at(0.5)} AS p50, {_at(0.95)} AS p95 FROM lg WHERE outcome IS DISTINCT FROM 'empty' GROUP BY 1",
+    "command_summary": LOG
+    + f" SELECT source AS command, count(*) AS n, count(*) FILTER (WHERE error IS NOT NULL) AS errors, {_at(0.5)} AS p50, {_at(0.95)} AS p95 FROM lg WHERE outcome IS DISTINCT FROM 'empty' GROUP BY 1",
     "context_cost": LOG
     + f" , c AS (SELECT source AS command, CASE WHEN cardinality > 0 THEN cardinality END AS out_bytes FROM lg) SELECT command, count(*) AS n, count(*) FILTER (WHERE out_bytes IS NULL) AS unknown, CAST(sum(out_bytes) AS BIGINT) AS total, CAST(floor(avg(out_bytes)) AS BIGINT) AS mean, max(out_bytes) AS most, {_BYTES[0]} AS p50, {_BYTES[1]} AS p95 FROM c GROUP BY 1",
     "usage": LOG
     + ", w AS (SELECT * FROM lg WHERE ts >= '2026-03' AND ts < '2026-03-20') "
-    + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS key, count(*) AS n, {_at(0.5)} AS p50, {_at(0.95)} AS p95 FROM w WHERE {d} IS NOT NULL GROUP BY 2" for d in ("kind", "source", "invocation", "outcome")),
-    "session_list": _CALLS + ", d AS (SELECT session, max(stamp) AS last_ts FROM s GROUP BY 1) SELECT * FROM d ORDER BY last_ts DESC NULLS LAST, session LIMIT 30 OFFSET 5",
-    "session_recall": _CALLS + "SELECT session, max(stamp) AS last_ts FROM s WHERE contains(cwd, '/srv/work') GROUP BY 1 HAVING bool_or(contains(lower(body), 'fail'))",
-    "due_jobs": LOG + f" , t AS (SELECT root AS name, max({TIME_SQL}) / 1000.0 AS last FROM lg GROUP BY 1) SELECT name FROM t WHERE last IS NULL OR 1774000000.0 - last >= 86400",
+    + " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, {d} AS key, count(*) AS n, {_at(0.5)} AS p50, {_at(0.95)} AS p95 FROM w WHERE {d} IS NOT NULL GROUP BY 2"
+        for d in ("kind", "source", "invocation", "outcome")
+    ),
+    "session_list": _CALLS
+    + ", d AS (SELECT session, max(stamp) AS last_ts FROM s GROUP BY 1) SELECT * FROM d ORDER BY last_ts DESC NULLS LAST, session LIMIT 30 OFFSET 5",
+    "session_recall": _CALLS
+    + "SELECT session, max(stamp) AS last_ts FROM s WHERE contains(cwd, '/srv/work') GROUP BY 1 HAVING bool_or(contains(lower(body), 'fail'))",
+    "due_jobs": LOG
+    + f" , t AS (SELECT root AS name, max({TIME_SQL}) / 1000.0 AS last FROM lg GROUP BY 1) SELECT name FROM t WHERE last IS NULL OR 1774000000.0 - last >= 86400",
     "content_rank_surprisal": DOCS
     + ", tl AS (SELECT tf, sum(n) OVER (ORDER BY tf DESC) / sum(n) OVER () AS tail FROM (SELECT weight AS tf, count(*) AS n FROM men GROUP BY 1)), wt AS (SELECT concept_id, entity_id, 1 - log2(tail) AS w FROM men JOIN tl ON tf = weight)"
     + f", st AS (SELECT count(DISTINCT entity_id) AS n, sum(weight) / count(DISTINCT entity_id) AS avgdl FROM men), dl AS (SELECT entity_id, sum(weight) AS dl FROM men GROUP BY 1), d AS (SELECT concept_id, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM men, st WHERE concept_id IN ({_IN}) GROUP BY 1) "
@@ -242,7 +278,8 @@ ORACLE = {
     "learn_queue": "SELECT DISTINCT 'query/' || lower(trim(body, ' ')) AS concept, 'f' || cardinality AS path, cardinality AS line FROM query_log WHERE body <> '' AND cardinality <> 0",
     "sync_plan": f"WITH {_PATHS} SELECT DISTINCT path, id FROM entities WHERE path <> '' AND path NOT IN (SELECT path FROM x) AND path NOT IN (SELECT path FROM p) UNION ALL SELECT DISTINCT path, id FROM entities_replica WHERE path IN (SELECT path FROM x)",
     "durations": "SELECT DISTINCT latency_ms, CAST(latency_ms AS DOUBLE) * [1, 60, 3600, 86400, 604800][latency_ms % 5 + 1] AS seconds FROM query_log WHERE latency_ms >= 0",
-    "identifiers": ENT + f" SELECT entity_id, CAST(len(list_distinct(regexp_extract_all(content, '{names.CANDIDATE}'))) AS INTEGER) AS n FROM mem WHERE content IS NOT NULL",
+    "identifiers": ENT
+    + f" SELECT entity_id, CAST(len(list_distinct(regexp_extract_all(content, '{names.CANDIDATE}'))) AS INTEGER) AS n FROM mem WHERE content IS NOT NULL",
     "json_values": ENT
     + " SELECT id, CASE WHEN NOT json_valid(meta) THEN 'STRING' ELSE CASE json_type(meta) WHEN 'OBJECT' THEN 'OBJECT' WHEN 'ARRAY' THEN 'ARRAY' WHEN 'VARCHAR' THEN 'STRING' WHEN 'BOOLEAN' THEN 'BOOLEAN' WHEN 'NULL' THEN 'VOID' WHEN 'DOUBLE' THEN 'DECIMAL' ELSE 'BIGINT' END END AS kind FROM ent WHERE meta IS NOT NULL",
 }

@@ -103,7 +103,9 @@ def per_linkage_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(rank.fused_rows(links(spark, sf_dir).filter(F.col("concept_id").isin(TERMS)), term_table(spark), ["lead", "mentions"], 10), "score")
+    return _rounded(
+        rank.fused_rows(links(spark, sf_dir).filter(F.col("concept_id").isin(TERMS)), term_table(spark), ["lead", "mentions"], 10), "score"
+    )
 
 
 def feedback_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +126,9 @@ def definition_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms as queries; relevant are documents that hold the term in their lead."""
     ls = links(spark, sf_dir).filter(F.col("concept_id").isin(TERMS))
-    run = ls.filter("linkage = 'mentions'").select(F.col("concept_id").alias("qid"), F.col("entity_id").alias("doc_id"), F.col("weight").alias("score"))
+    run = ls.filter("linkage = 'mentions'").select(
+        F.col("concept_id").alias("qid"), F.col("entity_id").alias("doc_id"), F.col("weight").alias("score")
+    )
     qrels = ls.filter("linkage = 'lead'").select(F.col("concept_id").alias("qid"), F.col("entity_id").alias("doc_id"), F.lit(1).alias("rel"))
     return _rounded(rank.retrieval_metrics(run, qrels, 10), "mrr", "recall", "ndcg")
 
@@ -133,7 +137,8 @@ def salience(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Salience of every term of the documents, by degree (no walk scores)."""
     ls = links(spark, sf_dir)
     sig = ls.groupBy(F.col("concept_id").alias("name")).agg(
-        F.count(F.lit(1)).alias("degree"), F.sum(F.when(F.col("linkage") == "mentions", 1).otherwise(0)).alias("df"), F.coalesce(F.max(F.when(F.col("linkage") == "mentions", F.col("weight"))), F.lit(0.0)).alias("max_tf")
+        F.count(F.lit(1)).alias("degree"), F.sum(F.when(F.col("linkage") == "mentions", 1).otherwise(0)).alias("df"),
+        F.coalesce(F.max(F.when(F.col("linkage") == "mentions", F.col("weight"))), F.lit(0.0)).alias("max_tf")
     )
     n = F.lit(float(read(spark, sf_dir, "documents").count()))
     value = rank.salience(F.col("name"), shape_score(F.col("name")), F.col("df"), F.col("max_tf"), F.lit(0.0), F.col("degree"), n, F.lit(0.0))
@@ -142,7 +147,9 @@ def salience(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories whose name or body holds a text, newest first."""
-    e = read(spark, sf_dir, "entities").distinct().filter("kind = 'memory'").select(F.col("id").alias("entity_id"), "name", F.col("created_at").alias("made"))
+    e = read(spark, sf_dir, "entities").distinct().filter("kind = 'memory'").select(
+        F.col("id").alias("entity_id"), "name", F.col("created_at").alias("made")
+    )
     m = read(spark, sf_dir, "memory_content").distinct().select("entity_id", "content")
     rows = e.join(m, "entity_id", "left").filter(F.lower(F.concat_ws("\n", "name", "content")).contains("watermark"))
     return rows.orderBy(F.desc_nulls_last("made"), "entity_id").select("entity_id", "name", "made").limit(200)
@@ -151,7 +158,8 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        content_rank, content_rank_lead, content_rank_log, bm25_stats, doc_length, concept_df, tf_tail, rrf, top_weighted, per_linkage_top, fused_rows, feedback_terms, phrase_boost, definition_floor,
+        content_rank, content_rank_lead, content_rank_log, bm25_stats, doc_length, concept_df, tf_tail, rrf, top_weighted, per_linkage_top,
+        fused_rows, feedback_terms, phrase_boost, definition_floor,
         retrieval_metrics, salience, substring_search,
     )
 }
@@ -169,7 +177,9 @@ def _bm25(tf: str = "weight", lead: float = 0.0, limit: int | None = 50) -> str:
 
 
 _TERM_RANKS = ", ".join(
-    f"l{i} AS (SELECT entity_id, row_number() OVER (ORDER BY weight DESC, entity_id) - 1 AS rank FROM men WHERE concept_id = '{t}' ORDER BY weight DESC, entity_id LIMIT 20)" for i, t in enumerate(TERMS)
+    f"l{i} AS (SELECT entity_id, row_number() OVER (ORDER BY weight DESC, entity_id) - 1 AS rank FROM men WHERE concept_id = '{t}' ORDER BY weight DESC, entity_id LIMIT 20)"
+    for i,
+    t in enumerate(TERMS)
 )
 _IN = ", ".join(f"'{t}'" for t in TERMS)
 ORACLE = {
@@ -179,8 +189,10 @@ ORACLE = {
     "bm25_stats": DOCS + "SELECT count(DISTINCT entity_id) AS n_docs, round(sum(weight) / count(DISTINCT entity_id), 6) AS avgdl FROM men",
     "doc_length": DOCS + "SELECT entity_id, sum(weight) AS length FROM men GROUP BY 1",
     "concept_df": DOCS + "SELECT concept_id, count(*) AS df FROM men GROUP BY 1",
-    "tf_tail": DOCS + "SELECT tf, round(sum(n) OVER (ORDER BY tf DESC) / sum(n) OVER (), 6) AS tail FROM (SELECT weight AS tf, count(*) AS n FROM men GROUP BY 1)",
-    "rrf": DOCS + ", " + _TERM_RANKS + " SELECT entity_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(len(TERMS))) + ") GROUP BY 1",
+    "tf_tail": DOCS
+    + "SELECT tf, round(sum(n) OVER (ORDER BY tf DESC) / sum(n) OVER (), 6) AS tail FROM (SELECT weight AS tf, count(*) AS n FROM men GROUP BY 1)",
+    "rrf": DOCS + ", " + _TERM_RANKS + " SELECT entity_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM ("
+    + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(len(TERMS))) + ") GROUP BY 1",
     "top_weighted": DOCS + f"SELECT entity_id, weight FROM men WHERE concept_id = '{TERMS[0]}' ORDER BY 2 DESC, 1 LIMIT 20",
     "per_linkage_top": DOCS
     + f"SELECT * FROM (SELECT linkage, entity_id, max(weight) AS weight, row_number() OVER (PARTITION BY linkage ORDER BY max(weight) DESC NULLS LAST, entity_id) - 1 AS rank FROM lnk WHERE concept_id IN ({_IN}) GROUP BY 1, 2) WHERE rank < 10",
@@ -189,7 +201,8 @@ ORACLE = {
     "feedback_terms": DOCS
     + _bm25(limit=5)
     + f"SELECT concept_id, count(DISTINCT entity_id) AS df FROM men WHERE entity_id IN (SELECT entity_id FROM q) AND concept_id NOT IN ({_IN}) AND concept_id NOT IN ({', '.join(repr(w) for w in SEARCH_STOPWORDS)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
-    "phrase_boost": DOCS + _bm25() + "SELECT entity_id, round(CASE WHEN regexp_matches(text, '(?is)replica.{0,24}inlet_marble') THEN score * 1.5 ELSE score END, 6) AS score FROM q JOIN documents ON doc_id = entity_id",
+    "phrase_boost": DOCS + _bm25()
+    + "SELECT entity_id, round(CASE WHEN regexp_matches(text, '(?is)replica.{0,24}inlet_marble') THEN score * 1.5 ELSE score END, 6) AS score FROM q JOIN documents ON doc_id = entity_id",
     "definition_floor": DOCS
     + _bm25()
     + "SELECT entity_id, round(CASE WHEN entity_id IN (SELECT entity_id FROM lnk WHERE linkage = 'lead' AND concept_id = 'nogarnectar') THEN (SELECT max(score) FROM q) + 2 ELSE score END, 6) AS score FROM q",

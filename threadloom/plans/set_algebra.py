@@ -47,7 +47,9 @@ def co_occurrence_all(graph: Graph) -> DataFrame:
 def union_star_all(graph: Graph) -> DataFrame:
     """Links with both ends' names (star lookup), under every verb."""
     e = graph.entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity"), "kind")
-    return graph.links.join(e, "entity_id").join(graph.concepts().select("concept_id", F.col("name").alias("concept")), "concept_id").select("linkage", "entity", "concept", "kind")
+    return graph.links.join(e, "entity_id").join(
+        graph.concepts().select("concept_id", F.col("name").alias("concept")), "concept_id"
+    ).select("linkage", "entity", "concept", "kind")
 
 
 def union_star(graph: Graph) -> DataFrame:
@@ -87,7 +89,8 @@ def called_by(graph: Graph) -> DataFrame:
 
 
 def canon_siblings(graph: Graph) -> DataFrame:
-    """Every entity that is the same as others in another partition, through a canonical concept: how many those are, and the hub's smallest entity, which stands for it.
+    """Every entity that is the same as others in another partition, through a canonical concept: how many those are, and the hub's smallest
+    entity, which stands for it.
 
     Pairs aren't written out, as a hub may have any number of members; ``siblings_of`` gives the siblings of chosen entities.
     """
@@ -96,7 +99,9 @@ def canon_siblings(graph: Graph) -> DataFrame:
     hub = here.groupBy("concept_id").agg(F.sum("own").alias("members"))
     least = same.groupBy("concept_id").agg(F.min("entity_id").alias("representative"))
     rows = same.join(here, ["concept_id", "partition_id"]).join(hub, "concept_id").join(least, "concept_id")
-    return rows.withColumn("siblings", F.col("members") - F.col("own")).filter("siblings > 0").select("concept_id", "entity_id", "siblings", "representative")
+    return rows.withColumn("siblings", F.col("members") - F.col("own")).filter("siblings > 0").select(
+        "concept_id", "entity_id", "siblings", "representative"
+    )
 
 
 def siblings_of(graph: Graph, chosen: DataFrame) -> DataFrame:
@@ -115,7 +120,9 @@ def siblings_of_noted(graph: Graph) -> DataFrame:
 def canon_members(graph: Graph) -> DataFrame:
     """Every entity of every canonical concept, with its partition: entities of one concept are siblings, whatever the size of the hub."""
     same = graph.links.filter("linkage = 'same-as'").select("concept_id", "entity_id")
-    return same.join(graph.entities.select(F.col("id").alias("entity_id"), "partition_id"), "entity_id").select("concept_id", "entity_id", "partition_id")
+    return same.join(
+        graph.entities.select(F.col("id").alias("entity_id"), "partition_id"), "entity_id"
+    ).select("concept_id", "entity_id", "partition_id")
 
 
 def canon_hubs(graph: Graph) -> DataFrame:
@@ -128,7 +135,9 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "entities").distinct().filter("name IS NOT NULL")
     src = e.filter("partition_id = 2").groupBy("kind", "name").agg(F.min("id").alias("src_id"))
     dst = e.filter("partition_id = 1").groupBy("kind", "name").agg(F.min("id").alias("dst_id"))
-    return src.join(dst, ["kind", "name"], "left").select("src_id", "dst_id", F.when(F.col("dst_id").isNull(), "reparent").otherwise("collide").alias("action"))
+    return src.join(dst, ["kind", "name"], "left").select(
+        "src_id", "dst_id", F.when(F.col("dst_id").isNull(), "reparent").otherwise("collide").alias("action")
+    )
 
 
 def path_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,17 +194,21 @@ ORACLE = {
     "topn": STORE
     + f"SELECT entity_id, count(*) AS weight FROM lnk WHERE entity_id IN ({_set(A, 'mentions')} UNION {_set(B, 'mentions')}) AND concept_id IN (SELECT concept_id FROM con WHERE noise = 0) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25",
     "nested_sets": STORE + f"({_set(A)} UNION {_set(B)}) EXCEPT ({_set(C, 'tagged')} UNION {_set(A, 'defines')})",
-    "name_like": STORE + f"SELECT DISTINCT entity_id FROM ({_set(A)} UNION {_set(B)}) WHERE entity_id IN (SELECT id FROM ent WHERE name LIKE 'notes/%') ORDER BY 1 LIMIT 50",
+    "name_like": STORE
+    + f"SELECT DISTINCT entity_id FROM ({_set(A)} UNION {_set(B)}) WHERE entity_id IN (SELECT id FROM ent WHERE name LIKE 'notes/%') ORDER BY 1 LIMIT 50",
     "neighbors_d1": STORE + f", {_HOP} SELECT entity_id FROM hop1 EXCEPT {_named(A)}",
     "neighbors_d2": STORE
     + f", {_HOP}, hop2 AS (SELECT DISTINCT entity_id FROM lnk WHERE concept_id IN (SELECT entity_id FROM hop1) AND entity_id NOT IN (SELECT id FROM ent WHERE noise = 1)) (SELECT entity_id FROM hop1 UNION SELECT entity_id FROM hop2) EXCEPT {_named(A)}",
     "co_occurrence": STORE
     + f"SELECT concept_id, name, count(DISTINCT entity_id) AS overlap FROM lnk JOIN con USING (concept_id) WHERE linkage = 'mentions' AND noise = 0 AND entity_id IN ({_set(A, 'mentions')}) AND concept_id NOT IN ({_named(A)}) GROUP BY 1, 2",
-    "star_lookup": STORE + "SELECT e.name AS entity, c.name AS concept, e.kind FROM lnk JOIN ent e ON e.id = entity_id JOIN con c USING (concept_id) WHERE linkage = 'specifies'",
-    "star_lookup_all": STORE + "SELECT linkage, e.name AS entity, c.name AS concept, e.kind FROM lnk JOIN ent e ON e.id = entity_id JOIN con c USING (concept_id)",
+    "star_lookup": STORE
+    + "SELECT e.name AS entity, c.name AS concept, e.kind FROM lnk JOIN ent e ON e.id = entity_id JOIN con c USING (concept_id) WHERE linkage = 'specifies'",
+    "star_lookup_all": STORE
+    + "SELECT linkage, e.name AS entity, c.name AS concept, e.kind FROM lnk JOIN ent e ON e.id = entity_id JOIN con c USING (concept_id)",
     "zero_link_concepts": STORE + "SELECT concept_id FROM con WHERE concept_id NOT IN (SELECT concept_id FROM lnk)",
     "linked_memories": STORE + "SELECT DISTINCT entity_id FROM memory_content WHERE content <> '' AND entity_id IN (SELECT entity_id FROM lnk)",
-    "memory_sidecar": STORE + "SELECT e.id, name, mtype FROM ent e LEFT JOIN (SELECT DISTINCT * FROM memory_content) m ON e.id = m.entity_id WHERE kind = 'memory'",
+    "memory_sidecar": STORE
+    + "SELECT e.id, name, mtype FROM ent e LEFT JOIN (SELECT DISTINCT * FROM memory_content) m ON e.id = m.entity_id WHERE kind = 'memory'",
     "siblings": STORE
     + ", a AS (SELECT min(id) AS anchor FROM ent WHERE kind = 'doc' AND name LIKE '%/%') SELECT l.entity_id, count(*) AS shared FROM lnk l JOIN lnk o ON l.linkage = o.linkage AND l.concept_id = o.concept_id JOIN a ON o.entity_id = anchor WHERE l.entity_id <> anchor GROUP BY 1",
     "called_by": STORE
@@ -205,7 +218,8 @@ ORACLE = {
     "siblings_of": STORE
     + ", s AS (SELECT concept_id, entity_id, partition_id FROM lnk JOIN ent ON id = entity_id WHERE linkage = 'same-as') SELECT DISTINCT x.entity_id, y.entity_id AS sibling FROM s x JOIN s y USING (concept_id) WHERE x.partition_id <> y.partition_id AND x.entity_id IN (SELECT entity_id FROM lnk WHERE linkage = 'reinforces')",
     "canon_members": STORE + "SELECT concept_id, entity_id, partition_id FROM lnk JOIN ent ON id = entity_id WHERE linkage = 'same-as'",
-    "canon_hubs": STORE + "SELECT concept_id, count(*) AS variants, count(DISTINCT partition_id) AS partitions FROM lnk JOIN ent ON id = entity_id WHERE linkage = 'same-as' GROUP BY 1",
+    "canon_hubs": STORE
+    + "SELECT concept_id, count(*) AS variants, count(DISTINCT partition_id) AS partitions FROM lnk JOIN ent ON id = entity_id WHERE linkage = 'same-as' GROUP BY 1",
     "partition_merge_classify": "WITH ent AS (SELECT DISTINCT * FROM entities WHERE name IS NOT NULL), s AS (SELECT kind, name, min(id) AS src_id FROM ent WHERE partition_id = 2 GROUP BY 1, 2), d AS (SELECT kind, name, min(id) AS dst_id FROM ent WHERE partition_id = 1 GROUP BY 1, 2) SELECT src_id, dst_id, CASE WHEN dst_id IS NULL THEN 'reparent' ELSE 'collide' END AS action FROM s LEFT JOIN d USING (kind, name)",
     "path_suffix": "WITH e AS (SELECT DISTINCT * FROM entities WHERE path <> ''), f AS (SELECT DISTINCT root_path || '/' || path AS whole FROM e JOIN partitions p ON p.id = e.partition_id WHERE e.kind = 'doc') "
     "SELECT whole, count(*) AS n, min(id) AS first FROM f JOIN e ON string_split(whole, '/')[-1] = string_split(path, '/')[-1] AND ends_with(whole, '/' || path) GROUP BY 1",

@@ -24,13 +24,17 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query log, each delivery once, kinds and sources in one spelling."""
     rows = read(spark, sf_dir, "query_log").drop("received_at").distinct()
-    return rows.withColumns({"kind": folded(F.col("kind")), "source": folded(F.col("source")), "latency_ms": F.when(F.col("latency_ms") >= 0, F.col("latency_ms"))})
+    return rows.withColumns(
+        {"kind": folded(F.col("kind")), "source": folded(F.col("source")), "latency_ms": F.when(F.col("latency_ms") >= 0, F.col("latency_ms"))}
+    )
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a message channel: seq, channel, agent, status."""
     status = F.when(F.col("event_id") % 10 == 0, "deleted").when(F.col("event_id") % 4 == 0, "archived").otherwise("active")
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("channel"), F.col("user_id").alias("sender"), "ts", "value", status.alias("status"))
+    return read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), F.col("event_type").alias("channel"), F.col("user_id").alias("sender"), "ts", "value", status.alias("status")
+    )
 
 
 def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,14 +53,21 @@ def code_fraction(spark, sf_dir):
 
 def concept_density(spark, sf_dir):
     rows = an.concept_density(store_graph(spark, sf_dir).links)
-    return rows.select("concept_id", "total", F.array_join(F.transform("per_linkage", lambda x: F.concat(x["linkage"], F.lit("="), x["n"].cast("string"))), ",").alias("per_linkage"))
+    return rows.select(
+        "concept_id", "total",
+        F.array_join(F.transform("per_linkage", lambda x: F.concat(x["linkage"], F.lit("="), x["n"].cast("string"))), ",").alias("per_linkage")
+    )
 
 
 def primer(spark, sf_dir):
     """The most referenced concepts, as far as 400 estimated tokens go."""
     g = store_graph(spark, sf_dir)
-    rows = an.concept_density(g.links).filter("total >= 3").join(g.concepts(), "concept_id").select("concept_id", "name", "total").orderBy(F.desc("total"), "name", "concept_id").limit(200)
-    return an.budget_prefix(rows, [], [F.desc("total"), F.col("name"), F.col("concept_id")], F.floor(F.length("name") / 4) + 1, 400, 100).select("concept_id", "name", "total")
+    rows = an.concept_density(g.links).filter("total >= 3").join(g.concepts(), "concept_id").select("concept_id", "name", "total").orderBy(
+        F.desc("total"), "name", "concept_id"
+    ).limit(200)
+    return an.budget_prefix(
+        rows, [], [F.desc("total"), F.col("name"), F.col("concept_id")], F.floor(F.length("name") / 4) + 1, 400, 100
+    ).select("concept_id", "name", "total")
 
 
 def facets(spark, sf_dir):
@@ -131,7 +142,9 @@ def bus_read_cursor(spark, sf_dir):
 def budget_prefix(spark, sf_dir):
     """Documents of each source, shortest first, as far as 5000 estimated tokens and 20 documents go."""
     docs = read(spark, sf_dir, "documents").filter("source IS NOT NULL").select("source", "doc_id", F.floor(F.length("text") / 4).alias("cost"))
-    return an.budget_prefix(docs, ["source"], [F.col("cost"), F.col("doc_id")], F.coalesce("cost", F.lit(0)), 5000, 20).select("source", "doc_id", "used", "place")
+    return an.budget_prefix(
+        docs, ["source"], [F.col("cost"), F.col("doc_id")], F.coalesce("cost", F.lit(0)), 5000, 20
+    ).select("source", "doc_id", "used", "place")
 
 
 def dedup_first_seen(spark, sf_dir):
@@ -155,14 +168,19 @@ def turn_assignment(spark, sf_dir):
 
 
 def session_stats(spark, sf_dir):
-    ev = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.when(F.col("event_type") == "signup", "prompt").otherwise(F.col("event_type")).alias("kind"), (F.col("event_type") != "error").alias("ok"))
+    ev = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session"), F.when(F.col("event_type") == "signup", "prompt").otherwise(F.col("event_type")).alias("kind"),
+        (F.col("event_type") != "error").alias("ok")
+    )
     rows = an.session_stats(ev, "session", "kind", "ok")
     return rows.withColumn("tools", F.array_join(F.transform("tools", lambda x: F.concat(x["kind"], F.lit("="), x["n"].cast("string"))), ","))
 
 
 def scope_round_robin(spark, sf_dir):
     """Names of memories, in turn from partitions by kind."""
-    e = entities(spark, sf_dir).filter("kind = 'memory' AND name IS NOT NULL").join(read(spark, sf_dir, "partitions").select(F.col("id").alias("partition_id"), F.col("kind").alias("scope")), "partition_id")
+    e = entities(spark, sf_dir).filter("kind = 'memory' AND name IS NOT NULL").join(
+        read(spark, sf_dir, "partitions").select(F.col("id").alias("partition_id"), F.col("kind").alias("scope")), "partition_id"
+    )
     return an.round_robin(e.select("scope", "name", "id"), "scope", "name", [F.col("id")], 60)
 
 
@@ -172,7 +190,9 @@ def history_cap(spark, sf_dir):
 
 
 def selector_filter(spark, sf_dir):
-    return an.select_entities(entities(spark, sf_dir), like="import/*", ns="import", kind="concept", protected=False, noise=False).select("id", "name")
+    return an.select_entities(
+        entities(spark, sf_dir), like="import/*", ns="import", kind="concept", protected=False, noise=False
+    ).select("id", "name")
 
 
 def tag_filter(spark, sf_dir):
@@ -184,22 +204,30 @@ def mtype_filter(spark, sf_dir):
 
 
 def recent_window(spark, sf_dir):
-    m = memories(spark, sf_dir).withColumn("created_at", F.when(F.col("created_at") > 1e11, F.col("created_at") / 1000).otherwise(F.col("created_at")))
+    m = memories(spark, sf_dir).withColumn(
+        "created_at", F.when(F.col("created_at") > 1e11, F.col("created_at") / 1000).otherwise(F.col("created_at"))
+    )
     return an.recent(m, NOW, 30 * 86400.0, 100).select("entity_id")
 
 
 def stale_files(spark, sf_dir):
     """Document entities against the documents: paths that are gone, or whose text was collected after the last update."""
-    tracked = entities(spark, sf_dir).filter("kind = 'doc' AND path != ''").groupBy(F.concat(F.lit("/"), "path").alias("path")).agg(F.max("updated_at").alias("last_synced"))
-    disk = read(spark, sf_dir, "documents").filter("path != ''").groupBy(F.concat(F.lit("/"), "path").alias("path")).agg(F.max(F.unix_micros(F.col("collected_at").cast("timestamp")) / 1e6).alias("mtime"))
+    tracked = entities(spark, sf_dir).filter("kind = 'doc' AND path != ''").groupBy(
+        F.concat(F.lit("/"), "path").alias("path")
+    ).agg(F.max("updated_at").alias("last_synced"))
+    disk = read(spark, sf_dir, "documents").filter("path != ''").groupBy(F.concat(F.lit("/"), "path").alias("path")).agg(
+        F.max(F.unix_micros(F.col("collected_at").cast("timestamp")) / 1e6).alias("mtime")
+    )
     return an.stale(tracked, disk)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        store_stats, code_fraction, concept_density, primer, facets, noise_prune, same_as_audit, derive_counts, partition_audit, reinforcement, telemetry_summary, top_queries, zero_results, anchored_windows,
-        channel_stats, bus_unread, bus_read, bus_read_cursor, budget_prefix, dedup_first_seen, without_repeats, around_errors, turn_assignment, session_stats, scope_round_robin, history_cap, selector_filter,
+        store_stats, code_fraction, concept_density, primer, facets, noise_prune, same_as_audit, derive_counts, partition_audit, reinforcement,
+        telemetry_summary, top_queries, zero_results, anchored_windows,
+        channel_stats, bus_unread, bus_read, bus_read_cursor, budget_prefix, dedup_first_seen, without_repeats, around_errors, turn_assignment,
+        session_stats, scope_round_robin, history_cap, selector_filter,
         tag_filter, mtype_filter, recent_window, stale_files,
     )
 }
@@ -220,14 +248,16 @@ ORACLE = {
     "store_stats": STORE
     + "SELECT 'kind' AS what, kind AS name, count(*) AS n, CAST(NULL AS BIGINT) AS concepts FROM ent GROUP BY 2 UNION ALL SELECT 'linkage', linkage, count(*), count(DISTINCT concept_id) FROM lnk GROUP BY 2",
     "code_fraction": ENT + " SELECT round(avg(CASE WHEN kind = 'code' THEN 1.0 ELSE 0.0 END), 6) AS code_fraction FROM ent WHERE kind <> 'concept'",
-    "concept_density": STORE + ", c AS (SELECT concept_id, linkage, count(*) AS n FROM lnk GROUP BY 1, 2) SELECT concept_id, CAST(sum(n) AS BIGINT) AS total, string_agg(linkage || '=' || n, ',' ORDER BY linkage) AS per_linkage FROM c GROUP BY 1",
+    "concept_density": STORE
+    + ", c AS (SELECT concept_id, linkage, count(*) AS n FROM lnk GROUP BY 1, 2) SELECT concept_id, CAST(sum(n) AS BIGINT) AS total, string_agg(linkage || '=' || n, ',' ORDER BY linkage) AS per_linkage FROM c GROUP BY 1",
     "primer": STORE
     + ", c AS (SELECT concept_id, name, count(*) AS total FROM lnk JOIN con USING (concept_id) GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY 3 DESC, 2, 1 LIMIT 200), u AS (SELECT *, sum(length(name) // 4 + 1) OVER w AS used, row_number() OVER w AS place FROM c WINDOW w AS (ORDER BY total DESC, name, concept_id)) SELECT concept_id, name, total FROM u WHERE used <= 400 AND place <= 100",
     "facets": ENT
     + ", t AS (SELECT 'mtype' AS facet, mtype AS value FROM mem UNION ALL SELECT 'tag', unnest(CAST(CAST(tags AS JSON) AS VARCHAR[])) FROM mem WHERE json_valid(tags) AND json_type(tags) = 'ARRAY') SELECT facet, value, count(*) AS n FROM t WHERE facet = 'mtype' OR value <> '' GROUP BY 1, 2",
     "noise_prune": STORE
     + ", d AS (SELECT concept_id, count(DISTINCT entity_id) AS df FROM lnk GROUP BY 1), m AS (SELECT greatest(2, floor(count(*) * 0.25)) AS most FROM ent WHERE kind <> 'concept') SELECT e.id AS concept_id, coalesce(df, 0) AS df, CASE WHEN coalesce(protected, 0) = 0 AND (coalesce(df, 0) < 2 OR coalesce(df, 0) > (SELECT most FROM m)) THEN 1 ELSE 0 END AS noise FROM ent e LEFT JOIN d ON d.concept_id = e.id WHERE kind = 'concept'",
-    "same_as_audit": STORE + "SELECT variants, count(*) AS canonicals FROM (SELECT concept_id, count(DISTINCT entity_id) AS variants FROM lnk WHERE linkage = 'same-as' GROUP BY 1) GROUP BY 1",
+    "same_as_audit": STORE
+    + "SELECT variants, count(*) AS canonicals FROM (SELECT concept_id, count(DISTINCT entity_id) AS variants FROM lnk WHERE linkage = 'same-as' GROUP BY 1) GROUP BY 1",
     "derive_counts": STORE
     + "SELECT kind AS counter, count(*) AS n FROM ent WHERE kind IN ('doc', 'code', 'concept', 'memory') GROUP BY 1 UNION ALL SELECT 'links', count(*) FROM lnk UNION ALL SELECT 'memories', count(*) FROM (SELECT DISTINCT * FROM memory_content) UNION ALL SELECT 'protected', count(*) FROM ent WHERE protected = 1 UNION ALL SELECT 'noise', count(*) FROM ent WHERE noise = 1 UNION ALL SELECT 'with_canonical', count(*) FROM ent WHERE canonical_name IS NOT NULL",
     "partition_audit": STORE
@@ -239,9 +269,11 @@ ORACLE = {
     "zero_results": LOG + " SELECT body, count(*) AS n FROM lg WHERE body IS NOT NULL AND cardinality = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "channel_stats": BUS
     + " SELECT channel, count(*) AS n, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'archived') AS archived, count(*) FILTER (WHERE status = 'deleted') AS deleted, max(seq) AS last_seq FROM msg GROUP BY 1",
-    "bus_unread": BUS + " SELECT agent, cur.channel, count(*) FILTER (WHERE seq > last_seq AND status = 'active') AS unread FROM cur LEFT JOIN msg ON cur.channel = msg.channel GROUP BY 1, 2",
+    "bus_unread": BUS
+    + " SELECT agent, cur.channel, count(*) FILTER (WHERE seq > last_seq AND status = 'active') AS unread FROM cur LEFT JOIN msg ON cur.channel = msg.channel GROUP BY 1, 2",
     "bus_read": _READ + " SELECT seq, channel FROM got",
-    "bus_read_cursor": _READ + " SELECT channel, greatest(coalesce(max(last_seq), 0), least(max(seq), (SELECT max(seq) FROM got))) AS last_seq FROM r GROUP BY 1",
+    "bus_read_cursor": _READ
+    + " SELECT channel, greatest(coalesce(max(last_seq), 0), least(max(seq), (SELECT max(seq) FROM got))) AS last_seq FROM r GROUP BY 1",
     "budget_prefix": "WITH u AS (SELECT source, doc_id, CAST(sum(coalesce(length(text) // 4, 0)) OVER w AS BIGINT) AS used, row_number() OVER w AS place FROM documents WHERE source IS NOT NULL WINDOW w AS (PARTITION BY source ORDER BY length(text) // 4 NULLS FIRST, doc_id ROWS UNBOUNDED PRECEDING)) SELECT * FROM u WHERE used <= 5000 AND place <= 20",
     "dedup_first_seen": LOG + " SELECT body, min(query_id) AS query_id FROM lg WHERE body IS NOT NULL GROUP BY 1",
     "without_repeats": f"{_EV} FROM ({_EV}, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type",
@@ -250,10 +282,14 @@ ORACLE = {
     "session_stats": "WITH k AS (SELECT user_id AS session, CASE WHEN event_type = 'signup' THEN 'prompt' ELSE event_type END AS kind, count(*) AS n FROM events GROUP BY 1, 2) SELECT session, CAST(sum(CASE WHEN kind = 'prompt' THEN n ELSE 0 END) AS BIGINT) AS turns, CAST(sum(CASE WHEN kind <> 'prompt' THEN n ELSE 0 END) AS BIGINT) AS actions, CAST(sum(CASE WHEN kind = 'error' THEN n ELSE 0 END) AS BIGINT) AS errors, string_agg(kind || '=' || n, ',' ORDER BY kind) AS tools FROM k GROUP BY 1",
     "scope_round_robin": ENT
     + ", r AS (SELECT p.kind AS scope, e.name, row_number() OVER (PARTITION BY p.kind ORDER BY e.id) AS place FROM ent e JOIN partitions p ON p.id = partition_id WHERE e.kind = 'memory' AND e.name IS NOT NULL) SELECT name, place, scope FROM r QUALIFY row_number() OVER (PARTITION BY name ORDER BY place, scope) = 1 ORDER BY place, scope, name LIMIT 60",
-    "history_cap": ENT + " SELECT partition_id, kind, id FROM ent QUALIFY row_number() OVER (PARTITION BY partition_id, kind ORDER BY updated_at DESC NULLS LAST, id) <= 3",
-    "selector_filter": ENT + " SELECT id, name FROM ent WHERE name LIKE 'import/%' AND kind = 'concept' AND coalesce(protected, 0) = 0 AND coalesce(noise, 0) = 0",
-    "tag_filter": ENT + " SELECT entity_id FROM mem WHERE json_valid(tags) AND json_type(tags) = 'ARRAY' AND list_has_any(CAST(CAST(tags AS JSON) AS VARCHAR[]), ['curtain', 'jungle', 'inlet'])",
-    "mtype_filter": ENT + " SELECT entity_id, mtype FROM mem WHERE NOT coalesce(mtype LIKE 'session/%', false) AND NOT coalesce(mtype LIKE 'feed_ack', false)",
+    "history_cap": ENT
+    + " SELECT partition_id, kind, id FROM ent QUALIFY row_number() OVER (PARTITION BY partition_id, kind ORDER BY updated_at DESC NULLS LAST, id) <= 3",
+    "selector_filter": ENT
+    + " SELECT id, name FROM ent WHERE name LIKE 'import/%' AND kind = 'concept' AND coalesce(protected, 0) = 0 AND coalesce(noise, 0) = 0",
+    "tag_filter": ENT
+    + " SELECT entity_id FROM mem WHERE json_valid(tags) AND json_type(tags) = 'ARRAY' AND list_has_any(CAST(CAST(tags AS JSON) AS VARCHAR[]), ['curtain', 'jungle', 'inlet'])",
+    "mtype_filter": ENT
+    + " SELECT entity_id, mtype FROM mem WHERE NOT coalesce(mtype LIKE 'session/%', false) AND NOT coalesce(mtype LIKE 'feed_ack', false)",
     "recent_window": ENT
     + f", m AS (SELECT entity_id, {_SEC.format(c='created_at')} AS t FROM mem), n AS (SELECT *, t >= {NOW} - 30 * 86400 AS i FROM m ORDER BY i DESC NULLS LAST, t DESC NULLS LAST, entity_id LIMIT 100) SELECT entity_id FROM n WHERE i OR NOT EXISTS (SELECT 1 FROM n WHERE i)",
     "stale_files": ENT

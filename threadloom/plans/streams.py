@@ -19,7 +19,8 @@ def focus_events(spark, sf_dir):
     """Events as references of a session: signup is input, the rest are tools; the key in props and the type are what is referred to."""
     ev = read(spark, sf_dir, "events")
     return ev.select(
-        F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "input").otherwise("tool").alias("kind"),
+        F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "signup", "input").otherwise("tool").alias("kind"),
         F.array(F.concat(F.lit("k"), F.get_json_object("props", "$.k")), F.col("event_type")).alias("refs"),
     )
 
@@ -45,7 +46,9 @@ def stream_tumbling(spark, sf_dir):
 def stream_sliding(spark, sf_dir):
     stream = runner.replayed(spark, _events(spark, sf_dir).select("at", "event_type", "value"))
     rows = windows.windowed_counts(stream, "at", "event_type", "2 days", "1 day", delay="365 days")
-    return runner.latest_of_updates(rows, ["start", "event_type"], "sliding").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return runner.latest_of_updates(rows, ["start", "event_type"], "sliding").select(
+        F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"
+    )
 
 
 def stream_debounce(spark, sf_dir):
@@ -71,7 +74,10 @@ def stream_channels(spark, sf_dir):
 def stream_in_flight(spark, sf_dir):
     """Signups begin a call that the user's next purchase of the same key ends; others are abandoned after a day."""
     ev = _events(spark, sf_dir).filter("event_type IN ('signup', 'purchase')")
-    rows = ev.select(F.concat_ws("-", F.col("user_id"), F.get_json_object("props", "$.k")).alias("id"), F.when(F.col("event_type") == "signup", "begin").otherwise("end").alias("phase"), "at")
+    rows = ev.select(
+        F.concat_ws("-", F.col("user_id"), F.get_json_object("props", "$.k")).alias("id"),
+        F.when(F.col("event_type") == "signup", "begin").otherwise("end").alias("phase"), "at"
+    )
     end = spark.range(1).select(F.lit("end-of-input").alias("id"), F.lit("begin").alias("phase"), F.lit("2199-01-01").cast("timestamp").alias("at"))
     stream = runner.replayed(spark, rows.unionByName(end))
     return runner.to_table(state.calls_in_flight(stream, after_s=86_400), "calls").filter("id != 'end-of-input'")
@@ -81,10 +87,18 @@ def stream_dedup(spark, sf_dir):
     """Events delivered twice, once each."""
     ev = _events(spark, sf_dir).select("event_id", "event_type", "at")
     stream = runner.replayed(spark, ev.unionByName(ev.filter("event_id % 3 = 0")))
-    return runner.to_table(windows.deduplicated(stream, ["event_id"], "at", "365 days"), "once").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return runner.to_table(
+        windows.deduplicated(stream, ["event_id"], "at", "365 days"), "once"
+    ).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (focus_graph, focus_graph_stream, stream_tumbling, stream_sliding, stream_debounce, stream_replay, stream_channels, stream_in_flight, stream_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        focus_graph, focus_graph_stream, stream_tumbling, stream_sliding, stream_debounce, stream_replay, stream_channels, stream_in_flight,
+        stream_dedup
+    )
+}
 
 ORACLE = {
     "stream_tumbling": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",

@@ -12,7 +12,9 @@ from threadloom.staging import spread
 
 
 def canonicalize(spark, sf_dir):
-    return entities(spark, sf_dir).filter("name IS NOT NULL").select("name").distinct().select("name", names.canonicalize(F.col("name")).alias("canonical"))
+    return entities(spark, sf_dir).filter("name IS NOT NULL").select("name").distinct().select(
+        "name", names.canonicalize(F.col("name")).alias("canonical")
+    )
 
 
 def name_variants(spark, sf_dir):
@@ -26,7 +28,9 @@ def shape_scores(spark, sf_dir):
 
 
 def leaf_index(spark, sf_dir):
-    rows = entities(spark, sf_dir).filter("kind = 'concept' AND name LIKE '%/%'").select(names.leaf(F.col("name")).alias("leaf"), names.namespace(F.col("name")).alias("namespace"))
+    rows = entities(spark, sf_dir).filter("kind = 'concept' AND name LIKE '%/%'").select(
+        names.leaf(F.col("name")).alias("leaf"), names.namespace(F.col("name")).alias("namespace")
+    )
     return rows.groupBy("leaf", "namespace").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -37,7 +41,9 @@ def query_terms(spark, sf_dir):
 
 
 def stems(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).distinct()
+    rows = read(spark, sf_dir, "documents").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")
+    ).distinct()
     return rows.select("word", text.stem(F.col("word")).alias("stem"))
 
 
@@ -52,7 +58,9 @@ def slugs(spark, sf_dir):
 
 
 def member_hashes(spark, sf_dir):
-    rows = entities(spark, sf_dir).filter("kind = 'doc' AND name IS NOT NULL").groupBy("partition_id").agg(names.member_hash(F.collect_set("name")).alias("hash"))
+    rows = entities(spark, sf_dir).filter("kind = 'doc' AND name IS NOT NULL").groupBy("partition_id").agg(
+        names.member_hash(F.collect_set("name")).alias("hash")
+    )
     return rows
 
 
@@ -63,7 +71,9 @@ def references(spark, sf_dir):
 
 def tag_taxonomy(spark, sf_dir):
     own = F.from_json("tags", "array<string>")
-    return memories(spark, sf_dir).select("entity_id", F.array_join(text.unknown_tags(own, ["curtain", "jungle", "inlet"]), ",").alias("unknown")).filter("unknown != ''")
+    return memories(spark, sf_dir).select(
+        "entity_id", F.array_join(text.unknown_tags(own, ["curtain", "jungle", "inlet"]), ",").alias("unknown")
+    ).filter("unknown != ''")
 
 
 def kwic(spark, sf_dir):
@@ -85,12 +95,19 @@ def memory_index(spark, sf_dir):
     return rows.select("entity_id", text.index_line(F.col("name"), F.col("mtype"), F.col("tldr")).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (canonicalize, name_variants, shape_scores, leaf_index, query_terms, stems, pair_index, slugs, member_hashes, references, tag_taxonomy, kwic, coref, coref_links, memory_index)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        canonicalize, name_variants, shape_scores, leaf_index, query_terms, stems, pair_index, slugs, member_hashes, references, tag_taxonomy, kwic,
+        coref, coref_links, memory_index
+    )
+}
 
 ENT = "WITH ent AS (SELECT DISTINCT * FROM entities), mem AS (SELECT DISTINCT * FROM memory_content)"
 _STOPS = ", ".join(f"'{w}'" for w in names.SEARCH_STOPWORDS)
 _STEM = "CASE " + " ".join(
-    f"WHEN length(word) > {len(s) + 3} AND ends_with(word, '{s}')" + (" AND NOT regexp_matches(word, '[sui]s$')" if s == "s" else "") + f" THEN substr(word, 1, length(word) - {len(s)})" + (" || 'y'" if s in ("ies", "ied") else "")
+    f"WHEN length(word) > {len(s) + 3} AND ends_with(word, '{s}')" + (" AND NOT regexp_matches(word, '[sui]s$')" if s == "s" else "")
+    + f" THEN substr(word, 1, length(word) - {len(s)})" + (" || 'y'" if s in ("ies", "ied") else "")
     for s in text.SUFFIXES
 ) + " ELSE word END"
 
@@ -132,20 +149,29 @@ SELECT doc_id, snippet, trim(CASE WHEN a2 > 0 THEN '…' ELSE '' END || substr(l
 # Without look-ahead: a capital that begins a word is set apart first.
 _PARTS = "list_transform(regexp_extract_all(regexp_replace({x}, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda p: lower(p))"
 ORACLE = {
-    "canonicalize": ENT + f" , p AS (SELECT DISTINCT name, {_PARTS.format(x='name')} AS p FROM ent WHERE name IS NOT NULL) SELECT name, CASE WHEN len(p) > 0 THEN array_to_string(p, '_') ELSE lower(trim(name)) END AS canonical FROM p",
+    "canonicalize": ENT
+    + f" , p AS (SELECT DISTINCT name, {_PARTS.format(x='name')} AS p FROM ent WHERE name IS NOT NULL) SELECT name, CASE WHEN len(p) > 0 THEN array_to_string(p, '_') ELSE lower(trim(name)) END AS canonical FROM p",
     "name_variants": ENT
     + f" , p AS (SELECT DISTINCT name, trim(name) AS t, {_PARTS.format(x='name')} AS p FROM ent WHERE kind = 'concept' AND name IS NOT NULL), v AS (SELECT name, CASE WHEN len(p) >= 2 THEN [t, array_to_string(p, '_'), array_to_string(p, '-'), array_to_string(p, ' ')] WHEN len(p) = 1 THEN [t, p[1]] ELSE [t] END AS v FROM p) "
     "SELECT name, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '|') AS variants FROM v",
-    "references": ENT + f" SELECT entity_id, CAST(len(list_distinct(regexp_extract_all(content, '{text.REFERENCE}'))) AS INTEGER) AS n FROM mem WHERE content IS NOT NULL",
+    "references": ENT
+    + f" SELECT entity_id, CAST(len(list_distinct(regexp_extract_all(content, '{text.REFERENCE}'))) AS INTEGER) AS n FROM mem WHERE content IS NOT NULL",
     "coref": _COREF + "SELECT * FROM found",
     "coref_links": _COREF + "SELECT doc_id, lower(antecedent) AS concept, CAST(count(*) AS DOUBLE) AS weight FROM found GROUP BY 1, 2",
     "kwic": _KWIC,
-    "shape_scores": ENT + f" SELECT name, {SHAPE_SQL} AS shape FROM (SELECT DISTINCT name, string_split(string_split(name, '/')[-1], '::')[-1] AS leaf FROM ent WHERE name IS NOT NULL)",
-    "leaf_index": ENT + " SELECT string_split(name, '/')[-1] AS leaf, string_split(name, '/')[1] AS namespace, count(*) AS n FROM ent WHERE kind = 'concept' AND name LIKE '%/%' GROUP BY 1, 2",
-    "query_terms": "WITH q AS (SELECT DISTINCT body, list_filter(regexp_split_to_array(trim(body), '\\s+'), lambda t: length(t) >= 2) AS t FROM query_log WHERE body IS NOT NULL), f AS (SELECT body, list_filter(t, lambda x, i: list_position(list_transform(t, lambda y: lower(y)), lower(x)) = i) AS f FROM q), k AS (SELECT *, list_filter(f, lambda x: lower(x) NOT IN (" + _STOPS + ")) AS k FROM f) SELECT body, array_to_string(CASE WHEN len(f) > 1 AND len(k) > 0 THEN k ELSE f END, '|') AS terms FROM k",
+    "shape_scores": ENT
+    + f" SELECT name, {SHAPE_SQL} AS shape FROM (SELECT DISTINCT name, string_split(string_split(name, '/')[-1], '::')[-1] AS leaf FROM ent WHERE name IS NOT NULL)",
+    "leaf_index": ENT
+    + " SELECT string_split(name, '/')[-1] AS leaf, string_split(name, '/')[1] AS namespace, count(*) AS n FROM ent WHERE kind = 'concept' AND name LIKE '%/%' GROUP BY 1, 2",
+    "query_terms": "WITH q AS (SELECT DISTINCT body, list_filter(regexp_split_to_array(trim(body), '\\s+'), lambda t: length(t) >= 2) AS t FROM query_log WHERE body IS NOT NULL), f AS (SELECT body, list_filter(t, lambda x, i: list_position(list_transform(t, lambda y: lower(y)), lower(x)) = i) AS f FROM q), k AS (SELECT *, list_filter(f, lambda x: lower(x) NOT IN ("
+    + _STOPS + ")) AS k FROM f) SELECT body, array_to_string(CASE WHEN len(f) > 1 AND len(k) > 0 THEN k ELSE f END, '|') AS terms FROM k",
     "stems": f"SELECT word, {_STEM} AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS word FROM documents)",
-    "slugs": ENT + " , s AS (SELECT DISTINCT tldr, regexp_replace(substr(regexp_replace(regexp_replace(lower(tldr), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48), '_+$', '') AS s FROM ent WHERE tldr IS NOT NULL) SELECT tldr, CASE WHEN s = '' THEN 'subject' ELSE s END AS slug FROM s",
-    "member_hashes": ENT + " SELECT partition_id, substr(sha256(string_agg(DISTINCT name, chr(10) ORDER BY name)), 1, 8) AS hash FROM ent WHERE kind = 'doc' AND name IS NOT NULL GROUP BY 1",
-    "tag_taxonomy": ENT + " , u AS (SELECT entity_id, array_to_string(list_sort(list_distinct(list_filter(CAST(CAST(tags AS JSON) AS VARCHAR[]), lambda x: x NOT IN ('curtain', 'jungle', 'inlet')))), ',') AS unknown FROM mem WHERE json_valid(tags) AND json_type(tags) = 'ARRAY') SELECT * FROM u WHERE unknown <> ''",
-    "memory_index": ENT + " SELECT e.id AS entity_id, substr('- ' || name || coalesce(' (' || mtype || ')', '') || coalesce(': ' || tldr, ''), 1, 160) AS line FROM ent e LEFT JOIN mem m ON m.entity_id = e.id WHERE kind = 'memory'",
+    "slugs": ENT
+    + " , s AS (SELECT DISTINCT tldr, regexp_replace(substr(regexp_replace(regexp_replace(lower(tldr), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48), '_+$', '') AS s FROM ent WHERE tldr IS NOT NULL) SELECT tldr, CASE WHEN s = '' THEN 'subject' ELSE s END AS slug FROM s",
+    "member_hashes": ENT
+    + " SELECT partition_id, substr(sha256(string_agg(DISTINCT name, chr(10) ORDER BY name)), 1, 8) AS hash FROM ent WHERE kind = 'doc' AND name IS NOT NULL GROUP BY 1",
+    "tag_taxonomy": ENT
+    + " , u AS (SELECT entity_id, array_to_string(list_sort(list_distinct(list_filter(CAST(CAST(tags AS JSON) AS VARCHAR[]), lambda x: x NOT IN ('curtain', 'jungle', 'inlet')))), ',') AS unknown FROM mem WHERE json_valid(tags) AND json_type(tags) = 'ARRAY') SELECT * FROM u WHERE unknown <> ''",
+    "memory_index": ENT
+    + " SELECT e.id AS entity_id, substr('- ' || name || coalesce(' (' || mtype || ')', '') || coalesce(': ' || tldr, ''), 1, 160) AS line FROM ent e LEFT JOIN mem m ON m.entity_id = e.id WHERE kind = 'memory'",
 }

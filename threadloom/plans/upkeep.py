@@ -23,7 +23,10 @@ def _lines(spark, sf_dir):
 
 def _evidence(spark, sf_dir):
     """Every term of a document as evidence on its own lines and, as code indexes have it, on the document's first line."""
-    rows = _lines(spark, sf_dir).select("path", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(BODY_TOKEN.replace("A-Z", "")), F.lit(0)))).alias("concept_id"))
+    rows = _lines(spark, sf_dir).select(
+        "path", "line_no",
+        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(BODY_TOKEN.replace("A-Z", "")), F.lit(0)))).alias("concept_id")
+    )
     whole = rows.select("path", F.lit(1).alias("line"), F.lit("defines").alias("linkage"), "concept_id").distinct()
     rows = rows.select("path", F.col("line_no").alias("line"), F.lit("mentions").alias("linkage"), "concept_id").unionByName(whole)
     return rows.withColumns({"entity": F.col("path"), "kind": F.lit("doc")})
@@ -31,7 +34,9 @@ def _evidence(spark, sf_dir):
 
 def _terms(rows):
     """Terms as concepts: the name and, in another spelling, the canonical name of a namespaced form."""
-    return rows.select("concept_id").distinct().select("concept_id", F.col("concept_id").alias("name"), F.concat(F.lit("keyword_"), F.col("concept_id")).alias("canonical_name"))
+    return rows.select("concept_id").distinct().select(
+        "concept_id", F.col("concept_id").alias("name"), F.concat(F.lit("keyword_"), F.col("concept_id")).alias("canonical_name")
+    )
 
 
 def evidence_grep(spark, sf_dir):
@@ -57,7 +62,10 @@ def evidence_grep_regex(spark, sf_dir):
 
 def _bits(spark, sf_dir):
     bits = read(spark, sf_dir, "bitmap_fragments")
-    return bits.select("linkage", F.shiftright("bit", 32).alias("concept_id"), F.col("bit").bitwiseAND(F.lit(0xFFFFFFFF)).alias("entity_id"), "partition_id", "written_at")
+    return bits.select(
+        "linkage", F.shiftright("bit", 32).alias("concept_id"), F.col("bit").bitwiseAND(F.lit(0xFFFFFFFF)).alias("entity_id"), "partition_id",
+        "written_at"
+    )
 
 
 def repair_links(spark, sf_dir):
@@ -67,7 +75,9 @@ def repair_links(spark, sf_dir):
 def deferred_links(spark, sf_dir):
     """Bits of three groups of partitions, gathered and merged at once; of equal links the first group's stays."""
     bits = _bits(spark, sf_dir).withColumn("linkage", F.translate(F.lower("linkage"), "_", "-"))
-    bits = bits.select("linkage", "concept_id", "entity_id", F.col("partition_id").cast("double").alias("weight"), F.col("partition_id").cast("long").alias("seq"))
+    bits = bits.select(
+        "linkage", "concept_id", "entity_id", F.col("partition_id").cast("double").alias("weight"), F.col("partition_id").cast("long").alias("seq")
+    )
     with upkeep.DeferredLinks(bits.drop("seq").limit(0)) as d:
         for i in range(3):
             d.add(bits.filter(F.col("partition_id") % 3 == i))
@@ -87,7 +97,8 @@ def add_memories(spark, sf_dir):
     """Every document as a memory of its partition, named by language: new ones, and one that is given several times."""
     g = store_graph(spark, sf_dir)
     batch = read(spark, sf_dir, "documents").select(
-        F.coalesce("partition_id", F.lit(1)).alias("partition_id"), F.concat(F.lit("doc/"), F.coalesce("lang", F.lit("-"))).alias("name"), F.col("text").alias("content"), F.lit("note").alias("mtype"), F.lit(None).cast("string").alias("tags"),
+        F.coalesce("partition_id", F.lit(1)).alias("partition_id"), F.concat(F.lit("doc/"), F.coalesce("lang", F.lit("-"))).alias("name"),
+        F.col("text").alias("content"), F.lit("note").alias("mtype"), F.lit(None).cast("string").alias("tags"),
         F.lit(None).cast("string").alias("metadata"), F.lit(1.5e9).alias("now"), F.col("doc_id").alias("seq"),
     )
     graph, bodies = upkeep.add_memories(g, memories(spark, sf_dir), batch)
@@ -118,7 +129,9 @@ def snapshot(spark, sf_dir):
     g, folder = store_graph(spark, sf_dir), upkeep.scratch(spark)
     upkeep.snapshot({"links": g.links.filter("linkage = 'defines'")}, folder, 1)
     upkeep.snapshot({"links": g.links}, folder, 2)
-    return upkeep.latest_snapshot(spark, folder, "links", [1, 2]).groupBy("linkage").agg(F.count(F.lit(1)).alias("n"), F.max("entity_id").alias("last"))
+    return upkeep.latest_snapshot(spark, folder, "links", [1, 2]).groupBy("linkage").agg(
+        F.count(F.lit(1)).alias("n"), F.max("entity_id").alias("last")
+    )
 
 
 # --- rules --------------------------------------------------------------------------------------------------------
@@ -129,7 +142,9 @@ def subjects(spark, sf_dir):
     e, m = entities(spark, sf_dir), memories(spark, sf_dir)
     typed = e.filter("kind = 'memory'").select("id", "partition_id").join(m.select(F.col("entity_id").alias("id"), "mtype"), "id")
     first = typed.filter("mtype = 'decision'").groupBy("partition_id").agg(F.min("id").alias("concept_id"))
-    filed = typed.join(first, "partition_id").filter("id != concept_id").select(F.lit("part-of").alias("linkage"), "concept_id", F.col("id").alias("entity_id"))
+    filed = typed.join(first, "partition_id").filter("id != concept_id").select(
+        F.lit("part-of").alias("linkage"), "concept_id", F.col("id").alias("entity_id")
+    )
     return analytics.subjects(e, m, filed, "decision").drop("updated_at")
 
 
@@ -143,9 +158,14 @@ def corpus(spark, sf_dir):
 def adoption(spark, sf_dir):
     """What keeps each project root from being used well, with what its partition holds as facts."""
     calls = log(spark, sf_dir).select("root", "kind", "invocation", F.col("source").alias("command"), "cardinality")
-    held = entities(spark, sf_dir).groupBy("partition_id").agg(F.count(F.lit(1)).alias("entities"), F.sum(F.when(F.col("updated_at") < F.col("created_at"), 1).otherwise(0)).alias("stale_files"))
+    held = entities(spark, sf_dir).groupBy("partition_id").agg(
+        F.count(F.lit(1)).alias("entities"), F.sum(F.when(F.col("updated_at") < F.col("created_at"), 1).otherwise(0)).alias("stale_files")
+    )
     roots = read(spark, sf_dir, "partitions").select(F.col("id").alias("partition_id"), F.col("root_path").alias("root"))
-    facts = roots.join(held, "partition_id", "left").select("root", F.coalesce("entities", F.lit(0)).alias("entities"), "stale_files", (F.col("partition_id") % 7 != 0).alias("running"), (F.col("partition_id") % 5 != 0).alias("supervised"))
+    facts = roots.join(held, "partition_id", "left").select(
+        "root", F.coalesce("entities", F.lit(0)).alias("entities"), "stale_files", (F.col("partition_id") % 7 != 0).alias("running"),
+        (F.col("partition_id") % 5 != 0).alias("supervised")
+    )
     return analytics.adoption(calls, ["root"], facts, ("query", "grep-replica", "recall-hook"))
 
 
@@ -183,7 +203,10 @@ def multi_rank(spark, sf_dir):
 
 def composites(spark, sf_dir):
     """After every third turn of a user, the two things it dealt with most so far, by a stream in several batches."""
-    ev = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.concat(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("-"), "event_type").alias("token"))
+    ev = read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"),
+        F.concat(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("-"), "event_type").alias("token")
+    )
     stream = runner.replayed(spark, ev, files_per_batch=1, order="seq")
     return runner.to_table(state.composites(stream, every=3, k=2), "composites")
 
@@ -191,7 +214,8 @@ def composites(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        evidence_grep, evidence_grep_words, evidence_grep_regex, repair_links, deferred_links, bulk_write, add_memories, bulk_forget, rename_partition, drop_vectors, snapshot, subjects, corpus, adoption, entity_texts, embed_entities,
+        evidence_grep, evidence_grep_words, evidence_grep_regex, repair_links, deferred_links, bulk_write, add_memories, bulk_forget,
+        rename_partition, drop_vectors, snapshot, subjects, corpus, adoption, entity_texts, embed_entities,
         term_rank_fusion, multi_rank, composites,
     )
 }
@@ -206,7 +230,8 @@ _ORDER = "CASE concept_id " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumer
 _WEIGHT = "CASE linkage " + " ".join(f"WHEN '{v}' THEN {w}" for v, w in MULTI.items()) + " END"
 _CALLS = "SELECT root, lower(trim(kind)) AS kind, invocation, lower(trim(source)) AS command, cardinality FROM (SELECT DISTINCT * EXCLUDE (received_at) FROM query_log)"
 ORACLE = {
-    "evidence_grep": _EVIDENCE + "SELECT DISTINCT path, CAST(ev.line AS INTEGER) AS line, linkage, concept, path AS entity FROM ev JOIN ln USING (path) WHERE ln.no = ev.line AND concept ILIKE '%watermark%' AND contains(ln.line, 'watermark')",
+    "evidence_grep": _EVIDENCE
+    + "SELECT DISTINCT path, CAST(ev.line AS INTEGER) AS line, linkage, concept, path AS entity FROM ev JOIN ln USING (path) WHERE ln.no = ev.line AND concept ILIKE '%watermark%' AND contains(ln.line, 'watermark')",
     "evidence_grep_words": _EVIDENCE
     + "SELECT DISTINCT path, CAST(ev.line AS INTEGER) AS line, linkage, concept, path AS entity FROM ev JOIN ln USING (path) WHERE ln.no = ev.line AND (concept ILIKE '%inlet marble%' OR concept = 'inlet_marble') AND regexp_matches(ln.line, '(?i)inlet[_\\-\\s]?marble') ORDER BY 1, 2, 3, 4 LIMIT 100",
     "evidence_grep_regex": _EVIDENCE
@@ -215,9 +240,11 @@ ORACLE = {
     "deferred_links": "WITH b AS (SELECT replace(lower(linkage), '_', '-') AS linkage, bit >> 32 AS concept_id, bit & 4294967295 AS entity_id, CAST(partition_id AS DOUBLE) AS weight, partition_id AS p FROM bitmap_fragments) SELECT linkage, concept_id, entity_id, arg_min(weight, (p % 3) * 1000 + p) AS weight FROM b GROUP BY 1, 2, 3",
     "bulk_write": "SELECT 'n' || i AS name, 2 AS n, CAST(2 * i AS BIGINT) AS total FROM range(25) r(i)",
     "add_memories": "SELECT coalesce(partition_id, 1) AS partition_id, 'doc/' || coalesce(lang, '-') AS name, md5(arg_max(text, doc_id)) AS md5 FROM documents GROUP BY 1, 2",
-    "bulk_forget": ENT + " SELECT entity_id FROM mem JOIN ent e ON e.id = entity_id WHERE NOT (e.kind = 'memory' AND coalesce(e.protected, 0) = 0 AND name IS NOT NULL AND coalesce(mtype, '') LIKE 'obs%' AND coalesce(mem.updated_at < 1.77e9, false))",
+    "bulk_forget": ENT
+    + " SELECT entity_id FROM mem JOIN ent e ON e.id = entity_id WHERE NOT (e.kind = 'memory' AND coalesce(e.protected, 0) = 0 AND name IS NOT NULL AND coalesce(mtype, '') LIKE 'obs%' AND coalesce(mem.updated_at < 1.77e9, false))",
     "rename_partition": "SELECT id, CASE WHEN id = 3 THEN 'renamed' ELSE name END AS name FROM partitions",
-    "drop_vectors": ENT + " SELECT kind, count(CASE WHEN kind <> 'doc' THEN vectors_updated_at END) AS with_vector, count(*) AS n FROM ent GROUP BY 1",
+    "drop_vectors": ENT
+    + " SELECT kind, count(CASE WHEN kind <> 'doc' THEN vectors_updated_at END) AS with_vector, count(*) AS n FROM ent GROUP BY 1",
     "snapshot": STORE + "SELECT linkage, count(*) AS n, max(entity_id) AS last FROM lnk GROUP BY 1",
     "subjects": ENT
     + " , t AS (SELECT e.id, partition_id, name, mtype, json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.label') AS label FROM ent e JOIN mem m ON m.entity_id = e.id WHERE e.kind = 'memory'), f AS (SELECT partition_id, min(id) AS first FROM t WHERE mtype = 'decision' GROUP BY 1), l AS (SELECT first, count(*) AS n FROM t JOIN f USING (partition_id) WHERE t.id <> first GROUP BY 1) SELECT id, name, coalesce(nullif(label, ''), name) AS label, coalesce(n, 0) AS leaves FROM t LEFT JOIN l ON first = id WHERE mtype = 'decision'",

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("partitions", "entities", "concepts", "memory_content", "linkage_types", "entity_links", "evidence", "tracked_files", "saved_queries")
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, **options: str) -> DataFrame:
+def jdbc_table(
+    spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, **options: str
+) -> DataFrame:
     """A table over JDBC, read in parallel by ranges of a numeric key where bounds are given."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
     if key and bounds:

@@ -10,7 +10,9 @@ from collections import Counter
 from threadloom.sources.common import Findings
 
 #: Names that every program calls and that say nothing about it.
-COMMON_CALLS = set("print len str int float list dict set tuple range open isinstance getattr setattr hasattr super type sorted min max sum any all map filter zip enumerate repr format".split())
+COMMON_CALLS = set(
+    "print len str int float list dict set tuple range open isinstance getattr setattr hasattr super type sorted min max sum any all map filter zip enumerate repr format".split()
+)
 # Words of docstrings that aren't keywords.
 DOC_STOP = set(
     "the a an and or of to for in is are be this that it as on from with by if into out not but so we you i me my our use used uses using see also can may must will should would could args arg kwargs kwarg param params return "
@@ -85,7 +87,8 @@ SQL_WORDS = set(
 
 
 def parse_sql(found: Findings, text: str) -> None:
-    """What a SQL script defines, what its functions' bodies mention and call, and what it calls outside of them; comments count for nothing, names by their last part."""
+    """What a SQL script defines, what its functions' bodies mention and call, and what it calls outside of them; comments count for nothing,
+    names by their last part."""
     plain = _COMMENT.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
     last = lambda n: re.split(r"\s*\.\s*", n)[-1].strip('"')
     line = lambda at: plain.count("\n", 0, at) + 1
@@ -128,7 +131,8 @@ def type_names(text: str | None) -> list[str]:
 
 
 def parse_pseudo(found: Findings, text: str) -> None:
-    """Pseudo code: ``Name:`` heads a type with fields or an enum with values, ``name(parameters) -> type:`` a routine with a body, ``from x import y`` an import.
+    """Pseudo code: ``Name:`` heads a type with fields or an enum with values, ``name(parameters) -> type:`` a routine with a body, ``from x
+    import y`` an import.
 
     Types in fields, parameters, results and bodies are mentioned; bodies call, but not themselves; values of enums count for nothing.
     """
@@ -169,7 +173,8 @@ def parse_pseudo(found: Findings, text: str) -> None:
 
 
 def parse_call_graph(found: Findings, text: str) -> None:
-    """``{edges: [{from_file, from_func, to_file, to_func}]}``: both ends define their function; calls and called_by between them. Ends may be missing."""
+    """``{edges: [{from_file, from_func, to_file, to_func}]}``: both ends define their function; calls and called_by between them. Ends may be
+    missing."""
     for e in json.loads(text).get("edges", []):
         ends = [(e.get(f"{side}_file"), e.get(f"{side}_func")) for side in ("from", "to")]
         names = [f"{file}::{func}" if file and func else None for file, func in ends]
@@ -184,7 +189,8 @@ def parse_call_graph(found: Findings, text: str) -> None:
 
 
 def parse_units(found: Findings, text: str) -> None:
-    """``{path, units: [{name, unit_type, summary, calls, called_by, imports, dependencies, line}]}``: each unit defines its name and is a ``kind/<type>``; calls follow, imports by file."""
+    """``{path, units: [{name, unit_type, summary, calls, called_by, imports, dependencies, line}]}``: each unit defines its name and is a
+    ``kind/<type>``; calls follow, imports by file."""
     doc = json.loads(text)
     path = doc.get("path") or found.path
     found.entity(path, "code", doc.get("summary"))
@@ -209,13 +215,15 @@ CERTAINTY = {"EXTRACTED": 1.0, "INFERRED": 0.5, "AMBIGUOUS": 0.3}
 
 # What relations are called here.
 RELATIONS = {
-    "contains": "has-part", "inherits": "is_a", "implements": "defines", "references": "mentions", "uses": "depends-on", "cites": "related-to", "method": "has-part", "rationale_for": "specifies",
+    "contains": "has-part", "inherits": "is_a", "implements": "defines", "references": "mentions", "uses": "depends-on", "cites": "related-to",
+    "method": "has-part", "rationale_for": "specifies",
     "conceptually_related_to": "related-to", "semantically_similar_to": "similar_to",
 }
 
 
 def parse_cross_graph(found: Findings, text: str) -> None:
-    """``{nodes: [{id, label, file_type}], links: [{source, target, relation, weight, confidence, confidence_score, source_location}]}``: links from a node's concept to the other node.
+    """``{nodes: [{id, label, file_type}], links: [{source, target, relation, weight, confidence, confidence_score, source_location}]}``: links
+    from a node's concept to the other node.
 
     Every node is an entity ``graphify::id`` and a concept ``gf/id``. Links without a relation or with an unknown end are left out.
     """
@@ -228,4 +236,7 @@ def parse_cross_graph(found: Findings, text: str) -> None:
         if e.get("relation") and e.get("source") in ids and e.get("target") in ids:
             weight = float(e.get("weight") or 1.0) * CERTAINTY.get(e.get("confidence") or "EXTRACTED", 1.0) * float(e.get("confidence_score") or 1.0)
             at = re.match(r"L(\d+)", e.get("source_location") or "")
-            found.link(RELATIONS.get(e["relation"], e["relation"]), f"gf/{e['source']}", f"graphify::{e['target']}", weight, int(at[1]) if at else None, e.get("context") or e.get("source_file"))
+            found.link(
+                RELATIONS.get(e["relation"], e["relation"]), f"gf/{e['source']}", f"graphify::{e['target']}", weight, int(at[1]) if at else None,
+                e.get("context") or e.get("source_file")
+            )

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: One row per finding: an entity (name, kind, path, tldr, meta), a link (linkage, concept, name, weight) or evidence (linkage, concept, name, line, detail).
+#: One row per finding: an entity (name, kind, path, tldr, meta), a link (linkage, concept, name, weight) or evidence (linkage, concept, name, line,
+#: detail).
 RECORD = "what string, path string, kind string, name string, tldr string, meta string, linkage string, concept string, weight double, line int, detail string"
 COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
 
@@ -24,7 +25,12 @@ class Findings:
         self.rows.append({"what": "entity", "path": self.path, "name": name, "kind": kind, "tldr": tldr, "meta": meta})
 
     def link(self, linkage: str, concept: str, name: str, weight: float | None = None, line: int | None = None, detail: str | None = None) -> None:
-        self.rows.append({"what": "link", "path": self.path, "linkage": linkage, "concept": concept, "name": name, "weight": weight, "line": line, "detail": detail})
+        self.rows.append(
+            {
+                "what": "link", "path": self.path, "linkage": linkage, "concept": concept, "name": name, "weight": weight, "line": line,
+                "detail": detail
+            }
+        )
 
 
 def parsed(files: DataFrame, parse: Callable[[Findings, str], object]) -> DataFrame:

@@ -37,9 +37,13 @@ def tree(spark: SparkSession, root: str, globs: Sequence[str] = (), ignore: Sequ
         reader = reader.option("pathGlobFilter", globs[0])
     base = root.rstrip("/") + "/"
     rows = reader.load(root).withColumn("path", F.regexp_replace(F.col("path"), r"^file:/+", "/"))
-    rows = rows.withColumn("path", F.when(F.col("path").startswith(base), F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))).otherwise(F.col("path")))
+    rows = rows.withColumn(
+        "path", F.when(F.col("path").startswith(base), F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))).otherwise(F.col("path"))
+    )
     rows = rows.withColumn("kind", kind_of(F.col("path"))).filter(F.col("kind").isNotNull() & ~ignored(F.col("path"), ignore))
-    return rows.select("path", (F.unix_millis("modificationTime") / 1000.0).alias("mtime"), "length", F.decode(F.col("content"), "UTF-8").alias("text"), "kind")
+    return rows.select(
+        "path", (F.unix_millis("modificationTime") / 1000.0).alias("mtime"), "length", F.decode(F.col("content"), "UTF-8").alias("text"), "kind"
+    )
 
 
 def changed(files: DataFrame, tracked: DataFrame) -> DataFrame:

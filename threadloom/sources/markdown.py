@@ -60,7 +60,10 @@ def nodes_of(text: str, doc_id: str) -> tuple[dict, list[dict]]:
     """Front matter and the nodes of a document: id, line, level, title, parent, body, rels [(line, verb, target)], refs [(line, target)], aliases."""
     lines = text.splitlines()
     meta, start = front_matter(lines)
-    root = {"id": meta.get("id") or doc_id, "line": 1, "level": 0, "title": meta.get("title", ""), "parent": None, "body": [], "rels": [], "refs": [], "aliases": []}
+    root = {
+        "id": meta.get("id") or doc_id, "line": 1, "level": 0, "title": meta.get("title", ""), "parent": None, "body": [], "rels": [], "refs": [],
+        "aliases": []
+    }
     nodes, stack, fence = [root], [root], None
     for n, line in enumerate(lines[start:], start + 1):
         mark = re.match(r"^\s*(```|~~~)", line)
@@ -78,7 +81,10 @@ def nodes_of(text: str, doc_id: str) -> tuple[dict, list[dict]]:
                 stack.pop()
             slug = re.sub(r"[^a-z0-9]+", "-", title.lower()).strip("-") or f"line-{n}"
             alias = attrs.get("alias", [])
-            node = {"id": f"{root['id']}#{anchor[1] if anchor else slug}", "line": n, "level": len(head[1]), "title": title, "parent": stack[-1]["id"], "body": [], "rels": [], "refs": [], "aliases": alias if isinstance(alias, list) else [alias]}
+            node = {
+                "id": f"{root['id']}#{anchor[1] if anchor else slug}", "line": n, "level": len(head[1]), "title": title, "parent": stack[-1]["id"],
+                "body": [], "rels": [], "refs": [], "aliases": alias if isinstance(alias, list) else [alias]
+            }
             nodes.append(node)
             stack.append(node)
         elif rel := RELATION.match(plain):

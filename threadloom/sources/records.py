@@ -39,7 +39,8 @@ def header(text: str) -> dict[str, str]:
 
 
 def parse_decision(found: Findings, text: str) -> None:
-    """A decision record: its hub ``adr/NNNN``, governed names by its status, and, weighted by status and authority, the records it refers to and its class trees."""
+    """A decision record: its hub ``adr/NNNN``, governed names by its status, and, weighted by status and authority, the records it refers to and
+    its class trees."""
     fields = header(text)
     n = NUMBER.search(found.path) or NUMBER.search(text[:200])
     own = f"{int(n[1] or n[2]):04d}" if n else found.path.rsplit("/", 1)[-1]
@@ -66,7 +67,8 @@ def parse_bold(found: Findings, text: str) -> None:
 
 
 def parse_classes(found: Findings, text: str, worth: float = 1.0) -> None:
-    """Class trees (``+-- Name (Base)``) anywhere and classes in fenced blocks: definitions and subtypes with authority, methods and types of their bodies as mentions."""
+    """Class trees (``+-- Name (Base)``) anywhere and classes in fenced blocks: definitions and subtypes with authority, methods and types of
+    their bodies as mentions."""
     fenced, owner, own = False, None, ""
 
     def define(m: re.Match, line: int) -> str:

@@ -23,7 +23,8 @@ _kept: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for this application, without a trailing slash. A session without the setting gets one if it is local, and an error if not."""
+    """The shared folder for this application, without a trailing slash. A session without the setting gets one if it is local, and an error if
+    not."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -58,13 +59,16 @@ def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
     return hashlib.sha256("|".join([*paths, *sorted(seen)]).encode()).hexdigest()[:16]
 
 
-def kept(spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[], DataFrame], partition_by: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+def kept(
+    spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[], DataFrame], partition_by: Sequence[str] = (),
+    order: Sequence[str] = ()
+) -> DataFrame:
     """A table that is built once for an application from source files and read by every query after that, as long as these files stay as they are.
 
     It is partitioned by ``partition_by`` and sorted by range of ``order`` within, so that filters on either read only what they need.
     """
     key = (shared_dir(spark), name, fingerprint(spark, sources))
-    if key not in _kept:
+    if key not in _kept or not _exists(spark, _kept[key]):
         path, df = new_path(spark, f"kept-{name}"), build()
         columns = [*partition_by, *order]
         if columns:
@@ -89,6 +93,11 @@ def _file_system(spark: SparkSession, path: str):
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, folder = _file_system(spark, path)
+    return fs.exists(folder)
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     fs, folder = _file_system(spark, path)
     fs.mkdirs(folder)

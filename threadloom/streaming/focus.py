@@ -69,7 +69,8 @@ class Focus:
         return {x: self.score(x, len(near[x]), norms) for x in self.nodes}
 
     def trim(self) -> None:
-        """Back to the budgets: the lowest scores go first, and of stubs the oldest. A heap of scores is kept as long as what they are measured by stays."""
+        """Back to the budgets: the lowest scores go first, and of stubs the oldest. A heap of scores is kept as long as what they are
+        measured by stays."""
         over = sum(not n[3] for n in self.nodes.values()) - self.budget
         stubs = sum(n[3] for n in self.nodes.values())
         if over <= 0 and stubs <= STUB_BUDGET:
@@ -108,7 +109,9 @@ class Focus:
 
     def frame(self, session: str) -> pd.DataFrame:
         score = self.scores()
-        rows = [(session, x, n[0], n[1], n[3], n[4], n[5], round(score[x], 9)) for x, n in sorted(self.nodes.items(), key=lambda i: (-score[i[0]], i[0]))]
+        rows = [
+            (session, x, n[0], n[1], n[3], n[4], n[5], round(score[x], 9)) for x, n in sorted(self.nodes.items(), key=lambda i: (-score[i[0]], i[0]))
+        ]
         return pd.DataFrame(rows, columns=["session", "name", "recency", "freq", "stub", "first_turn", "last_turn", "score"])
 
     def pairs(self) -> list[tuple[str, str, float]]:
@@ -116,7 +119,8 @@ class Focus:
 
 
 def focus_graphs(events: DataFrame, budget: int = NODE_BUDGET) -> DataFrame:
-    """The nodes of every session's graph after all of its events (session string, seq, kind, refs array<string>). A session's ring is bounded by its owner."""
+    """The nodes of every session's graph after all of its events (session string, seq, kind, refs array<string>). A session's ring is bounded by
+    its owner."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         focus = Focus(budget=budget)
@@ -138,4 +142,6 @@ def focus_stream(events: DataFrame, budget: int = NODE_BUDGET) -> DataFrame:
         state.update((focus.dump(),))
         yield focus.frame(key[0])
 
-    return events.select("session", "seq", "kind", "refs").groupBy("session").applyInPandasWithState(process, OUT, "graph string", "update", GroupStateTimeout.NoTimeout)
+    return events.select("session", "seq", "kind", "refs").groupBy("session").applyInPandasWithState(
+        process, OUT, "graph string", "update", GroupStateTimeout.NoTimeout
+    )

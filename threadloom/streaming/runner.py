@@ -32,7 +32,9 @@ def to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run an append stream over all that is there and return its output."""
     spark = stream.sparkSession
     out = new_path(spark, name)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", new_path(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start(out)
+    query = stream.writeStream.format("parquet").option(
+        "checkpointLocation", new_path(spark, f"{name}-state")
+    ).outputMode("append").trigger(availableNow=True).start(out)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -48,7 +50,9 @@ def latest_of_updates(stream: DataFrame, keys: Sequence[str], name: str, mode: s
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", new_path(spark, f"{name}-state")).outputMode(mode).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).option(
+        "checkpointLocation", new_path(spark, f"{name}-state")
+    ).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.option("basePath", out).parquet(f"{out}/*").drop("batch")
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_batch")))).filter("_n = 1").drop("_n", "_batch")
@@ -56,5 +60,7 @@ def latest_of_updates(stream: DataFrame, keys: Sequence[str], name: str, mode: s
 
 def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], name: str) -> None:
     """Run ``work`` on each micro-batch until the input is used up; at least once per batch, so work must bear repetition."""
-    query = stream.writeStream.foreachBatch(work).option("checkpointLocation", new_path(stream.sparkSession, f"{name}-state")).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(work).option(
+        "checkpointLocation", new_path(stream.sparkSession, f"{name}-state")
+    ).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -24,7 +24,9 @@ def live_entities(log: DataFrame) -> DataFrame:
     own = F.col("op") == "entity"
     last = lambda c: F.max_by(c, F.when(own & F.col(c).isNotNull(), at)).alias(c)
     rows = log.filter(F.col("op").isin("entity", "tombstone"))
-    out = rows.groupBy("kind", "name").agg(last("path"), last("value"), F.max(F.when(own, F.col("ts"))).alias("ts"), F.max(F.when(F.col("op") == "tombstone", F.col("ts"))).alias("dead"))
+    out = rows.groupBy("kind", "name").agg(
+        last("path"), last("value"), F.max(F.when(own, F.col("ts"))).alias("ts"), F.max(F.when(F.col("op") == "tombstone", F.col("ts"))).alias("dead")
+    )
     return out.withColumn("alive", F.col("ts").isNotNull() & (F.col("dead").isNull() | (F.col("dead") < F.col("ts")))).drop("dead")
 
 
@@ -35,7 +37,8 @@ def channel_heads(messages: DataFrame, pattern: str = "*") -> DataFrame:
 
 
 def calls_in_flight(events: DataFrame, after_s: int = ABANDONED_AFTER_S, delay: str = "0 seconds") -> DataFrame:
-    """(id, begun, ended, outcome): tool calls from their begin and end events (id, phase, at); a call that isn't ended within ``after_s`` is ``abandoned``.
+    """(id, begun, ended, outcome): tool calls from their begin and end events (id, phase, at); a call that isn't ended within ``after_s`` is
+    ``abandoned``.
 
     Timers run in event time: they expire when the watermark passes begin + after_s. An end without a begin within that time is ``orphan``.
     """
@@ -44,7 +47,12 @@ def calls_in_flight(events: DataFrame, after_s: int = ABANDONED_AFTER_S, delay:
         begun, ended = state.get if state.exists else (None, None)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"id": [key[0]], "begun": pd.array([begun], "Int64"), "ended": pd.array([ended], "Int64"), "outcome": ["abandoned" if begun is not None else "orphan"]})
+            yield pd.DataFrame(
+                {
+                    "id": [key[0]], "begun": pd.array([begun], "Int64"), "ended": pd.array([ended], "Int64"),
+                    "outcome": ["abandoned" if begun is not None else "orphan"]
+                }
+            )
             return
         for frame in frames:
             for phase, ms in zip(frame["phase"], frame["ms"]):
@@ -56,17 +64,25 @@ def calls_in_flight(events: DataFrame, after_s: int = ABANDONED_AFTER_S, delay:
             if state.exists:
                 state.remove()
             late = ended - begun > after_s * 1000
-            yield pd.DataFrame({"id": [key[0]], "begun": pd.array([begun], "Int64"), "ended": pd.array([ended], "Int64"), "outcome": ["abandoned" if late else "done"]})
+            yield pd.DataFrame(
+                {
+                    "id": [key[0]], "begun": pd.array([begun], "Int64"), "ended": pd.array([ended], "Int64"),
+                    "outcome": ["abandoned" if late else "done"]
+                }
+            )
         else:
             state.update((begun, ended))
             state.setTimeoutTimestamp(max((begun if begun is not None else ended) + after_s * 1000, state.getCurrentWatermarkMs() + 1))
 
     rows = events.withColumn("ms", F.unix_millis("at")).withWatermark("at", delay)
-    return rows.groupBy("id").applyInPandasWithState(process, "id string, begun long, ended long, outcome string", "begun long, ended long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("id").applyInPandasWithState(
+        process, "id string, begun long, ended long, outcome string", "begun long, ended long", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def last_touches(events: DataFrame, token: str, k: int = 5) -> DataFrame:
-    """(token, touches): the last k (ts, ring, line) of each token, rising; an update per token and batch. The state holds k touches for each token."""
+    """(token, touches): the last k (ts, ring, line) of each token, rising; an update per token and batch. The state holds k touches for each
+    token."""
     kinds = dict(events.dtypes)
     touch = ["ts", "ring", "line"]
 
@@ -79,7 +95,8 @@ def last_touches(events: DataFrame, token: str, k: int = 5) -> DataFrame:
 
     row = ", ".join(f"{c}: {kinds[c]}" for c in touch)
     return events.groupBy(token).applyInPandasWithState(
-        process, f"{token} {kinds[token]}, touches array<struct<{row}>>", ", ".join(f"{c} array<{kinds[c]}>" for c in touch), "update", GroupStateTimeout.NoTimeout
+        process, f"{token} {kinds[token]}, touches array<struct<{row}>>", ", ".join(f"{c} array<{kinds[c]}>" for c in touch), "update",
+        GroupStateTimeout.NoTimeout
     )
 
 
@@ -91,9 +108,11 @@ def touch_notes(touches: DataFrame, token: str, now: float, current: str, age_s:
 
 
 def composites(tokens: DataFrame, every: int = 5, k: int = 3) -> DataFrame:
-    """(session, turn, composite): after every ``every``-th turn of a session, the ``k`` tokens it has dealt with most so far, as ``token=n`` and by name where equal.
+    """(session, turn, composite): after every ``every``-th turn of a session, the ``k`` tokens it has dealt with most so far, as ``token=n`` and
+    by name where equal.
 
-    ``tokens`` is a stream of turns (session, seq, token), those of one micro-batch in any order. The state is a count for each distinct token of a session.
+    ``tokens`` is a stream of turns (session, seq, token), those of one micro-batch in any order. The state is a count for each distinct token of
+    a session.
     """
 
     def process(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -113,4 +132,6 @@ def composites(tokens: DataFrame, every: int = 5, k: int = 3) -> DataFrame:
         yield pd.DataFrame({"session": [key[0]] * len(turns), "turn": pd.array(turns, "int64"), "composite": made})
 
     held = "turn long, names array<string>, counts array<long>"
-    return tokens.groupBy("session").applyInPandasWithState(process, "session string, turn long, composite string", held, "append", GroupStateTimeout.NoTimeout)
+    return tokens.groupBy("session").applyInPandasWithState(
+        process, "session string, turn long, composite string", held, "append", GroupStateTimeout.NoTimeout
+    )

@@ -13,13 +13,17 @@ def windowed_counts(events: DataFrame, time: str, key: str, size: str, slide: st
     return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "value")
 
 
-def debounced(changes: DataFrame, time: str, path: str, quiet: str = "500 milliseconds", delay: str = "0 seconds", root: str | None = None) -> DataFrame:
+def debounced(
+    changes: DataFrame, time: str, path: str, quiet: str = "500 milliseconds", delay: str = "0 seconds", root: str | None = None
+) -> DataFrame:
     """(root, start, end, paths, n): bursts of file changes that end after a quiet period, each path once, in order.
 
     ``root`` names the column of what is watched; without it all changes form one burst together.
     """
     key = F.col(root) if root else F.lit("")
-    rows = changes.withColumn("_root", key).withWatermark(time, delay).groupBy(F.session_window(time, quiet).alias("w"), "_root").agg(F.array_sort(F.collect_set(path)).alias("paths"), F.count(F.lit(1)).alias("n"))
+    rows = changes.withColumn("_root", key).withWatermark(time, delay).groupBy(F.session_window(time, quiet).alias("w"), "_root").agg(
+        F.array_sort(F.collect_set(path)).alias("paths"), F.count(F.lit(1)).alias("n")
+    )
     return rows.select(F.col("_root").alias("root"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths", "n")
 
 

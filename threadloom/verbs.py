@@ -1,6 +1,7 @@
 """The verb surface: every operation of the store under one name, with its actions and parameters.
 
-``Store`` holds the tables; ``call`` runs a verb on it. Reading verbs return DataFrames; writing verbs return a new Store, as tables are immutable here, and
+``Store`` holds the tables; ``call`` runs a verb on it. Reading verbs return DataFrames; writing verbs return a new Store, as tables are immutable
+here, and
 ``save`` writes one as Parquet. ``schema`` describes the verbs as JSON for tools.
 """
 
@@ -33,7 +34,10 @@ class Store:
 
 
 def open_store(spark: SparkSession, folder: str) -> Store:
-    return Store(store_graph(spark, folder), read(spark, folder, "memory_content").distinct(), read(spark, folder, "partitions"), read(spark, folder, "query_log"))
+    return Store(
+        store_graph(spark, folder), read(spark, folder, "memory_content").distinct(), read(spark, folder, "partitions"),
+        read(spark, folder, "query_log")
+    )
 
 
 def save(store: Store, folder: str) -> None:
@@ -54,7 +58,12 @@ def schema() -> list[dict]:
     for name, f in sorted(VERBS.items()):
         params = list(inspect.signature(f).parameters.values())[1:]
         props = {p.name: {"type": kinds.get(type(p.default), "string")} for p in params}
-        out.append({"name": name, "description": (f.__doc__ or "").strip(), "inputSchema": {"type": "object", "properties": props, "required": [p.name for p in params if p.default is inspect.Parameter.empty]}})
+        out.append(
+            {
+                "name": name, "description": (f.__doc__ or "").strip(),
+                "inputSchema": {"type": "object", "properties": props, "required": [p.name for p in params if p.default is inspect.Parameter.empty]}
+            }
+        )
     return out
 
 
@@ -90,9 +99,9 @@ def save_query(store: Store, name: str, expression: str) -> Store:
 
 
 @verb
-def context_of(store: Store, ref: str, most_tokens: int = 2000) -> DataFrame:
-    """Context of a concept within a token budget."""
-    return context.context(store.graph, ref, most_tokens=most_tokens)
+def context_of(store: Store, ref: str, most_tokens: int = 2000, degree: int = 0) -> DataFrame:
+    """Context of a concept within a token budget, from degree 1 on with what a walk visits."""
+    return context.build_context(store.graph, ref, degree=degree, most_tokens=most_tokens)
 
 
 @verb
@@ -117,12 +126,15 @@ def locate(store: Store, name: str) -> DataFrame:
 def search(store: Store, text: str, limit: int = 50) -> DataFrame:
     """Memories whose name or body holds a text, newest first."""
     m = store.graph.entities.filter("kind = 'memory'").select(F.col("id").alias("entity_id"), "name").join(store.memories, "entity_id", "left")
-    return m.filter(F.lower(F.concat_ws("\n", "name", "content")).contains(text.lower())).orderBy(F.desc_nulls_last("created_at"), "entity_id").limit(limit)
+    return m.filter(
+        F.lower(F.concat_ws("\n", "name", "content")).contains(text.lower())
+    ).orderBy(F.desc_nulls_last("created_at"), "entity_id").limit(limit)
 
 
 @verb
 def graph(store: Store, action: str, name: str = "", depth: int = 1, k: int = 10, linkage: str = "mentions") -> DataFrame:
-    """neighbors, co_occur, top, related, visited, stats, footprint, timeline, pagerank, net, assoc. ``related`` solves the walk, ``visited`` pushes it; a timeline shows when the entities around a name changed."""
+    """neighbors, co_occur, top, related, visited, stats, footprint, timeline, pagerank, net, assoc. ``related`` solves the walk, ``visited``
+    pushes it; a timeline shows when the entities around a name changed."""
     g = store.graph
     seeds = lambda: dsl.resolve(g, [name]).select("concept_id")
     return _action(
@@ -130,9 +142,14 @@ def graph(store: Store, action: str, name: str = "", depth: int = 1, k: int = 10
             "neighbors": lambda: dsl.neighbors(g, seeds(), depth),
             "co_occur": lambda: dsl.co_occurrence(g, name, linkage).orderBy(F.desc("overlap"), "name", "concept_id").limit(k),
             "top": lambda: analytics.concept_density(g.links).orderBy(F.desc("total"), "concept_id").limit(k),
-            "related": lambda: walks.pagerank(walks.adjacency(g.links), 20, restart=seeds().select(F.col("concept_id").alias("id"), F.lit(1.0).alias("weight"))).orderBy(F.desc("score"), "id").limit(k),
+            "related": lambda: walks.pagerank(
+                walks.adjacency(g.links), 20, restart=seeds().select(F.col("concept_id").alias("id"), F.lit(1.0).alias("weight"))
+            ).orderBy(F.desc("score"), "id").limit(k),
             "visited": lambda: walks.related(g.links, g.entities, [r[0] for r in seeds().distinct().collect()], k),
-            "timeline": lambda: context.timeline(walks.footprint(g.links, seeds(), depth - 1), g.entities, g.entities.filter("path != ''").select(F.col("updated_at").alias("ts"), F.col("kind").alias("what"), "path")),
+            "timeline": lambda: context.timeline(
+                walks.footprint(g.links, seeds(), depth - 1), g.entities,
+                g.entities.filter("path != ''").select(F.col("updated_at").alias("ts"), F.col("kind").alias("what"), "path")
+            ),
             "stats": lambda: analytics.store_stats(g.entities, g.links),
             "footprint": lambda: walks.footprint(g.links, seeds(), depth),
             "pagerank": lambda: walks.pagerank(walks.adjacency(g.links)).orderBy(F.desc("score"), "id").limit(k),
@@ -145,13 +162,18 @@ def graph(store: Store, action: str, name: str = "", depth: int = 1, k: int = 10
 
 @verb
 def memory(
-    store: Store, action: str, ids: list | None = None, mtype: str = "", glob: str = "*", tags: list | None = None, any_of: bool = False, now: float = 0.0, seconds: float = 0.0, limit: int = 50,
-    batch: DataFrame | None = None, concept: str = "", linkage: str = "related-to", weight: float | None = None, partition: int = 1, dry_run: bool = True,
+    store: Store, action: str, ids: list | None = None, mtype: str = "", glob: str = "*", tags: list | None = None, any_of: bool = False,
+    now: float = 0.0, seconds: float = 0.0, limit: int = 50,
+    batch: DataFrame | None = None, concept: str = "", linkage: str = "related-to", weight: float | None = None, partition: int = 1,
+    dry_run: bool = True,
 ):
-    """get, list, recent, facets, by_tag, without_type, subjects, corpus, add, link, score, promote, retag, reclassify, forget, bulk_forget, dedup, brief.
+    """get, list, recent, facets, by_tag, without_type, subjects, corpus, add, link, score, promote, retag, reclassify, forget, bulk_forget,
+    dedup, brief.
 
-    ``add`` takes a batch (partition_id, name, content, mtype, tags, metadata, now, seq); ``link`` ties memories to a concept; ``score`` says how far a concept is reinforced;
-    ``promote`` copies memories, tagged ``behavior``, into another partition; ``bulk_forget`` goes by globs of type and name and lists them unless dry_run is off.
+    ``add`` takes a batch (partition_id, name, content, mtype, tags, metadata, now, seq); ``link`` ties memories to a concept; ``score`` says how
+    far a concept is reinforced;
+    ``promote`` copies memories, tagged ``behavior``, into another partition; ``bulk_forget`` goes by globs of type and name and lists them unless
+    dry_run is off.
     """
     m, g = store.memories, store.graph
     ids, tags = ids or [], tags or []
@@ -162,7 +184,9 @@ def memory(
 
     def link() -> Store:
         at = dsl.resolve(g, [concept]).select("concept_id").distinct().withColumn("one", F.lit(1))
-        links = chosen.select(F.lit(linkage).alias("linkage"), "entity_id", F.lit(1).alias("one")).join(at, "one").select("linkage", "concept_id", "entity_id", F.lit(weight).cast("double").alias("weight"), F.lit(0).cast("long").alias("seq"))
+        links = chosen.select(F.lit(linkage).alias("linkage"), "entity_id", F.lit(1).alias("one")).join(at, "one").select(
+            "linkage", "concept_id", "entity_id", F.lit(weight).cast("double").alias("weight"), F.lit(0).cast("long").alias("seq")
+        )
         return replace(store, graph=replace(g, links=mutate.merge_links(g.links, links, "update")))
 
     def score() -> DataFrame:
@@ -172,7 +196,10 @@ def memory(
     def promote() -> Store:
         names = g.entities.select(F.col("id").alias("entity_id"), "name")
         tagged = mutate.retag(chosen, chosen, ["behavior"]).join(names, "entity_id")
-        given = tagged.select(F.lit(partition).alias("partition_id"), "name", "content", "mtype", "tags", "metadata", F.lit(now).alias("now"), F.col("entity_id").alias("seq"))
+        given = tagged.select(
+            F.lit(partition).alias("partition_id"), "name", "content", "mtype", "tags", "metadata", F.lit(now).alias("now"),
+            F.col("entity_id").alias("seq")
+        )
         return changed(*upkeep.add_memories(g, m, given))
 
     def bulk_forget():
@@ -189,7 +216,9 @@ def memory(
             "by_tag": lambda: analytics.tagged(m, tags, any_of),
             "without_type": lambda: analytics.without_types(m, [glob]),
             "subjects": lambda: analytics.subjects(g.entities, m, g.links),
-            "corpus": lambda: named().filter(analytics.in_corpus(F.col("name"), F.col("mtype"), F.col("tags"), "pattern" if mtype == "pattern" else "memory")),
+            "corpus": lambda: named().filter(
+                analytics.in_corpus(F.col("name"), F.col("mtype"), F.col("tags"), "pattern" if mtype == "pattern" else "memory")
+            ),
             "add": lambda: changed(*upkeep.add_memories(g, m, batch)),
             "link": link,
             "score": score,
@@ -206,12 +235,16 @@ def memory(
 
 
 @verb
-def grep(store: Store, pattern: str, regex: bool = False, ignore_case: bool = False, word: bool = False, root: str = "", limit: int = 100) -> DataFrame:
+def grep(
+    store: Store, pattern: str, regex: bool = False, ignore_case: bool = False, word: bool = False, root: str = "", limit: int = 100
+) -> DataFrame:
     """Evidence of concepts that a pattern names; with a root, checked against the lines of the files there."""
     g = store.graph
     if g.evidence is None:
         raise ValueError("the store has no evidence")
-    named = g.evidence.join(g.entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity"), "kind"), "entity_id").withColumnRenamed("file", "path")
+    named = g.evidence.join(
+        g.entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity"), "kind"), "entity_id"
+    ).withColumnRenamed("file", "path")
     lines = files.lines_of(files.tree(store.memories.sparkSession, root)) if root else None
     return evidence.grep_evidence(named, g.concepts(), lines, pattern, regex, ignore_case, word, limit=limit)
 
@@ -242,14 +275,22 @@ def session(store: Store, action: str, folder: str = "", ref: str = "", text: st
     """list, recall, show, stats of the transcripts in a folder."""
     rows = sessions.transcript(store.memories.sparkSession, folder)
     cards = sessions.session_cards(rows)
-    return _action({"list": lambda: reports.list_sessions(cards, 0, k), "recall": lambda: reports.recall_sessions(cards, text, k=k), "show": lambda: reports.show_session(cards, ref), "stats": lambda: sessions.tree_stats(rows)}, action)()
+    return _action(
+        {
+            "list": lambda: reports.list_sessions(cards, 0, k), "recall": lambda: reports.recall_sessions(cards, text, k=k),
+            "show": lambda: reports.show_session(cards, ref), "stats": lambda: sessions.tree_stats(rows)
+        },
+        action
+    )()
 
 
 @verb
 def where(store: Store, name: str) -> DataFrame:
     """Where a name is found over all partitions: definitions, entities and memories that hold it."""
     found = context.locate(store.graph, name).select("entity_id", "name", "kind", "partition_id")
-    held = search(store, name).select("entity_id").join(store.graph.entities.select(F.col("id").alias("entity_id"), "name", "kind", "partition_id"), "entity_id")
+    held = search(store, name).select("entity_id").join(
+        store.graph.entities.select(F.col("id").alias("entity_id"), "name", "kind", "partition_id"), "entity_id"
+    )
     return found.unionByName(held.select("entity_id", "name", "kind", "partition_id")).distinct()
 
 
@@ -265,7 +306,9 @@ def taxonomy(store: Store, allowed: list) -> DataFrame:
     """Memories with tags that a taxonomy doesn't list."""
     from threadloom.functions.text import unknown_tags
 
-    return store.memories.select("entity_id", unknown_tags(F.from_json("tags", "array<string>"), allowed).alias("unknown")).filter(F.size("unknown") > 0)
+    return store.memories.select(
+        "entity_id", unknown_tags(F.from_json("tags", "array<string>"), allowed).alias("unknown")
+    ).filter(F.size("unknown") > 0)
 
 
 @verb
@@ -273,7 +316,10 @@ def publish(store: Store, channel: str, sender: str, value: str = "", ts: str =
     """A message put on a channel, after all that are there."""
     m = store.messages
     last = m.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
-    given = {"seq": F.col("last") + 1, "channel": F.lit(channel), "sender": F.lit(sender), "ts": F.lit(ts or None), "value": F.lit(value), "status": F.lit("active")}
+    given = {
+        "seq": F.col("last") + 1, "channel": F.lit(channel), "sender": F.lit(sender), "ts": F.lit(ts or None), "value": F.lit(value),
+        "status": F.lit("active")
+    }
     return replace(store, messages=m.unionByName(last.select(*[given.get(c, F.lit(None)).cast(m.schema[c].dataType).alias(c) for c in m.columns])))
 
 
@@ -315,7 +361,9 @@ def canon(store: Store, action: str, name: str = "") -> DataFrame:
     """find, siblings: canonical concepts of a name, and what is the same in other partitions."""
     ids = dsl.resolve(store.graph, [name])
     same = store.graph.links.filter(F.translate("linkage", "_", "-") == "same-as")
-    hubs = same.join(ids.select(F.col("concept_id").alias("entity_id")), "entity_id", "left_semi").select("concept_id").union(ids.select("concept_id")).distinct()
+    hubs = same.join(
+        ids.select(F.col("concept_id").alias("entity_id")), "entity_id", "left_semi"
+    ).select("concept_id").union(ids.select("concept_id")).distinct()
     return _action({"find": lambda: ids, "siblings": lambda: same.join(hubs, "concept_id", "left_semi").select("entity_id").distinct()}, action)()
 
 
@@ -340,7 +388,10 @@ def maintain(store: Store, action: str, src: int = 0, dst: int = 0, old: str = "
             "merge_partitions": merge,
             "rename_partition": lambda: replace(store, partitions=upkeep.rename_partition(store.partitions, old, new)),
             "snapshot": lambda: upkeep.snapshot({"entities": g.entities, "links": g.links, "memory_content": store.memories}, folder, version),
-            "drop_vectors": lambda: replace(store, vectors=upkeep.drop_vectors(store.vectors, g.entities)[0], graph=replace(g, entities=upkeep.drop_vectors(store.vectors, g.entities)[1])),
+            "drop_vectors": lambda: replace(
+                store, vectors=upkeep.drop_vectors(store.vectors, g.entities)[0],
+                graph=replace(g, entities=upkeep.drop_vectors(store.vectors, g.entities)[1])
+            ),
             "audit": lambda: analytics.partition_audit(g.entities, g.links, store.partitions),
             "counts": lambda: analytics.structural_counts(g.entities, g.links, store.memories),
             "pending_vectors": lambda: mutate.pending_vectors(g.entities),
@@ -377,7 +428,8 @@ def bus(store: Store, action: str, agent: str = "", pattern: str = "*", n: int =
     status = lambda s: replace(store, messages=analytics.retired(m, channel, F.lit(before).cast(m.schema["ts"].dataType), s))
     return _action(
         {
-            "channels": lambda: analytics.channel_stats(m), "unread": lambda: analytics.unread(m, c), "read": read_on, "archive": lambda: status("archived"), "delete": lambda: status("deleted"), "unarchive": lambda: status("active"),
+            "channels": lambda: analytics.channel_stats(m), "unread": lambda: analytics.unread(m, c), "read": read_on,
+            "archive": lambda: status("archived"), "delete": lambda: status("deleted"), "unarchive": lambda: status("active"),
             "purge": lambda: replace(store, messages=analytics.purged(m)),
         },
         action,
@@ -392,7 +444,9 @@ def recall(store: Store, terms: str, k: int = 10) -> DataFrame:
     words = content_terms_text(terms)
     ids = dsl.resolve(store.graph, words)
     spark = store.memories.sparkSession
-    numbered = ids.join(F.broadcast(spark.createDataFrame(list(enumerate(words)), "n int, word string")), F.col("term") == F.col("word")).select(F.col("n").alias("term"), "concept_id")
+    numbered = ids.join(
+        F.broadcast(spark.createDataFrame(list(enumerate(words)), "n int, word string")), F.col("term") == F.col("word")
+    ).select(F.col("n").alias("term"), "concept_id")
     return rank.content_rank(store.graph.links, numbered, len(words), limit=k, null_tf=1.0)
 
 
