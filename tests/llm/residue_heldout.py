@@ -1,4 +1,5 @@
-"""Held-out texts for the residue operator: written before its phrases were, from the looks of pages and templates at large, none from the test tables."""
+"""Held-out texts for the residue operator: written before its phrases were, from the looks of pages and templates at large, none from the test
+tables."""
 
 POSITIVE = [
     # error pages

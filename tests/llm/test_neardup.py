@@ -16,7 +16,9 @@ def brute(records, words, least, t, tt):
         w = re.findall(r"[a-z0-9_]+", (text or "").lower())
         if r is None or text is None or len(w) < least:
             continue
-        sets.append((r, {tuple(w[i : i + words]) for i in range(len(w) - words + 1)}, {x.strip().lower() for x in (tags or "").split(",") if x.strip()}))
+        sets.append(
+            (r, {tuple(w[i : i + words]) for i in range(len(w) - words + 1)}, {x.strip().lower() for x in (tags or "").split(",") if x.strip()})
+        )
     out = set()
     for i, (a, x, ta) in enumerate(sets):
         for b, y, tb in sets[i + 1 :]:
@@ -87,7 +89,10 @@ def test_signatures_meet_for_every_similar_pair():
 
 def test_copies_nulls_short_and_empty(spark):
     body = " ".join(f"t{i}" for i in range(30))
-    records = [(1, body, "a"), (2, body, "a"), (3, body.upper(), "A , a"), (4, None, "a"), (None, body, "a"), (5, "too short", "a"), (6, "", None), (1, body, "a"), (7, body, "q")]
+    records = [
+        (1, body, "a"), (2, body, "a"), (3, body.upper(), "A , a"), (4, None, "a"), (None, body, "a"), (5, "too short", "a"), (6, "", None),
+        (1, body, "a"), (7, body, "q")
+    ]
     assert run(spark, records, words=3) == [(1, 2), (1, 3), (2, 3)]
     assert run(spark, [], words=3) == []
     assert run(spark, [(1, "x " * 50_000, None), (2, "x " * 50_000, "[]")], words=3) == [(1, 2)]

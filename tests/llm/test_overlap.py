@@ -74,5 +74,7 @@ def test_p5_shared_has_small_sets_and_dissimilar_pairs(spark):
     from threadloom.llm.queries import QUERIES
 
     found = QUERIES["p5_shared"](spark, "/root/testdata/sf0.01").collect()
-    assert {(r.linkage, r.concept_a, r.concept_b, r.shared) for r in QUERIES["p5_overlap"](spark, "/root/testdata/sf0.01").collect()} < {(r.linkage, r.concept_a, r.concept_b, r.shared) for r in found}
+    assert {
+        (r.linkage, r.concept_a, r.concept_b, r.shared) for r in QUERIES["p5_overlap"](spark, "/root/testdata/sf0.01").collect()
+    } < {(r.linkage, r.concept_a, r.concept_b, r.shared) for r in found}
     assert any(min(r.size_a, r.size_b) < 20 for r in found) and any(r.shared * 10 < r.size_a + r.size_b - r.shared for r in found)

@@ -111,9 +111,14 @@ def test_positions_invert_the_demand(spark):
 
 
 def test_schedules_and_a_source_that_runs_out(spark):
-    docs = spark.createDataFrame([(i, "a" if i % 2 else "b", 10) for i in range(2000)] + [(10_000 + i, "short", 10) for i in range(10)], "doc long, source string, tokens long")
+    docs = spark.createDataFrame(
+        [(i, "a" if i % 2 else "b", 10) for i in range(2000)] + [(10_000 + i, "short", 10) for i in range(10)], "doc long, source string, tokens long"
+    )
     targets = spark.createDataFrame([("a", 0.45, 4), ("b", 0.45, 4), ("short", 0.1, 2)], "source string, target_share double, max_repeats int")
-    points = spark.createDataFrame([("a", 0.0, 1.0), ("a", 0.5, 0.0), ("a", 1.0, 0.0), ("b", None, 1.0), ("b", 2.0, 1.0), ("short", 0.3, 5.0)], "source string, at double, weight double")
+    points = spark.createDataFrame(
+        [("a", 0.0, 1.0), ("a", 0.5, 0.0), ("a", 1.0, 0.0), ("b", None, 1.0), ("b", 2.0, 1.0), ("short", 0.3, 5.0)],
+        "source string, at double, weight double"
+    )
     uses, goal = mx.mixture(docs, targets, total=20_000, tilt=0.0, schedules=points)
     got = uses.collect()
     assert max(r.position for r in got if r.source == "a") <= 0.5
@@ -126,7 +131,9 @@ def test_shares_caps_and_order(spark):
     rng = random.Random(15)
     docs = [(i, rng.choice(["a", "b", "b", "b", None, "other"]), rng.randrange(0, 50)) for i in range(3000)] + [(9001, "tiny", 100), (None, "a", 5)]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc long, source string, tokens long, position string")
-    targets = spark.createDataFrame([("a", 0.5, 4), ("b", 0.3, 1), ("tiny", 0.1, 3), ("none", 0.1, 2), ("zero", 0.0, 2)], "source string, target_share double, max_repeats int")
+    targets = spark.createDataFrame(
+        [("a", 0.5, 4), ("b", 0.3, 1), ("tiny", 0.1, 3), ("none", 0.1, 2), ("zero", 0.0, 2)], "source string, target_share double, max_repeats int"
+    )
     uses, goal = mx.mixture(df, targets, total=40_000)
     lines = {r.source: r for r in mx.shares(uses, goal).collect()}
     assert abs(lines["a"].tokens - 20_000) <= 50 and abs(lines["b"].tokens - 12_000) <= 50

@@ -20,13 +20,17 @@ def run(spark, data, wanted, kind="long"):
 
 def test_random_against_sorting(spark):
     rng = random.Random(4)
-    data = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(50), rng.randrange(10**6)])) for _ in range(3000)] + [("hot", i % 97) for i in range(5000)]
+    data = [
+        (rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(50), rng.randrange(10**6)])) for _ in range(3000)
+    ] + [("hot", i % 97) for i in range(5000)]
     for p in (1, 5000, 9500, 10000):
         assert run(spark, data, {"p": p}) == sorted(((g, n, v) for g, (n, v) in brute(data, p).items()), key=repr)
 
 
 def test_doubles_nan_zero_and_empty(spark):
-    assert run(spark, [("a", 0.0), ("a", -0.0), ("a", math.nan), ("a", None), ("a", math.inf)], {"p50": 5000, "p100": 10000}, "double") == [("a", 3, 0.0, math.inf)]
+    assert run(
+        spark, [("a", 0.0), ("a", -0.0), ("a", math.nan), ("a", None), ("a", math.inf)], {"p50": 5000, "p100": 10000}, "double"
+    ) == [("a", 3, 0.0, math.inf)]
     assert run(spark, [], {"p50": 5000}) == []
     assert run(spark, [("a", None)], {"p50": 5000}) == []
 

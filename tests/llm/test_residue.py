@@ -41,7 +41,10 @@ def test_no_cases(text):
 
 
 def test_rows_repeats_nulls_and_long_texts(spark):
-    data = [(1, "404 Not Found"), (1, "404 Not Found"), (2, None), (None, "Access denied"), (3, PROSE * 5000 + "Dear {{ name }},"), (4, "not found " + PROSE * 2000)]
+    data = [
+        (1, "404 Not Found"), (1, "404 Not Found"), (2, None), (None, "Access denied"), (3, PROSE * 5000 + "Dear {{ name }},"),
+        (4, "not found " + PROSE * 2000)
+    ]
     df = spark.createDataFrame([(*d, "x") for d in data], "doc long, text string, kind string")
     assert rows(find_residue(df, "doc", "text")) == [(1, "page"), (1, "page"), (3, "placeholder"), (None, "page")]
     assert rows(find_residue(df.limit(0), "doc", "text")) == []

@@ -52,7 +52,10 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((held[0], held[1], held[3], held[4]), schema.types)], schema=schema)
         held = (fields[-1], terms[-1], record[batch.num_rows - 1].as_py(), int(occurrences[-1]), int(records[-1]))
         if len(first) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(fields[:-1], pa.string()), pa.array(terms[:-1], pa.string()), pa.array(occurrences[:-1]), pa.array(records[:-1])], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fields[:-1], pa.string()), pa.array(terms[:-1], pa.string()), pa.array(occurrences[:-1]), pa.array(records[:-1])],
+                schema=schema
+            )
     if held:
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((held[0], held[1], held[3], held[4]), schema.types)], schema=schema)
 
@@ -74,9 +77,13 @@ def text_pairs(df: DataFrame, field: str, text: str, record: str, pattern: str =
     one record all count, as one record. Whole texts are read, however long.
     """
     # One shuffle: what follows it needs the rows by record, and finds them so.
-    rows = df.select(F.col(f"`{record}`").alias("record"), F.col(f"`{text}`").alias("text")).filter("record IS NOT NULL AND text IS NOT NULL").repartition("record").distinct()
+    rows = df.select(
+        F.col(f"`{record}`").alias("record"), F.col(f"`{text}`").alias("text")
+    ).filter("record IS NOT NULL AND text IS NOT NULL").repartition("record").distinct()
     terms = rows.select("record", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("term"))
-    return terms.groupBy("record", F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(field).alias("field"), "term", "record", "n")
+    return terms.groupBy("record", F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(field).alias("field"), "term", "record", "n"
+    )
 
 
 def frequencies(pairs: DataFrame) -> DataFrame:
@@ -84,7 +91,12 @@ def frequencies(pairs: DataFrame) -> DataFrame:
     # Terms first: sorts compare the first eight bytes of the first column before anything else.
     keys = ["term", "field", "record"]
     ordered = pairs.select("field", "term", "record", "n").repartitionByRange(*keys).sortWithinPartitions(*keys)
-    schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), T.StructField("occurrences", T.LongType()), T.StructField("records", T.LongType())])
+    schema = T.StructType(
+        [
+            T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), T.StructField("occurrences", T.LongType()),
+            T.StructField("records", T.LongType())
+        ]
+    )
     runs = ordered.mapInArrow(scan_runs, schema)
     return runs.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 

@@ -71,7 +71,9 @@ def parts_for(smallest: int, num: int, den: int) -> tuple[int, int]:
     return (max(1, two), max(1, three)) if spare >= 3 else (0, 0)
 
 
-def signatures(n: int, alone: int, tokens: np.ndarray, df: np.ndarray, num: int, den: int, edges: list[int], bounds: tuple[int, int] = CLASS_BOUNDS) -> list[tuple[int, int]]:
+def signatures(
+    n: int, alone: int, tokens: np.ndarray, df: np.ndarray, num: int, den: int, edges: list[int], bounds: tuple[int, int] = CLASS_BOUNDS
+) -> list[tuple[int, int]]:
     """(signature, band) of one set: n tokens, ``alone`` of them in no other set, the others by rising frequency."""
     slack = n - -(-n * num // den)
     if alone > slack:
@@ -119,7 +121,9 @@ def index_sets(sets: DataFrame, num: int, den: int, bounds: tuple[int, int] = CL
                 owns += [own] * len(found)
                 sigs += [s for s, _ in found]
                 bands += [b for _, b in found]
-            yield pd.DataFrame({"sig": sigs, "band": bands, "cid": cids, "n": ns, "own": owns}).astype({"sig": "int64", "band": "int32", "cid": "int64", "n": "int32", "own": "int32"})
+            yield pd.DataFrame({"sig": sigs, "band": bands, "cid": cids, "n": ns, "own": owns}).astype(
+                {"sig": "int64", "band": "int32", "cid": "int64", "n": "int32", "own": "int32"}
+            )
 
     return rows.mapInPandas(run, "sig long, band int, cid long, n int, own int")
 
@@ -130,15 +134,20 @@ def bitmap(tokens: str, lanes: int = LANES) -> list[Column]:
     return [F.expr(lane.format(t=tokens, n=lanes, k=k)).alias(f"bits{k}") for k in range(lanes)]
 
 
-def similar_sets(sets: DataFrame, num: int, den: int, bounds: tuple[int, int] = CLASS_BOUNDS, also: tuple[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+def similar_sets(
+    sets: DataFrame, num: int, den: int, bounds: tuple[int, int] = CLASS_BOUNDS, also: tuple[str, Callable[[Column, Column], Column]] | None = None
+) -> DataFrame:
     """(a, b, shared): every pair a < b of (cid, n, tokens) sets with Jaccard similarity of num/den or more. ``sets`` should be staged.
 
-    ``also`` names a column and a condition on its values in both sets. It and a bound from small bitmaps are looked at before the sets themselves move.
+    ``also`` names a column and a condition on its values in both sets. It and a bound from small bitmaps are looked at before the sets themselves
+    move.
     """
     index = index_sets(sets, num, den, bounds)
     a, b = (index.select("sig", "band", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "own")]) for s in "ab")
     # The band of a signature is that of the larger partner.
-    fits = (F.col("cid_a") < F.col("cid_b")) & (F.greatest("own_a", "own_b") == F.col("band")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    fits = (F.col("cid_a") < F.col("cid_b")) & (F.greatest("own_a", "own_b") == F.col("band")) & (
+        F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    )
     pairs = a.join(b, ["sig", "band"]).filter(fits).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
     small = sets.select("cid", "n", *bitmap("tokens"), *([F.col(also[0]).alias("extra")] if also else []))
     side = lambda s: small.select(F.col("cid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in small.columns[1:]])
@@ -158,10 +167,14 @@ def similar_sets(sets: DataFrame, num: int, den: int, bounds: tuple[int, int] =
 
 def text_classes(df: DataFrame, record: str, text: str, tags: str, words: int, least_words: int) -> tuple[DataFrame, DataFrame]:
     """Classes (cid, n, tokens, tags) of records with the same tokens and tags, and members (cid, record)."""
-    rows = df.select(F.col(f"`{record}`").alias("record"), F.col(f"`{text}`").alias("text"), F.col(f"`{tags}`").alias("tags")).filter("record IS NOT NULL AND text IS NOT NULL")
+    rows = df.select(
+        F.col(f"`{record}`").alias("record"), F.col(f"`{text}`").alias("text"), F.col(f"`{tags}`").alias("tags")
+    ).filter("record IS NOT NULL AND text IS NOT NULL")
     words_of = rows.repartition("record").distinct().select("record", "tags", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
     # No filter before the table is staged: it would be pushed down, and the words found again for every sequence.
-    rows = words_of.select("record", tag_set(F.col("tags")).alias("tags"), F.when(F.size("w") >= least_words, sequences_of(F.col("w"), words)).alias("tokens"))
+    rows = words_of.select(
+        "record", tag_set(F.col("tags")).alias("tags"), F.when(F.size("w") >= least_words, sequences_of(F.col("w"), words)).alias("tokens")
+    )
     rows = rows.withColumn("cid", F.xxhash64("tokens", "tags"))
     rows = stage(rows, "near-rows").filter(F.size("tokens") > 0)
     members = rows.select("cid", "record")
@@ -171,7 +184,8 @@ def text_classes(df: DataFrame, record: str, text: str, tags: str, words: int, l
 
 
 def near_duplicates(
-    df: DataFrame, record: str, text: str, tags: str, words: int = 5, least_words: int = 10, similarity: tuple[int, int] = (4, 5), tag_similarity: tuple[int, int] = (1, 2), bounds: tuple[int, int] = CLASS_BOUNDS
+    df: DataFrame, record: str, text: str, tags: str, words: int = 5, least_words: int = 10, similarity: tuple[int, int] = (4, 5),
+    tag_similarity: tuple[int, int] = (1, 2), bounds: tuple[int, int] = CLASS_BOUNDS
 ) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between classes of records that are largely the same text under largely the same tags, and members (cid, record).
 
@@ -207,7 +221,9 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         near = edges.join(labels.select(F.col("cid").alias("y"), "root"), "y").groupBy(F.col("x").alias("cid")).agg(F.min("root").alias("near"))
         jump = labels.select(F.col("cid").alias("root"), F.col("root").alias("far"))
-        new = labels.join(near, "cid", "left").join(jump, "root", "left").select("cid", F.least("root", "near", "far").alias("root"), F.col("root").alias("old"))
+        new = labels.join(near, "cid", "left").join(jump, "root", "left").select(
+            "cid", F.least("root", "near", "far").alias("root"), F.col("root").alias("old")
+        )
         new = stage(new, "labels")
         changed = new.filter("root != old").limit(1).count()
         labels = new.select("cid", "root")
@@ -226,4 +242,6 @@ def duplicate_groups(links: DataFrame, members: DataFrame) -> DataFrame:
     rows = members.join(roots, "cid", "left").join(degree, "cid", "left").join(size, "cid").filter("root IS NOT NULL OR size > 1")
     rows = rows.withColumn("root", F.coalesce("root", "cid"))
     smallest = rows.groupBy("root").agg(F.min("record").alias("group_id"))
-    return rows.join(smallest, "root").groupBy("record").agg(F.min("group_id").alias("group_id"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return rows.join(smallest, "root").groupBy("record").agg(
+        F.min("group_id").alias("group_id"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links")
+    )

@@ -117,14 +117,19 @@ def candidate_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     spread = sets.groupBy("grp", "id").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # Identifiers of one set only come first in its order; as many places are left open for them.
     shared = sets.join(spread, ["grp", "id"])
-    summed = running_totals(shared.select("grp", "sid", "n", "df", "id").withColumn("one", F.lit(1).cast("long")), ["grp", "sid"], ["df", "id"], "one", total="rank", whole="common")
+    summed = running_totals(
+        shared.select("grp", "sid", "n", "df", "id").withColumn("one", F.lit(1).cast("long")), ["grp", "sid"], ["df", "id"], "one", total="rank",
+        whole="common"
+    )
     place = F.col("n") - F.col("common") + F.col("rank")  # from 1
     prefix = summed.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1)
     a, b = (prefix.select("grp", "id", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "place")]) for s in "ab")
     need = F.ceil((F.col("n_a") + F.col("n_b")) * num / F.lit(num + den))
     still = F.lit(1) + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     fits = (F.col("sid_a") < F.col("sid_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (still >= need)
-    return a.join(b, ["grp", "id"]).filter(fits).select("grp", F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
+    return a.join(b, ["grp", "id"]).filter(fits).select(
+        "grp", F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")
+    ).distinct()
 
 
 def count_shared(pairs: DataFrame, coded: DataFrame, gallop_from: int = GALLOP_FROM) -> DataFrame:

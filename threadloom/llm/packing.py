@@ -8,7 +8,8 @@ that is left or a round saves no bin.
 
 An item larger than the capacity is cut into pieces of the capacity and a rest; no other item is ever split.
 
-Scale: a partition holds about ``items_per_part`` items whatever the input; only what lies in unfilled bins moves again. Sizes are numbers of tokens, so texts are read once and never shuffled.
+Scale: a partition holds about ``items_per_part`` items whatever the input; only what lies in unfilled bins moves again. Sizes are numbers of tokens,
+so texts are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -105,7 +106,12 @@ def least_bins(todo: DataFrame) -> dict[str, int]:
     counts = todo.groupBy("container", "capacity", "tokens").agg(F.count(F.lit(1)).alias("n"))
 
     def bound(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"container": [frame["container"].iloc[0]], "least": [bound_of_counts(frame["tokens"].to_numpy(), frame["n"].to_numpy(), int(frame["capacity"].iloc[0]))]})
+        return pd.DataFrame(
+            {
+                "container": [frame["container"].iloc[0]],
+                "least": [bound_of_counts(frame["tokens"].to_numpy(), frame["n"].to_numpy(), int(frame["capacity"].iloc[0]))]
+            }
+        )
 
     return {r["container"]: r["least"] for r in counts.groupBy("container").applyInPandas(bound, "container string, least long").collect()}
 
@@ -117,12 +123,17 @@ def _packed_part(frame: pd.DataFrame) -> pd.DataFrame:
 def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
     """(container, capacity, item, piece, tokens): every item for every container, cut where it is larger than that.
 
-    Items of size 0, and nulls in item or tokens, give no pieces. ``containers`` is a small table of up to MOST_CONTAINERS names, each with its largest capacity.
+    Items of size 0, and nulls in item or tokens, give no pieces. ``containers`` is a small table of up to MOST_CONTAINERS names, each with its
+    largest capacity.
     """
-    kinds = containers.filter("container IS NOT NULL AND capacity > 0").groupBy("container").agg(F.max("capacity")).limit(MOST_CONTAINERS + 1).collect()
+    kinds = containers.filter(
+        "container IS NOT NULL AND capacity > 0"
+    ).groupBy("container").agg(F.max("capacity")).limit(MOST_CONTAINERS + 1).collect()
     if len(kinds) > MOST_CONTAINERS:
         raise ValueError(f"more than {MOST_CONTAINERS} containers")
-    kind = F.array(*[F.struct(F.lit(r[0]).alias("container"), F.lit(r[1]).cast("int").alias("capacity")) for r in sorted(kinds)]).cast("array<struct<container:string,capacity:int>>")
+    kind = F.array(
+        *[F.struct(F.lit(r[0]).alias("container"), F.lit(r[1]).cast("int").alias("capacity")) for r in sorted(kinds)]
+    ).cast("array<struct<container:string,capacity:int>>")
     both = items.filter("item IS NOT NULL AND tokens > 0").select("item", "tokens", F.inline(kind))
     n = F.ceil(F.col("tokens") / F.col("capacity"))
     rows = both.select("container", "capacity", "item", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("piece"))
@@ -149,10 +160,17 @@ def pack(items: DataFrame, containers: DataFrame, items_per_part: int = ITEMS_PE
         sizes = todo.groupBy("container").count()
         parts = F.ceil(F.col("count") / F.lit(items_per_part)).cast("long")
         spread = todo.join(F.broadcast(sizes), "container").withColumn("part", F.pmod(F.xxhash64("item", "piece", F.lit(turn)), parts)).drop("count")  # a row per container
-        packed = stage(spread.select("container", "capacity", "item", "piece", "tokens", "part").groupBy("container", "part").applyInPandas(_packed_part, schema), "packed")
+        packed = stage(
+            spread.select(
+                "container", "capacity", "item", "piece", "tokens", "part"
+            ).groupBy("container", "part").applyInPandas(_packed_part, schema),
+            "packed"
+        )
         per_part = packed.groupBy("container", "part").agg(F.max("part_bins").alias("bins"), F.max("part_stays").alias("stays"))
         settled, going = [], False
-        for r in per_part.groupBy("container").agg(F.count(F.lit(1)).alias("parts"), F.sum("bins").alias("bins"), F.sum("stays").alias("stays")).collect():
+        for r in per_part.groupBy("container").agg(
+            F.count(F.lit(1)).alias("parts"), F.sum("bins").alias("bins"), F.sum("stays").alias("stays")
+        ).collect():
             name = r["container"]
             bins = kept[name] + r["bins"]
             if r["parts"] == 1 or bins <= least[name] or bins >= before.get(name, bins + 1):
@@ -165,7 +183,12 @@ def pack(items: DataFrame, containers: DataFrame, items_per_part: int = ITEMS_PE
         done.append(packed.filter(stays).withColumn("round", F.lit(turn)))
         todo = packed.filter(~stays).select("container", "capacity", "item", "piece", "tokens")
         turn += 1
-    out = whole.withColumns({"part": F.col("piece"), "bin": F.col("piece"), "bin_tokens": F.col("tokens"), "part_bins": F.lit(1).cast("long"), "part_bound": F.lit(1).cast("long"), "round": F.lit(0)})
+    out = whole.withColumns(
+        {
+            "part": F.col("piece"), "bin": F.col("piece"), "bin_tokens": F.col("tokens"), "part_bins": F.lit(1).cast("long"),
+            "part_bound": F.lit(1).cast("long"), "round": F.lit(0)
+        }
+    )
     cols = ["container", "capacity", "item", "piece", "tokens", "bin_tokens", "part_bins", "part_bound", "round"]
     name = F.concat_ws("-", "round", "part", "bin")
     out = out.select(*cols, F.concat_ws("-", F.lit("whole"), "item", "piece").alias("bin"))
@@ -178,7 +201,12 @@ def pack(items: DataFrame, containers: DataFrame, items_per_part: int = ITEMS_PE
 
 
 def filling(packed: DataFrame) -> DataFrame:
-    """(container, capacity, bins, pieces, tokens, unused, least_bins): what each kind of container came to, beside the certified least number of bins."""
-    per_bin = packed.groupBy("container", "capacity", "bin").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"), F.max("least_bins").alias("least"))
-    rows = per_bin.groupBy("container", "capacity").agg(F.count(F.lit(1)).alias("bins"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("least").alias("least_bins"))
+    """(container, capacity, bins, pieces, tokens, unused, least_bins): what each kind of container came to, beside the certified least number of
+    bins."""
+    per_bin = packed.groupBy("container", "capacity", "bin").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"), F.max("least_bins").alias("least")
+    )
+    rows = per_bin.groupBy("container", "capacity").agg(
+        F.count(F.lit(1)).alias("bins"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("least").alias("least_bins")
+    )
     return rows.withColumn("unused", F.col("bins") * F.col("capacity") - F.col("tokens"))

@@ -48,4 +48,6 @@ def percentiles(counts: DataFrame, groups: Sequence[str], wanted: Mapping[str, i
     any_hit = F.lit(False)
     for hit in hits.values():
         any_hit = any_hit | hit
-    return summed.filter(any_hit).groupBy(*groups).agg(F.max("whole").alias("n"), *[F.max(F.when(hit, F.col("value"))).alias(c) for c, hit in hits.items()])
+    return summed.filter(any_hit).groupBy(*groups).agg(
+        F.max("whole").alias("n"), *[F.max(F.when(hit, F.col("value"))).alias(c) for c, hit in hits.items()]
+    )

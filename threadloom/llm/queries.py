@@ -20,8 +20,12 @@ def _term_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _records_per_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field, total): the records with at least one term."""
-    names = read(spark, sf_dir, "entities").filter(F.col("canonical_name").rlike(r"\S")).select(F.lit("canonical_name").alias("field"), F.col("id").alias("record"))
-    texts = read(spark, sf_dir, "memory_content").filter(F.col("content").rlike(frequency.TERM)).select(F.lit("content").alias("field"), F.col("entity_id").alias("record"))
+    names = read(spark, sf_dir, "entities").filter(F.col("canonical_name").rlike(r"\S")).select(
+        F.lit("canonical_name").alias("field"), F.col("id").alias("record")
+    )
+    texts = read(spark, sf_dir, "memory_content").filter(F.col("content").rlike(frequency.TERM)).select(
+        F.lit("content").alias("field"), F.col("entity_id").alias("record")
+    )
     return names.unionByName(texts).groupBy("field").agg(F.countDistinct("record").alias("total"))
 
 
@@ -37,7 +41,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(day, kind, source, value, n) of known latencies, each call once: what is kept and combined."""
     calls = read(spark, sf_dir, "query_log").filter("latency_ms >= 0")
-    calls = calls.select("query_id", time_ms(F.col("ts")).alias("ms"), folded(F.col("kind")).alias("kind"), folded(F.col("source")).alias("source"), "latency_ms").filter("ms IS NOT NULL").distinct()
+    calls = calls.select(
+        "query_id", time_ms(F.col("ts")).alias("ms"), folded(F.col("kind")).alias("kind"), folded(F.col("source")).alias("source"), "latency_ms"
+    ).filter("ms IS NOT NULL").distinct()
     return percentiles.value_counts(calls.withColumn("day", day_of(F.col("ms"))), ["day", "kind", "source"], "latency_ms")
 
 
@@ -63,7 +69,9 @@ def p3_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    links, members = neardup.near_duplicates(read(spark, sf_dir, "memory_content"), "entity_id", "content", "tags", words=3, least_words=10, similarity=(3, 5), tag_similarity=(1, 2))
+    links, members = neardup.near_duplicates(
+        read(spark, sf_dir, "memory_content"), "entity_id", "content", "tags", words=3, least_words=10, similarity=(3, 5), tag_similarity=(1, 2)
+    )
     return stage(links, "near-links"), members
 
 
@@ -79,7 +87,8 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _link_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grp, sid, id): linkage, concept and entity of every bit whose concept and entity exist."""
     bits = read(spark, sf_dir, "bitmap_fragments").select(
-        F.translate(F.lower("linkage"), "_", "-").alias("grp"), F.shiftright("bit", 32).alias("sid"), F.col("bit").bitwiseAND(F.lit(0xFFFFFFFF)).alias("id")
+        F.translate(F.lower("linkage"), "_", "-").alias("grp"), F.shiftright("bit", 32).alias("sid"),
+        F.col("bit").bitwiseAND(F.lit(0xFFFFFFFF)).alias("id")
     )
     concepts = read(spark, sf_dir, "concepts").select(F.col("id").alias("sid")).distinct()
     entities = read(spark, sf_dir, "entities").select("id").distinct()
@@ -88,7 +97,10 @@ def _link_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _overlaps(spark: SparkSession, sf_dir: str, num: int, den: int, least: int = 20) -> DataFrame:
     found = overlap.overlaps(_link_sets(spark, sf_dir), least, num, den)
-    return found.select(F.col("grp").alias("linkage"), F.col("a").alias("concept_a"), F.col("b").alias("concept_b"), F.col("na").alias("size_a"), F.col("nb").alias("size_b"), "shared")
+    return found.select(
+        F.col("grp").alias("linkage"), F.col("a").alias("concept_a"), F.col("b").alias("concept_b"), F.col("na").alias("size_a"),
+        F.col("nb").alias("size_b"), "shared"
+    )
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,12 +122,18 @@ ENTITY_CELLS = ("name", "path", "tldr", "canonical_name")
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = survivor.same_thing_groups(read(spark, sf_dir, "entities"), "id", "kind", "name")
-    kinds = read(spark, sf_dir, "partitions").select(F.col("id").alias("partition_id"), F.col("kind").alias("part_kind")).dropDuplicates(["partition_id"])
+    kinds = read(spark, sf_dir, "partitions").select(
+        F.col("id").alias("partition_id"), F.col("kind").alias("part_kind")
+    ).dropDuplicates(["partition_id"])
     rows = rows.join(kinds, "partition_id", "left")
-    place = F.coalesce(F.when(F.col("part_kind") == "canon", 0).when(F.col("part_kind") == "repo", 1).when(F.col("part_kind") == "agent-scratch", 2), F.lit(3))
+    place = F.coalesce(
+        F.when(F.col("part_kind") == "canon", 0).when(F.col("part_kind") == "repo", 1).when(F.col("part_kind") == "agent-scratch", 2), F.lit(3)
+    )
     age = F.coalesce(-epoch_seconds(F.col("updated_at")), F.lit(1.0e300))
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ENTITY_CELLS]))
-    return rows.select("grp", F.col("id").alias("source"), place.alias("place"), age.alias("age"), cells.alias("cell")).select("grp", "source", "place", "age", "cell.field", "cell.value")
+    return rows.select(
+        "grp", F.col("id").alias("source"), place.alias("place"), age.alias("age"), cells.alias("cell")
+    ).select("grp", "source", "place", "age", "cell.field", "cell.value")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +155,9 @@ def p6_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     recency = 0.5 + 0.5 * F.pow(F.lit(2.0), -behind / HALF_LIFE_S)
     trust = F.element_at(F.array(*[F.lit(w) for w in CLASS_WEIGHTS]), F.col("place") + 1)
     weighed = cells.join(newest, ["grp", "field"]).withColumn("weight", trust * recency).drop("newest")
-    return survivor.survivors(weighed, ["place", "age"], weigh="weight").select(F.col("grp").alias("group_id"), "field", "value", F.col("source").alias("source_id"), "n_values", "n_rows", "distance")
+    return survivor.survivors(weighed, ["place", "age"], weigh="weight").select(
+        F.col("grp").alias("group_id"), "field", "value", F.col("source").alias("source_id"), "n_values", "n_rows", "distance"
+    )
 
 
 def _sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,14 +177,25 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold of the filling of each container: all documents with tokens are in, no bin is overfull, nothing that fits is split, pieces add up to their documents."""
+    """What must hold of the filling of each container: all documents with tokens are in, no bin is overfull, nothing that fits is split, pieces
+    add up to their documents."""
     items = _sized_documents(spark, sf_dir).select(F.col("doc_id").alias("item"), "tokens")
     packed = stage(packing.pack(items, read(spark, sf_dir, "containers").select("container", F.col("capacity_tokens").alias("capacity"))), "packed")
-    per_bin = packed.groupBy("container", "bin").agg(F.sum("tokens").alias("t"), F.max("capacity").alias("c"), F.max("bin_tokens").alias("said"), F.max("unused").alias("unused"))
-    bins = per_bin.groupBy("container").agg(F.sum(((F.col("t") > F.col("c")) | (F.col("t") != F.col("said")) | (F.col("t") + F.col("unused") != F.col("c"))).cast("int")).alias("wrong_bins"))
-    per_item = packed.groupBy("container", "item").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("capacity").alias("c")).join(items, "item")
+    per_bin = packed.groupBy("container", "bin").agg(
+        F.sum("tokens").alias("t"), F.max("capacity").alias("c"), F.max("bin_tokens").alias("said"), F.max("unused").alias("unused")
+    )
+    bins = per_bin.groupBy("container").agg(
+        F.sum(
+            ((F.col("t") > F.col("c")) | (F.col("t") != F.col("said")) | (F.col("t") + F.col("unused") != F.col("c"))).cast("int")
+        ).alias("wrong_bins")
+    )
+    per_item = packed.groupBy("container", "item").agg(
+        F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("capacity").alias("c")
+    ).join(items, "item")
     wrong = (F.col("t") != F.col("tokens")) | (F.col("n") != F.ceil(F.col("tokens") / F.col("c")))
-    return per_item.groupBy("container", F.col("c").alias("capacity")).agg(F.count(F.lit(1)).alias("documents"), F.sum(wrong.cast("int")).alias("wrong_documents")).join(bins, "container")
+    return per_item.groupBy("container", F.col("c").alias("capacity")).agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(wrong.cast("int")).alias("wrong_documents")
+    ).join(bins, "container")
 
 
 def p8_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,18 +219,26 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold of each target in the mixture: no document is used more often than allowed or from another source, and the tokens are within one document of the demand."""
+    """What must hold of each target in the mixture: no document is used more often than allowed or from another source, and the tokens are within
+    one document of the demand."""
     uses, goal = _mixed(spark, sf_dir)
     uses = stage(uses, "uses")
     docs = _sized_documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.col("source").alias("own"), F.col("tokens").alias("size"))
-    per_doc = uses.groupBy("source", "doc").agg(F.count(F.lit(1)).alias("n"), F.max("tokens").alias("t"), F.min("position").alias("lo"), F.max("position").alias("hi")).join(docs, "doc", "left")
+    per_doc = uses.groupBy("source", "doc").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tokens").alias("t"), F.min("position").alias("lo"), F.max("position").alias("hi")
+    ).join(docs, "doc", "left")
     per = per_doc.groupBy("source").agg(
-        F.max("n").alias("most"), F.sum(F.col("n") * F.col("t")).alias("got"), F.sum((~F.col("own").eqNullSafe(F.col("source")) | (F.col("t") != F.col("size")) | (F.col("lo") < 0) | (F.col("hi") > 1)).cast("int")).alias("wrong")
+        F.max("n").alias("most"), F.sum(F.col("n") * F.col("t")).alias("got"),
+        F.sum(
+            (~F.col("own").eqNullSafe(F.col("source")) | (F.col("t") != F.col("size")) | (F.col("lo") < 0) | (F.col("hi") > 1)).cast("int")
+        ).alias("wrong")
     )
     largest = docs.groupBy(F.col("own").alias("source")).agg(F.max("size").alias("largest"))
     rows = goal.join(per, "source", "left").join(largest, "source", "left").na.fill(0, ["most", "got", "largest", "wrong"])
     fits = F.abs(F.col("got") - F.col("demand")) <= F.col("largest")
-    return rows.select("source", "max_repeats", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), fits.alias("within_a_document"), "wrong")
+    return rows.select(
+        "source", "max_repeats", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), fits.alias("within_a_document"), "wrong"
+    )
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +253,8 @@ def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_frequency, p3_found, p3_weekly, p3_overall, p4_found, p4_groups, p5_found, p5_overlap, p5_shared, p6_found, p6_consensus, p8_pack, p8_filling, p8_check, p9_mixture, p9_shares, p9_check, p10_found, p10_kinds
+        p1_found, p1_frequency, p3_found, p3_weekly, p3_overall, p4_found, p4_groups, p5_found, p5_overlap, p5_shared, p6_found, p6_consensus,
+        p8_pack, p8_filling, p8_check, p9_mixture, p9_shares, p9_check, p10_found, p10_kinds
     )
 }
 
@@ -233,7 +273,9 @@ WITH d AS (SELECT DISTINCT query_id, {TIME_SQL} AS ms, lower(trim(kind)) AS kind
 c AS (SELECT kind, source, latency_ms, strftime(date_trunc('week', make_timestamp(ms * 1000)), '%Y-%m-%d') AS week FROM d WHERE ms IS NOT NULL),
 """
 _RANKS = "r AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY latency_ms) AS k, count(*) OVER (PARTITION BY {g}) AS n FROM c), p AS (SELECT {g}, max(n) AS n, {ps} FROM r GROUP BY {g}) "
-_PS = ", ".join(f"CAST(max(CASE WHEN k = (n * {p} + 9999) // 10000 THEN latency_ms END) AS INTEGER) AS {c}" for c, p in percentiles.PERCENTILES.items())
+_PS = ", ".join(
+    f"CAST(max(CASE WHEN k = (n * {p} + 9999) // 10000 THEN latency_ms END) AS INTEGER) AS {c}" for c, p in percentiles.PERCENTILES.items()
+)
 _P5 = """
 WITH s AS (
   SELECT DISTINCT replace(lower(linkage), '_', '-') AS linkage, bit >> 32 AS concept, bit & 4294967295 AS id FROM bitmap_fragments

@@ -79,7 +79,8 @@ LIKELY = {
 }
 #: What a renderer leaves where it found no value: after a greeting, or alone after a label.
 NO_VALUE = re.compile(
-    r"^\W*(?:dear|hello|hi|hey|welcome|liebe[r]?|hallo|cher|chere|bonjour|estimad[oa]|hola|ola|beste|gentile|ciao) (?:null|undefined|none|nan)\b|^\W*[\w' -]+: (?:undefined|null|nan)\W*$", re.MULTILINE
+    r"^\W*(?:dear|hello|hi|hey|welcome|liebe[r]?|hallo|cher|chere|bonjour|estimad[oa]|hola|ola|beste|gentile|ciao) (?:null|undefined|none|nan)\b|^\W*[\w' -]+: (?:undefined|null|nan)\W*$",
+    re.MULTILINE
 )
 _MARKS = "undefined", " null", ": nan", " none", " nan"
 #: Words right before a string that is spoken about (verbs that take it as their object, nouns that it explains, and what compares).
@@ -112,11 +113,15 @@ _BULLET = re.compile(r"^[\s\W\d]*$")
 
 FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.MULTILINE | re.DOTALL)
 INLINE_CODE = re.compile(r"``[^\n]+?``|`[^`\n]+`")
-CODE_LINE = re.compile(r"^\s*(?:\$ |>>> |#!|export \w+=|for \w+ in .*\bdo\b|(?:for|while|if|switch) ?\(|printf?\(|echo |curl |docker |git |import [\w.]+$|from [\w.]+ import |(?:const|let|var) \w+ ?=|return .*;$|[\w.]+\(.*\);?$)")
+CODE_LINE = re.compile(
+    r"^\s*(?:\$ |>>> |#!|export \w+=|for \w+ in .*\bdo\b|(?:for|while|if|switch) ?\(|printf?\(|echo |curl |docker |git |import [\w.]+$|from [\w.]+ import |(?:const|let|var) \w+ ?=|return .*;$|[\w.]+\(.*\);?$)"
+)
 QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]')
 GUILLEMETS = re.compile(r"«[^«»\n]*»")
 MARKUP = re.compile(r"</?(?:h[1-6]|p|div|span|b|i|em|strong|br|hr|center|noscript|html|head|body|ul|li|a|title)\b[^<>\n]*>", re.IGNORECASE)
-NUMBER_LINE = re.compile(r"^(?:(?:request|reference|error|incident|trace|ray|vorgang|requete|solicitud|code)\s?(?:id|no|nr)?[:. ]*)?(?:0x)?[0-9a-f./-]+$|^[\w-]+(?: [\w-]+)? viewer$")
+NUMBER_LINE = re.compile(
+    r"^(?:(?:request|reference|error|incident|trace|ray|vorgang|requete|solicitud|code)\s?(?:id|no|nr)?[:. ]*)?(?:0x)?[0-9a-f./-]+$|^[\w-]+(?: [\w-]+)? viewer$"
+)
 WITHIN = re.compile(r"[^\W_](?:.*[^\W_])?")
 
 
@@ -152,7 +157,10 @@ def automaton():
     patterns: dict[str, str] = {}
     page = known.phrases(known.SCRIPT_NOTICES) | known.phrases(known.ERROR_PAGES) | known.statuses()
     latin = {w for w in known.DUMMY_LATIN if len(w) >= 5}
-    for kind, words in (("page", page), ("filler", known.phrases(known.FILLER)), ("beside", known.phrases(known.BESIDE)), ("latin", latin), ("mash", [*known.MASH, *known.REPEATED])):
+    for kind, words in (
+        ("page", page), ("filler", known.phrases(known.FILLER)), ("beside", known.phrases(known.BESIDE)), ("latin", latin),
+        ("mash", [*known.MASH, *known.REPEATED])
+    ):
         for w in words:
             patterns.setdefault(w, kind)
     a = ahocorasick.Automaton()
@@ -211,7 +219,10 @@ def placeholders(text: str, at: list[tuple[int, str]]) -> tuple[int, int]:
             quoted = before[-1:] in ("'", '"', "`", "‘", "“") and after[:1] in ("'", '"', "`", "’", "”")
             explained = _BULLET.match(before) and _EXPLAINED.match(after)
             more = _MORE_OF_THEM.match(after)
-            spoken += bool(quoted or explained or SPOKEN_BEFORE.search(_ONE_OF_SEVERAL.sub("", before)) or SPOKEN_AFTER.match(after[more.end() :] if more else after))
+            spoken += bool(
+                quoted or explained or SPOKEN_BEFORE.search(_ONE_OF_SEVERAL.sub("", before))
+                or SPOKEN_AFTER.match(after[more.end() :] if more else after)
+            )
             here = line.find("\x00", here + 1)
     return len(spans) - spoken, spoken
 
@@ -300,6 +311,8 @@ def find_residue(df: DataFrame, record: str, text: str) -> DataFrame:
         for batch in batches:
             kinds = [residue_kind(t) for t in batch.column(1).to_pylist()]
             keep = [i for i, k in enumerate(kinds) if k]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([kinds[i] for i in keep], pa.string())], names=[record, "kind"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array([kinds[i] for i in keep], pa.string())], names=[record, "kind"]
+            )
 
     return rows.mapInArrow(run, schema)

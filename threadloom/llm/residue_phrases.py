@@ -40,7 +40,13 @@ def statuses() -> set[str]:
         if s.value >= 400:
             reason = s.phrase.lower()
             out.add(reason.replace("timeout", "time-out"))
-            out |= {f"{s.value} {reason}", f"{reason} {s.value}", *(f"{x} {s.value}" for x in ("error", "error code", "http", "http error", "http status", "status code", "fehler", "erreur", "errore", "erro", "fout"))}
+            out |= {
+                f"{s.value} {reason}", f"{reason} {s.value}",
+                *(
+                    f"{x} {s.value}"
+                    for x in ("error", "error code", "http", "http error", "http status", "status code", "fehler", "erreur", "errore", "erro", "fout")
+                )
+            }
             out |= {f"{s.value} error", f"{s.value}: {reason}", f"{s.value} - {reason}", f"{s.value} – {reason}"}
             if reason not in _EVERYDAY:
                 out.add(reason)
