@@ -6,6 +6,7 @@ PROSE = "The planner keeps a copy of the cluster for the night. It is rebuilt wh
 CASES = {
     "Dear {{ customer }},\n" + PROSE: "placeholder",
     PROSE + "Owner: [TODO: add owner]\n" + PROSE: "placeholder",
+    "Context: <<title>>\n" + PROSE: "placeholder",
     PROSE + "Last change: [object Object]": "placeholder",
     "Version %(version)s, maintained by &lt;TEAM_NAME&gt;": "placeholder",
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod.\n" + PROSE: "filler",

@@ -118,7 +118,7 @@ CODE_LINE = re.compile(
 )
 QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]')
 GUILLEMETS = re.compile(r"«[^«»\n]*»")
-MARKUP = re.compile(r"</?(?:h[1-6]|p|div|span|b|i|em|strong|br|hr|center|noscript|html|head|body|ul|li|a|title)\b[^<>\n]*>", re.IGNORECASE)
+MARKUP = re.compile(r"</?(?:h[1-6]|p|div|span|b|i|em|strong|br|hr|center|noscript|html|head|body|ul|li|a)\b[^<>\n]*>", re.IGNORECASE)
 NUMBER_LINE = re.compile(
     r"^(?:(?:request|reference|error|incident|trace|ray|vorgang|requete|solicitud|code)\s?(?:id|no|nr)?[:. ]*)?(?:0x)?[0-9a-f./-]+$|^[\w-]+(?: [\w-]+)? viewer$"
 )
