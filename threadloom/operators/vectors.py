@@ -224,6 +224,13 @@ def cosine_of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", F.try_divide(dot, F.col("na") * F.col("nb")).alias("cosine")).filter("cosine > 0")
 
 
+def concept_classes(sets: DataFrame) -> DataFrame:
+    """(entity_id, representative): documents with the same concepts are one class, which its smallest id stands for."""
+    rows = sets.groupBy("entity_id").agg(F.xxhash64(F.array_sort(F.collect_list("concept"))).alias("same"))
+    first = rows.groupBy("same").agg(F.min("entity_id").alias("representative"))
+    return rows.join(first, "same").select("entity_id", "representative")
+
+
 def concept_cosine(sets: DataFrame, least: float = BRIDGE_FROM) -> DataFrame:
     """(a, b, cosine), a < b: all pairs of documents whose similarity by the squared idf of shared concepts is above ``least``, which is above 0.
 
@@ -231,6 +238,10 @@ def concept_cosine(sets: DataFrame, least: float = BRIDGE_FROM) -> DataFrame:
     ``least`` by itself; so the first concept
     that two similar documents share lies in both their prefixes, where they meet. No pair is lost, frequent concepts hardly ever are in a prefix,
     and the candidates' similarity is exact.
+
+    Documents with the same concepts are alike without more ado and may be very many: give it the sets of representatives (``concept_classes``),
+    and the classes
+    say what they stand for.
     """
     if least <= 0:
         raise ValueError("the least similarity must be above 0")
@@ -338,7 +349,13 @@ def compile_subjects(
     # The similarity by concepts counts for every dense edge, and for other pairs from the bridge on.
     sparse = none.withColumnRenamed("weight", "cosine")
     if signal != "dense":
-        sparse = concept_cosine(sets, bridge_from).unionByName(cosine_of_pairs(dense, sets)).dropDuplicates(["a", "b"])
+        classes = stage(concept_classes(sets), "concept-classes")
+        first = sets.join(classes.filter("entity_id = representative").select("entity_id"), "entity_id", "left_semi")
+        # A class hangs together by its representative.
+        alike = classes.filter("entity_id != representative").select(
+            F.col("representative").alias("a"), F.col("entity_id").alias("b"), F.lit(1.0).alias("cosine")
+        )
+        sparse = concept_cosine(first, bridge_from).unionByName(alike).unionByName(cosine_of_pairs(dense, sets)).dropDuplicates(["a", "b"])
     edges = stage(fuse_edges(dense, sparse, beta, gamma, bridge_from), "subject-edges")
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(
         edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight")

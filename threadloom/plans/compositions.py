@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import render
 from threadloom.functions.clean import epoch_seconds
+from threadloom.functions.names import CANDIDATE
 from threadloom.graph import read, store_graph
 from threadloom.operators import context, dsl, rank, vectors, walks
+from threadloom.plans.retrieval import SHAPE_SQL
 from threadloom.plans.set_algebra import A, STORE
 from threadloom.plans.store_changes import _doc_concepts
+from threadloom.plans.texts import _PARTS
 from threadloom.sources import common, markdown
 from threadloom.staging import spread
 
@@ -128,7 +131,32 @@ def _context_sql(content: bool) -> str:
     )
 
 
+_CANON = "CASE WHEN len({p}) > 0 THEN array_to_string({p}, '_') ELSE lower(trim({x})) END"
+_canon = lambda x: _CANON.format(x=x, p=_PARTS.format(x=x))
+_SHAPE = SHAPE_SQL.replace("name", "token")
+_MATCHES = (
+    STORE
+    + f", c AS (SELECT id, name, coalesce(canonical_name, {_canon('name')}) AS cn FROM ent WHERE kind = 'concept' AND coalesce(noise, 0) = 0), "
+    f"t AS (SELECT prompt, token, {_canon('token')} AS tn FROM (SELECT body AS prompt, unnest(list_distinct(regexp_extract_all(body, '{CANDIDATE}'))) AS token "
+    "FROM (SELECT DISTINCT body FROM query_log WHERE body IS NOT NULL)) WHERE length(token) >= 3), "
+    "h AS (SELECT prompt, token, id, name, 0 AS step FROM t JOIN c ON token = name UNION ALL SELECT prompt, token, id, name, 1 FROM t JOIN c ON lower(token) = lower(name) "
+    "UNION ALL SELECT prompt, token, id, name, 2 FROM t JOIN c ON tn = cn UNION ALL SELECT prompt, token, id, name, 3 FROM t JOIN c ON contains(name, '/') AND token = string_split(name, '/')[-1]), "
+    "mp AS (SELECT prompt, token, id AS concept_id, name, step FROM h QUALIFY row_number() OVER (PARTITION BY prompt, token ORDER BY step, name, id) = 1)"
+)
+_SCAN = (
+    _MATCHES
+    + ", sg AS (SELECT concept_id, count(*) AS degree, count(*) FILTER (WHERE linkage = 'mentions') AS df FROM lnk GROUP BY 1), "
+    "cf AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, coalesce(avg(CASE WHEN kind = 'code' THEN 1.0 ELSE 0.0 END), 1.0) AS code FROM ent WHERE kind <> 'concept'), "
+    "x AS (SELECT prompt, token, string_split(string_split(token, '/')[-1], '::')[-1] AS leaf, mp.concept_id, name, coalesce(degree, 0) AS degree, coalesce(df, 0) AS df FROM mp LEFT JOIN sg USING (concept_id)), "
+    f"y AS (SELECT *, {_SHAPE} AS shape FROM x), "
+    "z AS (SELECT y.*, n_docs, code, (CASE WHEN degree > 0 THEN 2.0 + 0.1 * least(degree, 10) ELSE 0 END) * (CASE WHEN shape = 0 AND NOT contains(name, '/') THEN (CASE WHEN df > 0 THEN least(1.0, 1.0 / log2(9)) ELSE 0 END) ELSE 1 END) AS central FROM y, cf), "
+    "s AS (SELECT prompt, token, concept_id, (0.3 + 0.7 * code) * central + code * 1.5 * (CASE WHEN df > 0 THEN 1 / log2(df + 2) ELSE 0.3 END) + (1 - code) * 0.25 * (CASE WHEN n_docs > 0 AND df > 0 THEN log2(greatest(1.0, n_docs / df)) ELSE 0 END) "
+    "+ shape + CASE WHEN contains(name, '/') THEN 0.5 ELSE 0 END AS salience FROM z) "
+    "SELECT prompt, row_number() OVER (PARTITION BY prompt ORDER BY round(salience, 9) DESC, concept_id) AS place, token, concept_id, round(salience, 6) AS salience FROM s WHERE salience >= 1.55 QUALIFY place <= 5"
+)
 ORACLE = {
+    "match_prompts": _MATCHES + " SELECT prompt, token, concept_id, name, step FROM mp",
+    "scan_prompts": _SCAN,
     "context_links": _context_sql(False),
     "context_content": _context_sql(True),
     "concept_timeline": STORE

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.clean import folded, time_ms
 from threadloom.graph import read, store_graph
 from threadloom.operators import analytics as an
+from threadloom.plans.core_problems import TIME_SQL
 from threadloom.plans.set_algebra import STORE
 
 NOW = 1_775_000_000.0
@@ -267,6 +268,11 @@ ORACLE = {
     "telemetry_summary": LOG + " " + _SUMMARY,
     "top_queries": LOG + " SELECT body, count(*) AS n FROM lg WHERE body IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "zero_results": LOG + " SELECT body, count(*) AS n FROM lg WHERE body IS NOT NULL AND cardinality = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+    "anchored_windows": LOG.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""" , d AS (SELECT source, t, count(*) AS n FROM (SELECT source, {TIME_SQL} / 1000.0 AS t FROM lg WHERE source IS NOT NULL) WHERE t IS NOT NULL GROUP BY 1, 2),
+nx AS (SELECT source, t, min(t) OVER (PARTITION BY source ORDER BY t RANGE BETWEEN 5.0005 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM d),
+w AS (SELECT source, min(t) AS start FROM d GROUP BY 1 UNION ALL SELECT w.source, nx.nxt FROM w JOIN nx ON nx.source = w.source AND nx.t = w.start WHERE nx.nxt IS NOT NULL)
+SELECT d.source, w.start AS window_start, CAST(sum(n) AS BIGINT) AS n FROM d ASOF JOIN w ON d.source = w.source AND d.t >= w.start GROUP BY 1, 2""",
     "channel_stats": BUS
     + " SELECT channel, count(*) AS n, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'archived') AS archived, count(*) FILTER (WHERE status = 'deleted') AS deleted, max(seq) AS last_seq FROM msg GROUP BY 1",
     "bus_unread": BUS

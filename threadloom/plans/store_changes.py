@@ -9,6 +9,7 @@ from threadloom.graph import read, store_graph
 from threadloom.operators import mutate, vectors
 from threadloom.plans.set_algebra import STORE
 from threadloom.plans.store_analytics import ENT, entities, memories
+from threadloom.staging import stage
 
 
 def link_audit(spark, sf_dir):
@@ -172,9 +173,22 @@ def informative_concepts(spark, sf_dir):
     return vectors.informative_concepts(_doc_concepts(spark, sf_dir)).select("entity_id", "concept", F.round("idf", 6).alias("idf"))
 
 
+def _concept_sets(spark, sf_dir):
+    """Informative concepts, and the class of each entity."""
+    sets = stage(vectors.informative_concepts(_doc_concepts(spark, sf_dir)), "concept-sets")
+    return sets, stage(vectors.concept_classes(sets), "concept-classes")
+
+
+def concept_classes(spark, sf_dir):
+    """Entities with the same concepts, by the one that stands for them."""
+    return _concept_sets(spark, sf_dir)[1]
+
+
 def concept_cosine(spark, sf_dir):
-    """Pairs of entities alike enough to be bridged by their concepts."""
-    return vectors.concept_cosine(vectors.informative_concepts(_doc_concepts(spark, sf_dir))).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    """Pairs of classes of entities alike enough to be bridged by their concepts."""
+    sets, classes = _concept_sets(spark, sf_dir)
+    first = sets.join(classes.filter("entity_id = representative").select("entity_id"), "entity_id", "left_semi")
+    return vectors.concept_cosine(first).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def _members(spark, sf_dir):
@@ -220,7 +234,7 @@ QUERIES = {
         link_audit, merge_links, merge_verb_alias, derive_called_by, vacuum, purge_partition, set_flags, partition_merge, partition_merge_links,
         replica_merge, replica_audit, retag, reclassify, pending_vectors,
         log_replay_lww, log_replay_links, log_replay_latest, log_dump, knn_exact, knn_join, knn_cells, knn_recall, mutual_knn, informative_concepts,
-        concept_cosine, cluster_label_lift, crosscutting, corroborated, singletons, contradicted, orphan_concept,
+        concept_classes, concept_cosine, cluster_label_lift, crosscutting, corroborated, singletons, contradicted, orphan_concept,
     )
 }
 
@@ -232,6 +246,9 @@ _SETS = (
     STORE
     + ", dc AS (SELECT DISTINCT entity_id, lower(name) AS concept FROM lnk JOIN con USING (concept_id) WHERE linkage = 'mentions' AND name IS NOT NULL), nd AS (SELECT count(DISTINCT entity_id) AS n FROM dc), cd AS (SELECT concept, count(*) AS df FROM dc GROUP BY 1), st AS (SELECT entity_id, concept, df, ln(n / df) AS idf FROM dc JOIN cd USING (concept), nd WHERE df >= 2 AND df <= greatest(2, floor(0.1 * n)))"
 )
+_CLASSES = (
+    ", cs AS (SELECT entity_id, list_sort(list(concept)) AS c FROM st GROUP BY 1), cc AS (SELECT entity_id, min(entity_id) OVER (PARTITION BY c) AS representative FROM cs)"
+)
 ORACLE = {
     "link_audit": "WITH b AS (SELECT DISTINCT replace(lower(linkage), '_', '-') AS l, bit >> 32 AS c, bit & 4294967295 AS e FROM bitmap_fragments), x AS (SELECT e IN (SELECT id FROM entities) AS he, c IN (SELECT id FROM entities) AS hc FROM b) SELECT CASE WHEN NOT he AND NOT hc THEN 'both' WHEN NOT he THEN 'entity' WHEN NOT hc THEN 'concept' ELSE 'alive' END AS state, count(*) AS n FROM x GROUP BY 1",
     "merge_links": "SELECT replace(lower(linkage), '_', '-') AS linkage, bit >> 32 AS concept_id, bit & 4294967295 AS entity_id, CAST(arg_min(partition_id, epoch_us(written_at) * 1000 + partition_id) AS DOUBLE) AS weight FROM bitmap_fragments GROUP BY 1, 2, 3",
@@ -268,8 +285,12 @@ ORACLE = {
     "mutual_knn": _NEAR
     + " SELECT x.id AS a, x.other AS b, round((x.cosine - 0.1) / 0.9, 4) AS weight FROM n x JOIN n y ON x.id = y.other AND x.other = y.id WHERE x.id < x.other AND x.cosine > 0.1",
     "informative_concepts": _SETS + " SELECT entity_id, concept, round(idf, 6) AS idf FROM st",
+    "concept_classes": _SETS + _CLASSES + " SELECT entity_id, representative FROM cc",
     "concept_cosine": _SETS
-    + ", nm AS (SELECT entity_id, sqrt(sum(idf * idf)) AS n FROM st GROUP BY 1), d AS (SELECT a.entity_id AS a, b.entity_id AS b, sum(a.idf * b.idf) AS dot FROM st a JOIN st b ON a.concept = b.concept AND a.entity_id < b.entity_id GROUP BY 1, 2) SELECT a, b, round(dot / (x.n * y.n), 6) AS cosine FROM d JOIN nm x ON x.entity_id = a JOIN nm y ON y.entity_id = b WHERE dot / (x.n * y.n) > 0.35",
+    + _CLASSES
+    + ", sr AS (SELECT * FROM st WHERE entity_id IN (SELECT representative FROM cc)), nm AS (SELECT entity_id, sqrt(sum(idf * idf)) AS n FROM sr GROUP BY 1), "
+    "d AS (SELECT a.entity_id AS a, b.entity_id AS b, sum(a.idf * b.idf) AS dot FROM sr a JOIN sr b ON a.concept = b.concept AND a.entity_id < b.entity_id GROUP BY 1, 2) "
+    "SELECT a, b, round(dot / (x.n * y.n), 6) AS cosine FROM d JOIN nm x ON x.entity_id = a JOIN nm y ON y.entity_id = b WHERE dot / (x.n * y.n) > 0.35",
     "cluster_label_lift": _SETS
     + ", m AS (SELECT id AS entity_id, partition_id AS cluster FROM ent), sz AS (SELECT cluster, count(*) AS size FROM m GROUP BY 1), td AS (SELECT concept, count(*) AS tdf FROM st GROUP BY 1), ins AS (SELECT cluster, concept, count(*) AS din, max(idf) AS idf FROM st JOIN m USING (entity_id) GROUP BY 1, 2 HAVING count(*) >= 2), r AS (SELECT *, (din / size) / (tdf / (SELECT count(DISTINCT entity_id) FROM st)) AS lift FROM ins JOIN td USING (concept) JOIN sz USING (cluster)) SELECT cluster, concept AS label, round(lift, 6) AS lift FROM r QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(lift, 9) DESC, din DESC, round(idf, 9) DESC, concept) = 1",
     "crosscutting": _SETS

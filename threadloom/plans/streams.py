@@ -101,6 +101,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "stream_in_flight": "WITH e AS (SELECT user_id || '-' || json_extract_string(props, '$.k') AS id, min(epoch_us(CAST(ts AS TIMESTAMP)) // 1000) FILTER (WHERE event_type = 'signup') AS begun, max(epoch_us(CAST(ts AS TIMESTAMP)) // 1000) FILTER (WHERE event_type = 'purchase') AS ended "
+    "FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1) SELECT id, begun, ended, CASE WHEN begun IS NULL THEN 'orphan' WHEN ended IS NULL OR ended - begun > 86400000 THEN 'abandoned' ELSE 'done' END AS outcome FROM e",
     "stream_tumbling": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "stream_sliding": "SELECT start, event_type, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-02')]) AS start, event_type FROM events) GROUP BY 1, 2",
     "stream_debounce": "WITH o AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), s AS (SELECT *, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT user_id, min(ts) AS start, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths, count(*) AS n FROM s GROUP BY user_id, g",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import names, text
 from threadloom.graph import read
+from threadloom.model import BODY_STOPWORDS
 from threadloom.plans.retrieval import SHAPE_SQL
 from threadloom.plans.store_analytics import entities, memories
 from threadloom.staging import spread
@@ -148,7 +149,16 @@ SELECT doc_id, snippet, trim(CASE WHEN a2 > 0 THEN '…' ELSE '' END || substr(l
 """
 # Without look-ahead: a capital that begins a word is set apart first.
 _PARTS = "list_transform(regexp_extract_all(regexp_replace({x}, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda p: lower(p))"
+_PAIRS = (
+    rf"WITH cl AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?;:,()\[\]{{}}\n\"]+')) AS c FROM documents WHERE text IS NOT NULL), "
+    f"w AS (SELECT doc_id, list_transform(regexp_extract_all(c, '{text.PAIR_WORD}'), lambda x: CASE WHEN lower(x) IN {_in(BODY_STOPWORDS)} THEN '|' ELSE lower(x) END) AS ws FROM cl), "
+    "r AS (SELECT doc_id, trim(unnest(string_split(array_to_string(ws, ' '), '|'))) AS run FROM w), k AS (SELECT row_number() OVER () AS rid, doc_id, string_split(run, ' ') AS ws FROM r WHERE contains(run, ' ')), "
+    f"u AS (SELECT rid, doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM k), st AS (SELECT rid, doc_id, i, {_STEM} AS s FROM u), "
+    f"p AS (SELECT DISTINCT a.doc_id, least(a.s, b.s) || '_' || greatest(a.s, b.s) AS pair FROM st a JOIN st b ON a.rid = b.rid AND b.i > a.i AND b.i < a.i + {text.PAIR_WINDOW} AND a.s <> b.s) "
+    "SELECT pair, count(*) AS df FROM p GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= greatest(2, floor(0.05 * (SELECT count(DISTINCT doc_id) FROM p)))"
+)
 ORACLE = {
+    "pair_index": _PAIRS,
     "canonicalize": ENT
     + f" , p AS (SELECT DISTINCT name, {_PARTS.format(x='name')} AS p FROM ent WHERE name IS NOT NULL) SELECT name, CASE WHEN len(p) > 0 THEN array_to_string(p, '_') ELSE lower(trim(name)) END AS canonical FROM p",
     "name_variants": ENT
