@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 K1, B, COVERAGE_ALPHA, LEAD_WEIGHT, DEFINITION_FLOOR = 1.5, 0.75, 3.0, 0.25, 1e-3
 RRF_K = 60
+#: The most concepts of a mapping that are written into the scan's filter; each is an expression that the driver holds several times over.
+MOST_IN_FILTER = 64
 
 
 def _sum(cols: Sequence[Column]) -> Column:
@@ -37,7 +39,8 @@ def content_rank(
     """(entity_id, score): BM25 times coverage for a bag of terms.
 
     ``term_concepts`` has (term int from 0, concept_id): the concepts that each term denotes; a concept that several terms claim belongs to the
-    first. If the driver knows them, they may be a mapping of concept to term, which then is part of the scan's filter. A null weight counts as
+    first. If the driver knows them, they may be a mapping of concept to term, which then is part of the scan's filter; a mapping of more than
+    ``MOST_IN_FILTER`` concepts is joined like a table, with the same result. A null weight counts as
     frequency ``null_tf`` and still counts for document frequency and coverage. ``kinds`` (entity_id) restricts
     what is scored, not the corpus figures. ``boosts`` maps a linkage to the weight that an entity gains per idf of a term that it is linked to so
     (``lead``). Entities that define a term's concept without mentioning one get ``floor``. No term that resolves gives an empty result. Links of
@@ -50,6 +53,10 @@ def content_rank(
     known = isinstance(term_concepts, Mapping)
     if known and not term_concepts:
         return links.select("entity_id", F.lit(0.0).alias("score")).limit(0)
+    if known and len(term_concepts) > MOST_IN_FILTER:
+        kind = links.schema["concept_id"].dataType.simpleString()
+        term_concepts = links.sparkSession.createDataFrame([(t, c) for c, t in term_concepts.items()], f"term int, concept_id {kind}")
+        known = False
     first = None if known else term_concepts.groupBy("concept_id").agg(F.min("term").alias("term"))
     # The same filter on both branches, so that they share one scan and one shuffle of the links.
     links = links.filter(F.col("concept_id").isNotNull() & F.col("entity_id").isNotNull())

@@ -22,11 +22,16 @@ def context_links(spark, sf_dir):
     return context.context(store_graph(spark, sf_dir), A)
 
 
+def _ranked(g):
+    """The content ranking by the concepts of one name. They are as many as the store has under it, so they stay a table."""
+    own = dsl.resolve(g, [A]).select(F.lit(0).alias("term"), "concept_id")
+    return rank.content_rank(g.links, own, 1, null_tf=1.0, boosts={})
+
+
 def context_content(spark, sf_dir):
     """Context from the links of a concept and a content ranking by its name."""
     g = store_graph(spark, sf_dir)
-    own = {r["concept_id"]: 0 for r in dsl.resolve(g, [A]).collect()}
-    return context.build_context(g, A, rank.content_rank(g.links, own, 1, null_tf=1.0, boosts={}))
+    return context.build_context(g, A, _ranked(g))
 
 
 def context_bundle(spark, sf_dir):
