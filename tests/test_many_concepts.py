@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from oracle import same
-from threadloom.operators import rank
+from threadloom.operators import rank, walks
 from threadloom.plans import compositions
 from threadloom.plans.set_algebra import A
 
@@ -46,6 +46,29 @@ def test_content_context_is_planned_alike_for_any_number_of_concepts(spark, stor
         same(spark, s, compositions.context_content, compositions.ORACLE["context_content"])
 
 
+def test_the_bundle_is_planned_alike_for_any_number_of_concepts(spark, stores):
+    few, many = (compositions.context_bundle(spark, s) for s in stores)
+    assert expressions(many) < 1.1 * expressions(few)
+    links = {r.entity_id for r in compositions.context_links(spark, stores[1]).collect()}
+    got = many.collect()
+    assert {r.entity_id for r in got if r.source == 0} == links and {r.source for r in got} >= {0, 1} and len(got) <= 40
+
+
+def test_seeds_with_too_little_mass_are_not_fetched(spark, monkeypatch):
+    rng = random.Random(4)
+    links = [("calls", s, 1000 + rng.randrange(300), None) for s in range(200) for _ in range(6)]
+    edges = walks.adjacency(spark.createDataFrame(links, "linkage string, concept_id long, entity_id long, weight double"))
+    rows = sorted(tuple(r) for r in edges.collect())
+    seeds = {s: 50.0 if s < 3 else 1.0 for s in range(200)} | {9999: 1.0}
+    near = {}
+    for a, b, w in rows:
+        near.setdefault(a, []).append((b, w))
+    want = walks.push_known(near, {u: sum(w for _, w in x) for u, x in near.items()}, seeds, 0.15, 4e-3, 200_000)[0]
+    monkeypatch.setattr(walks, "MOST_LOCAL_EDGES", 100)
+    got = {r.id: r.score for r in walks.ppr_push(edges, seeds, 0.15, 4e-3).collect()}
+    assert len(got) >= 3 and got == pytest.approx(want)
+
+
 def test_a_large_mapping_of_concepts_ranks_as_a_table_does(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["mentions", "defines", "lead"]), rng.randrange(400), rng.randrange(60), float(rng.randrange(1, 4))) for _ in range(3000)]

@@ -139,14 +139,17 @@ def ppr_push(edges: DataFrame, seeds: list[int] | dict[int, float], alpha: float
     (alpha * epsilon)
     together, whatever the size of the graph. Only these nodes' edges are fetched, in rounds: pushes run over what is known, nodes that are due
     but not known are fetched, and
-    the pushes start again. More than ``MOST_LOCAL_EDGES`` (five million) edges are refused: ``pagerank`` with ``restart`` is the distributed walk.
+    the pushes start again. Of the seeds, the degrees come first, as many seeds may have too little mass to be pushed. More than ``MOST_LOCAL_EDGES`` (five million) edges are refused: ``pagerank`` with ``restart`` is the distributed walk.
     """
     spark = edges.sparkSession
     edges = stage(edges.select("src", "dst", "weight"), "push-edges")
     degree = stage(edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree")), "push-degrees")
     near: dict[int, list[tuple[int, float]]] = {}
     degrees: dict[int, float] = {}
-    settled, due, held = {}, set(seeds), 0
+    given = spark.createDataFrame([(s,) for s in sorted(set(seeds))], "id long")
+    degrees |= {r["id"]: r["degree"] for r in degree.join(given, "id").collect()}
+    held = 0
+    settled, due = push_known(near, degrees, seeds, alpha, epsilon, most)
     while due:
         wanted = spark.createDataFrame([(s,) for s in sorted(due)], "src long")
         found = edges.join(wanted, "src").join(degree, F.col("dst") == F.col("id"), "left").select(

@@ -37,8 +37,7 @@ def context_content(spark, sf_dir):
 def context_bundle(spark, sf_dir):
     """The same with what a walk adds."""
     g = store_graph(spark, sf_dir)
-    own = {r["concept_id"]: 0 for r in dsl.resolve(g, [A]).collect()}
-    return context.build_context(g, A, rank.content_rank(g.links, own, 1, null_tf=1.0, boosts={}), degree=2)
+    return context.build_context(g, A, _ranked(g), degree=2)
 
 
 def describe(spark, sf_dir):
