@@ -78,3 +78,10 @@ def test_a_large_mapping_of_concepts_ranks_as_a_table_does(spark):
     scores = lambda known: [(r.entity_id, round(r.score, 9)) for r in rank.content_rank(links, known, 2).collect()]
     assert scores(terms) == scores(table) and len(scores(terms)) == 50
     assert expressions(rank.content_rank(links, terms, 2)) < 1.1 * expressions(rank.content_rank(links, table, 2))
+
+
+def test_the_text_of_the_bundle_is_planned_alike_and_has_all_its_names(spark, stores):
+    few, many = (compositions.context_text(spark, s) for s in stores)
+    assert expressions(many) < 1.1 * expressions(few)
+    text = "\n".join(r.text for r in many.collect())
+    assert all(r.name in text for r in compositions.context_bundle(spark, stores[1]).collect())
