@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -36,47 +39,79 @@ def channel_heads(messages: DataFrame, pattern: str = "*") -> DataFrame:
     return rows.groupBy("channel").agg(F.max("seq").alias("last_seq"), F.sum(F.when(F.col("status") == "active", 1).otherwise(0)).alias("active"))
 
 
-def calls_in_flight(events: DataFrame, after_s: int = ABANDONED_AFTER_S, delay: str = "0 seconds") -> DataFrame:
+#: Shares that calls are dealt into by their id; the calls of one are held, and dealt with, together.
+CALL_SHARES = 512
+_CALLS = pa.schema([("id", pa.string()), ("begun", pa.int64()), ("ended", pa.int64()), ("due", pa.int64())])
+
+
+def _packed(calls: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _CALLS) as writer:
+        writer.write_table(calls)
+    return out.getvalue().to_pybytes()
+
+
+def _merged_calls(held: pa.Table, new: pa.Table, after_ms: int, watermark: int) -> pa.Table:
+    """Calls (id, begun, ended, due, touched) once each: the earliest begin, the latest end, and until when they are waited for.
+
+    What was touched by new events is waited for beyond the watermark at least.
+    """
+    rows = pa.concat_tables([held.append_column("touched", pa.array(np.zeros(len(held), dtype=np.int8))), new])
+    calls = rows.group_by("id").aggregate([("begun", "min"), ("ended", "max"), ("due", "max"), ("touched", "max")])
+    calls = calls.select(["id", "begun_min", "ended_max", "due_max", "touched_max"]).rename_columns([*_CALLS.names, "touched"])
+    until = pc.max_element_wise(pc.add(pc.coalesce(calls["begun"], calls["ended"]), after_ms), watermark + 1)
+    return calls.set_column(3, "due", pc.if_else(pc.equal(calls["touched"], 1), until, calls["due"]))
+
+
+def calls_in_flight(events: DataFrame, after_s: int = ABANDONED_AFTER_S, delay: str = "0 seconds", shares: int = CALL_SHARES) -> DataFrame:
     """(id, begun, ended, outcome): tool calls from their begin and end events (id, phase, at); a call that isn't ended within ``after_s`` is
     ``abandoned``.
 
     Timers run in event time: they expire when the watermark passes begin + after_s. An end without a begin within that time is ``orphan``.
+
+    Calls are dealt into ``shares`` by a hash of their id, for all calls of a share at once are as cheap as one alone. A share's state is its open
+    calls, with when each is due, and its timer is the first of these. The number of shares doesn't change the result.
     """
+    after_ms = after_s * 1000
 
     def process(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begun, ended = state.get if state.exists else (None, None)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame(
-                {
-                    "id": [key[0]], "begun": pd.array([begun], "Int64"), "ended": pd.array([ended], "Int64"),
-                    "outcome": ["abandoned" if begun is not None else "orphan"]
-                }
+        held = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else _CALLS.empty_table()
+        watermark = state.getCurrentWatermarkMs()
+        parts = []
+        for frame in [] if state.hasTimedOut else frames:
+            ms, begins = frame["ms"].to_numpy(dtype="int64"), (frame["phase"] == "begin").to_numpy(dtype=bool)
+            parts.append(
+                pa.table(
+                    [
+                        pa.array(frame["id"], pa.string(), from_pandas=True), pa.array(ms, mask=~begins), pa.array(ms, mask=begins),
+                        pa.nulls(len(frame), pa.int64()), pa.array(np.ones(len(frame), dtype=np.int8))
+                    ],
+                    names=[*_CALLS.names, "touched"]
+                )
             )
-            return
-        for frame in frames:
-            for phase, ms in zip(frame["phase"], frame["ms"]):
-                if phase == "begin":
-                    begun = int(ms) if begun is None else min(begun, int(ms))
-                else:
-                    ended = int(ms) if ended is None else max(ended, int(ms))
-        if begun is not None and ended is not None:
-            if state.exists:
-                state.remove()
-            late = ended - begun > after_s * 1000
-            yield pd.DataFrame(
-                {
-                    "id": [key[0]], "begun": pd.array([begun], "Int64"), "ended": pd.array([ended], "Int64"),
-                    "outcome": ["abandoned" if late else "done"]
-                }
+        new = pa.concat_tables([_CALLS.append(pa.field("touched", pa.int8())).empty_table(), *parts])
+        calls = _merged_calls(held, new, after_ms, watermark)
+        whole = pc.and_(pc.is_valid(calls["begun"]), pc.is_valid(calls["ended"]))
+        late = pc.less(calls["due"], watermark)
+        over = pc.or_(whole, late)
+        out, left = calls.filter(over), calls.filter(pc.invert(over)).select(_CALLS.names)
+        if len(left):
+            state.update((_packed(left),))
+            state.setTimeoutTimestamp(max(pc.min(left["due"]).as_py(), watermark, 1))
+        elif state.exists:
+            state.remove()
+        if len(out):
+            took = pc.subtract(out["ended"], out["begun"])  # null unless there are both
+            outcome = pc.if_else(
+                pc.is_null(out["begun"]), "orphan", pc.if_else(pc.fill_null(pc.less_equal(took, after_ms), False), "done", "abandoned")
             )
-        else:
-            state.update((begun, ended))
-            state.setTimeoutTimestamp(max((begun if begun is not None else ended) + after_s * 1000, state.getCurrentWatermarkMs() + 1))
+            frame = out.select(["id", "begun", "ended"]).append_column("outcome", outcome)
+            yield frame.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
-    rows = events.withColumn("ms", F.unix_millis("at")).withWatermark("at", delay)
-    return rows.groupBy("id").applyInPandasWithState(
-        process, "id string, begun long, ended long, outcome string", "begun long, ended long", "append", GroupStateTimeout.EventTimeTimeout
+    share = F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int")
+    rows = events.withColumns({"ms": F.unix_millis("at"), "share": share}).withWatermark("at", delay)
+    return rows.groupBy("share").applyInPandasWithState(
+        process, "id string, begun long, ended long, outcome string", "calls binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
