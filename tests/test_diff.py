@@ -4,7 +4,7 @@ import random
 import numpy as np
 from conftest import rows
 from threadloom.operators.assignment import min_cost_assignment
-from threadloom.operators.diff import diff_copies
+from threadloom.operators.diff import diff_copies, fields_that_differ
 
 SCHEMA = "id long, name string, meta string, at double, extra string"
 FIELDS = {"name": "exact", "meta": "json", "at": "epoch"}
@@ -120,3 +120,20 @@ def test_a_pairing_that_may_be_too_dear_is_reported(spark):
     copy = [(1, f"b{i}", f"x{i}", i + 0.5, "") for i in range(n)]
     # every field differs everywhere: 3 n differences, of which two rounds can vouch for the two fields besides the epoch only
     assert diff(spark, main, copy, once=False, exact_cells=2500) == [(1, "at", n), (1, "meta", n), (1, "name", n), (1, "not_certified_minimal", n)]
+
+
+def test_a_key_of_any_size_is_assigned_exactly(spark):
+    """More than 10^8 pairs of rows: beyond what is held as a matrix, the differences are still the least, and nothing is uncertain."""
+    n = 10_050
+    main = [(1, f"a{i}", f"m{i}", float(i), "") for i in range(n)]
+    copy = [(1, f"b{i}", f"m{i}" if i % 2 else f"x{i}", i + 0.5, "") for i in range(n)]
+    assert diff(spark, main, copy, once=False) == [(1, "at", n), (1, "meta", n // 2), (1, "name", n)]
+
+
+def test_differences_worked_out_by_row_are_assigned_as_a_matrix_is():
+    rng = np.random.default_rng(7)
+    for n, m in [(40, 40), (30, 50), (50, 30), (1, 3)]:
+        side = lambda k: [(rng.integers(0, 4, k), rng.random(k) < 0.1) for _ in range(3)]
+        main, copy = side(n), side(m)
+        held, worked = (fields_that_differ(main, copy, [False, False, True], cells=cells) for cells in (10**6, 0))
+        assert held[0] == worked[0] == min(n, m) and held[1].tolist() == worked[1].tolist()

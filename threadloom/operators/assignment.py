@@ -7,10 +7,10 @@ from collections import deque
 import numpy as np
 
 
-def min_cost_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
+def min_cost_assignment(cost, highest: int | None = None) -> list[tuple[int, int]]:
     """Pairs (row, column) that use every row or every column, whichever are fewer, at the least total cost.
 
-    ``cost`` holds whole numbers from 0. What a pair saves against the dearest one is its weight, and a matching of the
+    ``cost`` holds whole numbers from 0, up to ``highest`` if that is given; it is an array or anything with a shape and its rows by number. What a pair saves against the dearest one is its weight, and a matching of the
     largest weight is grown level by level: rows and columns carry prices that together cover every weight; pairs
     that are covered exactly may be matched; where no row can be matched any more, prices of the rows reached fall and those
     of the columns reached rise, by whole numbers. Unmatched rows all have the same price, so there are at most as many
@@ -18,11 +18,10 @@ def min_cost_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 
     Memory is that of ``cost`` and a few vectors. Of equally cheap assignments one is returned, always the same.
     """
-    cost = np.asarray(cost)
-    if not cost.size:
-        return []
-    highest = int(cost.max())
     n, m = cost.shape
+    if not n or not m:
+        return []
+    highest = int(cost.max()) if highest is None else highest
     row_price, col_price = np.full(n, highest, dtype=np.int64), np.zeros(m, dtype=np.int64)
     col_of, row_of = np.full(n, -1), np.full(m, -1)
 

@@ -7,11 +7,14 @@ minimum-cost assignment), and what cannot be paired is missing.
 Scale: rows travel as fixed-width fingerprints (64 bits a field, the epochs as they are), never with their
 texts. Repeats collapse in a partial aggregation before the first shuffle, and only what doesn't cancel goes on. The
 assignment runs over Arrow batches sorted by key: keys with one row on each side, the rule, are compared all at
-once, others get their own matrix of differences, up to ``EXACT_CELLS`` cells (10 000 rows against 10 000). A key with
-more rows left is first paired by joins of the rows that differ in one field, then in two (``paired_in_rounds``), and
-what is left after that is assigned as a whole if it fits, in blocks of rows with neighbouring fingerprints if not, so that
-no task ever holds an unbounded group. Every row is kept; where the pairing of such a key can't be shown to cost the
-least (``least_cost``), the report says by how many differences it may be too dear.
+once, others get their own matrix of differences up to ``MATRIX_CELLS`` cells, and above that the same assignment with the differences of
+a row worked out whenever they are looked at. So the report is the least at any size; a key's fingerprints are held by one task, and its
+time grows with the square of its rows at least.
+
+A caller that can't wait may set ``exact_cells``: a key with more pairs of rows is first paired by joins of the rows that differ in one field, then
+in two (``paired_in_rounds``), and what is left after that is assigned as a whole if it fits, in blocks of rows with neighbouring fingerprints if
+not. Every row is kept; where the pairing of such a key can't be shown to cost the least (``least_cost``), the report says by how many
+differences it may be too dear.
 """
 
 from __future__ import annotations
@@ -34,9 +37,9 @@ from threadloom.operators.prefix_sum import running_totals
 from threadloom.staging import stage
 
 EPOCH_TOLERANCE_S = 0.01
-#: Most pairs of rows of one key that are weighed against each other at once, and most rows on one side of it.
-EXACT_CELLS, EXACT_ROWS = 100_000_000, 100_000
-#: Rows on a side of what is assigned in blocks.
+#: Differences of one key that are held at once, as a matrix; those of larger keys are worked out row by row.
+MATRIX_CELLS = 100_000_000
+#: Rows on a side of what is assigned in blocks, if the caller bounds what is assigned exactly.
 BLOCK = 10_000
 OLDEST = -1.0e300
 NOT_CERTIFIED = "not_certified_minimal"
@@ -75,15 +78,33 @@ def _unlike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return (other & ~x_null & ~y_null) | (x_null != y_null)
 
 
-def fields_that_differ(main: list, copy: list, epochs: Sequence[bool], rows: int = 512) -> tuple[int, np.ndarray]:
-    """(pairs, differences by field) of an assignment of two lists of rows, given by column, at the fewest differences."""
-    n, m = len(main[0][0]), len(copy[0][0])
-    cost = np.zeros((n, m), dtype=np.int8)
-    for start in range(0, n, rows):  # in strips, which bounds the memory besides that of the costs
-        strip = slice(start, start + rows)
-        for (x, x_null), (y, y_null), epoch in zip(main, copy, epochs):
-            cost[strip] += _unlike((x[strip, None], x_null[strip, None]), (y[None], y_null[None]), epoch)
-    pairs = np.array(min_cost_assignment(cost), dtype=np.int64).reshape(-1, 2)
+class Differences:
+    """The matrix of the differences of two lists of rows, given by column, of which a row is worked out whenever it is asked for."""
+
+    def __init__(self, main: list, copy: list, epochs: Sequence[bool]):
+        self.columns = list(zip(main, copy, epochs))
+        self.shape = len(main[0][0]), len(copy[0][0])
+        self.highest = len(self.columns)  # no pair differs in more
+
+    def __getitem__(self, rows) -> np.ndarray:
+        return sum(_unlike((x[rows], x_null[rows]), b, epoch).astype(np.int8) for (x, x_null), b, epoch in self.columns)
+
+
+def fields_that_differ(
+    main: list, copy: list, epochs: Sequence[bool], rows: int = 512, cells: int = MATRIX_CELLS
+) -> tuple[int, np.ndarray]:
+    """(pairs, differences by field) of an assignment of two lists of rows, given by column, at the fewest differences. Up to ``cells`` differences
+    are held; more are worked out whenever they are needed, with the same result."""
+    cost = Differences(main, copy, epochs)
+    n, m = cost.shape
+    if n * m <= cells:
+        held = np.zeros((n, m), dtype=np.int8)
+        for start in range(0, n, rows):  # in strips, which bounds the memory besides that of the costs
+            strip = slice(start, start + rows)
+            for (x, x_null), (y, y_null), epoch in cost.columns:
+                held[strip] += _unlike((x[strip, None], x_null[strip, None]), (y[None], y_null[None]), epoch)
+        cost = held
+    pairs = np.array(min_cost_assignment(cost, len(epochs)), dtype=np.int64).reshape(-1, 2)
     rs, cs = pairs[:, 0], pairs[:, 1]
     differ = [_unlike((x[rs], x_null[rs]), (y[cs], y_null[cs]), e).sum() for (x, x_null), (y, y_null), e in zip(main, copy, epochs)]
     return len(pairs), np.array(differ, dtype=np.int64)
@@ -260,14 +281,15 @@ def left_over(main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str, s
 
 def diff_copies(
     main: DataFrame, copy: DataFrame, key: str, fields: Mapping[str, str], version: str | None = None, once: bool = True,
-    exact_cells: int = EXACT_CELLS
+    exact_cells: int | None = None
 ) -> DataFrame:
     """Report (row_id, field, n): what is missing on either side and which fields of paired rows differ.
 
     ``fields`` maps each compared column to ``exact``, ``json`` (key order and spacing don't matter; text that
     isn't JSON is compared as text) or ``epoch`` (seconds or milliseconds, equal within 0.01 s). field is
-    ``missing_in_copy``, ``missing_in_main`` or a column's name, n the number of rows concerned; or, for a key with more than
-    ``exact_cells`` pairs of rows left, ``not_certified_minimal``, n the differences by which its pairing may exceed the least.
+    ``missing_in_copy``, ``missing_in_main`` or a column's name, n the number of rows concerned. The differences of a key are as few as can be,
+    whatever its size, unless the caller sets ``exact_cells``: then, for a key with more pairs of rows left, there may be
+    ``not_certified_minimal``, n the differences by which its pairing may exceed the least.
 
     With ``version``, only the rows of a key with the largest version (null is the smallest) count on each side, and a
     key is missing only if the other side has no row of it. With ``once``, rows repeated verbatim count once.
@@ -287,21 +309,20 @@ def diff_copies(
     alone = sides.filter("c1 = 0 OR c0 = 0").select(
         F.col("k2").alias("k"), missing.alias("field"), (F.col("c1") + F.col("c0")).alias("n")
     ).filter("field IS NOT NULL")
-    sides = sides.filter("c1 > 0 AND c0 > 0").select(
-        "k2", ((F.col("c1") * F.col("c0") > exact_cells) | (F.greatest("c1", "c0") > EXACT_ROWS)).alias("hot")
-    )
+    hot = F.lit(False) if exact_cells is None else F.col("c1") * F.col("c0") > exact_cells
+    sides = sides.filter("c1 > 0 AND c0 > 0").select("k2", hot.alias("hot"))
     # A row that is left several times is repeated here, as often as it is left.
     rows = left.join(sides, F.col("k").eqNullSafe(F.col("k2"))).withColumn(
         "copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("n1", "n0")))
     )
     rows = rows.select("k", *cols, F.when(F.col("n1") > 0, 1).otherwise(0).cast("long").alias("side"), "copy_no", "hot")
     assigned = rows.filter("NOT hot").drop("hot", "copy_no").withColumn("block", F.lit(0).cast("long"))
-    has_hot = sides.filter("hot").limit(1).count() > 0
+    has_hot = exact_cells is not None and sides.filter("hot").limit(1).count() > 0
     if has_hot:
         hot = stage(rows.filter("hot").drop("hot"), "diff-hot")
         in_rounds, rest = paired_in_rounds(hot, kinds, dict(zip(cols, names)))
         fits = rest.groupBy(F.col("k").alias("k2")).agg(F.sum("side").alias("c1"), F.sum(1 - F.col("side")).alias("c0"))
-        fits = fits.select("k2", ((F.col("c1") * F.col("c0") <= exact_cells) & (F.greatest("c1", "c0") <= EXACT_ROWS)).alias("fits"))
+        fits = fits.select("k2", (F.col("c1") * F.col("c0") <= exact_cells).alias("fits"))
         ranked = running_totals(rest.withColumn("one", F.lit(1).cast("long")), ["k", "side"], [*cols, "copy_no"], "one", total="rank")
         size = max(1, min(BLOCK, int(exact_cells**0.5)))
         block = F.when(F.col("fits"), F.lit(0)).otherwise(F.floor((F.col("rank") - 1) / F.lit(size))).cast("long")
